@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from tallywright.llm import quality_rules
+from tallywright.llm import mixing, quality_rules
 
 
 def queries() -> dict:
     """Query name to a function of (spark, sf_dir)."""
     return {
+        "op10_mix_sources": mixing.query,
         "op6_quality_rules": quality_rules.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Query name to DuckDB SQL."""
-    return {}
+    return {
+        "op10_mix_sources": mixing.ORACLE,
+    }
