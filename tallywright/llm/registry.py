@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tallywright.llm import mixing, quality_rules
+from tallywright.llm import mixing, quality_rules, secrets
 
 
 def queries() -> dict:
     """Query name to a function of (spark, sf_dir)."""
     return {
+        "op1_secret_scan": secrets.query,
         "op10_mix_sources": mixing.query,
         "op6_quality_rules": quality_rules.query,
     }
