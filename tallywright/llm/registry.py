@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallywright.llm import mixing, quality_rules, secrets
+from tallywright.llm import line_dedup, mixing, quality_rules, secrets
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
     return {
         "op1_secret_scan": secrets.query,
         "op10_mix_sources": mixing.query,
+        "op2_line_dedup": line_dedup.query,
         "op6_quality_rules": quality_rules.query,
     }
 
@@ -17,5 +18,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     """Query name to DuckDB SQL."""
     return {
+        "op2_line_dedup": line_dedup.ORACLE,
         "op10_mix_sources": mixing.ORACLE,
     }
