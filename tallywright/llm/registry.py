@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallywright.llm import line_dedup, mixing, quality_rules, secrets
+from tallywright.llm import line_dedup, mixing, packing, quality_rules, secrets
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op1_secret_scan": secrets.query,
         "op10_mix_sources": mixing.query,
         "op2_line_dedup": line_dedup.query,
+        "op3_pack_sequences": packing.query,
         "op6_quality_rules": quality_rules.query,
     }
 
