@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tallywright.llm import line_dedup, mixing, packing, quality_rules, secrets
+from tallywright.llm import language_id, line_dedup, mixing, packing, quality_rules, secrets
 
 
 def queries() -> dict:
     """Query name to a function of (spark, sf_dir)."""
     return {
         "op1_secret_scan": secrets.query,
+        "op7_language_id": language_id.query,
         "op10_mix_sources": mixing.query,
         "op2_line_dedup": line_dedup.query,
         "op3_pack_sequences": packing.query,
