@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallywright.llm import language_id, line_dedup, mixing, packing, quality_rules, secrets
+from tallywright.llm import language_id, line_dedup, mixing, packing, quality_classifier, quality_rules, secrets
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op10_mix_sources": mixing.query,
         "op2_line_dedup": line_dedup.query,
         "op3_pack_sequences": packing.query,
+        "op4_quality_classifier": quality_classifier.query,
         "op6_quality_rules": quality_rules.query,
     }
 
