@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallywright.llm import language_id, line_dedup, mixing, packing, quality_classifier, quality_rules, secrets
+from tallywright.llm import language_id, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, secrets
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
     return {
         "op1_secret_scan": secrets.query,
         "op7_language_id": language_id.query,
+        "op9_near_duplicates": near_dedup.query,
         "op10_mix_sources": mixing.query,
         "op2_line_dedup": line_dedup.query,
         "op3_pack_sequences": packing.query,
