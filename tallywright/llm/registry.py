@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallywright.llm import language_id, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, secrets
+from tallywright.llm import language_id, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, secrets, topk_search
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op1_secret_scan": secrets.query,
         "op7_language_id": language_id.query,
         "op9_near_duplicates": near_dedup.query,
+        "op8_topk_search": topk_search.query,
         "op10_mix_sources": mixing.query,
         "op2_line_dedup": line_dedup.query,
         "op3_pack_sequences": packing.query,
@@ -23,5 +24,6 @@ def oracle_sql() -> dict[str, str]:
     """Query name to DuckDB SQL."""
     return {
         "op2_line_dedup": line_dedup.ORACLE,
+        "op8_topk_search": topk_search.ORACLE,
         "op10_mix_sources": mixing.ORACLE,
     }
