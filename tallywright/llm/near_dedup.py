@@ -8,8 +8,9 @@ Two texts agree in a register with the probability Jaccard of their weighted shi
 Texts that agree in a band of registers are candidates, and a candidate pair counts if the Jaccard similarity of its
 shingle sets is 0.8 or more. Copies share a node of the graph (the digest of their words), so they are never paired.
 Within a band's bucket, members are first compared with a leader; what that joins is one component, and only members of
-different components are compared further, at last each with each, so no link is lost and a bucket of thousands of near
-copies costs about one comparison a member.
+different components are compared further, at last each with each, so no link is lost. Buckets of few members emit
+these pairs as rows; larger ones are compared as blocks, by products of incidence matrices, and emit no more links than
+join what was apart.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ LEAST = (4, 5)
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 GROUP = 1 << 22
+#: Buckets of more members are compared as blocks of about so many shingles.
+FEW = 32
+BLOCK = 400_000
 WORDS = re.compile(WORD)
 U = np.uint64
 
@@ -99,7 +103,7 @@ def grouped(sizes: list[int]) -> Iterator[tuple[int, int]]:
 
 
 def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, fp, text to doc, fp, n (distinct shingles) and bands."""
+    """doc, fp, text to doc, fp, n (distinct shingles) and bands; a shingle that stands c times weighs 1 + ln(c)."""
     hashes = WordHashes()
     for batch in batches:
         texts = batch.column("text").to_pylist()
@@ -107,7 +111,8 @@ def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = [np.unique(h, return_counts=True) for h in shingles(texts[a:b], hashes)]
             n = np.array([len(s) for s, _ in sets], np.int64)
             doc = np.repeat(np.arange(b - a), n)
-            found = probminhash(doc, np.concatenate([s for s, _ in sets]), np.concatenate([c for _, c in sets]).astype(np.float64), b - a)
+            weight = 1 + np.log(np.concatenate([c for _, c in sets]))
+            found = probminhash(doc, np.concatenate([s for s, _ in sets]), weight, b - a)
             bands = np.zeros((b - a, BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
             for k in range(ROWS):
                 bands = mixed(bands * U(0x9E3779B97F4A7C15) + found[:, k::ROWS])
@@ -168,6 +173,48 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.filter(of * shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
+def linked(block: pa.Table) -> pa.Table:
+    """fp, root, shingles of a block, or of two, to links a, b that join nodes of different roots."""
+    size = np.array([len(x) for x in block.column("shingles")])
+    values = block.column("shingles").combine_chunks().flatten().to_numpy()
+    fps, roots = block.column("fp").to_pylist(), block.column("root").to_pylist()
+    count = len(size)
+    _, place, often = np.unique(values, return_inverse=True, return_counts=True)
+    doc = np.repeat(np.arange(count), size)
+    column = np.cumsum(often > 1) - 1
+    keep = often[place] > 1
+    doc, place = doc[keep], column[place[keep]]
+    shared = np.zeros((count, count), np.float32)
+    order = np.argsort(place, kind="stable")
+    doc, place = doc[order], place[order]
+    for a in range(0, int((often > 1).sum()), 4096):
+        part = slice(*np.searchsorted(place, [a, a + 4096]))
+        held = np.zeros((count, 4096), np.float32)
+        held[doc[part], place[part] - a] = 1
+        shared += held @ held.T
+    least, of = LEAST
+    similar = of * shared >= least * (size[:, None] + size[None] - shared)
+    seen, links = np.zeros(count, bool), []
+    for start in range(count):
+        stack = [] if seen[start] else [start]
+        seen[start] = True
+        while stack:
+            k = stack.pop()
+            new = np.flatnonzero(similar[k] & ~seen)
+            seen[new] = True
+            links += [(fps[k], fps[j]) for j in new if roots[k] != roots[j]]
+            stack += new.tolist()
+    return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([x for _, x in links], pa.binary())})
+
+
+def links_of_blocks(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links within large buckets: band, fp, n, root, total (the bucket's shingles)."""
+    blocks = F.ceil(F.col("total") / BLOCK).cast("int")
+    own = open_.withColumn("i", F.pmod(F.xxhash64("fp"), blocks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    own = own.select("band", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "fp", "root").join(sets, "fp")
+    return own.groupBy("band", "i", "j").applyInArrow(lambda t: linked(t), "a binary, b binary").distinct()
+
+
 def close(n: str, m: str) -> Column:
     """The sizes allow enough similarity."""
     least, of = LEAST
@@ -217,6 +264,10 @@ def classes(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
             pairs = open_.join(other, "band").filter("root <> lead.root")
             pairs = pairs.select(F.col("fp").alias("a"), F.col("lead.fp").alias("b"), "n", F.col("lead.n").alias("m"))
         else:
+            many = open_.groupBy("band").agg(F.count("*").alias("members"), F.sum("n").alias("total"))
+            open_ = open_.join(many, "band")
+            large = links_of_blocks(open_.filter(F.col("members") > FEW), sets)
+            open_ = open_.filter(F.col("members") <= FEW)
             peers = open_.select("band", F.col("fp").alias("b"), F.col("n").alias("m"), F.col("root").alias("peer"))
             pairs = open_.select("band", F.col("fp").alias("a"), "n", "root").join(peers, "band").filter(F.col("root") < F.col("peer"))
             pairs = pairs.select("a", "b", "n", "m")
@@ -227,6 +278,8 @@ def classes(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
         pairs = written(pairs, folder, f"pairs-{step}")
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = verified(pairs, sets)
+        if step == 2:
+            links = links.unionByName(large)
         if root_of is not None:
             links = links.unionByName(root_of.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
         root_of = components(links, folder, f"components-{step}")

@@ -63,6 +63,16 @@ def test_chains_and_large_groups(spark):
     held(spark.createDataFrame([(d, t, "en", "s", 1) for d, t in docs], DOCS))
 
 
+def test_blocks_of_large_buckets(spark, monkeypatch):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(9000)]
+    base = [rng.choice(words) for _ in range(120)]
+    docs = [(i, " ".join(rng.choice(words) if rng.random() < 0.035 else w for w in base)) for i in range(160)]
+    monkeypatch.setattr(nd, "FEW", 4)
+    monkeypatch.setattr(nd, "BLOCK", 4000)
+    held(spark.createDataFrame([(d, t, "en", "s", 1) for d, t in docs], DOCS))
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(5)
     wa, wb = rng.integers(1, 9, 40).astype(float), rng.integers(1, 9, 40).astype(float)
