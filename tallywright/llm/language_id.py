@@ -24,8 +24,9 @@ from tallywright.llm.common import id_crc, table
 DIMS = 1024
 SEED = 7
 BITS = 6
-#: Texts are worked on in groups of about so many characters.
+#: Texts are worked on in groups of about so many characters, and no more than so many texts.
 GROUP = 1 << 20
+GROUP_TEXTS = 512
 #: Rows of trigram vectors that a worker keeps; beyond them they are made anew.
 KEPT = 1 << 15
 UNKNOWN = "und"
@@ -55,12 +56,15 @@ def trigram_vectors(trigrams: np.ndarray, dims: int) -> np.ndarray:
     return first[trigrams >> 2 * BITS] * second[trigrams >> BITS & 63] * v[trigrams & 63]
 
 
-def counted(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
-    """For each text its place, its trigrams and their counts, and whether it has a letter; runs of other characters are one space."""
+def counted(texts: list[str | None]) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each group of texts its slice, and by text in the group: text, trigram and count; and whether each text has a letter.
+
+    Runs of other characters are one space.
+    """
     codes, start = letter_codes(), 0
     while start < len(texts):
         end, size = start, 0
-        while end < len(texts) and (end == start or size + len(texts[end] or "") < GROUP):
+        while end < len(texts) and end < start + GROUP_TEXTS and (end == start or size + len(texts[end] or "") < GROUP):
             size += len(texts[end] or "")
             end += 1
         lows = [(t or "").lower() for t in texts[start:end]]
@@ -76,10 +80,7 @@ def counted(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarr
         edge = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1]))) if len(both) else np.zeros(0, np.int64)
         number = np.diff(np.append(edge, len(both)))
         values = both[edge]
-        cut = np.searchsorted(values >> 3 * BITS, np.arange(end - start + 1))
-        for k in range(end - start):
-            part = slice(cut[k], cut[k + 1])
-            yield start + k, values[part] & ((1 << 3 * BITS) - 1), number[part], bool(has[k])
+        yield slice(start, end), values >> 3 * BITS, values & ((1 << 3 * BITS) - 1), number, has
         start = end
 
 
@@ -88,10 +89,12 @@ def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     sums: dict[str, np.ndarray] = {}
     for batch in batches:
         langs = batch.column("lang").to_pylist()
-        for k, trigrams, counts, _ in counted(batch.column("text").to_pylist()):
-            if langs[k] not in sums:
-                sums[langs[k]] = np.zeros(1 << 3 * BITS, np.int64)
-            sums[langs[k]][trigrams] += counts
+        for part, text, trigrams, counts, _ in counted(batch.column("text").to_pylist()):
+            own = np.array(langs[part], dtype=object)[text]
+            for lang in set(langs[part]):
+                mine = own == lang
+                total = sums.setdefault(lang, np.zeros(1 << 3 * BITS, np.int64))
+                total += np.bincount(trigrams[mine], weights=counts[mine], minlength=1 << 3 * BITS).astype(np.int64)
     for lang, total in sums.items():
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(found), pa.string()), "trigram": pa.array(found, pa.int64()), "n": pa.array(total[found])})
@@ -147,13 +150,18 @@ def predictor(names: list[str], prototypes: np.ndarray):
         for batch in batches:
             texts = batch.column("text").to_pylist()
             lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            for k, trigrams, counts, has in counted(texts):
-                if not has or not names:
-                    continue
-                vector = counts.astype(np.float32) @ vectors.of(trigrams)
-                cosines = protos @ vector / max(float(np.linalg.norm(vector)), 1e-12)
-                best = int(np.argmax(cosines))
-                lang[k], score[k] = names[best], min(1.0, max(0.0, float(cosines[best])))
+            for part, text, trigrams, counts, has in counted(texts):
+                if not names:
+                    break
+                found, column = np.unique(trigrams, return_inverse=True)
+                bag = np.zeros((part.stop - part.start, len(found)), np.float32)
+                bag[text, column] = counts
+                bundled = bag @ vectors.of(found)
+                cosines = bundled @ protos.T / np.maximum(np.linalg.norm(bundled, axis=1, keepdims=True), 1e-12)
+                best = cosines.argmax(axis=1)
+                for k in np.flatnonzero(has):
+                    lang[part.start + k] = names[best[k]]
+                    score[part.start + k] = min(1.0, max(0.0, float(cosines[k, best[k]])))
             rest = {n: batch.column(n) for n in batch.schema.names if n != "text"}
             yield pa.RecordBatch.from_pydict(rest | {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score)})
 

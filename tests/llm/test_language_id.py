@@ -20,7 +20,10 @@ def test_held_out_accuracy(spark):
 def test_counts_and_vectors_are_the_plain_ones():
     texts = ["Hé, wie GEHT's?", "", None, "...", "aaaa", "x" * 5000 + " ÿ"]
     codes = lid.letter_codes()
-    for k, trigrams, counts, has in lid.counted(texts):
+    (part, text, trigrams_, counts_, has_), = lid.counted(texts)
+    assert part == slice(0, len(texts))
+    for k, has in enumerate(has_):
+        trigrams, counts = trigrams_[text == k], counts_[text == k]
         line = [0]
         for c in (texts[k] or "").lower() + " ":
             if codes[ord(c)] or line[-1]:
