@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from tallywright.plans import metric_queries, stat_queries, table_queries
+
+_PARTS = (metric_queries, table_queries, stat_queries)
+
 
 def queries() -> dict:
     """Query name to a function of (spark, sf_dir)."""
-    return {}
+    return {name: run for part in _PARTS for name, run in part.Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """Query name to DuckDB SQL."""
-    return {}
+    return {name: sql for part in _PARTS for name, sql in part.S.items()}
