@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallywright.llm import language_id, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, secrets, topk_search
+from tallywright.llm import language_id, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, secrets, span_dedup, topk_search
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op2_line_dedup": line_dedup.query,
         "op3_pack_sequences": packing.query,
         "op4_quality_classifier": quality_classifier.query,
+        "op5_suffix_dedup": span_dedup.query,
         "op6_quality_rules": quality_rules.query,
     }
 
