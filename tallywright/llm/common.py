@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -40,6 +42,22 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, folder: str, *names: str) -> None:
+    """Deletes tables of the shared folder that no frame reads any more, through the folder's own file system."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for name in names:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        path.getFileSystem(conf).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that nothing refers to any more; its cleaner works beside this."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value evaluated once, also where body uses it within a lambda."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import BLANKS, LAST_ID, shared_folder, table, written
+from tallywright.llm.common import BLANKS, LAST_ID, discard, release, shared_folder, table, written
 
 #: Fixed value: shorter keys are never dropped.
 LEAST = 10
@@ -51,18 +51,17 @@ def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drops the lines whose hashes stand in lost, and keeps the other columns."""
+    """row, lost to row and what stays of its text without the lines whose hashes stand in lost."""
     for batch in batches:
         kept, lines, dropped = [], [], []
-        for text, lost in zip(batch.column("text"), batch.column("lost"), strict=True):
+        for text, lost in zip(batch.column("row").field("text"), batch.column("lost"), strict=True):
             gone = {a.to_bytes(8, "little", signed=True) + b.to_bytes(8, "little", signed=True) for x in lost.as_py() or () for a, b in [(x["h1"], x["h2"])]}
             pairs = list(keys(text.as_py()))
             stay = [line for line, h in pairs if h not in gone] if gone else [line for line, _ in pairs]
             kept.append(b"\n".join(stay).decode())
             lines.append(len(pairs))
             dropped.append(len(pairs) - len(stay))
-        rest = {n: batch.column(n) for n in batch.schema.names if n not in ("text", "lost")}
-        yield pa.RecordBatch.from_pydict(rest | {"kept": pa.array(kept, pa.string()), "n_lines": pa.array(lines, pa.int64()), "n_dropped": pa.array(dropped, pa.int64())})
+        yield pa.RecordBatch.from_pydict({"row": batch.column("row"), "kept": pa.array(kept, pa.string()), "n_lines": pa.array(lines, pa.int64()), "n_dropped": pa.array(dropped, pa.int64())})
 
 
 class Runs:
@@ -94,13 +93,16 @@ class Runs:
                 merged = merged.unionByName(self.spark.table(name))
             self._write(merged, level + 1)
             self.held = [(lv, n) for lv, n in self.held if n not in full]
-            for name in full:
-                self.spark.sql(f"DROP TABLE {name}")
+            self._drop(*full)
             level += 1
 
-    def close(self) -> None:
-        for _, name in self.held:
+    def _drop(self, *names: str) -> None:
+        for name in names:
             self.spark.sql(f"DROP TABLE {name}")
+            discard(self.spark, self.folder, f"runs/{name}")
+
+    def close(self) -> None:
+        self._drop(*[name for _, name in self.held])
         self.held = []
 
 
@@ -128,10 +130,14 @@ def dedup_lines(docs: DataFrame, batches: int = 4, fanout: int = 2) -> DataFrame
         gone = written(own.join(owners, [*HASHES, "doc"], "left_anti"), folder, f"lost-{n}")
         lost = gone if lost is None else lost.unionByName(gone)
         runs.add(owners)
+        discard(spark, folder, f"owners-{n}")
     runs.close()
+    discard(spark, folder, "lines")
+    del own, owners, lines
+    release(spark)
     lost = lost.groupBy("doc").agg(F.collect_list(F.struct(*HASHES)).alias("lost")).withColumnRenamed("doc", "lost_doc")
-    rows = docs.select(F.struct("*").alias("row"), doc.alias("doc"), "text")
-    rows = rows.join(lost.hint("shuffle_hash"), F.col("doc") == F.col("lost_doc"), "left").select("row", "text", "lost")
+    rows = docs.select(F.struct("*").alias("row"), doc.alias("doc"))
+    rows = rows.join(lost.hint("shuffle_hash"), F.col("doc") == F.col("lost_doc"), "left").select("row", "lost")
     out = rows.select("row").schema.simpleString().removeprefix("struct<row:")[:-1]
     return rows.mapInArrow(cleaned, f"row {out}, kept string, n_lines bigint, n_dropped bigint")
 
