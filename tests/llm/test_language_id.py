@@ -2,7 +2,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
-from conftest import DOCS
+from llm_helpers import DOCS
 
 from tallywright.llm import language_id as lid
 

@@ -1,6 +1,6 @@
 import pytest
-from conftest import rows
-from oracle import same
+from llm_helpers import rows
+from llm_oracle import same
 
 from tallywright.llm import line_dedup
 

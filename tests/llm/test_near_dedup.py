@@ -2,7 +2,7 @@ import random
 import re
 
 import numpy as np
-from conftest import DOCS, rows
+from llm_helpers import DOCS, rows
 
 from tallywright.llm import near_dedup as nd
 

@@ -6,7 +6,7 @@ import pytest
 import test_line_dedup
 import test_near_dedup
 import test_packing
-from conftest import DOCS
+from llm_helpers import DOCS
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 

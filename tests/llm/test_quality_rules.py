@@ -1,7 +1,7 @@
 import re
 from collections import Counter
 
-from conftest import rows
+from llm_helpers import rows
 
 from tallywright.llm.quality_rules import quality_rules
 

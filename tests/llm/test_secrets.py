@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-from conftest import DOCS, rows
+from llm_helpers import DOCS, rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

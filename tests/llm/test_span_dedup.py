@@ -2,7 +2,7 @@ import hashlib
 import random
 
 import pytest
-from conftest import rows
+from llm_helpers import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

@@ -2,10 +2,10 @@ import math
 
 import numpy as np
 import pytest
-from conftest import rows
+from llm_helpers import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from oracle import same
+from llm_oracle import same
 
 from tallywright.llm import topk_search as ts
 
