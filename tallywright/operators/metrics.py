@@ -13,25 +13,38 @@ from pyspark.sql import functions as F
 BUCKETS = 32
 
 
-def auc(df: DataFrame, keys: list[str], score: str = "score", y: str = "y", weight: Column | None = None, single: bool = False, buckets: int = BUCKETS) -> DataFrame:
-    """ROC-AUC with ties as halves for each key: keys, auc (NULL if a class is absent), pos, neg.
-
-    Rows without a score don't count. weight: row multiplicities, as a bootstrap draw gives them. single: scores are
-    compared as 32-bit floats.
-    """
+def counted(df: DataFrame, keys: list[str], score: str = "score", y: str = "y", weight: Column | None = None, single: bool = False) -> DataFrame:
+    """The weight of positives and negatives at each score, missing ones too: keys, _s, _p, _n."""
     w = F.lit(1).cast("bigint") if weight is None else weight
     s = F.col(score).cast("float") if single else F.col(score)
-    counts = df.filter(F.col(score).isNotNull()).select(*keys, s.alias("_s"), (w * F.col(y)).alias("_p"), (w * (1 - F.col(y))).alias("_n"))
-    counts = counts.groupBy(*keys, "_s").agg(F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = df.select(*keys, s.alias("_s"), (w * F.col(y)).alias("_p"), (w * (1 - F.col(y))).alias("_n"))
+    return rows.groupBy(*keys, "_s").agg(F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
+
+
+def auc_of_counts(counts: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """keys, auc, pos, neg and missing (the weight of rows without a score) of counts with one row for each key and score."""
+    there = F.col("_s").isNotNull()
+    zero = F.lit(0)
+    known = lambda c: F.when(there, F.col(c)).otherwise(zero)
+    counts = counts.withColumns({"_p": known("_p"), "_n": known("_n"), "_m": F.when(there, zero).otherwise(F.col("_p") + F.col("_n"))})
     counts = counts.withColumn("_b", F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_s").cast("double"))) * buckets))
+    below = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), zero)
     wins = counts.withColumn("_w", F.col("_p") * (below + 0.5 * F.col("_n")))
-    parts = wins.groupBy(*keys, "_b").agg(F.sum("_w").alias("_w"), F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
-    earlier = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = wins.groupBy(*keys, "_b").agg(*[F.sum(c).alias(c) for c in ("_w", "_p", "_n", "_m")])
+    earlier = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), zero)
     parts = parts.withColumn("_w", F.col("_w") + F.col("_p") * earlier)
-    total = parts.groupBy(*keys).agg(F.sum("_w").alias("_w"), F.sum("_p").alias("pos"), F.sum("_n").alias("neg"))
+    total = parts.groupBy(*keys).agg(F.sum("_w").alias("_w"), F.sum("_p").alias("pos"), F.sum("_n").alias("neg"), F.sum("_m").alias("missing"))
     ratio = F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("_w") / (F.col("pos").cast("double") * F.col("neg")))
-    return total.select(*keys, ratio.alias("auc"), "pos", "neg")
+    return total.select(*keys, ratio.alias("auc"), "pos", "neg", "missing")
+
+
+def auc(df: DataFrame, keys: list[str], score: str = "score", y: str = "y", weight: Column | None = None, single: bool = False, buckets: int = BUCKETS) -> DataFrame:
+    """ROC-AUC with ties as halves for each key: keys, auc (NULL if a class is absent), pos, neg.
+
+    Rows without a score don't count. weight: row multiplicities, as a bootstrap draw gives them. single: scores are
+    compared as 32-bit floats.
+    """
+    return auc_of_counts(counted(df.filter(F.col(score).isNotNull()), keys, score, y, weight, single), keys, buckets).drop("missing")
 
 
 def rank_auc(df: DataFrame, keys: list[str], score: str = "score", y: str = "y") -> DataFrame:

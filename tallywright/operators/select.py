@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywright.operators.metrics import auc, evaluable
+from tallywright.operators.metrics import auc_of_counts, counted
 
 
 def other_folds(df: DataFrame, folds: DataFrame | None = None) -> DataFrame:
@@ -30,14 +30,16 @@ def selection(df: DataFrame, keys: tuple[str, ...] = (), min_pos: int = 1, polic
     policy: "kill" gives a candidate no AUC if any of its scores there is missing; "pairwise" leaves rows out on which
     any candidate's score is missing.
     """
-    rows = other_folds(df)
+    by = [*keys, "outer_fold", "class_id", "model", "ord"]
     if policy == "pairwise":
+        rows = other_folds(df)
         full = rows.groupBy(*keys, "outer_fold", "row_id", "class_id").agg((F.count("*") == F.count("score")).alias("_ok"))
-        rows = rows.join(full.filter("_ok").drop("_ok"), [*keys, "outer_fold", "row_id", "class_id"], "left_semi")
-    by = [*keys, "outer_fold", "class_id", "model", "ord"]
-    whole = rows.groupBy(*by).agg((F.count("*") == F.count("score")).alias("_full"))
-    found = whole.join(auc(rows, by, single=True, buckets=8), by, "left")
-    fit = F.col("_full") & (F.col("pos") >= min_pos)
+        counts = counted(rows.join(full.filter("_ok").drop("_ok"), [*keys, "outer_fold", "row_id", "class_id"], "left_semi"), by, single=True)
+    else:  # counts first, so that equal scores and not rows are repeated for each outer fold
+        own = counted(df, [*keys, "fold", "class_id", "model", "ord"], single=True)
+        counts = other_folds(own, df.select("fold").distinct()).groupBy(*by, "_s").agg(F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
+    found = auc_of_counts(counts, by, buckets=8)
+    fit = (F.col("missing") == 0) & (F.col("pos") >= min_pos)
     return found.select(*by, F.when(fit, F.col("auc")).alias("auc"), "pos")
 
 
@@ -56,9 +58,8 @@ def heldout(df: DataFrame, keys: tuple[str, ...] = (), **policy) -> tuple[DataFr
 def in_sample(df: DataFrame, keys: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """The apparent oracle, chosen on all rows; classes that no candidate can be scored on have no scores."""
     by = [*keys, "class_id", "model", "ord"]
-    whole = df.groupBy(*by).agg((F.count("*") == F.count("score")).alias("_full"))
-    found = whole.join(auc(df, by, single=True), by, "left").filter("_full and auc is not null")
-    choice = best(found.drop("_full"), [*keys, "class_id"])
+    found = auc_of_counts(counted(df, by, single=True), by).filter("missing = 0 and auc is not null")
+    choice = best(found, [*keys, "class_id"])
     picked = df.join(choice.select(*keys, "class_id", "model"), [*keys, "class_id", "model"])
     return picked.withColumns({"model": F.lit("oracle_in"), "ord": F.lit(-1)}).select(*df.columns), choice
 
@@ -88,16 +89,16 @@ def nested_base(shards: DataFrame) -> DataFrame:
 def nested_choice(selecting: DataFrame) -> DataFrame:
     """The choice by outer fold and class from scores that are keyed by outer fold already."""
     by = ["outer_fold", "class_id", "model", "ord"]
-    whole = selecting.groupBy(*by).agg((F.count("*") == F.count("score")).alias("_full"))
-    found = whole.join(auc(selecting, by, single=True), by, "left")
-    return best(found.withColumn("auc", F.when(F.col("_full"), F.col("auc"))), ["outer_fold", "class_id"])
+    found = auc_of_counts(counted(selecting, by, single=True), by)
+    return best(found.withColumn("auc", F.when(F.col("missing") == 0, F.col("auc"))), ["outer_fold", "class_id"])
 
 
 def headroom(df: DataFrame, oracle: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Macro AUC of every model and the oracle on the classes common to all, and the oracle's lead over the best."""
-    every = df.unionByName(oracle)
-    mask = evaluable(every, keys=keys)
-    per = auc(every.join(F.broadcast(mask), [*keys, "class_id"], "left_semi"), [*keys, "model", "class_id"])
+    by = [*keys, "model", "class_id"]
+    per = auc_of_counts(counted(df.unionByName(oracle), by), by)
+    common = F.bool_and(F.col("auc").isNotNull() & (F.col("missing") == 0)).over(Window.partitionBy(*keys, "class_id"))
+    per = per.withColumn("_ok", common).filter("_ok")
     macro = per.groupBy(*keys, "model").agg(F.avg("auc").alias("macro"), F.count("auc").alias("classes"))
     single = ~F.col("model").isin("oracle", "oracle_in", "mean", "fusion")
     lead = macro.groupBy(*keys).agg(
