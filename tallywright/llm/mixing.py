@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import bits_for, shared_folder, table, word_count, written
+from tallywright.llm.common import shared_folder, table, word_count, written
 
 #: 2**31 divided by the golden ratio, the step of the points; the product of two such numbers fits a long.
 POINTS = 1 << 31
@@ -22,7 +22,8 @@ STEP = 1327217885
 #: The unit interval is cut into cells so that points find their source by an equality join.
 CELLS = 4096
 CHUNK = 4096
-PER_BUCKET = 4096
+PER_BUCKET = 1024
+BITS = 20
 
 
 def source_targets(sizes: DataFrame, weights=(5, 2, 1), most: int = 3) -> DataFrame:
@@ -53,15 +54,17 @@ def sized(docs: DataFrame, seed: str, whole: bool = False) -> DataFrame:
     return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), *row)
 
 
-def streams(rows: DataFrame, targets: DataFrame, total: int) -> DataFrame:
+def streams(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """Places every row in its source's stream: adds src, source_size, target, words and start, the words before it.
 
-    total: the number of rows. The order is by key, then doc_id and size; rows equal in all three are alike.
+    The order is by key, then doc_id and size; rows equal in all three are alike. A source has as many buckets as leave
+    about PER_BUCKET rows in each, so that the buckets of all sources are about as large.
     """
-    bits = bits_for(total, PER_BUCKET)
-    bucket = F.shiftright(F.conv(F.substring("key", 1, 5), 16, 10).cast("int"), 20 - bits)
-    known = targets.withColumnRenamed("source", "known_source").drop("weight", "source_rows")
-    rows = rows.join(known, F.col("source").eqNullSafe(F.col("known_source"))).drop("known_source").withColumn("bucket", bucket)
+    bits = F.least(F.lit(BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.col("source_rows") / PER_BUCKET)))).cast("int")
+    code = F.conv(F.substring("key", 1, 5), 16, 10).cast("int")
+    known = targets.withColumnRenamed("source", "known_source").withColumn("bits", bits).drop("weight", "source_rows")
+    rows = rows.join(known, F.col("source").eqNullSafe(F.col("known_source"))).withColumn("code", code)
+    rows = rows.withColumn("bucket", F.expr(f"shiftright(code, {BITS} - bits)")).drop("known_source", "bits", "code")
     earlier = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy("src", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("src", "bucket").agg(F.sum("size").alias("sum"))
@@ -132,8 +135,7 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), most: int = 3, block: int =
     folder = shared_folder(docs.sparkSession)
     rows = written(sized(docs, seed), folder, "sizes")
     targets = written(source_targets(rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")), weights, most), folder, "targets")
-    total = targets.agg(F.sum("source_rows")).first()[0] or 0
-    placed = streams(rows, targets, total)
+    placed = streams(rows, targets)
     slots = written(schedule(targets, block), folder, "slots")
     pieces = blocks(placed.filter("size > 0"), block, most)
     hit = slots.select(F.col("src").alias("slot_src"), F.col("rank").alias("slot_rank"), "slot")
@@ -152,8 +154,7 @@ def mixed_documents(docs: DataFrame, weights=(5, 2, 1), most: int = 3, block: in
     are not in it. Extra columns stay, whatever their names.
     """
     mix = mix_sources(docs, weights, most, block, seed)
-    total = mix["targets"].agg(F.sum("source_rows")).first()[0] or 0
-    placed = streams(sized(docs, seed, whole=True), mix["targets"], total).filter("size > 0").select("src", "start", "row")
+    placed = streams(sized(docs, seed, whole=True), mix["targets"]).filter("size > 0").select("src", "start", "row")
     times = mix["taken"].filter("size > 0").select("src", "start", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("times"))
     found = placed.join(times.filter("times > 0"), ["src", "start"])
     return found.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
