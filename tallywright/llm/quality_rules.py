@@ -148,3 +148,39 @@ def query(spark, sf_dir) -> DataFrame:
     """Query op6: the rules over all documents."""
     return quality_rules(table(spark, sf_dir, "documents")).drop("cleaned")
 
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+win AS (
+  SELECT rid, i, array_to_string(words[i:i + 7], ' ') AS w
+  FROM (SELECT rid, words, unnest(range(1, len(words) - 6)) AS i FROM d WHERE len(words) >= 8)),
+often AS (SELECT rid, w FROM win GROUP BY rid, w HAVING count(*) > 1),
+cover AS (SELECT rid, count(DISTINCT j) AS n_repeat_words FROM (SELECT rid, unnest(range(i, i + 8)) AS j FROM win SEMI JOIN often USING (rid, w)) GROUP BY rid),
+lines AS (SELECT rid, line, trim(line, E' \t\n\x0b\f\r') AS t FROM (SELECT rid, unnest(string_split(text, E'\n')) AS line FROM d)),
+judged AS (
+  SELECT rid, line,
+         length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS solid,
+         t <> '' AND (
+           length(t) - length(translate(t, '|»›•', '')) >= 3
+           OR regexp_matches(lower(t), '{boilerplate}')
+           OR 20 * (length(t) - length(translate(t, '#*$%&|<>!', ''))) > length(t)
+           OR (length(regexp_replace(t, '[^\p{{L}}]+', '', 'g')) >= 20
+               AND 10 * length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) > 7 * length(regexp_replace(t, '[^\p{{L}}]+', '', 'g')))
+           OR (len(string_split_regex(t, '[\x20\x09-\x0D]+')) < 4 AND NOT regexp_matches(t, '[.!?…:;,"''”»)\]]$'))) AS bad
+  FROM lines),
+lost AS (
+  SELECT rid, CAST(coalesce(sum(solid) FILTER (WHERE bad), 0) AS BIGINT) AS lost_chars, CAST(sum(solid) AS BIGINT) AS word_chars,
+         count(*) FILTER (WHERE solid > 0) - count(DISTINCT line) FILTER (WHERE solid > 0) AS n_dup_lines
+  FROM judged GROUP BY rid),
+c AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, word_chars,
+         CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words, lost_chars
+  FROM d JOIN lost USING (rid) LEFT JOIN cover USING (rid))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND lost_chars <= 0.5 * word_chars AS kept
+FROM c
+""".format(boilerplate="|".join(BOILERPLATE))

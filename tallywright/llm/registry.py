@@ -24,6 +24,8 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     """Query name to DuckDB SQL."""
     return {
+        "op1_secret_scan": secrets.oracle(),
+        "op6_quality_rules": quality_rules.ORACLE,
         "op2_line_dedup": line_dedup.ORACLE,
         "op8_topk_search": topk_search.ORACLE,
         "op10_mix_sources": mixing.ORACLE,

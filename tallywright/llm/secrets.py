@@ -42,12 +42,12 @@ BASE = (
 #: Further kinds.
 MORE = (
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("code_host", r"\bgh[pousr]_[A-Za-z0-9]{36,}"),
-    Rule("chat", r"\bxox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("payment", r"\b[sr]k_live_[0-9A-Za-z]{16,}"),
-    Rule("map_key", r"\bAIza[0-9A-Za-z_-]{35}"),
-    Rule("web_token", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
-    Rule("login_url", r"[a-z]{3,8}://[^/\s:@]{1,64}:[^/\s:@]{3,64}@"),
+    Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("payment", r"[sr]k_live_[0-9A-Za-z]{16,}"),
+    Rule("map_key", r"AIza[0-9A-Za-z_-]{35}"),
+    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
+    Rule("login_url", r"[a-z]{3,8}://[^/\x20\x09-\x0D:@]{1,64}:[^/\x20\x09-\x0D:@]{3,64}@"),
 )
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
@@ -136,14 +136,6 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> Data
     return rows.select("doc_id", F.sort_array(F.concat(*each)).alias("found"))
 
 
-def redacted(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
-    """doc_id and the text with the matches of all rules replaced by their kind in brackets."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    for r in rules:
-        text = F.regexp_replace(text, r.pattern if not r.least else r.pattern[:-1] + "{%d,}" % r.least if r.pattern.endswith("+") else r.pattern, f"[{r.kind}]")
-    return docs.select("doc_id", text.alias("text"))
-
-
 def query(spark, sf_dir) -> DataFrame:
     """Query op1: counts and digests of the spans of all documents."""
     rules = BASE + MORE
@@ -159,3 +151,27 @@ def query(spark, sf_dir) -> DataFrame:
         F.sha2(told(base, kinds).cast("binary"), 256).alias("base_sha256"),
         told(F.col("found"), kinds).alias("spans"),
     )
+
+
+def oracle(rules: tuple[Rule, ...] = BASE + MORE) -> str:
+    """DuckDB SQL of the query."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    parts = [
+        f"SELECT rid, {n} AS n, '{r.kind}' AS kind, regexp_extract_all(text, {quoted(r.pattern)}) AS m, regexp_extract_all(text, {quoted(r.pattern)}, {r.group}) AS g, "
+        f"string_split_regex(text, {quoted(r.pattern)}) AS s, {r.least} AS least FROM d"
+        for n, r in enumerate(rules)
+    ]
+    told = "coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, n){}, '')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({" UNION ALL ".join(parts)}),
+each_ AS (SELECT rid, n, kind, least, m, g, s, unnest(range(1, len(m) + 1)) AS i FROM found),
+spans AS (
+  SELECT rid, n, kind, length(m[i]) AS size,
+         list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS start
+  FROM each_ WHERE length(g[i]) >= least),
+k AS (SELECT rid, n, kind, CAST(start AS BIGINT) AS a, CAST(start + size AS BIGINT) AS b FROM spans)
+SELECT doc_id, CAST(coalesce(sum(CASE WHEN n = 0 THEN 1 END), 0) AS BIGINT) AS n_assign, CAST(coalesce(sum(CASE WHEN n = 1 THEN 1 END), 0) AS BIGINT) AS n_access, CAST(coalesce(sum(CASE WHEN n = 2 THEN 1 END), 0) AS BIGINT) AS n_hex,
+       sha256({told.format(" FILTER (WHERE n < 3)")}) AS base_sha256, {told.format("")} AS spans
+FROM d LEFT JOIN k USING (rid) GROUP BY rid, doc_id
+"""

@@ -3,7 +3,9 @@ from collections import Counter
 
 from llm_helpers import rows
 
-from tallywright.llm.quality_rules import quality_rules
+from llm_oracle import same
+
+from tallywright.llm.quality_rules import ORACLE, quality_rules, query
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -29,6 +31,10 @@ def test_base_counts_of_whole_tables(small):
     held(small)
 
 
+def test_same_as_sql(spark):
+    assert same(spark, query, ORACLE, "/root/testdata/sf0.01") > 0
+
+
 def test_edges(edge, empty, clashing):
     held(edge)
     held(clashing)

@@ -4,6 +4,7 @@ import re
 from llm_helpers import DOCS, rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from llm_oracle import same
 
 from tallywright.llm import secrets
 from tallywright.llm.trigrams import ANY, trigram_query
@@ -38,6 +39,10 @@ def test_whole_table(spark, small, monkeypatch):
     assert held(spark, docs, monkeypatch).filter("n_assign > 0").count() > 0
 
 
+def test_same_as_sql(spark):
+    assert same(spark, secrets.query, secrets.oracle(), "/root/testdata/sf0.01") > 0
+
+
 def test_edges(spark, edge, empty, clashing, monkeypatch):
     held(spark, edge, monkeypatch)
     held(spark, clashing, monkeypatch)
