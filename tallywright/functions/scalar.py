@@ -5,9 +5,10 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType, pandas_udf
+from pyspark.sql.functions import pandas_udf
 
 #: 95 % of the standard normal lies below; one-sided tests and 90 % intervals use it.
 Z95 = 1.6448536269514722
@@ -84,28 +85,28 @@ def l2(a: Column) -> Column:
 def normal_upper(z: Column | str) -> Column:
     """P(Z > z), by erfc, so that small tails keep their digits. Spark has no erf, so this is an Arrow UDF."""
 
-    def tail(z):
+    def tail(z: pd.Series) -> pd.Series:
         return z.map(lambda x: None if x is None or x != x else 0.5 * math.erfc(x / math.sqrt(2)))
 
-    return pandas_udf(tail, "double", PandasUDFType.SCALAR)(z)
+    return pandas_udf(tail, "double")(z)
 
 
 def normal_ppf(p: Column | str) -> Column:
     """The z below which a share p of the standard normal lies."""
 
-    def quantile(p):
+    def quantile(p: pd.Series) -> pd.Series:
         return p.map(lambda x: NormalDist().inv_cdf(x) if x is not None and 0 < x < 1 else None)
 
-    return pandas_udf(quantile, "double", PandasUDFType.SCALAR)(p)
+    return pandas_udf(quantile, "double")(p)
 
 
 def half(x: Column | str) -> Column:
     """The value as 16-bit float and back."""
 
-    def narrow(x):
+    def narrow(x: pd.Series) -> pd.Series:
         return x.astype("float16").astype("float64")
 
-    return pandas_udf(narrow, "double", PandasUDFType.SCALAR)(x)
+    return pandas_udf(narrow, "double")(x)
 
 
 def hash_draw(*parts) -> Column:
