@@ -4,21 +4,21 @@ Two equal windows of 50 bytes hold the same 20-byte anchor, the one of their 31
 So the corpus is dealt by anchors:
 
 1. Anchors of all documents are sorted by hash; those that two documents share go back to their documents.
-2. Each document gives, for each shared anchor, its context: the anchor with 30 bytes to either side, which holds every
-   window around the anchor. Contexts are sorted by anchor, bytes and document.
+2. Each document gives, for each shared anchor, its context: the bytes of the windows that have this anchor, at most 80.
+   Contexts are sorted by anchor, bytes and document.
 3. In a stream over the sorted contexts, an equal context of a smaller document covers a context whole. What is left is
    each anchor's different contexts, each with its smallest document. They are sorted by suffix arrays in blocks: equal
-   windows are neighbours, and a window goes where a smaller document has it. A context that shares neither its 15 bytes
-   to the left nor to the right of the anchor with another one of its anchor can't share a window, and is left out.
+   windows are neighbours, and a window goes where a smaller document has it. A shared window reaches l bytes to the left
+   of the anchor and 30 - l to the right; a context that shares no such part with another one of its anchor, for l in
+   steps of 5, can't share a window and is left out.
 4. Each document's covered ranges are united and cut out.
 
-Memory: a stream holds one anchor's different contexts; if these exceed BLOCK bytes they are split by the 15 bytes to
-either side. Every step is a table or a shuffle, so lost executors cost their tasks alone.
+Memory: a stream holds one anchor's different contexts; if these exceed BLOCK bytes they are compared part by part, cut
+to the few bytes around each part, where most of them are equal. Every step is a table or a shuffle, so lost executors cost their tasks alone.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import LAST_ID, shared_folder, table, written
+from tallywright.llm.common import LAST_ID, discard, release, shared_folder, table, written
 from tallywright.llm.suffix_array import equal_windows
 
 #: Fixed value: the length of the strings that are matched.
 WIDTH = 50
 ANCHOR = 20
 SIDE = WIDTH - ANCHOR
-HALF = SIDE // 2
+STEP = 5
 GROUP = 1 << 18
 BLOCK = 1 << 14
 U = np.uint64
@@ -55,25 +55,37 @@ def least_of(x: np.ndarray, width: int, pick=np.minimum) -> np.ndarray:
     return pick(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
 
 
-def anchors(data: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places and hashes of the anchors of documents that lie end to end; doc numbers each byte's document."""
-    n = len(data)
+def anchors(data: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of neighbouring windows with the same anchor: first and last window, the anchor's place and hash.
+
+    The documents lie end to end; doc numbers each byte's document. A run has at most 31 windows: longer ones, which only
+    repeating text has, are cut.
+    """
+    n, none = len(data), np.zeros(0, np.int64)
     if n < WIDTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return none, none, none, none.astype(np.uint64)
     h, have = data.astype(np.uint64) + U(1), 1
     part = {1: h}
     while have < 16:
         h = h[:-have] * U(pow(P, have, 1 << 64)) + h[have:]
         have *= 2
         part[have] = h
-    h = part[16][: n - ANCHOR + 1] * U(pow(P, 4, 1 << 64)) + part[4][16:]
-    h = mixed(h)
+    h = mixed(part[16][: n - ANCHOR + 1] * U(pow(P, 4, 1 << 64)) + part[4][16:])
     low = least_of(h, SIDE + 1)
     low[doc[: n - WIDTH + 1] != doc[WIDTH - 1 :]] = 0
-    pad = np.zeros(SIDE, np.uint64)
-    high = least_of(np.concatenate([pad, low, pad]), SIDE + 1, np.maximum)
-    at = np.flatnonzero((high == h) & (high > 0))
-    return at, h[at]
+    first = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
+    last = np.append(first[1:], len(low)) - 1
+    keep = low[first] > 0
+    first, last = first[keep], last[keep]
+    while (long := last - first > SIDE).any():
+        rest = first[long] + SIDE + 1
+        first, last = np.concatenate([first, rest]), np.concatenate([np.where(long, first + SIDE, last), last[long]])
+        order = np.argsort(first, kind="stable")
+        first, last = first[order], last[order]
+    value, at = low[first], first.copy()
+    while len(miss := np.flatnonzero(h[at] != value)):
+        at[miss] += 1
+    return first, last, at, value
 
 
 def grouped(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -99,9 +111,9 @@ def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("doc").to_numpy()
         for start, data, doc, _ in grouped(encoded(batch.column("text"))):
-            at, h = anchors(data, doc)
-            if len(at):
-                own = doc[at]
+            first, _, _, h = anchors(data, doc)
+            if len(first):
+                own = doc[first]
                 order = np.lexsort((h, own))
                 h, own = h[order], own[order]
                 new = np.concatenate(([True], (h[1:] != h[:-1]) | (own[1:] != own[:-1])))
@@ -145,16 +157,14 @@ def context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = batch.column("shared")
         offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
         for start, data, doc, begin in grouped(texts):
-            at, h = anchors(data, doc)
-            own, keep = doc[at], np.zeros(len(at), bool)
+            first, last, at, h = anchors(data, doc)
+            own, keep = doc[first], np.zeros(len(first), bool)
             cuts = np.searchsorted(own, np.arange(len(begin)))
             for k in range(len(begin) - 1):
                 wanted = values[offsets[start + k] : offsets[start + k + 1]]
                 if len(wanted) and cuts[k] < cuts[k + 1]:
                     keep[cuts[k] : cuts[k + 1]] = np.isin(h[cuts[k] : cuts[k + 1]], wanted)
-            at, h, own = at[keep], h[keep], own[keep]
-            low = np.maximum(at - SIDE, begin[own])
-            high = np.minimum(at + ANCHOR + SIDE, begin[own + 1])
+            low, high, at, h, own = first[keep], last[keep] + WIDTH, at[keep], h[keep], own[keep]
             raw = data.tobytes()
             contexts = [raw[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
             anchor = (at - low).astype(np.int32)
@@ -171,23 +181,46 @@ class Block:
 
     def take(self, contexts: list[tuple[bytes, int, int, list[tuple[int, int]]]]) -> None:
         """One anchor's different contexts as (bytes, place of the anchor, smallest document, its parts and starts)."""
-        left: dict[bytes, list[int]] = {}
-        right: dict[bytes, list[int]] = {}
+        sides: dict[tuple[int, bytes], list[int]] = {}
         for k, (c, a, _, _) in enumerate(contexts):
-            if a >= HALF:
-                left.setdefault(c[a - HALF : a], []).append(k)
-            if len(c) - a - ANCHOR >= HALF:
-                right.setdefault(c[a + ANCHOR : a + ANCHOR + HALF], []).append(k)
-        classes = [x for side in (left, right) for x in side.values() if len(x) > 1]
-        total = sum(len(c[0]) for c in contexts)
-        for own in classes if total > BLOCK else [sorted({k for x in classes for k in x})]:
-            for k in own:
-                c, _, doc, starts = contexts[k]
-                self.rows.append((c, doc, starts))
-                self.size += len(c) + 1
+            for left in range(0, SIDE, STEP):
+                right = SIDE - STEP - left + 1 if left + STEP < SIDE else SIDE - left - STEP
+                if a >= left and len(c) - a - ANCHOR >= right:
+                    sides.setdefault((left, c[a - left : a + ANCHOR + right]), []).append(k)
+        classes = {side: x for side, x in sides.items() if len(x) > 1}
+        if sum(len(c[0]) for c in contexts) <= BLOCK:
+            for k in sorted({k for x in classes.values() for k in x}):
+                c, _, doc, places = contexts[k]
+                self.add(c, doc, places)
+        else:
+            for (left, _), own in classes.items():
+                self.split(left, [contexts[k] for k in own])
+        if self.size > BLOCK:
+            self.flush()
+
+    def split(self, left: int, contexts: list[tuple[bytes, int, int, list[tuple[int, int]]]]) -> None:
+        """Contexts with a common part, cut to the windows that hold it: most are then equal, and only the first is compared."""
+        first: dict[bytes, tuple[int, list[tuple[int, int]]]] = {}
+        for c, a, doc, places in sorted(contexts, key=lambda x: x[2]):
+            low = max(0, a - (left + STEP - 1 if left + STEP < SIDE else SIDE))
+            short = c[low : a + WIDTH - left]
+            if len(short) >= WIDTH:
+                moved = [(part, p + low) for part, p in places]
+                known = first.setdefault(short, (doc, moved))
+                if known[0] < doc:
+                    self.ranges += [(doc, part, p, p + len(short)) for part, p in moved]
+                elif known[1] is not moved:
+                    known[1].extend(moved)
+        if len(first) > 1:
+            for short, (doc, places) in first.items():
+                self.add(short, doc, places)
             if self.size > BLOCK:
                 self.flush()
 
+    def add(self, context: bytes, doc: int, places: list[tuple[int, int]]) -> None:
+        self.rows.append((context, doc, places))
+        self.size += len(context) + 1
+
     def flush(self) -> None:
         if len(self.rows) > 1:
             text, begin, starts = bytearray(), [], []
@@ -239,7 +272,7 @@ def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 group.append((c, anchor[k], doc[k], [(part[k], start[k])]))
             elif doc[k] == group[-1][2]:
                 group[-1][3].append((part[k], start[k]))
-            elif len(c) >= WIDTH:
+            else:
                 block.ranges.append((doc[k], part[k], start[k], start[k] + len(c)))
         yield given()
     close()
@@ -272,12 +305,6 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"row": batch.column("row"), "removed": pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "kept": pa.array(kept, pa.binary())})
 
 
-def released(spark) -> None:
-    """Lets Spark delete the shuffle files of frames that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def dedup_spans(docs: DataFrame) -> DataFrame:
     """Cuts every byte covered by a 50-byte string that also starts in a document with a smaller id.
 
@@ -294,13 +321,14 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
     rows = plain.select("doc", "text").mapInArrow(anchor_rows, "h bigint, doc bigint").repartition(shuffles, "h").sortWithinPartitions("h", "doc")
     shared = written(rows.mapInArrow(shared_anchors, "h bigint, doc bigint"), folder, "shared")
     del rows
-    released(spark)
+    release(spark)
     lists = shared.groupBy("doc").agg(F.collect_list("h").alias("shared")).hint("shuffle_hash")
     contexts = plain.join(lists, "doc").mapInArrow(context_rows, "h bigint, context binary, anchor int, doc bigint, part bigint, start bigint")
     contexts = contexts.repartition(shuffles, "h").sortWithinPartitions("h", "context", "anchor", "doc", "start")
     ranges = written(contexts.mapInArrow(covered, "doc bigint, part bigint, start bigint, end bigint"), folder, "ranges")
-    del contexts, lists
-    released(spark)
+    del contexts, lists, shared
+    discard(spark, folder, "shared")
+    release(spark)
     per = ranges.groupBy("doc", "part").agg(F.collect_set(F.struct("start", "end")).alias("ranges")).hint("shuffle_hash")
     given = docs.select(F.struct("*").alias("row"), doc.alias("doc"), part.alias("part")).join(per, ["doc", "part"], "left").select("row", "ranges")
     out = given.select("row").schema["row"].dataType.simpleString()

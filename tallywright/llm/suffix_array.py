@@ -13,12 +13,12 @@ from __future__ import annotations
 def suffix_array(text: bytes) -> list[int]:
     """The starts of all suffixes of text in ascending order; an empty suffix is not listed."""
     n = len(text) + 1  # with a sentinel below all bytes
-    members: dict[int, list[int]] = {0: [n - 1]}
+    members: list = [None] * n  # by a group's start; those that have left it are passed over
+    group, size, start_of = [0] * n, [0] * n, [0] * n
     by_byte: list[list[int]] = [[] for _ in range(256)]
     for i, c in enumerate(text):
         by_byte[c].append(i)
-    group, size, start_of = [0] * n, {0: 1}, {0: 0}
-    at = 1
+    at = size[0] = 1
     for own in by_byte:
         if own:
             for i in own:
@@ -31,9 +31,28 @@ def suffix_array(text: bytes) -> list[int]:
     end = n - 1
     while end > 0:
         low = start_of[end]
-        own = [i for i in members.pop(low) if group[i] == low]
-        if len(own) > 1:
-            own.sort()
+        own = members[low]
+        members[low] = None
+        if low == end:  # a single suffix, as most groups are in the end
+            for i in own:
+                if group[i] == low:
+                    break
+            p = i - 1
+            while p >= 0 and group[p] > low:
+                p = previous[p]
+            previous[i] = p
+            if p >= 0:
+                g = group[p]
+                rest = size[g] - 1
+                if rest:
+                    new = g + rest
+                    size[g], size[new] = rest, 1
+                    start_of[new - 1], start_of[new] = g, new
+                    members[new] = (p,)
+                    group[p] = new
+            end = low - 1
+            continue
+        own = sorted(i for i in own if group[i] == low)
         times: dict[int, int] = {}
         for i in own:
             p = i - 1
@@ -45,23 +64,22 @@ def suffix_array(text: bytes) -> list[int]:
                 if p >= 0:
                     times[p] = times.get(p, 0) + 1
             previous[i] = p
-        if times:
-            by_count: dict[int, list[int]] = {}
-            for p, k in times.items():
-                by_count.setdefault(k, []).append(p)
-            for k in sorted(by_count, reverse=True) if len(by_count) > 1 else by_count:
-                moved: dict[int, list[int]] = {}
-                for p in by_count[k]:
-                    moved.setdefault(group[p], []).append(p)
-                for g, ps in moved.items():
-                    rest = size[g] - len(ps)
-                    if rest:
-                        new = g + rest
-                        size[g], size[new] = rest, len(ps)
-                        start_of[new - 1], start_of[new + len(ps) - 1] = g, new
-                        members[new] = ps
-                        for p in ps:
-                            group[p] = new
+        by_count: dict[int, list[int]] = {}
+        for p, k in times.items():
+            by_count.setdefault(k, []).append(p)
+        for k in sorted(by_count, reverse=True):
+            moved: dict[int, list[int]] = {}
+            for p in by_count[k]:
+                moved.setdefault(group[p], []).append(p)
+            for g, ps in moved.items():
+                rest = size[g] - len(ps)
+                if rest:
+                    new = g + rest
+                    size[g], size[new] = rest, len(ps)
+                    start_of[new - 1], start_of[new + len(ps) - 1] = g, new
+                    members[new] = ps
+                    for p in ps:
+                        group[p] = new
         end = low - 1
 
     out = [0] * n
