@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ WIDTH = 50
 ANCHOR = 20
 SIDE = WIDTH - ANCHOR
 STEP = 5
-GROUP = 1 << 18
+GROUP = 1 << 16
 BLOCK = 1 << 14
 U = np.uint64
 P = 0x9E3779B97F4A7C15
@@ -107,17 +108,13 @@ def encoded(column: pa.Array) -> list[bytes]:
 
 
 def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, text to h, doc: a document's different anchors."""
+    """doc, text to h, doc: a document's anchors."""
     for batch in batches:
         ids = batch.column("doc").to_numpy()
         for start, data, doc, _ in grouped(encoded(batch.column("text"))):
             first, _, _, h = anchors(data, doc)
             if len(first):
-                own = doc[first]
-                order = np.lexsort((h, own))
-                h, own = h[order], own[order]
-                new = np.concatenate(([True], (h[1:] != h[:-1]) | (own[1:] != own[:-1])))
-                yield pa.RecordBatch.from_pydict({"h": pa.array(h[new].view(np.int64)), "doc": pa.array(ids[start + own[new]])})
+                yield pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "doc": pa.array(ids[start + doc[first]])})
 
 
 def shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +165,7 @@ def context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = data.tobytes()
             contexts = [raw[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
             anchor = (at - low).astype(np.int32)
-            yield pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "context": pa.array(contexts, pa.binary()), "anchor": pa.array(anchor), "doc": pa.array(ids[start + own]), "part": pa.array(parts[start + own]), "start": pa.array(low - begin[own])})
+            yield pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "context": pa.array(contexts, pa.binary()), "anchor": pa.array(anchor), "doc": pa.array(ids[start + own]), "part": pa.array(parts[start + own].astype(np.int32)), "start": pa.array((low - begin[own]).astype(np.int32))})
 
 
 class Block:
@@ -249,32 +246,43 @@ class Block:
 
 def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts sorted by h, context, anchor, doc, start to covered ranges: doc, part, start, end."""
-    block, group, key, context = Block(), [], None, None
+    block, group = Block(), []
+    key = place = context = None  # of the last row, and the document that leads its run
+    leader = 0
 
     def close() -> None:
         if len(group) > 1:
             block.take(group)
         group.clear()
 
-    def given() -> pa.RecordBatch:
-        d, p, a, b = zip(*block.ranges, strict=True) if block.ranges else ((), (), (), ())
+    def given(*more: np.ndarray) -> pa.RecordBatch:
+        own = np.array(block.ranges, np.int64).reshape(-1, 4).T
         block.ranges = []
-        return pa.RecordBatch.from_pydict({"doc": pa.array(d, pa.int64()), "part": pa.array(p, pa.int64()), "start": pa.array(a, pa.int64()), "end": pa.array(b, pa.int64())})
+        columns = [np.concatenate(x) for x in zip(own, more, strict=True)] if more else own
+        return pa.RecordBatch.from_pydict({n: pa.array(np.ascontiguousarray(x)) for n, x in zip(("doc", "part", "start", "end"), columns, strict=True)})
 
     for batch in batches:
-        h, anchor, doc, part, start = (batch.column(n).to_pylist() for n in ("h", "anchor", "doc", "part", "start"))
-        for k, c in enumerate(batch.column("context").to_pylist()):
+        if not batch.num_rows:
+            continue
+        contexts = batch.column("context")
+        h, anchor, doc, part, start = (batch.column(n).to_numpy() for n in ("h", "anchor", "doc", "part", "start"))
+        again = np.zeros(len(h), bool)  # the row has the context of the row before
+        again[0] = h[0] == key and anchor[0] == place and contexts[0].as_py() == context
+        again[1:] = (h[1:] == h[:-1]) & (anchor[1:] == anchor[:-1]) & pc.equal(contexts[1:], contexts[:-1]).to_numpy(zero_copy_only=False)
+        leaders = np.concatenate(([leader], doc[~again]))[np.cumsum(~again)]
+        later = doc > leaders
+        size = pc.binary_length(contexts).to_numpy()
+        rest = np.flatnonzero(~later)
+        for k, c in zip(rest.tolist(), contexts.take(pa.array(rest)).to_pylist(), strict=True):
+            if again[k]:
+                group[-1][3].append((int(part[k]), int(start[k])))
+                continue
             if h[k] != key:
                 close()
-                key, context = h[k], None
-            if c != context or anchor[k] != group[-1][1]:
-                context = c
-                group.append((c, anchor[k], doc[k], [(part[k], start[k])]))
-            elif doc[k] == group[-1][2]:
-                group[-1][3].append((part[k], start[k]))
-            else:
-                block.ranges.append((doc[k], part[k], start[k], start[k] + len(c)))
-        yield given()
+                key = h[k]
+            group.append((c, int(anchor[k]), int(doc[k]), [(int(part[k]), int(start[k]))]))
+        key, place, context, leader = h[-1], anchor[-1], contexts[len(h) - 1].as_py(), int(leaders[-1])
+        yield given(doc[later], part[later], start[later], start[later] + size[later])
     close()
     block.flush()
     yield given()
@@ -316,14 +324,14 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
     spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
-    part = F.xxhash64("text")  # rows with the same id may have different texts
+    part = F.hash("text").cast("bigint")  # rows with the same id may have different texts
     plain = docs.select(doc.alias("doc"), part.alias("part"), "text").filter(F.octet_length("text") >= WIDTH)
     rows = plain.select("doc", "text").mapInArrow(anchor_rows, "h bigint, doc bigint").repartition(shuffles, "h").sortWithinPartitions("h", "doc")
     shared = written(rows.mapInArrow(shared_anchors, "h bigint, doc bigint"), folder, "shared")
     del rows
     release(spark)
     lists = shared.groupBy("doc").agg(F.collect_list("h").alias("shared")).hint("shuffle_hash")
-    contexts = plain.join(lists, "doc").mapInArrow(context_rows, "h bigint, context binary, anchor int, doc bigint, part bigint, start bigint")
+    contexts = plain.join(lists, "doc").mapInArrow(context_rows, "h bigint, context binary, anchor int, doc bigint, part int, start int")
     contexts = contexts.repartition(shuffles, "h").sortWithinPartitions("h", "context", "anchor", "doc", "start")
     ranges = written(contexts.mapInArrow(covered, "doc bigint, part bigint, start bigint, end bigint"), folder, "ranges")
     del contexts, lists, shared

@@ -87,3 +87,23 @@ def test_runs_over_batches():
         batches = [pa.RecordBatch.from_pydict({"h": pa.array(a), "doc": pa.array(b)}) for a, b in zip(np.split(h, cuts), np.split(doc, cuts))]
         got = {r for b in sd.shared_anchors(iter(batches)) for r in zip(b.column("h").to_pylist(), b.column("doc").to_pylist())}
         assert got == {(int(a), int(b)) for a, b in zip(h, doc) if len(set(doc[h == a])) > 1}
+
+
+def test_contexts_over_batches():
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    base = bytes(rng.randrange(97, 123) for _ in range(200))
+    rows_ = sorted({(rng.randrange(3), base[a : a + 60], 20, rng.randrange(6), 0, a) for a in (rng.randrange(12) for _ in range(150))})
+
+    def bytes_of(sizes):
+        out, at = [], 0
+        for n in sizes:
+            h, context, anchor, doc, part, start = zip(*rows_[at : at + n], strict=True)
+            out.append(pa.RecordBatch.from_pydict({"h": pa.array(h, pa.int64()), "context": pa.array(context, pa.binary()), "anchor": pa.array(anchor, pa.int32()), "doc": pa.array(doc, pa.int64()), "part": pa.array(part, pa.int64()), "start": pa.array(start, pa.int64())}))
+            at += n
+        got = [r for b in sd.covered(iter(out)) for r in b.to_pylist()]
+        return {(r["doc"], i) for r in got for i in range(r["start"], r["end"])}
+
+    whole = bytes_of([len(rows_)])
+    assert whole and all(bytes_of([n] * (len(rows_) // n) + [len(rows_) % n] * bool(len(rows_) % n)) == whole for n in (1, 2, 3, 7))
