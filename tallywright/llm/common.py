@@ -58,6 +58,13 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+def bounded_batches(spark: SparkSession, size: str = "4m", rows: int = 1000) -> None:
+    """Makes Arrow batches small: texts are long, and a batch is held by the executor and its Python worker at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is not None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value evaluated once, also where body uses it within a lambda."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

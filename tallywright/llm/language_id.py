@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import id_crc, table
+from tallywright.llm.common import bounded_batches, id_crc, table
 
 DIMS = 1024
 SEED = 7
@@ -28,7 +28,7 @@ BITS = 6
 GROUP = 1 << 20
 GROUP_TEXTS = 512
 #: Rows of trigram vectors that a worker keeps; beyond them they are made anew.
-KEPT = 1 << 15
+KEPT = 1 << 14
 UNKNOWN = "und"
 #: Most languages that prototypes are made for; more are refused rather than broadcast.
 MOST_LANGUAGES = 4096
@@ -142,13 +142,13 @@ class Vectors:
 
 
 def predictor(names: list[str], prototypes: np.ndarray):
-    """Adds lang_pred and score to rows with text, and drops text."""
+    """Adds lang_pred and score to rows, by their text."""
     protos = prototypes.astype(np.float32)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = Vectors(protos.shape[1])
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column("row").field("text").to_pylist()
             lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
             for part, text, trigrams, counts, has in counted(texts):
                 if not names:
@@ -162,8 +162,7 @@ def predictor(names: list[str], prototypes: np.ndarray):
                 for k in np.flatnonzero(has):
                     lang[part.start + k] = names[best[k]]
                     score[part.start + k] = min(1.0, max(0.0, float(cosines[k, best[k]])))
-            rest = {n: batch.column(n) for n in batch.schema.names if n != "text"}
-            yield pa.RecordBatch.from_pydict(rest | {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score)})
+            yield pa.RecordBatch.from_pydict({"row": batch.column("row"), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score)})
 
     return predict
 
@@ -181,8 +180,9 @@ def identify(docs: DataFrame, training: DataFrame | None = None, dims: int = DIM
     table. Repeated rows and ids give a row each. score: the cosine, at least 0. Equal cosines go to the smaller name.
     training: the rows to learn from; those of docs that the contract allows if not given.
     """
+    bounded_batches(docs.sparkSession)
     names, prototypes = fit(learned(docs) if training is None else training, dims)
-    rows = docs.select(F.struct("*").alias("row"), "text")
+    rows = docs.select(F.struct("*").alias("row"))
     out = rows.schema["row"].dataType.simpleString()
     return rows.mapInArrow(predictor(names, prototypes), f"row {out}, lang_pred string, score double")
 

@@ -24,14 +24,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import LAST_ID, SPACE, WORD, shared_folder, table, written
+from tallywright.llm.common import LAST_ID, SPACE, WORD, bounded_batches, discard, release, shared_folder, table, written
 
 #: Words in a shingle and the least similarity, as a fraction.
 SHINGLE = 5
 LEAST = (4, 5)
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
-GROUP = 1 << 22
+GROUP = 1 << 21
 #: Buckets of more members are compared as blocks of about so many shingles.
 FEW = 32
 BLOCK = 400_000
@@ -48,7 +48,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 class WordHashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 1 << 17:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word.encode())
         return h
@@ -159,7 +159,9 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
         new = new.select("node", F.least("root", "near", F.coalesce("far", "root")).alias("root"), F.col("root").alias("old"))
         new = written(new, folder, f"{name}-{step}")
         labels = new.select("node", "root")
+        discard(edges.sparkSession, folder, f"{name}-{step - 1}")
         if new.filter("root <> old").isEmpty():
+            discard(edges.sparkSession, folder, f"{name}-edges")
             return labels
 
 
@@ -226,6 +228,7 @@ def classes(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
 
     Only nodes that share a class with another are in the second frame.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(doc_key().alias("doc"), fingerprint(F.col("text")).alias("fp"), "text")
     rows = written(rows.mapInArrow(signed, "doc bigint, fp binary, n bigint, bands array<bigint>"), folder, "signatures")
     nodes = rows.filter("n > 0").groupBy("fp").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bands").alias("bands"))
@@ -283,11 +286,15 @@ def classes(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
         if root_of is not None:
             links = links.unionByName(root_of.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
         root_of = components(links, folder, f"components-{step}")
+        release(docs.sparkSession)
 
     low = root_of.join(nodes.select(F.col("fp").alias("node"), "doc"), "node")
     first = low.groupBy("root").agg(F.min(F.struct("doc", F.col("node").alias("fp"))).alias("head"))
     found = low.join(first, "root").select(F.col("node").alias("fp"), "root", F.col("head.doc").alias("class_doc"), F.col("head.fp").alias("class_fp"))
-    return rows.select("doc", "fp", "n"), written(found, folder, "classes")
+    found = written(found, folder, "classes")
+    steps = range(3)
+    discard(docs.sparkSession, folder, "nodes", "buckets", "sets", *[f"open-{k}" for k in steps], *[f"pairs-{k}" for k in steps])
+    return rows.select("doc", "fp", "n"), found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ a length into one task.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import bits_for, shared_folder, table, written
+from tallywright.llm.common import bits_for, bounded_batches, shared_folder, table, written
 
 CAPACITY = 1024
 #: Fixed value: the id that ends every document.
@@ -38,17 +39,22 @@ def encoder(name: str = "byte_bpe_50k"):
     """A function from a text to its ids as numpy uint32."""
     import public_tokenizers as files
     import tiktoken
-    from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(files.path(f"{name}.json"))
+    @cache
+    def whole():  # loaded where a text needs it, as a worker keeps it
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(files.path(f"{name}.json"))
+
     with open(files.path(f"{name}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    special = {t.content: i for i, t in whole.get_added_tokens_decoder().items()}
+    with open(files.path(f"{name}.json"), encoding="utf-8") as f:
+        special = [t["content"] for t in json.load(f)["added_tokens"]]
     fast = tiktoken.Encoding(name, pat_str=files.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
         if NOT_LATIN.search(text) or LONG_RUN.search(text) or any(s in text for s in special):
-            return np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            return np.array(whole().encode(text, add_special_tokens=False).ids, dtype="<u4")
         return np.array(fast.encode_ordinary(text), dtype="<u4")
 
     return encode
@@ -155,6 +161,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = F
     its document's ids), length, ids_crc32, doc_tokens, sequence_id, offset (in the sequence) and, with_ids, ids.
     """
     spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
+    bounded_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, {PIECES}" + ", ids array<int>" * with_ids
     pieces = written(docs.select("doc_id", "text").mapInArrow(cutter(capacity, with_ids), schema), folder, "pieces")
