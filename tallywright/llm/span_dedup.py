@@ -10,7 +10,8 @@ So the corpus is dealt by anchors:
    each anchor's different contexts, each with its smallest document. They are sorted by suffix arrays in blocks: equal
    windows are neighbours, and a window goes where a smaller document has it. A shared window reaches l bytes to the left
    of the anchor and 30 - l to the right; a context that shares no such part with another one of its anchor, for l in
-   steps of 5, can't share a window and is left out.
+   steps of 5, can't share a window and is left out. Where text repeats, a context holds its anchor at several places,
+   and each window is judged by the leftmost one that it holds.
 4. Each document's covered ranges are united and cut out.
 
 Memory: a stream holds one anchor's different contexts; if these exceed BLOCK bytes they are compared part by part, cut
@@ -168,6 +169,19 @@ def context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "context": pa.array(contexts, pa.binary()), "anchor": pa.array(anchor), "doc": pa.array(ids[start + own]), "part": pa.array(parts[start + own].astype(np.int32)), "start": pa.array((low - begin[own]).astype(np.int32))})
 
 
+def anchor_places(context: bytes, first: int) -> list[tuple[int, int]]:
+    """Each place of a context's anchor, first being the leftmost, and how far to the left windows reach that hold none before it.
+
+    Every window has one leftmost place, the same in equal windows. Only repeating text has several in a context.
+    """
+    anchor, out = context[first : first + ANCHOR], [(first, SIDE)]
+    place = context.find(anchor, first + 1)
+    while place >= 0:
+        out.append((place, min(SIDE, place - out[-1][0] - 1)))
+        place = context.find(anchor, place + 1)
+    return out
+
+
 class Block:
     """Contexts to be compared by suffix arrays."""
 
@@ -178,20 +192,21 @@ class Block:
 
     def take(self, contexts: list[tuple[bytes, int, int, list[tuple[int, int]]]]) -> None:
         """One anchor's different contexts as (bytes, place of the anchor, smallest document, its parts and starts)."""
-        sides: dict[tuple[int, bytes], list[int]] = {}
+        sides: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
         for k, (c, a, _, _) in enumerate(contexts):
-            for left in range(0, SIDE, STEP):
-                right = SIDE - STEP - left + 1 if left + STEP < SIDE else SIDE - left - STEP
-                if a >= left and len(c) - a - ANCHOR >= right:
-                    sides.setdefault((left, c[a - left : a + ANCHOR + right]), []).append(k)
-        classes = {side: x for side, x in sides.items() if len(x) > 1}
+            for place, most in anchor_places(c, a):
+                for left in range(0, min(most, SIDE - 1) + 1, STEP):
+                    right = SIDE - STEP - left + 1 if left + STEP < SIDE else SIDE - left - STEP
+                    if place >= left and len(c) - place - ANCHOR >= right:
+                        sides.setdefault((left, c[place - left : place + ANCHOR + right]), []).append((k, place, most))
+        classes = {side: x for side, x in sides.items() if x[0][0] != x[-1][0]}
         if sum(len(c[0]) for c in contexts) <= BLOCK:
-            for k in sorted({k for x in classes.values() for k in x}):
+            for k in sorted({k for x in classes.values() for k, _, _ in x}):
                 c, _, doc, places = contexts[k]
                 self.add(c, doc, places)
         else:
             for (left, _), own in classes.items():
-                self.split(left, [contexts[k] for k in own])
+                self.split(left, [contexts[k] for k in dict.fromkeys(k for k, _, _ in own)])
         if self.size > BLOCK:
             self.flush()
 

@@ -107,3 +107,51 @@ def test_contexts_over_batches():
 
     whole = bytes_of([len(rows_)])
     assert whole and all(bytes_of([n] * (len(rows_) // n) + [len(rows_) % n] * bool(len(rows_) % n)) == whole for n in (1, 2, 3, 7))
+
+
+def stretches(seed, units, docs, lengths, ends):
+    """Documents of noise around stretches of one unit, some with a shared passage before or after."""
+    rng = random.Random(seed)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    passages = [noise(40) for _ in range(ends)]
+    out = []
+    for i in range(docs):
+        unit, n = rng.choice(units), rng.choice(lengths)
+        before, after = (rng.choice(passages) if ends else "" for _ in range(2))
+        out.append((i, noise(30) + before + (unit * n)[:n] + after + noise(30)))
+    return out
+
+
+def covered_bytes(docs):
+    """What the operator's Arrow functions cover, and what brute force does: two dicts of doc to byte places."""
+    import pyarrow as pa
+
+    ids, texts = pa.array([d for d, _ in docs], pa.int64()), pa.array([t for _, t in docs])
+    found = {}
+    for b in sd.anchor_rows(iter([pa.RecordBatch.from_pydict({"doc": ids, "text": texts})])):
+        for h, d in zip(b.column("h").to_pylist(), b.column("doc").to_pylist()):
+            found.setdefault(h, set()).add(d)
+    lists = [[h for h, own in found.items() if len(own) > 1 and d in own] for d, _ in docs]
+    batch = pa.RecordBatch.from_pydict({"doc": ids, "part": pa.array([0] * len(docs), pa.int64()), "text": texts, "shared": pa.array(lists, pa.list_(pa.int64()))})
+    contexts = list(sd.context_rows(iter([batch])))
+    got, want, first = {d: set() for d, _ in docs}, {d: set() for d, _ in docs}, {}
+    if contexts:
+        order = [(n, "ascending") for n in ("h", "context", "anchor", "doc", "start")]
+        for b in sd.covered(iter(pa.Table.from_batches(contexts).sort_by(order).combine_chunks().to_batches())):
+            for r in b.to_pylist():
+                got[r["doc"]].update(range(r["start"], r["end"]))
+    for d, t in docs:
+        for i in range(len(t) - 49):
+            if first.setdefault(t[i : i + 50], d) < d:
+                want[d].update(range(i, i + 50))
+    return got, want
+
+
+@pytest.mark.parametrize("unit", ["- ", "x", "=-+", "abcdefg", "lorem ipsum sit ", "a period of thirty-one letters "])
+def test_pairs_with_repeating_stretches_of_other_lengths(unit):
+    shared = "and here is the passage that both of them share."
+    pairs = [[(1, "A first text. " + unit * 30 + shared), (2, "Some other start: " + unit * 22 + shared)]]
+    pairs += [stretches(seed, [unit], 2, range(20, 120), 1) for seed in range(300)]
+    for docs in pairs:
+        got, want = covered_bytes(docs)
+        assert got == want
