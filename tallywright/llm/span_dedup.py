@@ -206,15 +206,15 @@ class Block:
                 self.add(c, doc, places)
         else:
             for (left, _), own in classes.items():
-                self.split(left, [contexts[k] for k in dict.fromkeys(k for k, _, _ in own)])
+                self.split(left, [(contexts[k], place, most) for k, place, most in own])
         if self.size > BLOCK:
             self.flush()
 
-    def split(self, left: int, contexts: list[tuple[bytes, int, int, list[tuple[int, int]]]]) -> None:
-        """Contexts with a common part, cut to the windows that hold it: most are then equal, and only the first is compared."""
+    def split(self, left: int, contexts: list[tuple[tuple[bytes, int, int, list[tuple[int, int]]], int, int]]) -> None:
+        """Contexts with a common part around a place, cut to the windows that hold it and have that leftmost place: most are then equal, and only the first is compared."""
         first: dict[bytes, tuple[int, list[tuple[int, int]]]] = {}
-        for c, a, doc, places in sorted(contexts, key=lambda x: x[2]):
-            low = max(0, a - (left + STEP - 1 if left + STEP < SIDE else SIDE))
+        for (c, _, doc, places), a, most in sorted(contexts, key=lambda x: x[0][2]):
+            low = max(0, a - min(most, left + STEP - 1 if left + STEP < SIDE else SIDE))
             short = c[low : a + WIDTH - left]
             if len(short) >= WIDTH:
                 moved = [(part, p + low) for part, p in places]

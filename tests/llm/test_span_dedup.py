@@ -155,3 +155,12 @@ def test_pairs_with_repeating_stretches_of_other_lengths(unit):
     for docs in pairs:
         got, want = covered_bytes(docs)
         assert got == want
+
+
+@pytest.mark.parametrize("block", [1 << 8, 1 << 14, 1 << 24])
+@pytest.mark.parametrize("unit", ["x", "/", "xy", "+-"])
+def test_a_stretch_of_many_documents_below_and_above_the_block(monkeypatch, unit, block):
+    monkeypatch.setattr(sd, "BLOCK", block)
+    for docs in (stretches(6, [unit], 100, [90], 0), stretches(6, [unit], 500, [90], 0), stretches(7, [unit, "- "], 200, range(1, 200), 3)):
+        got, want = covered_bytes(docs)
+        assert got == want
