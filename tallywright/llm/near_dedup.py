@@ -1,9 +1,10 @@
 """Near-duplicate documents: ProbMinHash signatures, banding, exact verification, connected components.
 
-Every element (a shingle of five words, weighted by how often it stands in the text) is a Poisson process whose rate is
-its weight; each arrival hits a random register, and a register keeps its earliest arrival's element. A process ends
-when its next arrival is later than all registers' earliest, so long texts cost little more than one arrival an element.
-Two texts agree in a register with the probability Jaccard of their weighted shingles.
+Every element (a distinct shingle of five words) is a Poisson process whose rate is its weight; each arrival hits a
+random register, and a register keeps its earliest arrival's element. A process ends when its next arrival is later than
+all registers' earliest, so long texts cost little more than one arrival an element. Two texts agree in a register with
+the probability Jaccard of their weighted elements. All shingles weigh the same here, however often they stand in a text,
+so that is the Jaccard similarity of the shingle sets, by which pairs are judged.
 
 Texts that agree in a band of registers are candidates, and a candidate pair counts if the Jaccard similarity of its
 shingle sets is 0.8 or more. Copies share a node of the graph (the digest of their words), so they are never paired.
@@ -103,16 +104,15 @@ def grouped(sizes: list[int]) -> Iterator[tuple[int, int]]:
 
 
 def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, fp, text to doc, fp, n (distinct shingles) and bands; a shingle that stands c times weighs 1 + ln(c)."""
+    """doc, fp, text to doc, fp, n (distinct shingles) and bands."""
     hashes = WordHashes()
     for batch in batches:
         texts = batch.column("text").to_pylist()
         for a, b in grouped([len(t or "") for t in texts]):
-            sets = [np.unique(h, return_counts=True) for h in shingles(texts[a:b], hashes)]
-            n = np.array([len(s) for s, _ in sets], np.int64)
+            sets = [np.unique(h) for h in shingles(texts[a:b], hashes)]
+            n = np.array([len(s) for s in sets], np.int64)
             doc = np.repeat(np.arange(b - a), n)
-            weight = 1 + np.log(np.concatenate([c for _, c in sets]))
-            found = probminhash(doc, np.concatenate([s for s, _ in sets]), weight, b - a)
+            found = probminhash(doc, np.concatenate(sets), np.ones(len(doc)), b - a)
             bands = np.zeros((b - a, BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
             for k in range(ROWS):
                 bands = mixed(bands * U(0x9E3779B97F4A7C15) + found[:, k::ROWS])
