@@ -170,6 +170,9 @@ add("a26_mmd2", lambda s, d: r9(shift.mmd2(sides(s, d).filter("side = 0"), sides
     SELECT round((SELECT avg(exp(-0.01e0 * {D2})) FROM s0 a JOIN s0 b ON a.row_id < b.row_id) + (SELECT avg(exp(-0.01e0 * {D2})) FROM s1 a JOIN s1 b ON a.row_id < b.row_id) - 2 * (SELECT avg(exp(-0.01e0 * {D2})) FROM s0 a, s1 b), 9) AS mmd2""")
 add("a27_median_gamma", lambda s, d: r9(shift.median_gamma(sides(s, d), "row_id", "embedding", 100), "gamma"),
     f"WITH {HALF}, s AS (SELECT * FROM v ORDER BY {fx.draw_sql('0', 'row_id')}, row_id LIMIT 100) SELECT round(1 / (quantile_cont({D2}, 0.5) + 1e-12), 9) AS gamma FROM s a JOIN s b ON a.row_id < b.row_id")
+#: The same with the reference's sizes, without SQL; tests hold them to brute force.
+add("a26_mmd2_1500", lambda s, d: r9(shift.mmd2(sides(s, d).filter("side = 0"), sides(s, d).filter("side = 1"), "row_id", "embedding", 0.01, 1500), "mmd2"))
+add("a27_median_gamma_2000", lambda s, d: r9(shift.median_gamma(sides(s, d), "row_id", "embedding", 2000), "gamma"))
 
 TAXA = {0: "x", 1: "x", 2: "y", 3: "y", 4: "z"}
 

@@ -128,6 +128,8 @@ add("j7_aligned_matrices", fitted, "SELECT count(*) AS n, round(max(abs(a.score
 add("j9_pairs_of_folds", lambda s, d: (f := fx.base(s, d).select("fold").distinct()).select(F.col("fold").alias("a")).join(f.select(F.col("fold").alias("b")), F.col("a") < F.col("b")), "SELECT x.fold AS a, y.fold AS b FROM (SELECT DISTINCT fold FROM base) x JOIN (SELECT DISTINCT fold FROM base) y ON x.fold < y.fold")
 add("j10_pair_kernel", lambda s, d: shift.pair_distances(table(s, d, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", 40).agg(F.round(F.sum(F.exp(-0.01 * F.col("d2"))), 6).alias("k"), F.count("*").alias("n")),
     f"WITH s AS (SELECT vec_id, embedding AS e FROM embeddings ORDER BY {fx.draw_sql('0', 'vec_id')}, vec_id LIMIT 40) SELECT round(sum(exp(-0.01e0 * list_sum(list_transform(list_zip(a.e, b.e), lambda z: (CAST(z[1] AS DOUBLE) - z[2]) * (CAST(z[1] AS DOUBLE) - z[2]))))), 6) AS k, count(*) AS n FROM s a JOIN s b ON a.vec_id < b.vec_id")
+#: The same with the reference's size, without SQL; a test holds it to brute force.
+add("j10_pair_kernel_2000", lambda s, d: shift.pair_distances(table(s, d, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", 2000).agg(F.round(F.sum(F.exp(-0.01 * F.col("d2"))), 6).alias("k"), F.count("*").alias("n")))
 
 add("t1_largest_drops", lambda s, d: table(s, d, "customer").select("c_custkey", "c_acctbal").orderBy(F.desc("c_acctbal"), "c_custkey").limit(20), "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20")
 TOP = "top AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC NULLS LAST, class_id) AS rank FROM scores WHERE model = 'b' QUALIFY score IS NOT NULL)"
