@@ -3,7 +3,7 @@
 Filters of 8 bytes run over every byte of a document. Their responses are max-pooled over chunks of 256 places that
 overlap by half and cover the whole document; the document's features are the mean and the maximum of its chunks'
 pooled responses, and a logistic unit combines them into one probability. Training is plain backpropagation with Adam
-over a bounded sample of labelled documents.
+over the whole texts of a sample of labelled documents, bounded by rows and by bytes.
 
 A filter bank is one table of responses for each of its 8 places and each byte value; for scoring, neighbouring places
 are paired, so that a place costs four look-ups. Scoring is a map over the documents: no shuffle, and no more memory than
@@ -17,19 +17,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import id_crc, table
+from tallywright.llm.common import bounded_batches, id_crc, table
 
 FILTERS = 16
 WIDTH = 8
 BLOCK = 128
 SLICE = 256 * BLOCK
 GROUP = 1 << 20
-#: The bound of the sample: labelled documents of each class, and characters of each, from a place that its id gives.
+#: The bounds of the sample: labelled documents of each class, taken in the order of a hash of their ids, until so many
+#: bytes are reached. Texts are never cut: the last one taken is whole too.
 SAMPLE = 1500
-EXCERPT = 3000
+SAMPLE_BYTES = 24 << 20
 SEED = 11
 
 
@@ -49,8 +50,8 @@ def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The texts padded to blocks, each with zeros behind it; the number of blocks and of bytes of each."""
     sizes = np.array([len(t) for t in texts])
     blocks = (sizes + WIDTH - 1 + BLOCK - 1) // BLOCK
-    data = b"".join(t + bytes(int(n) * BLOCK - len(t)) for t, n in zip(texts, blocks, strict=True)) + bytes(WIDTH)
-    return np.frombuffer(data, np.uint8), blocks, sizes
+    parts = [x for t, n in zip(texts, blocks, strict=True) for x in (t, bytes(int(n) * BLOCK - len(t)))]
+    return np.frombuffer(b"".join([*parts, bytes(WIDTH)]), np.uint8), blocks, sizes
 
 
 def responses(pairs: np.ndarray, data: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -65,15 +66,15 @@ def responses(pairs: np.ndarray, data: np.ndarray, a: int, b: int) -> np.ndarray
 def pooled(pairs: np.ndarray, texts: list[bytes], where: bool = False):
     """Block maxima of the texts' responses, the blocks of each text, and with where the places of the maxima."""
     data, blocks, sizes = laid_out(texts)
-    total = int(blocks.sum()) * BLOCK
     ends = np.cumsum(blocks) * BLOCK
-    place = np.arange(total)
-    void = place - np.repeat(ends - blocks * BLOCK, blocks * BLOCK) >= np.repeat(sizes, blocks * BLOCK)
+    total = int(ends[-1]) if len(ends) else 0
+    padding = [np.arange(e - n * BLOCK + size, e) for e, n, size in zip(ends, blocks, sizes, strict=True)]
+    void = np.concatenate(padding) if padding else np.zeros(0, np.int64)  # the places behind each text
     best, at = [], []
     for a in range(0, total, SLICE):
         b = min(a + SLICE, total)
         r = responses(pairs, data, a, b)
-        r[void[a:b]] = -1e9
+        r[void[slice(*np.searchsorted(void, [a, b]))] - a] = -1e9
         r = r.reshape(-1, BLOCK, r.shape[1])
         best.append(r.max(axis=1))
         if where:
@@ -151,11 +152,9 @@ def train(texts: list[bytes], labels: np.ndarray, weight: np.ndarray, epochs: in
             dc = (dc + is_most * (g[:, None] * net.weights[FILTERS:])[doc] / ties) * (c > 0)
             grads["bias"] = dc.sum(axis=0)
             place = np.take_along_axis(at, pick, axis=0)
-            taps = np.zeros_like(net.taps)
-            column = np.broadcast_to(np.arange(FILTERS), place.shape)
-            for k in range(WIDTH):
-                np.add.at(taps[k], (data[place + k], column), dc)
-            grads["taps"] = taps + 1e-6 * net.taps
+            column, flat = np.arange(FILTERS), dc.ravel()
+            taps = [np.bincount((data[place + k].astype(np.int64) * FILTERS + column).ravel(), flat, 256 * FILTERS) for k in range(WIDTH)]
+            grads["taps"] = np.reshape(taps, net.taps.shape) + 1e-6 * net.taps
             step += 1
             for n, grad in grads.items():
                 m, v = state[n]
@@ -164,11 +163,12 @@ def train(texts: list[bytes], labels: np.ndarray, weight: np.ndarray, epochs: in
     return net
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, excerpt: int = EXCERPT) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """At most `most` labelled texts of each class, by hash of the id: excerpts, labels and weights.
+def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, size: int = SAMPLE_BYTES) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """At most `most` labelled documents of each class, whole, in the order of a hash of the id: texts, labels and weights.
 
-    Only rows whose crc32(doc_id as text) mod 3 is not 1 are read. A document with both labels counts as good. The
-    weights give the classes their shares among all labelled rows.
+    A class's documents are taken until their texts reach size bytes, so what comes to the driver is bounded by that and
+    one text a class. Only rows whose crc32(doc_id as text) mod 3 is not 1 are read. A document with both labels counts as
+    good. The weights give the classes their shares among all labelled rows.
     """
     marks = labels.filter((id_crc("doc_id", 3) != 1) & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
     marks = marks.groupBy("doc_id").agg(F.max((F.col("quality") >= 1).cast("int")).alias("mark"))
@@ -178,15 +178,22 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, excerpt: int
     for mark in (0, 1):
         part = marks.filter(F.col("mark") == mark).orderBy(order, "doc_id").limit(most)
         some = part if some is None else some.unionByName(part)
-    length = F.length("text")
-    start = 1 + F.pmod(order, F.greatest(F.lit(1), length - excerpt))
-    found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most 2 * most rows
-    found = found.select("doc_id", "mark", F.coalesce(F.substring(F.col("text"), start.cast("int"), F.lit(excerpt)), F.lit("")).alias("text"))
-    rows = found.orderBy(order, "doc_id", "text").limit(2 * most).collect()
-    marks_of = np.array([r["mark"] for r in rows], float)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    found = docs.select("doc_id", text.alias("text")).join(F.broadcast(some), "doc_id")  # at most 2 * most ids
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    sizes = found.select("doc_id", "mark", order.alias("o"), digest.alias("digest"), F.octet_length("text").cast("long").alias("bytes"))
+    sizes = sizes.distinct().orderBy("o", "doc_id", "digest").limit(2 * most)
+    before = Window.partitionBy("mark").orderBy("o", "doc_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
+    taken = sizes.withColumn("before", F.coalesce(F.sum("bytes").over(before), F.lit(0))).filter(F.col("before") < size)
+    taken = [(r["doc_id"], r["digest"]) for r in taken.select("doc_id", "digest").collect()]  # at most 2 * most rows
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    taken = docs.sparkSession.createDataFrame(taken, f"doc_id {kind}, digest string")
+    rows = found.withColumn("digest", digest).join(F.broadcast(taken), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
+    rows = sorted(((r["doc_id"], r["digest"], r["mark"], r["text"]) for r in rows.collect()), key=lambda r: r[:2])
+    marks_of = np.array([r[2] for r in rows], float)
     held = {m: max(1, int((marks_of == m).sum())) for m in (0, 1)}
-    weight = np.array([shares[r["mark"]] / held[r["mark"]] for r in rows])
-    return [r["text"].encode() for r in rows], marks_of, weight
+    weight = np.array([shares[r[2]] / held[r[2]] for r in rows])
+    return [r[3].encode() for r in rows], marks_of, weight
 
 
 def scorer(net: Network):
@@ -208,8 +215,9 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     docs: doc_id, text and any further columns, whatever their names; they come back in the struct row. A null text is
     empty; empty texts get the score of a text without any pattern. Repeated rows and ids get equal scores. If the labels
-    hold one class or none, every score is that class's share, or 0.5. An empty table gives no rows.
+    hold one class only, every score is 0.999 or 0.001; without labels it is 0.5. An empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     net = train(*sample(docs, labels))
     rows = docs.select(F.struct("*").alias("row"), "text")
     out = rows.schema["row"].dataType.simpleString()

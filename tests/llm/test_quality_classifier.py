@@ -37,7 +37,31 @@ def test_edges(spark, edge, empty, clashing):
     marks = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, None, 0), (5, 1, 0), (5, 1, 0), (None, 1, 1), (7, 0, 0), (0, 1, 0), (-4, 0, 0)], "doc_id bigint, quality int, toxic int")
     got = qc.classify(clashing, marks)
     assert got.select("row.*").columns == clashing.columns and got.count() == clashing.count()
+    key = lambda rows: sorted(((r.row.doc_id, r.row.text, r.score) for r in rows), key=repr)
+    assert key(got.collect()) == key(qc.classify(edge, marks).collect())
     told = {r.row.doc_id: r.score for r in got.collect()}
     assert told[1] == told[2] and all(0 <= s <= 1 for s in told.values())
     assert {r.score for r in qc.classify(edge, none).collect()} == {0.5}
     assert qc.classify(empty, marks).count() == 0
+
+
+def test_sample_takes_whole_texts_up_to_its_bounds(spark):
+    docs = spark.createDataFrame([(i, f"{i} " * (10 + 997 * i)) for i in range(40)] + [(3, "again"), (3, "again")], "doc_id bigint, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int")
+    whole = {(r.doc_id, r.text.encode()) for r in docs.collect()}
+    texts, labels, _ = qc.sample(docs, marks, most=8)
+    assert all(any(t == text for _, text in whole) for t in texts) and 0 < len(texts) <= 16 and set(labels) == {0.0, 1.0}
+    assert len(set(texts)) == len(texts)
+    few, labels, _ = qc.sample(docs, marks, most=8, size=1)  # the first of each class reaches the bound
+    assert len(few) == 2 and set(labels) == {0.0, 1.0} and set(few) <= set(texts)
+
+
+def test_memory_of_a_very_long_text():
+    import tracemalloc
+
+    net = qc.train([], np.zeros(0), np.zeros(0))
+    pairs, text = net.pairs(), b"a line of text. " * (1 << 20)
+    tracemalloc.start()
+    score = qc.score(net, pairs, [text])
+    assert tracemalloc.get_traced_memory()[1] < 6 * len(text) and 0 <= score[0] <= 1
+    tracemalloc.stop()
