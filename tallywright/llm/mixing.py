@@ -3,7 +3,8 @@
 Each source's documents are laid end to end in a shuffled order, its stream, which is cut into blocks of equal words;
 the stream starts anew when it is used up. The schedule is a row of slots. Slot i has the point frac(i * golden ratio),
 which the cumulative target weights map to a source; the slot's rank among its source's slots is the block it takes. As
-golden-ratio points are spread evenly, any stretch of the mix holds the sources near their weights.
+golden-ratio points are spread evenly, any stretch of the mix holds the sources near their weights. The slot of its first
+block is a document's place in the mix, and the mixed documents are written in that order.
 
 No step puts a source into one task. Streams and slots are laid out in two levels: hash buckets (or chunks of slots) are
 summed first, the sums are accumulated, and rows are placed within their bucket.
@@ -108,56 +109,68 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
     return ranked.filter("rank < quota").select("slot", "src", "rank").unionByName(late)
 
 
-def blocks(placed: DataFrame, block: int, most: int = 3) -> DataFrame:
+def blocks(placed: DataFrame, block: int, most: int = 3, first_only: bool = False) -> DataFrame:
     """The pieces of documents in their source's blocks: rank (of the block) and words, one row for each document and block.
 
     A stream that is used up starts anew, up to most times. Rows of the target's rest have no piece and stay with nulls.
+    first_only: only the block in which each pass over a document begins; lo and hi are the words of the pass.
     """
     passes = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda p: F.col("start") + p * F.col("source_size"))
     begins = F.filter(passes, lambda lo: lo < F.col("words"))
     span = placed.withColumn("lo", F.explode_outer(begins)).withColumn("hi", F.least(F.col("lo") + F.col("size"), F.col("words")))
-    ranks = F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))
+    ranks = F.sequence(F.floor(F.col("lo") / block), F.floor((F.when(F.lit(first_only), F.col("lo") + 1).otherwise(F.col("hi")) - 1) / block))
     span = span.withColumn("rank", F.explode_outer(ranks))
     part = F.least(F.col("hi"), (F.col("rank") + 1) * block) - F.greatest(F.col("lo"), F.col("rank") * block)
     return span.withColumn("part", part)
 
 
+def scheduled(pieces: DataFrame, slots: DataFrame) -> DataFrame:
+    """Adds slot, the place in the mix of the block that a piece lies in; null if the schedule doesn't take it."""
+    hit = slots.select(F.col("src").alias("slot_src"), F.col("rank").alias("slot_rank"), "slot")
+    return pieces.join(hit, (F.col("src") == F.col("slot_src")) & (F.col("rank") == F.col("slot_rank")), "left").drop("slot_src", "slot_rank")
+
+
 def mix_sources(docs: DataFrame, weights=(5, 2, 1), most: int = 3, block: int = 1024, seed: str = "mix") -> dict[str, DataFrame]:
     """Mixes all documents so that sources reach their target words.
 
     docs: doc_id, text, source; other columns are not read. Sources are ordered by code point, null last, and weigh
     weights, repeating. A text's size is its words (null: 0); documents without words are taken 0 times. Repeated rows
     and ids are documents of their own. An empty table gives empty frames. Returns targets (see source_targets), slots
-    (see schedule) and taken: doc_id, size, source_size, target, taken, src, start, a row for each document. A document
-    is taken at most `most` times, and a source's taken words are its target, rounded. The seed fixes the order, so
-    reruns agree.
+    (see schedule) and taken: doc_id, size, source_size, target, taken, first_slot (of the first block that brings the
+    document; null if none does), src, start, a row for each document. A document is taken at most `most` times, and a
+    source's taken words are its target, rounded. The seed fixes the order, so reruns agree.
     """
     folder = shared_folder(docs.sparkSession)
     rows = written(sized(docs, seed), folder, "sizes")
     targets = written(source_targets(rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")), weights, most), folder, "targets")
     placed = streams(rows, targets)
     slots = written(schedule(targets, block), folder, "slots")
-    pieces = blocks(placed.filter("size > 0"), block, most)
-    hit = slots.select(F.col("src").alias("slot_src"), F.col("rank").alias("slot_rank"), "slot")
-    pieces = pieces.join(hit, (F.col("src") == F.col("slot_src")) & (F.col("rank") == F.col("slot_rank")), "left")
+    pieces = scheduled(blocks(placed.filter("size > 0"), block, most), slots)
     part = F.when(F.col("slot").isNotNull(), F.col("part"))
-    taken = pieces.groupBy("src", "start", "doc_id", "size", "source_size", "target").agg(F.coalesce(F.sum(part), F.lit(0)).cast("long").alias("taken"))
-    columns = ["doc_id", "size", "source_size", "target", "taken", "src", "start"]
-    none = placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long")).select(columns)
-    return {"targets": targets, "slots": slots, "taken": taken.select(columns).unionByName(none)}
+    taken = pieces.groupBy("src", "start", "doc_id", "size", "source_size", "target").agg(F.coalesce(F.sum(part), F.lit(0)).cast("long").alias("taken"), F.min("slot").alias("first_slot"))
+    columns = ["doc_id", "size", "source_size", "target", "taken", "first_slot", "src", "start"]
+    none = placed.filter("size = 0").withColumns({"taken": F.lit(0).cast("long"), "first_slot": F.lit(None).cast("long")}).select(columns)
+    return {"targets": targets, "slots": slots, "placed": placed, "taken": taken.select(columns).unionByName(none)}
 
 
 def mixed_documents(docs: DataFrame, weights=(5, 2, 1), most: int = 3, block: int = 1024, seed: str = "mix") -> DataFrame:
-    """The documents of the mix, each as often as it is taken: the rows of docs, whole, with all their columns.
+    """The documents of the mix, each as often as it is taken: the rows of docs, whole, in the order of the schedule.
 
-    A source's last document may be taken in part; it is in the mix if at least half of it is. Documents without words
-    are not in it. Extra columns stay, whatever their names.
+    Each time a document is taken, it stands at the slot of the block in which that pass over it begins. A source's last
+    document may be taken in part; it is in the mix if at least half of it is. Documents without words are not in it.
+    Extra columns stay, whatever their names. Partitions are ranges of slots, sorted, so a table written from this frame
+    holds the mix in its order.
     """
     mix = mix_sources(docs, weights, most, block, seed)
+    passes = blocks(mix["placed"].filter("size > 0"), block, most, first_only=True)
+    passes = passes.filter((F.col("hi") - F.col("lo")) * 2 >= F.col("size"))
+    at = scheduled(passes, mix["slots"]).filter("slot is not null").groupBy("src", "start").agg(F.collect_list(F.struct("slot", "lo")).alias("slots"))  # at most `most`
     placed = streams(sized(docs, seed, whole=True), mix["targets"]).filter("size > 0").select("src", "start", "row")
-    times = mix["taken"].filter("size > 0").select("src", "start", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("times"))
-    found = placed.join(times.filter("times > 0"), ["src", "start"])
-    return found.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+    found = placed.join(at, ["src", "start"]).select("row", F.explode("slots").alias("at"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    end = (mix["slots"].agg(F.max("slot")).first()[0] or 0) + 1
+    stretch = F.floor(F.col("at.slot") * F.lit(parts) / F.lit(end)).cast("int")  # slots are even, so no sample has to tell the ranges
+    return found.select("row", "at.slot", "at.lo", stretch.alias("stretch")).repartitionById(parts, F.col("stretch")).sortWithinPartitions("slot", "lo").select("row.*")
 
 
 def query(spark, sf_dir) -> DataFrame:
@@ -182,15 +195,31 @@ l AS (
   FROM w WINDOW before AS (ORDER BY cap / weight, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT *, max(CASE WHEN cap > level * weight THEN level END) OVER () AS final FROM l),
 t AS (
-  SELECT source, source_size, CASE WHEN final IS NULL THEN cap ELSE least(cap, final * weight) END AS target FROM f),
+  SELECT source, source_size, src, CASE WHEN final IS NULL THEN cap ELSE least(cap, final * weight) END AS target FROM f),
 p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS words,
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.src, CAST(floor(t.target + 0.5) AS BIGINT) AS words,
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id NULLS FIRST, d.size
                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (
+  SELECT src, words, CAST(ceil(words / 1024) AS BIGINT) AS quota
+  FROM (SELECT DISTINCT src, words FROM p WHERE words > 0)),
+c AS (
+  SELECT src, quota, sum(words) OVER (ORDER BY src) AS upto, sum(words) OVER () AS every,
+         sum(words) OVER (ORDER BY src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS under,
+         max(src) OVER () = src AS last FROM q),
+n AS (SELECT CAST(sum(quota) + sum(quota) // 64 + 64 AS BIGINT) AS slots FROM c),
+u AS (SELECT i AS slot, ((i + 1) % 2147483648) * 1327217885 % 2147483648 / 2147483648 AS u
+      FROM n, unnest(range(slots)) AS g(i)),
+h AS (SELECT slot, src, quota, row_number() OVER (PARTITION BY src ORDER BY slot) - 1 AS rank
+      FROM u JOIN c ON u.u >= coalesce(CAST(under AS DOUBLE) / every, 0) AND u.u < CASE WHEN last THEN 2 ELSE CAST(upto AS DOUBLE) / every END),
+late AS (
+  SELECT CAST(slots + r AS BIGINT) AS slot, src, r AS rank
+  FROM (SELECT src, quota, unnest(range(coalesce(given, 0), quota)) AS r FROM c LEFT JOIN (SELECT src, count(*) AS given FROM h GROUP BY src) USING (src)), n),
+sched AS (SELECT slot, src, rank FROM h WHERE rank < quota UNION ALL SELECT * FROM late)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, slot AS first_slot,
        CAST(greatest(0, least(start + size, words) - start)
           + greatest(0, least(start + source_size + size, words) - (start + source_size))
           + greatest(0, least(start + 2 * source_size + size, words) - (start + 2 * source_size)) AS BIGINT) AS taken
-FROM p
+FROM p LEFT JOIN sched ON p.src = sched.src AND CAST(p.start // 1024 AS BIGINT) = sched.rank AND p.start < p.words AND p.size > 0
 """

@@ -1,5 +1,7 @@
+import re
 from collections import Counter
 
+import pyarrow.parquet as pq
 from llm_helpers import rows
 from llm_oracle import same
 
@@ -40,3 +42,32 @@ def test_mixed_documents(spark, clashing):
         if r["size"]:
             want[r.doc_id] += int(r.taken / r["size"] + 0.5)
     assert Counter(r.doc_id for r in out.collect()) == +want
+
+
+def test_the_mix_is_in_the_order_of_the_schedule(spark, small, tmp_path):
+    """Every prefix of the emitted documents, read back in the order of their files, holds the sources near their weights."""
+    targets = {r.source: r.words for r in mixing.mix_sources(small, block=64)["targets"].collect()}
+    mixing.mixed_documents(small, block=64).write.parquet(f"file://{tmp_path}/mix")
+    got = []
+    for part in sorted((tmp_path / "mix").glob("part-*.parquet")):
+        got += [(r["source"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"]))) for r in pq.read_table(part).to_pylist()]
+    total, longest = sum(targets.values()), max(n for _, n in got)
+    done, sums, apart = 0, Counter(), 0
+    for source, n in got:
+        done += n
+        sums[source] += n
+        apart = max(apart, *(abs(sums[s] - done * w / total) for s, w in targets.items()))
+    shuffled = sorted(got, key=repr)  # source after source, for comparison
+    far, done, sums = 0, 0, Counter()
+    for source, n in shuffled:
+        done += n
+        sums[source] += n
+        far = max(far, *(abs(sums[s] - done * w / total) for s, w in targets.items()))
+    assert apart < longest + 64 * 12 < far, (apart, longest, far)
+
+
+def test_first_slot_is_that_of_the_first_block(small):
+    mix = mixing.mix_sources(small, block=64)
+    slot = {(r.src, r["rank"]): r.slot for r in mix["slots"].collect()}
+    for r in mix["taken"].collect():
+        assert r.first_slot == (slot[r.src, r.start // 64] if r.taken else None)
