@@ -4,9 +4,10 @@ Each letter has a random vector of -1 and 1. A trigram's vector binds its letter
 multiplication; a text's vector bundles those of its trigrams by addition, and so does a language's prototype over all
 its training texts. A text gets the language whose prototype has the largest cosine with the text's vector.
 
-Bundling is linear, so a prototype needs only its language's trigram counts: these are counted over all training texts,
-whole, and summed before they are shuffled, by trigram and language. Letters are mapped to 63 codes, so there are at
-most 2**18 trigrams, and the table of prototypes, which is broadcast, has a row of DIMS numbers for each language.
+Bundling is linear, so a prototype is the sum of its texts' vectors: executors bundle whole texts, a row of DIMS numbers
+for each language and task, and these rows are summed by language and place before the driver gets them. A letter's vector
+is drawn from a hash of its code point, so every letter of every script has its own. The table of prototypes, which is
+broadcast, has a row of DIMS numbers for each language.
 """
 
 from __future__ import annotations
@@ -23,122 +24,168 @@ from tallywright.llm.common import bounded_batches, id_crc, table
 
 DIMS = 1024
 SEED = 7
-BITS = 6
-#: Texts are worked on in groups of about so many characters, and no more than so many texts.
+#: Bits of a letter's number within a trigram.
+BITS = 21
+#: Texts are worked on in groups of about so many characters, longer ones in pieces of as many, and so many texts.
 GROUP = 1 << 20
 GROUP_TEXTS = 512
-#: Rows of trigram vectors that a worker keeps; beyond them they are made anew.
+#: Rows of letter and trigram vectors that a worker keeps; beyond them they are made anew.
 KEPT = 1 << 14
 UNKNOWN = "und"
 #: Most languages that prototypes are made for; more are refused rather than broadcast.
 MOST_LANGUAGES = 4096
+U = np.uint64
 
 
 @cache
-def letter_codes() -> np.ndarray:
-    """The code of each code point: 0 for what is no letter, 1 to 26 for a to z, others by remainder."""
-    points = np.zeros(0x110000, np.uint8)
-    for c in range(0x110000):
-        if chr(c).isalpha():
-            points[c] = 1 + (c - 97) % 26 if 97 <= c <= 122 else 27 + c % 37
-    return points
+def letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-@cache
-def letter_vectors(dims: int) -> np.ndarray:
-    return np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), size=(1 << BITS, dims))
+def letter_vectors(points: np.ndarray, dims: int) -> np.ndarray:
+    """The vectors of -1 and 1 of code points; 0 stands for what is no letter. Bits are hashes of the point and the place."""
+    word = np.arange(-(-dims // 64), dtype=np.uint64)
+    x = points.astype(np.uint64)[:, None] * U(0x9E3779B97F4A7C15) + word * U(0xD1342543DE82EF95) + U(SEED)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 0x9E3779B97F4A7C15)):
+        x = (x ^ (x >> U(shift))) * U(factor)
+    bits = np.unpackbits((x ^ (x >> U(32))).view(np.uint8).reshape(len(points), -1), axis=1)[:, :dims]
+    return bits.astype(np.int8) * 2 - 1
 
 
 def trigram_vectors(trigrams: np.ndarray, dims: int) -> np.ndarray:
     """The bound vectors of trigrams; a letter's vector is rolled by two, one or no places."""
-    v = letter_vectors(dims)
-    first, second = np.roll(v, 2, axis=1), np.roll(v, 1, axis=1)
-    return first[trigrams >> 2 * BITS] * second[trigrams >> BITS & 63] * v[trigrams & 63]
+    parts = [trigrams >> 2 * BITS, trigrams >> BITS & ((1 << BITS) - 1), trigrams & ((1 << BITS) - 1)]
+    points, at = np.unique(np.concatenate(parts), return_inverse=True)
+    v = letter_vectors(points, dims)
+    one, two, three = np.split(at, 3)
+    return np.roll(v, 2, axis=1)[one] * np.roll(v, 1, axis=1)[two] * v[three]
 
 
-def counted(texts: list[str | None]) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each group of texts its slice, and by text in the group: text, trigram and count; and whether each text has a letter.
+def lines_of(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Groups of texts as (first text, letters, the text of each from 0), a space before and behind each text.
 
-    Runs of other characters are one space.
+    What is no letter is 0, and runs of it are one. A text longer than a group comes in pieces, each with the last two
+    places of the piece before it, so that no trigram is lost or counted twice.
     """
-    codes, start = letter_codes(), 0
+
+    def squeezed(codes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        codes = np.where(letters()[codes], codes, 0)
+        keep = np.ones(len(codes), bool)
+        keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0) | (doc[1:] != doc[:-1])
+        return codes[keep].astype(np.int64), doc[keep]
+
+    points = lambda text: np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    start = 0
     while start < len(texts):
         end, size = start, 0
-        while end < len(texts) and end < start + GROUP_TEXTS and (end == start or size + len(texts[end] or "") < GROUP):
-            size += len(texts[end] or "")
+        while end < len(texts) and end < start + GROUP_TEXTS and (end == start or size + len(texts[end]) < GROUP):
+            size += len(texts[end])
             end += 1
-        lows = [(t or "").lower() for t in texts[start:end]]
-        lengths = np.array([len(t) + 2 for t in lows])
-        line = codes[np.frombuffer("".join(f" {t} " for t in lows).encode("utf-32-le", "surrogatepass"), np.uint32)]
-        doc = np.repeat(np.arange(end - start), lengths)
-        keep = np.ones(len(line), bool)
-        keep[1:] = (line[1:] != 0) | (line[:-1] != 0) | (doc[1:] != doc[:-1])
-        line, doc = line[keep].astype(np.int64), doc[keep]
-        has = np.bincount(doc[line != 0], minlength=end - start) > 0
-        both = (doc[2:] << 3 * BITS | line[:-2] << 2 * BITS | line[1:-1] << BITS | line[2:])[doc[2:] == doc[:-2]]
-        both.sort()
-        edge = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1]))) if len(both) else np.zeros(0, np.int64)
-        number = np.diff(np.append(edge, len(both)))
-        values = both[edge]
-        yield slice(start, end), values >> 3 * BITS, values & ((1 << 3 * BITS) - 1), number, has
+        if size <= 2 * GROUP:
+            yield start, *squeezed(points("".join(f" {t} " for t in texts[start:end])), np.repeat(np.arange(end - start), [len(t) + 2 for t in texts[start:end]]))
+        else:
+            text, last = texts[start], np.array([32], np.uint32)
+            for a in range(0, len(text), GROUP):
+                more = points(text[a : a + GROUP] + (" " if a + GROUP >= len(text) else ""))
+                line, doc = squeezed(np.concatenate([last, more]), np.zeros(len(last) + len(more), np.int64))
+                last = line[-2:].astype(np.uint32)
+                yield start, line, doc
         start = end
 
 
-def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, text to trigram counts by language, summed over the task's texts."""
-    sums: dict[str, np.ndarray] = {}
-    for batch in batches:
-        langs = batch.column("lang").to_pylist()
-        for part, text, trigrams, counts, _ in counted(batch.column("text").to_pylist()):
-            own = np.array(langs[part], dtype=object)[text]
-            for lang in set(langs[part]):
-                mine = own == lang
-                total = sums.setdefault(lang, np.zeros(1 << 3 * BITS, np.int64))
-                total += np.bincount(trigrams[mine], weights=counts[mine], minlength=1 << 3 * BITS).astype(np.int64)
-    for lang, total in sums.items():
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(found), pa.string()), "trigram": pa.array(found, pa.int64()), "n": pa.array(total[found])})
-
-
-def fit(training: DataFrame, dims: int = DIMS) -> tuple[list[str], np.ndarray]:
-    """The languages, sorted, and their prototypes as unit rows. training: text and lang, both not null.
-
-    The counts that come to the driver are at most 2**18 a language; the number of languages is checked.
-    """
-    counts = training.select("lang", "text").mapInArrow(count_trigrams, "lang string, trigram bigint, n bigint")
-    counts = counts.groupBy("lang", "trigram").agg(F.sum("n").alias("n"))
-    rows = counts.toPandas()
-    names = sorted(rows["lang"].unique())
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"{len(names)} languages; at most {MOST_LANGUAGES} are broadcast")
-    out = np.zeros((len(names), dims))
-    for k, name in enumerate(names):
-        own = rows[rows["lang"] == name]
-        trigrams, n = own["trigram"].to_numpy(), own["n"].to_numpy(np.float64)
-        for a in range(0, len(n), 4096):
-            out[k] += n[a : a + 4096] @ trigram_vectors(trigrams[a : a + 4096], dims).astype(np.float64)
-    return names, out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+def counted(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each group of lines_of its first text, and by text in the group: text, trigram and count."""
+    for start, line, doc in lines_of([(t or "").lower() for t in texts]):
+        known, small = np.unique(line, return_inverse=True)  # few letters in a group: a trigram and its text sort as one number
+        size = len(known)
+        both = ((doc[2:] * size + small[:-2]) * size + small[1:-1]) * size + small[2:]
+        both = np.sort(both[doc[2:] == doc[:-2]])
+        edge = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1]))) if len(both) else np.zeros(0, np.int64)
+        values, number = both[edge], np.diff(np.append(edge, len(both)))
+        trigram = known[values // size**2 % size] << 2 * BITS | known[values // size % size] << BITS | known[values % size]
+        yield start, values // size**3, trigram, number
 
 
 class Vectors:
     """Trigram vectors, kept while there is room."""
 
     def __init__(self, dims: int):
-        self.dims, self.rows, self.where = dims, np.zeros((0, dims), np.float32), np.full(1 << 3 * BITS, -1, np.int32)
+        self.dims = dims
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows, self.known, self.place = np.zeros((0, self.dims), np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def of(self, trigrams: np.ndarray) -> np.ndarray:
-        at = self.where[trigrams]
-        new = trigrams[at < 0]
+        """The vectors of distinct trigrams."""
+        have = np.isin(trigrams, self.known)
+        new = trigrams[~have]
+        if len(self.rows) + len(new) > KEPT:
+            self.clear()
+            new = trigrams
+        if len(new) > KEPT:
+            return trigram_vectors(trigrams, self.dims).astype(np.float32)
         if len(new):
-            made = trigram_vectors(new, self.dims).astype(np.float32)
-            if len(self.rows) + len(new) > KEPT:
-                self.rows, self.where[:] = self.rows[:0], -1
-            if len(new) > KEPT or (at >= 0).any() and len(self.rows) == 0:
-                return trigram_vectors(trigrams, self.dims).astype(np.float32)
-            self.where[new] = np.arange(len(self.rows), len(self.rows) + len(new))
-            self.rows = np.concatenate([self.rows, made])
-            at = self.where[trigrams]
-        return self.rows[at]
+            known = np.concatenate([self.known, new])
+            place = np.concatenate([self.place, np.arange(len(self.rows), len(self.rows) + len(new))])
+            order = np.argsort(known)
+            self.known, self.place = known[order], place[order]
+            self.rows = np.concatenate([self.rows, trigram_vectors(new, self.dims).astype(np.float32)])
+        return self.rows[self.place[np.searchsorted(self.known, trigrams)]]
+
+
+def bundled(texts: list[str | None], vectors: Vectors) -> np.ndarray:
+    """The sum of each text's trigram vectors: whole numbers, exact."""
+    out = np.zeros((len(texts), vectors.dims))
+    for start, text, trigrams, counts in counted(texts):
+        if len(text):
+            found, column = np.unique(trigrams, return_inverse=True)
+            number = int(text[-1]) + 1
+            for a in range(0, len(found), 4096):
+                part = slice(a, a + 4096)
+                own = (column >= a) & (column < a + 4096)
+                bag = np.zeros((number, len(found[part])), np.float32)  # sums below 2**24: a group has no more places
+                bag[text[own], column[own] - a] = counts[own]
+                out[start : start + number] += bag @ vectors.of(found[part])
+    return out
+
+
+def bundle(dims: int):
+    """lang, text to each language's sum of vectors over the task's texts: lang and sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        vectors = Vectors(dims)
+        for batch in batches:
+            langs = np.array(batch.column("lang").to_pylist(), dtype=object)
+            own = bundled(batch.column("text").to_pylist(), vectors)
+            for lang in set(langs):
+                sums[lang] = sums.get(lang, 0) + own[langs == lang].sum(axis=0)
+            if len(sums) > MOST_LANGUAGES:
+                raise ValueError(f"over {MOST_LANGUAGES} languages; their prototypes are not broadcast")
+        yield pa.RecordBatch.from_pydict({"lang": pa.array(list(sums), pa.string()), "sums": pa.array([s.astype(np.int64) for s in sums.values()], pa.list_(pa.int64()))})
+
+    return run
+
+
+def fit(training: DataFrame, dims: int = DIMS) -> tuple[list[str], np.ndarray]:
+    """The languages, sorted, and their prototypes as unit rows. training: text and lang, both not null.
+
+    What comes to the driver is a row of dims numbers for each language, whose number is checked first.
+    """
+    sums = training.select("lang", "text").mapInArrow(bundle(dims), "lang string, sums array<bigint>")
+    sums = sums.select("lang", F.posexplode("sums").alias("place", "x")).groupBy("lang", "place").agg(F.sum("x").alias("x"))
+    each = sums.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "x"))), lambda e: e["x"]).alias("sums"))  # dims numbers
+    rows = sorted(each.limit(MOST_LANGUAGES + 1).collect(), key=lambda r: r["lang"])
+    if len(rows) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages; their prototypes are not broadcast")
+    out = np.array([r["sums"] for r in rows], np.float64).reshape(len(rows), dims)
+    return [r["lang"] for r in rows], out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 def predictor(names: list[str], prototypes: np.ndarray):
@@ -150,18 +197,14 @@ def predictor(names: list[str], prototypes: np.ndarray):
         for batch in batches:
             texts = batch.column("row").field("text").to_pylist()
             lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            for part, text, trigrams, counts, has in counted(texts):
-                if not names:
-                    break
-                found, column = np.unique(trigrams, return_inverse=True)
-                bag = np.zeros((part.stop - part.start, len(found)), np.float32)
-                bag[text, column] = counts
-                bundled = bag @ vectors.of(found)
-                cosines = bundled @ protos.T / np.maximum(np.linalg.norm(bundled, axis=1, keepdims=True), 1e-12)
+            if names:
+                own = bundled(texts, vectors)
+                cosines = own.astype(np.float32) @ protos.T / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
                 best = cosines.argmax(axis=1)
-                for k in np.flatnonzero(has):
-                    lang[part.start + k] = names[best[k]]
-                    score[part.start + k] = min(1.0, max(0.0, float(cosines[k, best[k]])))
+                for k, text in enumerate(texts):
+                    if text and has_letter(text):
+                        lang[k] = names[best[k]]
+                        score[k] = min(1.0, max(0.0, float(cosines[k, best[k]])))
             yield pa.RecordBatch.from_pydict({"row": batch.column("row"), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score)})
 
     return predict
