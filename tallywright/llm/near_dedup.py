@@ -33,9 +33,10 @@ LEAST = (4, 5)
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 GROUP = 1 << 21
-#: Buckets of more members are compared as blocks of about so many shingles.
+#: Buckets of more members are compared as blocks of about so many shingles and members at most.
 FEW = 32
 BLOCK = 400_000
+MEMBERS = 1024
 WORDS = re.compile(WORD)
 U = np.uint64
 
@@ -191,7 +192,7 @@ def linked(block: pa.Table) -> pa.Table:
     doc, place = doc[order], place[order]
     for a in range(0, int((often > 1).sum()), 4096):
         part = slice(*np.searchsorted(place, [a, a + 4096]))
-        held = np.zeros((count, 4096), np.float32)
+        held = np.zeros((count, min(4096, int((often > 1).sum()) - a)), np.float32)
         held[doc[part], place[part] - a] = 1
         shared += held @ held.T
     least, of = LEAST
@@ -210,8 +211,11 @@ def linked(block: pa.Table) -> pa.Table:
 
 
 def links_of_blocks(open_: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links within large buckets: band, fp, n, root, total (the bucket's shingles)."""
-    blocks = F.ceil(F.col("total") / BLOCK).cast("int")
+    """The links within large buckets: band, fp, n, root, members and total (the bucket's shingles).
+
+    A task meets two blocks, so its matrices have about (2 * MEMBERS) ** 2 cells however short the texts are.
+    """
+    blocks = F.ceil(F.greatest(F.col("total") / BLOCK, F.col("members") / MEMBERS)).cast("int")
     own = open_.withColumn("i", F.pmod(F.xxhash64("fp"), blocks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
     own = own.select("band", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "fp", "root").join(sets, "fp")
     return own.groupBy("band", "i", "j").applyInArrow(lambda t: linked(t), "a binary, b binary").distinct()

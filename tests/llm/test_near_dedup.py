@@ -2,7 +2,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from llm_helpers import DOCS, rows
+from pyspark.sql import functions as F
 
 from tallywright.llm import near_dedup as nd
 
@@ -89,8 +92,6 @@ def test_signatures_estimate_probability_jaccard():
 
 def test_bands_do_not_depend_on_how_often_shingles_stand():
     """500 shared shingles, 100 of them 50 times in one version: 25 bands miss 5e-5 of such pairs at a Jaccard of 0.8."""
-    import pyarrow as pa
-
     rng = random.Random(11)
     for own, most in ((0, 0), (55, 2)):  # a Jaccard of about 1 and of about 0.8
         texts, pairs = [], 300
@@ -101,3 +102,63 @@ def test_bands_do_not_depend_on_how_often_shingles_stand():
         batch = pa.RecordBatch.from_pydict({"doc": pa.array(range(len(texts))), "fp": pa.array([str(i).encode() for i in range(len(texts))]), "text": pa.array(texts)})
         bands = [set(x) for b in nd.signed(iter([batch])) for x in b.column("bands").to_pylist()]
         assert sum(bands[2 * i].isdisjoint(bands[2 * i + 1]) for i in range(pairs)) <= most
+
+
+@pytest.mark.parametrize("times", [5, 20, 100])
+def test_recall_where_one_version_repeats_half_of_its_passages(times):
+    """Pairs of a set Jaccard of 0.8 to 0.87 of which one repeats half of the shingles: all but 5e-5 meet in a band."""
+    rng, texts = random.Random(times), []
+    for _ in range(120):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(204)]
+        own = rng.randint(14, 22)
+        ends = [[f"w{rng.randrange(10**6)}" for _ in range(own)] for _ in range(2)]
+        texts += [" ".join(base + ends[0]), " ".join(base[:104] * times + base + ends[1])]
+    found = nd.shingles(texts, nd.WordHashes())
+    alike = [len(np.intersect1d(x, y)) / len(np.union1d(x, y)) for x, y in zip(found[::2], found[1::2], strict=True)]
+    assert min(alike) >= 0.79
+    batch = pa.RecordBatch.from_pydict({"doc": pa.array(range(len(texts))), "fp": pa.array([str(i).encode() for i in range(len(texts))]), "text": pa.array(texts)})
+    bands = [set(x) for b in nd.signed(iter([batch])) for x in b.column("bands").to_pylist()]
+    met = [not bands[2 * i].isdisjoint(bands[2 * i + 1]) for i in range(len(texts) // 2) if alike[i] >= 0.8]
+    assert len(met) > 50 and np.mean(met) >= 0.99
+
+
+def test_large_buckets_of_short_texts(spark):
+    """6000 texts of 8 shingles in one bucket: blocks are bounded by members, every link between components is found."""
+    rng = np.random.default_rng(4)
+    base = [rng.integers(0, 1 << 60, 8) for _ in range(1500)]
+    sets = [np.unique(np.concatenate([base[i % 1500][:7], rng.integers(0, 1 << 60, 1)]) if i >= 1500 and i % 3 else base[i % 1500]) for i in range(6000)]
+    frame = spark.createDataFrame([(i.to_bytes(4, "big"), s.tolist()) for i, s in enumerate(sets)], "fp binary, shingles array<bigint>")
+    open_ = frame.selectExpr("1 AS band", "fp", "fp AS root", "6000L AS members", "48000L AS total")
+    sizes = open_.select(F.ceil(F.greatest(F.col("total") / nd.BLOCK, F.col("members") / nd.MEMBERS)).alias("n")).first().n
+    assert sizes == 6
+    top = list(range(6000))
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for r in nd.links_of_blocks(open_, frame).collect():
+        a, b = int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")
+        k = len(np.intersect1d(sets[a], sets[b]))
+        assert 5 * k >= 4 * (len(sets[a]) + len(sets[b]) - k)
+        top[find(a)] = find(b)
+    of = [find(i) for i in range(6000)]
+    by = {}
+    for i, s in enumerate(sets):
+        by.setdefault(tuple(s.tolist()), []).append(of[i])
+    assert all(len(set(x)) == 1 for x in by.values())  # equal sets are linked, at the least
+    assert len(set(of)) < 6000
+
+
+def test_memory_of_a_full_block():
+    import tracemalloc
+
+    n = 2 * nd.MEMBERS
+    rng = np.random.default_rng(1)
+    sets = [rng.integers(0, 4000, 2 * nd.BLOCK // n).tolist() for _ in range(n)]
+    block = pa.table({"fp": [i.to_bytes(4, "big") for i in range(n)], "root": [b"r"] * n, "shingles": pa.array(sets, pa.list_(pa.int64()))})
+    tracemalloc.start()
+    assert nd.linked(block).num_rows == 0
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
