@@ -3,8 +3,9 @@
 Two equal windows of 50 bytes hold the same 20-byte anchor, the one of their 31 with the smallest hash, at the same place.
 So the corpus is dealt by anchors:
 
-1. Anchors of all documents are sorted by hash; those that two documents share go back to their documents.
-2. Each document gives, for each shared anchor, its context: the bytes of the windows that have this anchor, at most 80.
+1. Equal texts are found by two 64-bit digests. All but the copy with the smallest id go whole and take no further part.
+   Anchors of all documents are sorted by hash; those that two different texts share go back to their texts.
+2. Each text gives, for each shared anchor, its context: the bytes of the windows that have this anchor, at most 80.
    Contexts are sorted by anchor, bytes and document.
 3. In a stream over the sorted contexts, an equal context of a smaller document covers a context whole. What is left is
    each anchor's different contexts, each with its smallest document. They are sorted by suffix arrays in blocks: equal
@@ -29,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import LAST_ID, discard, release, shared_folder, table, written
+from tallywright.llm.common import LAST_ID, bounded_batches, discard, release, shared_folder, table, written
 from tallywright.llm.suffix_array import equal_windows
 
 #: Fixed value: the length of the strings that are matched.
@@ -109,21 +110,29 @@ def encoded(column: pa.Array) -> list[bytes]:
 
 
 def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, text to h, doc: a document's anchors."""
+    """p1, text to h, p1: a text's anchors."""
     for batch in batches:
-        ids = batch.column("doc").to_numpy()
+        ids = batch.column("p1").to_numpy()
         for start, data, doc, _ in grouped(encoded(batch.column("text"))):
             first, _, _, h = anchors(data, doc)
             if len(first):
-                yield pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "doc": pa.array(ids[start + doc[first]])})
+                yield pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "p1": pa.array(ids[start + doc[first]])})
 
 
 def shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by h, doc to those whose h stands with another doc too; a run may reach over batches."""
+    """Rows sorted by h, p1 to the distinct ones whose h stands with another p1 too; a run may reach over batches."""
     held: tuple[int, int] | None = None  # the last row, not yet given, or None if it was
     last: int | None = None
+    before = None
     for batch in batches:
-        h, doc = batch.column("h").to_numpy(), batch.column("doc").to_numpy()
+        h, doc = batch.column("h").to_numpy(), batch.column("p1").to_numpy()
+        if not len(h):
+            continue
+        new = np.ones(len(h), bool)
+        new[0] = (h[0], doc[0]) != before
+        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        before = (h[-1], doc[-1])
+        h, doc = h[new], doc[new]
         if not len(h):
             continue
         first = np.concatenate(([True], h[1:] != h[:-1]))
@@ -145,13 +154,13 @@ def shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         if not (same and not good[0]):
             held = None if good[-1] else (int(h[-1]), int(doc[-1]))
         last = int(h[-1])
-        yield pa.RecordBatch.from_pydict({"h": pa.array(out_h), "doc": pa.array(out_doc)})
+        yield pa.RecordBatch.from_pydict({"h": pa.array(out_h), "p1": pa.array(out_doc)})
 
 
 def context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, part, text, shared (a document's shared anchors) to h, context, anchor, doc, part, start."""
+    """doc, p1, p2, text, shared (a text's shared anchors) to h, context, anchor, doc, p1, p2, start."""
     for batch in batches:
-        ids, parts, texts = batch.column("doc").to_numpy(), batch.column("part").to_numpy(), encoded(batch.column("text"))
+        keys, texts = {n: batch.column(n).to_numpy() for n in ("doc", "p1", "p2")}, encoded(batch.column("text"))
         lists = batch.column("shared")
         offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
         for start, data, doc, begin in grouped(texts):
@@ -166,7 +175,7 @@ def context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = data.tobytes()
             contexts = [raw[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
             anchor = (at - low).astype(np.int32)
-            yield pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "context": pa.array(contexts, pa.binary()), "anchor": pa.array(anchor), "doc": pa.array(ids[start + own]), "part": pa.array(parts[start + own].astype(np.int32)), "start": pa.array((low - begin[own]).astype(np.int32))})
+            yield pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "context": pa.array(contexts, pa.binary()), "anchor": pa.array(anchor)} | {n: pa.array(x[start + own]) for n, x in keys.items()} | {"start": pa.array((low - begin[own]).astype(np.int32))})
 
 
 def anchor_places(context: bytes, first: int) -> list[tuple[int, int]]:
@@ -186,12 +195,12 @@ class Block:
     """Contexts to be compared by suffix arrays."""
 
     def __init__(self):
-        self.rows: list[tuple[bytes, int, list[tuple[int, int]]]] = []
+        self.rows: list[tuple[bytes, int, list[tuple[tuple[int, int], int]]]] = []
         self.size = 0
-        self.ranges: list[tuple[int, int, int, int]] = []  # doc, part, start, end
+        self.ranges: list[tuple[int, tuple[int, int], int, int]] = []  # doc, text, start, end
 
-    def take(self, contexts: list[tuple[bytes, int, int, list[tuple[int, int]]]]) -> None:
-        """One anchor's different contexts as (bytes, place of the anchor, smallest document, its parts and starts)."""
+    def take(self, contexts: list[tuple[bytes, int, int, list[tuple[tuple[int, int], int]]]]) -> None:
+        """One anchor's different contexts as (bytes, place of the anchor, smallest document, its texts and starts)."""
         sides: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
         for k, (c, a, _, _) in enumerate(contexts):
             for place, most in anchor_places(c, a):
@@ -210,9 +219,9 @@ class Block:
         if self.size > BLOCK:
             self.flush()
 
-    def split(self, left: int, contexts: list[tuple[tuple[bytes, int, int, list[tuple[int, int]]], int, int]]) -> None:
+    def split(self, left: int, contexts: list[tuple[tuple[bytes, int, int, list[tuple[tuple[int, int], int]]], int, int]]) -> None:
         """Contexts with a common part around a place, cut to the windows that hold it and have that leftmost place: most are then equal, and only the first is compared."""
-        first: dict[bytes, tuple[int, list[tuple[int, int]]]] = {}
+        first: dict[bytes, tuple[int, list[tuple[tuple[int, int], int]]]] = {}
         for (c, _, doc, places), a, most in sorted(contexts, key=lambda x: x[0][2]):
             low = max(0, a - min(most, left + STEP - 1 if left + STEP < SIDE else SIDE))
             short = c[low : a + WIDTH - left]
@@ -229,7 +238,7 @@ class Block:
             if self.size > BLOCK:
                 self.flush()
 
-    def add(self, context: bytes, doc: int, places: list[tuple[int, int]]) -> None:
+    def add(self, context: bytes, doc: int, places: list[tuple[tuple[int, int], int]]) -> None:
         self.rows.append((context, doc, places))
         self.size += len(context) + 1
 
@@ -260,7 +269,7 @@ class Block:
 
 
 def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts sorted by h, context, anchor, doc, start to covered ranges: doc, part, start, end."""
+    """Contexts sorted by h, context, anchor, doc, start to covered ranges: doc, p1, p2, start, end."""
     block, group = Block(), []
     key = place = context = None  # of the last row, and the document that leads its run
     leader = 0
@@ -271,16 +280,16 @@ def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group.clear()
 
     def given(*more: np.ndarray) -> pa.RecordBatch:
-        own = np.array(block.ranges, np.int64).reshape(-1, 4).T
+        own = np.array([(doc, *text, a, b) for doc, text, a, b in block.ranges], np.int64).reshape(-1, 5).T
         block.ranges = []
         columns = [np.concatenate(x) for x in zip(own, more, strict=True)] if more else own
-        return pa.RecordBatch.from_pydict({n: pa.array(np.ascontiguousarray(x)) for n, x in zip(("doc", "part", "start", "end"), columns, strict=True)})
+        return pa.RecordBatch.from_pydict({n: pa.array(np.ascontiguousarray(x)) for n, x in zip(("doc", "p1", "p2", "start", "end"), columns, strict=True)})
 
     for batch in batches:
         if not batch.num_rows:
             continue
         contexts = batch.column("context")
-        h, anchor, doc, part, start = (batch.column(n).to_numpy() for n in ("h", "anchor", "doc", "part", "start"))
+        h, anchor, doc, p1, p2, start = (batch.column(n).to_numpy() for n in ("h", "anchor", "doc", "p1", "p2", "start"))
         again = np.zeros(len(h), bool)  # the row has the context of the row before
         again[0] = h[0] == key and anchor[0] == place and contexts[0].as_py() == context
         again[1:] = (h[1:] == h[:-1]) & (anchor[1:] == anchor[:-1]) & pc.equal(contexts[1:], contexts[:-1]).to_numpy(zero_copy_only=False)
@@ -289,15 +298,16 @@ def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = pc.binary_length(contexts).to_numpy()
         rest = np.flatnonzero(~later)
         for k, c in zip(rest.tolist(), contexts.take(pa.array(rest)).to_pylist(), strict=True):
+            place_ = (int(p1[k]), int(p2[k])), int(start[k])
             if again[k]:
-                group[-1][3].append((int(part[k]), int(start[k])))
+                group[-1][3].append(place_)
                 continue
             if h[k] != key:
                 close()
                 key = h[k]
-            group.append((c, int(anchor[k]), int(doc[k]), [(int(part[k]), int(start[k]))]))
+            group.append((c, int(anchor[k]), int(doc[k]), [place_]))
         key, place, context, leader = h[-1], anchor[-1], contexts[len(h) - 1].as_py(), int(leaders[-1])
-        yield given(doc[later], part[later], start[later], start[later] + size[later])
+        yield given(doc[later], p1[later], p2[later], start[later], start[later] + size[later])
     close()
     block.flush()
     yield given()
@@ -337,23 +347,32 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
     Returns row, removed (maximal ranges start, end) and kept (the bytes that stay, which may cut a character).
     """
     spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
+    bounded_batches(spark)
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
-    part = F.hash("text").cast("bigint")  # rows with the same id may have different texts
-    plain = docs.select(doc.alias("doc"), part.alias("part"), "text").filter(F.octet_length("text") >= WIDTH)
-    rows = plain.select("doc", "text").mapInArrow(anchor_rows, "h bigint, doc bigint").repartition(shuffles, "h").sortWithinPartitions("h", "doc")
-    shared = written(rows.mapInArrow(shared_anchors, "h bigint, doc bigint"), folder, "shared")
+    p1, p2 = F.xxhash64("text"), F.xxhash64(F.lit(WIDTH), "text")  # rows with the same id may have different texts
+    plain = docs.filter(F.octet_length("text") >= WIDTH).select(doc.alias("doc"), p1.alias("p1"), p2.alias("p2"), "text")
+    light = plain.select("doc", "p1", "p2", F.octet_length("text").cast("long").alias("end"))
+    first = light.groupBy("p1", "p2").agg(F.min("doc").alias("doc"), F.max("doc").alias("last"))
+    first = written(first, folder, "first")
+    several = first.filter("last > doc").select("p1", "p2", F.col("doc").alias("first"))
+    copies = light.join(several, ["p1", "p2"]).filter("doc > first").select("doc", "p1", "p2", F.lit(0).cast("long").alias("start"), "end")
+
+    rows = plain.select("p1", "text").mapInArrow(anchor_rows, "h bigint, p1 bigint").repartition(shuffles, "h").sortWithinPartitions("h", "p1")
+    shared = written(rows.mapInArrow(shared_anchors, "h bigint, p1 bigint"), folder, "shared")
     del rows
     release(spark)
-    lists = shared.groupBy("doc").agg(F.collect_list("h").alias("shared")).hint("shuffle_hash")
-    contexts = plain.join(lists, "doc").mapInArrow(context_rows, "h bigint, context binary, anchor int, doc bigint, part int, start int")
+    lists = shared.groupBy("p1").agg(F.collect_list("h").alias("shared"))
+    lists = first.drop("last").join(lists.hint("shuffle_hash"), "p1").hint("shuffle_hash")
+    contexts = plain.join(lists, ["doc", "p1", "p2"]).mapInArrow(context_rows, "h bigint, context binary, anchor int, doc bigint, p1 bigint, p2 bigint, start int")
     contexts = contexts.repartition(shuffles, "h").sortWithinPartitions("h", "context", "anchor", "doc", "start")
-    ranges = written(contexts.mapInArrow(covered, "doc bigint, part bigint, start bigint, end bigint"), folder, "ranges")
-    del contexts, lists, shared
-    discard(spark, folder, "shared")
+    ranges = written(contexts.mapInArrow(covered, "doc bigint, p1 bigint, p2 bigint, start bigint, end bigint"), folder, "ranges")
+    copies = written(copies, folder, "copies")
+    del contexts, lists, shared, first, several
+    discard(spark, folder, "shared", "first")
     release(spark)
-    per = ranges.groupBy("doc", "part").agg(F.collect_set(F.struct("start", "end")).alias("ranges")).hint("shuffle_hash")
-    given = docs.select(F.struct("*").alias("row"), doc.alias("doc"), part.alias("part")).join(per, ["doc", "part"], "left").select("row", "ranges")
+    per = ranges.unionByName(copies).groupBy("doc", "p1", "p2").agg(F.collect_set(F.struct("start", "end")).alias("ranges")).hint("shuffle_hash")
+    given = docs.select(F.struct("*").alias("row"), doc.alias("doc"), p1.alias("p1"), p2.alias("p2")).join(per, ["doc", "p1", "p2"], "left").select("row", "ranges")
     out = given.select("row").schema["row"].dataType.simpleString()
     return given.mapInArrow(cut, f"row {out}, removed array<struct<start:bigint,end:bigint>>, kept binary")
 
