@@ -110,22 +110,46 @@ def encoded(column: pa.Array) -> list[bytes]:
 
 
 def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """p1, text to h, p1: a text's anchors."""
+    """p1, text to h, p1, known: a text's anchors.
+
+    An anchor that three texts of a batch hold is known to be shared: two rows tell its other texts so, and the rest of
+    them, known, need not be dealt by h. So an anchor of a third of all texts is no hot key.
+    """
     for batch in batches:
-        ids = batch.column("p1").to_numpy()
+        ids, found = batch.column("p1").to_numpy(), []
         for start, data, doc, _ in grouped(encoded(batch.column("text"))):
             first, _, _, h = anchors(data, doc)
-            if len(first):
-                yield pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "p1": pa.array(ids[start + doc[first]])})
+            found.append((h.view(np.int64), ids[start + doc[first]]))
+        h, p1 = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        known = np.zeros(len(h), bool)
+        values = np.sort(h)
+        often = np.unique(values[2:][values[2:] == values[:-2]])
+        if len(often):
+            at = np.flatnonzero(often[np.minimum(np.searchsorted(often, h), len(often) - 1)] == h)
+            at = at[np.lexsort((p1[at], h[at]))]
+            same_h, same = h[at][1:] == h[at][:-1], p1[at][1:] == p1[at][:-1]
+            again = np.concatenate(([False], same_h & same))
+            at, same_h = at[~again], np.concatenate(([False], same_h))[~again]
+            third = np.concatenate((np.zeros(min(2, len(at)), bool), same_h[2:] & same_h[1:-1]))
+            known[at[third]] = True
+            keep = np.ones(len(h), bool)
+            keep[np.flatnonzero(np.isin(h, often))] = False
+            keep[at] = True
+            h, p1, known = h[keep], p1[keep], known[keep]
+        yield pa.RecordBatch.from_pydict({"h": pa.array(h), "p1": pa.array(p1), "known": pa.array(known)})
 
 
 def shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by h, p1 to the distinct ones whose h stands with another p1 too; a run may reach over batches."""
+    """Rows sorted by h, p1 to the distinct ones whose h stands with another p1 too, and the known ones; a run may reach over batches."""
     held: tuple[int, int] | None = None  # the last row, not yet given, or None if it was
     last: int | None = None
     before = None
     for batch in batches:
         h, doc = batch.column("h").to_numpy(), batch.column("p1").to_numpy()
+        known = batch.column("known").to_numpy(zero_copy_only=False)
+        if known.any():
+            yield pa.RecordBatch.from_pydict({"h": pa.array(h[known]), "p1": pa.array(doc[known])})
+            h, doc = h[~known], doc[~known]
         if not len(h):
             continue
         new = np.ones(len(h), bool)
@@ -158,11 +182,16 @@ def shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, p1, p2, text, shared (a text's shared anchors) to h, context, anchor, doc, p1, p2, start."""
+    """doc, p1, p2, text, shared (a text's shared anchors) to h, context, anchor, doc, p1, p2, start.
+
+    Of a batch's equal contexts only those of its smallest document are given; it covers the others whole, which become
+    covered ranges at once: rows without a context, with the length as anchor and any h.
+    """
     for batch in batches:
         keys, texts = {n: batch.column(n).to_numpy() for n in ("doc", "p1", "p2")}, encoded(batch.column("text"))
         lists = batch.column("shared")
         offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+        contexts, found = [], []
         for start, data, doc, begin in grouped(texts):
             first, last, at, h = anchors(data, doc)
             own, keep = doc[first], np.zeros(len(first), bool)
@@ -173,9 +202,27 @@ def context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     keep[cuts[k] : cuts[k + 1]] = np.isin(h[cuts[k] : cuts[k + 1]], wanted)
             low, high, at, h, own = first[keep], last[keep] + WIDTH, at[keep], h[keep], own[keep]
             raw = data.tobytes()
-            contexts = [raw[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
-            anchor = (at - low).astype(np.int32)
-            yield pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "context": pa.array(contexts, pa.binary()), "anchor": pa.array(anchor)} | {n: pa.array(x[start + own]) for n, x in keys.items()} | {"start": pa.array((low - begin[own]).astype(np.int32))})
+            contexts += [raw[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+            found.append((h.view(np.int64), (at - low).astype(np.int32), start + own, (low - begin[own]).astype(np.int32)))
+        if not contexts:
+            continue
+        h, anchor, row, place = (np.concatenate(x) for x in zip(*found, strict=True))
+        doc, stay = keys["doc"][row], np.ones(len(h), bool)
+        order = np.argsort(h, kind="stable")
+        twice = np.zeros(len(h), bool)
+        same = h[order][1:] == h[order][:-1]
+        twice[order[1:][same]] = twice[order[:-1][same]] = True
+        least: dict[bytes, int] = {}
+        several = np.flatnonzero(twice).tolist()
+        for k in several:
+            least[contexts[k]] = min(least.get(contexts[k], LAST_ID), int(doc[k]))
+        for k in several:
+            stay[k] = doc[k] == least[contexts[k]]
+        gone = np.flatnonzero(~stay)
+        size = np.array([len(contexts[k]) for k in gone.tolist()], np.int32)
+        h[gone], anchor[gone] = keys["p1"][row[gone]], size
+        column = pa.array([c if s else None for c, s in zip(contexts, stay.tolist(), strict=True)], pa.binary()) if len(gone) else pa.array(contexts, pa.binary())
+        yield pa.RecordBatch.from_pydict({"h": pa.array(h), "context": column, "anchor": pa.array(anchor)} | {n: pa.array(x[row]) for n, x in keys.items()} | {"start": pa.array(place)})
 
 
 def anchor_places(context: bytes, first: int) -> list[tuple[int, int]]:
@@ -210,9 +257,16 @@ class Block:
                         sides.setdefault((left, c[place - left : place + ANCHOR + right]), []).append((k, place, most))
         classes = {side: x for side, x in sides.items() if x[0][0] != x[-1][0]}
         if sum(len(c[0]) for c in contexts) <= BLOCK:
-            for k in sorted({k for x in classes.values() for k, _, _ in x}):
+            reach: dict[int, tuple[int, int]] = {}  # the first and the last of a context's windows that hold a shared part
+            for (left, _), own in classes.items():
+                for k, place, _ in own:
+                    low, high = place - (left + STEP - 1 if left + STEP < SIDE else SIDE), place - left
+                    known = reach.get(k, (low, high))
+                    reach[k] = min(low, known[0]), max(high, known[1])
+            for k in sorted(reach):
                 c, _, doc, places = contexts[k]
-                self.add(c, doc, places)
+                low, high = max(0, reach[k][0]), reach[k][1] + WIDTH
+                self.add(c[low:high], doc, [(text, p + low) for text, p in places] if low else places)
         else:
             for (left, _), own in classes.items():
                 self.split(left, [(contexts[k], place, most) for k, place, most in own])
@@ -286,6 +340,12 @@ def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_pydict({n: pa.array(np.ascontiguousarray(x)) for n, x in zip(("doc", "p1", "p2", "start", "end"), columns, strict=True)})
 
     for batch in batches:
+        ready = pc.is_null(batch.column("context"))
+        if pc.any(ready).as_py():  # ranges that are known already
+            given_ = batch.filter(ready)
+            doc, p1, p2, start, size = (given_.column(n).to_numpy().astype(np.int64) for n in ("doc", "p1", "p2", "start", "anchor"))
+            yield given(doc, p1, p2, start, start + size)
+            batch = batch.filter(pc.invert(ready))
         if not batch.num_rows:
             continue
         contexts = batch.column("context")
@@ -358,7 +418,8 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
     several = first.filter("last > doc").select("p1", "p2", F.col("doc").alias("first"))
     copies = light.join(several, ["p1", "p2"]).filter("doc > first").select("doc", "p1", "p2", F.lit(0).cast("long").alias("start"), "end")
 
-    rows = plain.select("p1", "text").mapInArrow(anchor_rows, "h bigint, p1 bigint").repartition(shuffles, "h").sortWithinPartitions("h", "p1")
+    rows = plain.select("p1", "text").mapInArrow(anchor_rows, "h bigint, p1 bigint, known boolean")
+    rows = rows.repartition(shuffles, F.when(F.col("known"), F.col("p1")).otherwise(F.col("h"))).sortWithinPartitions("h", "p1")
     shared = written(rows.mapInArrow(shared_anchors, "h bigint, p1 bigint"), folder, "shared")
     del rows
     release(spark)

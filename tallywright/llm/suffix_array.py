@@ -52,8 +52,10 @@ def suffix_array(text: bytes) -> list[int]:
                     group[p] = new
             end = low - 1
             continue
-        own = sorted(i for i in own if group[i] == low)
+        own = [i for i in own if group[i] == low]
+        own.sort()
         times: dict[int, int] = {}
+        once: list[int] = []  # most are pointed to by one member
         for i in own:
             p = i - 1
             while p >= 0 and group[p] > low:
@@ -61,16 +63,22 @@ def suffix_array(text: bytes) -> list[int]:
             if p >= 0:
                 if group[p] == low:
                     p = previous[p]
-                if p >= 0:
-                    times[p] = times.get(p, 0) + 1
+                    if p >= 0:
+                        times[p] = times.get(p, 1) + 1
+                else:
+                    once.append(p)
             previous[i] = p
-        by_count: dict[int, list[int]] = {}
+        by_count: dict[int, list[int]] = {1: [p for p in once if p not in times] if times else once}
         for p, k in times.items():
             by_count.setdefault(k, []).append(p)
-        for k in sorted(by_count, reverse=True):
+        for k in sorted(by_count, reverse=True) if times else (1,):
             moved: dict[int, list[int]] = {}
             for p in by_count[k]:
-                moved.setdefault(group[p], []).append(p)
+                g = group[p]
+                if g in moved:
+                    moved[g].append(p)
+                else:
+                    moved[g] = [p]
             for g, ps in moved.items():
                 rest = size[g] - len(ps)
                 if rest:

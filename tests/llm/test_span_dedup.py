@@ -85,7 +85,7 @@ def test_runs_over_batches():
         order = np.lexsort((doc, h))
         h, doc = h[order], doc[order]
         cuts = np.sort(rng.integers(0, 21, 5))
-        batches = [pa.RecordBatch.from_pydict({"h": pa.array(a), "p1": pa.array(b)}) for a, b in zip(np.split(h, cuts), np.split(doc, cuts))]
+        batches = [pa.RecordBatch.from_pydict({"h": pa.array(a), "p1": pa.array(b), "known": pa.array([False] * len(a))}) for a, b in zip(np.split(h, cuts), np.split(doc, cuts))]
         got = [r for b in sd.shared_anchors(iter(batches)) for r in zip(b.column("h").to_pylist(), b.column("p1").to_pylist())]
         assert len(set(got)) == len(got) and set(got) == {(int(a), int(b)) for a, b in zip(h, doc) if len(set(doc[h == a])) > 1}
 
@@ -129,12 +129,16 @@ def covered_bytes(docs):
 
     ids, texts = pa.array([d for d, _ in docs], pa.int64()), pa.array([t for _, t in docs])
     found = {}
-    for b in sd.anchor_rows(iter([pa.RecordBatch.from_pydict({"p1": ids, "text": texts})])):
-        for h, d in zip(b.column("h").to_pylist(), b.column("p1").to_pylist()):
-            found.setdefault(h, set()).add(d)
+    batch = pa.RecordBatch.from_pydict({"p1": ids, "text": texts})
+    dealt = pa.Table.from_batches(sd.anchor_rows(batch.slice(a, 7) for a in range(0, len(docs), 7)))
+    for h, d in zip(dealt["h"].to_pylist(), dealt["p1"].to_pylist()):
+        found.setdefault(h, set()).add(d)
+    assert all(len(found[h]) > 2 for h, known in zip(dealt["h"].to_pylist(), dealt["known"].to_pylist()) if known)
+    kept = [r for b in sd.shared_anchors(iter(dealt.sort_by([("h", "ascending"), ("p1", "ascending")]).to_batches())) for r in zip(*b.to_pydict().values())]
+    assert set(kept) == {(h, d) for h, own in found.items() if len(own) > 1 for d in own}
     lists = [[h for h, own in found.items() if len(own) > 1 and d in own] for d, _ in docs]
     batch = pa.RecordBatch.from_pydict({"doc": ids, "p1": ids, "p2": ids, "text": texts, "shared": pa.array(lists, pa.list_(pa.int64()))})
-    contexts = list(sd.context_rows(iter([batch])))
+    contexts = list(sd.context_rows(batch.slice(a, 9) for a in range(0, len(docs), 9)))
     got, want, first = {d: set() for d, _ in docs}, {d: set() for d, _ in docs}, {}
     if contexts:
         order = [(n, "ascending") for n in ("h", "context", "anchor", "doc", "start")]
@@ -224,3 +228,19 @@ def test_many_null_ids_and_copies(spark, monkeypatch):
     docs += [(i, text) for i in range(10, 60)] + [(10, text), (11, text), (None, text), (None, text)]
     docs += [(5, text[:120]), (70, noise(30) + shared + noise(20)), (71, "é" * 24), (72, "é" * 24 + "x" * 3), (73, "é" * 25), (74, "é" * 25)]
     held(spark.createDataFrame(docs, "doc_id bigint, text string"), monkeypatch)
+
+
+def test_an_anchor_of_many_texts_is_no_hot_key():
+    """A batch sends two rows of an anchor that all its texts hold, and one of equal contexts, to be dealt by hash."""
+    import pyarrow as pa
+
+    passage = "a passage that stands in every one of the documents, word for word, from its first to its last letter. "
+    texts = [f"own start {i}: " + passage * 2 for i in range(200)]
+    ids = pa.array(range(200), pa.int64())
+    dealt = pa.Table.from_batches(sd.anchor_rows(iter([pa.RecordBatch.from_pydict({"p1": ids, "text": pa.array(texts)})]))).to_pandas()
+    assert dealt[~dealt.known].groupby("h").size().max() == 2 and dealt.groupby("h").size().max() == 200
+    shared = [dealt[dealt.p1 == i].h.tolist() for i in range(200)]
+    batch = pa.RecordBatch.from_pydict({"doc": ids, "p1": ids, "p2": ids, "text": pa.array(texts), "shared": pa.array(shared, pa.list_(pa.int64()))})
+    contexts = pa.Table.from_batches(sd.context_rows(iter([batch]))).to_pandas()
+    sent = contexts[contexts.context.notna()]
+    assert (sent.groupby(["h", "context"]).doc.nunique() == 1).all() and contexts.context.isna().sum() > 1000
