@@ -54,17 +54,53 @@ def test_dual_trees_are_exact(seed, points, queries, spread):
     p = np.floor(centres[rng.integers(0, 5, points)] + rng.normal(size=(points, 4)) * 100 * spread).astype(np.int64)
     q = np.floor(centres[rng.integers(0, 5, queries)] + rng.normal(size=(queries, 4)) * 100 * spread).astype(np.int64)
     ids, qid = rng.permutation(points), np.arange(queries) + 10**6
-    s = ts.Search(q, qid, p, ids, 10)
-    s.visit(ts.cover_tree(s.q, ts.QUERY_LEAF), ts.cover_tree(s.p))
+    tree, nodes = ts.Tree.over(q, qid, qid, ts.QUERY_LEAF)
+    assert sorted(tree.ids.tolist()) == qid.tolist() and tree.hi[0] == queries and tree.end[0] == len(nodes)
+    half = points // 2  # two blocks, the second with the scores of the first carried along
+    first, second = ts.Search(tree, 10), None
+    if half:
+        first.visit(ts.Tree.over(p[:half], ids[:half], ids[:half], ts.LEAF)[0])
+    second = ts.Search(tree, 10, first.worst)
+    second.visit(ts.Tree.over(p[half:], ids[half:], ids[half:], ts.LEAF)[0])
     for n in range(queries):
-        order = np.lexsort((ids, -(p @ q[n])))[:10]
-        assert ids[s.tops[n][:, 1]].tolist() == ids[order].tolist()
+        both = np.concatenate([first.tops[n], second.tops[n]])
+        both = both[np.lexsort((both[:, 1], -both[:, 0]))][:10]
+        scores = p @ tree.points[n]
+        order = np.lexsort((ids, -scores))[:10]
+        assert both.tolist() == list(map(list, zip(scores[order].tolist(), ids[order].tolist())))
+
+
+def clustered(rng, points, dims=16):
+    centres = rng.normal(size=(40, dims)) * 1000
+    return np.floor(centres[rng.integers(0, 40, points)] + rng.normal(size=(points, dims)) * 5).astype(np.int64)
 
 
 def test_node_pairs_are_pruned():
-    rng = np.random.default_rng(2)
-    centres = rng.normal(size=(40, 16)) * 1000
-    p = np.floor(centres[rng.integers(0, 40, 8000)] + rng.normal(size=(8000, 16)) * 5).astype(np.int64)
-    s = ts.Search(p[:300], np.arange(300), p, np.arange(8000), 10)
-    s.visit(ts.cover_tree(s.q, ts.QUERY_LEAF), ts.cover_tree(s.p))
-    assert s.dropped > s.pairs / 3
+    p = clustered(np.random.default_rng(2), 8000)
+    ids = np.arange(8000)
+    s = ts.Search(ts.Tree.over(p[:300], ids[:300], ids[:300], ts.QUERY_LEAF)[0], 10)
+    s.visit(ts.Tree.over(p, ids, ids, ts.LEAF)[0])
+    assert s.dropped > s.pairs / 3 and s.products < 300 * 8000 / 4
+
+
+def test_blocks_are_pruned_on_clustered_data(spark):
+    """Most pairs of a group and a block, and most products, are never formed; the result is that of brute force."""
+    p = clustered(np.random.default_rng(3), 6000)
+    df = spark.createDataFrame([(i, (v / 1024).tolist()) for i, v in enumerate(p)], "vec_id bigint, embedding array<double>")
+    found = ts.searched(df, modulus=20, block=200, queries=64)
+    report = found["report"].first()
+    assert report.products < 300 * 6000 / 20 and report.block_pairs < 100
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in found["best"].collect()}
+    assert len(got) == 3000
+    for q in range(0, 6000, 20):
+        scores = p @ p[q]
+        scores[q] = np.iinfo(np.int64).min
+        order = np.lexsort((np.arange(6000), -scores))[:10]
+        assert [got[q, n] for n in range(1, 11)] == list(zip(order.tolist(), scores[order].tolist()))
+
+
+def test_one_vector_in_a_third_of_all_rows(spark):
+    rng = np.random.default_rng(4)
+    data = [(i, ([0.5] * 6 if i % 3 == 0 else rng.normal(size=6).tolist())) for i in range(1200)]
+    got = rows(ts.search(spark.createDataFrame(data, SCHEMA), block=50, queries=2), "query_id", "rank", "vec_id", "score")
+    assert got == brute(data)
