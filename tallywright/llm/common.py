@@ -59,7 +59,11 @@ def release(spark: SparkSession) -> None:
 
 
 def bounded_batches(spark: SparkSession, size: str = "4m", rows: int = 1000) -> None:
-    """Makes Arrow batches small: texts are long, and a batch is held by the executor and its Python worker at once."""
+    """Makes Arrow batches small: texts are long, and a batch is held by the executor and its Python worker at once.
+
+    The session keeps the setting, as frames are evaluated after the operator has returned; so every operator that sends
+    texts to Python calls this, and none depends on what ran before it.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is not None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

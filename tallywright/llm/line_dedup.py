@@ -8,7 +8,8 @@ smallest that holds it: it owns the line, and every other document loses it.
 
 Runs and decisions are tables in the shared folder, so a lost executor costs the tasks it ran, and plans stay short. A
 line that stands in a third of all documents is one row of a run. The joins that find a document's lost lines are keyed
-by line and document, so such a line doesn't gather in one task.
+by line and document, so such a line doesn't gather in one task; a document's lost lines are gathered by id and text, so
+rows without an id don't either.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import BLANKS, LAST_ID, discard, release, shared_folder, table, written
+from tallywright.llm.common import BLANKS, LAST_ID, bounded_batches, discard, release, shared_folder, table, written
 
 #: Fixed value: shorter keys are never dropped.
 LEAST = 10
@@ -39,15 +40,16 @@ def keys(text: str | None) -> Iterator[tuple[bytes, bytes | None]]:
 
 
 def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, text to a row for each document and line hash in it."""
+    """doc, part, text to a row for each text and line hash in it."""
     for batch in batches:
-        doc, found = [], []
-        for d, text in zip(batch.column("doc").to_pylist(), batch.column("text"), strict=True):
+        row, found = [], []
+        for k, text in enumerate(batch.column("text")):
             own = {h for _, h in keys(text.as_py()) if h}
-            doc += [d] * len(own)
+            row += [k] * len(own)
             found += own
+        at = pa.array(row, pa.int64())
         two = pa.Array.from_buffers(pa.int64(), 2 * len(found), [None, pa.py_buffer(b"".join(found))]).to_numpy()
-        yield pa.RecordBatch.from_pydict({"doc": pa.array(doc, pa.int64()), "h1": pa.array(two[0::2]), "h2": pa.array(two[1::2])})
+        yield pa.RecordBatch.from_pydict({"doc": batch.column("doc").take(at), "part": batch.column("part").take(at), "h1": pa.array(two[0::2]), "h2": pa.array(two[1::2])})
 
 
 def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,28 +118,34 @@ def dedup_lines(docs: DataFrame, batches: int = 4, fanout: int = 2) -> DataFrame
     """
     spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
-    plain = docs.select(doc.alias("doc"), "text")
+    bounded_batches(spark)
+    part = F.xxhash64("text")
+    plain = docs.select(doc.alias("doc"), part.alias("part"), "text")
     cuts = plain.agg(F.percentile_approx("doc", [i / batches for i in range(1, batches)], 10_000)).first()[0] or []
     batch = sum((F.when(F.col("doc") > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    lines = plain.mapInArrow(hashed, "doc bigint, h1 bigint, h2 bigint").withColumn("batch", batch)
+    schema = "doc bigint, part bigint, h1 bigint, h2 bigint"
+    lines = plain.mapInArrow(hashed, schema).withColumn("batch", batch)
     lines.write.partitionBy("batch").parquet(f"{folder}/lines")
-    lines = spark.read.schema("doc bigint, h1 bigint, h2 bigint, batch int").parquet(f"{folder}/lines")
+    lines = spark.read.schema(f"{schema}, batch int").parquet(f"{folder}/lines")
     runs = Runs(spark, folder, int(spark.conf.get("spark.sql.shuffle.partitions")), fanout)
     lost = None
-    for n in range(len(cuts) + 1):
-        own = lines.filter(F.col("batch") == n).drop("batch")
-        owners = written(runs.unseen(own.groupBy(*HASHES).agg(F.min("doc").alias("doc"))), folder, f"owners-{n}")
-        gone = written(own.join(owners, [*HASHES, "doc"], "left_anti"), folder, f"lost-{n}")
-        lost = gone if lost is None else lost.unionByName(gone)
-        runs.add(owners)
-        discard(spark, folder, f"owners-{n}")
-    runs.close()
-    discard(spark, folder, "lines")
+    try:
+        for n in range(len(cuts) + 1):
+            own = lines.filter(F.col("batch") == n).drop("batch")
+            owners = written(runs.unseen(own.groupBy(*HASHES).agg(F.min("doc").alias("doc"))), folder, f"owners-{n}")
+            gone = written(own.join(owners, [*HASHES, "doc"], "left_anti"), folder, f"lost-{n}")
+            lost = gone if lost is None else lost.unionByName(gone)
+            runs.add(owners)
+            discard(spark, folder, f"owners-{n}")
+    finally:
+        runs.close()
+        discard(spark, folder, "lines")
     del own, owners, lines
     release(spark)
-    lost = lost.groupBy("doc").agg(F.collect_list(F.struct(*HASHES)).alias("lost")).withColumnRenamed("doc", "lost_doc")
-    rows = docs.select(F.struct("*").alias("row"), doc.alias("doc"))
-    rows = rows.join(lost.hint("shuffle_hash"), F.col("doc") == F.col("lost_doc"), "left").select("row", "lost")
+    lost = lost.groupBy("doc", "part").agg(F.collect_list(F.struct(*HASHES)).alias("lost"))  # a text's lines
+    lost = lost.withColumnsRenamed({"doc": "lost_doc", "part": "lost_part"})
+    rows = docs.select(F.struct("*").alias("row"), doc.alias("doc"), part.alias("part"))
+    rows = rows.join(lost.hint("shuffle_hash"), (F.col("doc") == F.col("lost_doc")) & (F.col("part") == F.col("lost_part")), "left").select("row", "lost")
     out = rows.select("row").schema.simpleString().removeprefix("struct<row:")[:-1]
     return rows.mapInArrow(cleaned, f"row {out}, kept string, n_lines bigint, n_dropped bigint")
 
@@ -149,15 +157,14 @@ def query(spark, sf_dir) -> DataFrame:
 
 
 ORACLE = r"""
-WITH l AS (
-  SELECT coalesce(doc_id, 9223372036854775807) AS doc, n, line,
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), E'\n') AS lines FROM documents),
+l AS (
+  SELECT rid, doc_id, coalesce(doc_id, 9223372036854775807) AS doc, n, line,
          translate(trim(line, E' \t\n\x0b\f\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
-  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), E'\n')) AS line,
-               generate_subscripts(string_split(coalesce(text, ''), E'\n'), 1) AS n FROM documents)),
+  FROM (SELECT rid, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS n FROM d)),
 f AS (SELECT k, min(doc) AS first FROM l WHERE length(k) >= 10 GROUP BY k),
 j AS (SELECT l.*, coalesce(f.first < l.doc, false) AS gone FROM l LEFT JOIN f ON l.k = f.k)
-SELECT CASE WHEN doc = 9223372036854775807 THEN NULL ELSE doc END AS doc_id, count(*) AS n_lines,
-       count(*) FILTER (WHERE gone) AS n_dropped,
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, E'\n' ORDER BY n) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM j GROUP BY doc
+FROM j GROUP BY rid, doc_id
 """

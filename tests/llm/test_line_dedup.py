@@ -49,3 +49,16 @@ def test_hot_line_and_ascii_case(spark):
     docs = [(i, f"the common line of all\nÉTÉ été étés {i % 3}\nown line number {i}\nshort") for i in range(200)]
     docs += [(500, "éTé été étés 1"), (501, "été été étés 1"), (502, "THE common LINE of all \x0b")]
     held(spark.createDataFrame(docs, "doc_id bigint, text string"), batches=3)
+
+
+def test_many_rows_without_an_id(spark):
+    docs = [(None, f"the common line of all\nown line number {i}\nthe common line of all") for i in range(300)] + [(4, "the common line of all"), (4, "Own line number 7")]
+    held(spark.createDataFrame(docs, "doc_id bigint, text string"))
+
+
+def test_a_failed_run_leaves_no_tables(spark, monkeypatch):
+    before = spark.catalog.listTables()
+    monkeypatch.setattr(line_dedup.Runs, "unseen", lambda self, df: 1 / 0 if self.held else df)
+    with pytest.raises(ZeroDivisionError):
+        line_dedup.dedup_lines(spark.createDataFrame([(i, f"a line of some length {i}") for i in range(50)], "doc_id bigint, text string"))
+    assert spark.catalog.listTables() == before
