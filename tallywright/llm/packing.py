@@ -19,6 +19,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,10 +68,10 @@ def pieces_of(text: str | None, encode, capacity: int) -> tuple[int, list[tuple[
 
 
 def cutter(capacity: int, with_ids: bool):
-    """doc_id, text to a row for each piece."""
+    """doc_id, text to a row for each piece. salt: the row's number in its task where doc_id is null, else 0."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder()
+        encode, seen = encoder(), 0
         for batch in batches:
             at, out = [], {n: [] for n in ("start", "length", "ids_crc32", "doc_tokens", "ids")}
             for k, text in enumerate(batch.column("text")):
@@ -81,7 +82,11 @@ def cutter(capacity: int, with_ids: bool):
                         if n != "ids" or with_ids:
                             out[n].append(v)
             ids = {"ids": pa.array([x.astype(np.int32) for x in out.pop("ids")], pa.list_(pa.int32()))} if with_ids else {}
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(pa.array(at, pa.int64()))} | {n: pa.array(v, pa.int64()) for n, v in out.items() if n != "ids"} | ids)
+            rows = pa.array(at, pa.int64())
+            docs = batch.column("doc_id").take(rows)
+            salt = pc.if_else(pc.is_null(docs), pc.add(rows, seen), pa.scalar(0, pa.int64()))
+            seen += batch.num_rows
+            yield pa.RecordBatch.from_pydict({"doc_id": docs} | {n: pa.array(v, pa.int64()) for n, v in out.items() if n != "ids"} | ids | {"salt": salt})
 
     return cut
 
@@ -164,16 +169,16 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = F
     bounded_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, {PIECES}" + ", ids array<int>" * with_ids
-    pieces = written(docs.select("doc_id", "text").mapInArrow(cutter(capacity, with_ids), schema), folder, "pieces")
+    pieces = written(docs.select("doc_id", "text").mapInArrow(cutter(capacity, with_ids), f"{schema}, salt bigint"), folder, "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     if not histogram:
         return spark.createDataFrame([], schema + ", sequence_id bigint, offset bigint")
     buckets = 1 << bits_for(sum(histogram.values()), PER_BUCKET, 24)
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "salt"), F.lit(buckets)))
     earlier = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     sums = sums.select("length", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")
+    inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32", "salt")
     ranked = pieces.join(sums, ["length", "bucket"]).withColumn("rank", F.col("base") + F.row_number().over(inside) - 1)
     ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids, "rank")
     return ranked.mapInArrow(dealer(plan(histogram, capacity)), schema + ", sequence_id bigint, offset bigint")

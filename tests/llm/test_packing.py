@@ -86,3 +86,14 @@ def test_plan_uses_every_piece():
         for n, u in window.items():
             used[n] += u * times
     assert used == +Counter(counts)
+
+
+def test_one_text_in_many_rows_without_an_id(spark):
+    """Such rows are dealt over the buckets, not into one."""
+    docs = spark.createDataFrame([(None, "the same text each time"), (3, "x")] * 2000, "doc_id bigint, text string")
+    held(docs)
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"doc_id": pa.array([None, 3, None], pa.int64()), "text": ["a", "b", "a b " * 1500]})] * 2
+    out = [r for b in packing.cutter(1024, False)(iter(batches)) for r in b.to_pylist()]
+    assert [(r["doc_id"], r["salt"]) for r in out if r["start"] == 0] == [(None, 0), (3, 0), (None, 2), (None, 3), (3, 0), (None, 5)]
