@@ -16,21 +16,28 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEATED_PERCENT = 30
 
-#: Phrases of site furniture; a line that holds one is boilerplate.
-BOILERPLATE = (
-    "all rights reserved",
-    "copyright",
-    "cookie",
-    "javascript",
-    "lorem ipsum",
-    "privacy policy",
-    "terms of use",
-    "terms of service",
-    "click here",
-    "sign up",
-    "log in",
-    "subscribe to",
-)
+#: Phrases of site furniture by language; a short line that holds one, as whole words, is boilerplate.
+BOILERPLATE = {
+    "en": (
+        "all rights reserved",
+        "copyright",
+        "cookies?",
+        "javascript",
+        "lorem ipsum",
+        "privacy policy",
+        "terms of use",
+        "terms of service",
+        "click here",
+        "sign up",
+        "log in",
+        "subscribe to",
+    ),
+    "fr": ("tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "mentions légales", "cliquez ici", "se connecter"),
+    "de": ("alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "impressum", "hier klicken", "jetzt anmelden"),
+    "es": ("todos los derechos reservados", "política de privacidad", "términos de uso", "aviso legal", "haga clic aquí", "iniciar sesión"),
+}
+#: Characters of a line that a phrase can fail: prose that mentions one is longer.
+SHORT = 120
 TERMINAL = r"""[.!?…:;,"'”»)\]]$"""
 
 
@@ -70,28 +77,33 @@ def removed(text: Column, characters: str) -> Column:
     return F.translate(text, characters, "")
 
 
-def line_fails(line: Column) -> Column:
+def boilerplate_pattern(phrases: dict[str, tuple[str, ...]]) -> str:
+    """The phrases of all languages between what is no letter; it matches lower-cased text in Java and in RE2."""
+    return r"(?:^|[^\p{L}])(?:" + "|".join(p for own in phrases.values() for p in own) + r")(?:$|[^\p{L}])"
+
+
+def line_fails(line: Column, phrases: dict[str, tuple[str, ...]] = BOILERPLATE) -> Column:
     """True if the line is navigation, boilerplate, symbols, shouting, or a short fragment that no mark ends."""
     length = F.length(line)
     words = F.size(F.split(line, f"[{SPACE}]+"))
     letters = F.length(F.regexp_replace(line, r"[^\p{L}]+", ""))
     capitals = F.length(F.regexp_replace(line, r"[^\p{Lu}]+", ""))
     navigation = (length - F.length(removed(line, "|»›•"))) >= 3
-    boilerplate = F.lower(line).rlike("|".join(BOILERPLATE))
+    boilerplate = (length <= SHORT) & F.lower(line).rlike(boilerplate_pattern(phrases))
     symbols = 20 * (length - F.length(removed(line, SYMBOLS + "!"))) > length
     shouting = (letters >= 20) & (10 * capitals > 7 * letters)
     fragment = (words < 4) & ~line.rlike(TERMINAL)
     return navigation | boilerplate | symbols | shouting | fragment
 
 
-def clean_lines(text: Column, max_lost: float = 0.5) -> dict[str, Column]:
+def clean_lines(text: Column, max_lost: float = 0.5, phrases: dict[str, tuple[str, ...]] = BOILERPLATE) -> dict[str, Column]:
     """The line-first verdict of a text.
 
     Returns cleaned (the lines that pass, joined), lost_chars (word characters in failing lines) and passes (at most
     max_lost of the word characters are lost). Lines without a word are never judged and stay.
     """
     trimmed = lambda line: F.btrim(line, F.lit(BLANKS))
-    bad = lambda line: let(trimmed(line), lambda t: (t != "") & line_fails(t))
+    bad = lambda line: let(trimmed(line), lambda t: (t != "") & line_fails(t, phrases))
     judged = F.transform(F.split(text, "\n", -1), lambda line: F.struct(line.alias("line"), bad(line).alias("bad")))
     solid = lambda t: F.length(F.regexp_replace(t, f"[{SPACE}]+", "")).cast("long")
     lost = lambda j: F.aggregate(F.filter(j, lambda x: x["bad"]), F.lit(0).cast("long"), lambda a, x: a + solid(x["line"]))
@@ -105,13 +117,13 @@ def clean_lines(text: Column, max_lost: float = 0.5) -> dict[str, Column]:
     return {"line_verdict": both, "max_lost": F.lit(max_lost)}
 
 
-def quality_rules(docs: DataFrame, max_lost: float = 0.5) -> DataFrame:
+def quality_rules(docs: DataFrame, max_lost: float = 0.5, phrases: dict[str, tuple[str, ...]] = BOILERPLATE) -> DataFrame:
     """Base counts, the base verdict and the line-first verdict of every document.
 
     docs: doc_id, text; other columns are not read, so their names can't clash. Null and empty texts have no words: all
     counts are 0, base_failed is true, kept is false. Repeated rows and ids give a row each. Returns doc_id, n_words,
     word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_chars, cleaned (the text of the lines that
-    pass), kept.
+    pass), kept. phrases: patterns of boilerplate by language; all languages are looked for in every text.
     """
     text = F.col("text")
     line_has_word = lambda line: line.rlike(f"[^{SPACE}]")
@@ -119,7 +131,7 @@ def quality_rules(docs: DataFrame, max_lost: float = 0.5) -> DataFrame:
     lines = let(F.filter(F.split(text, "\n", -1), line_has_word), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     told = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")))
-    verdict = clean_lines(text, max_lost)
+    verdict = clean_lines(text, max_lost, phrases)
     rows = rows.select(
         "doc_id",
         told.alias("told"),
@@ -149,7 +161,6 @@ def query(spark, sf_dir) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("cleaned")
 
 
-
 ORACLE = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
@@ -165,7 +176,7 @@ judged AS (
          length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS solid,
          t <> '' AND (
            length(t) - length(translate(t, '|»›•', '')) >= 3
-           OR regexp_matches(lower(t), '{boilerplate}')
+           OR (length(t) <= {short} AND regexp_matches(lower(t), '{boilerplate}'))
            OR 20 * (length(t) - length(translate(t, '#*$%&|<>!', ''))) > length(t)
            OR (length(regexp_replace(t, '[^\p{{L}}]+', '', 'g')) >= 20
                AND 10 * length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) > 7 * length(regexp_replace(t, '[^\p{{L}}]+', '', 'g')))
@@ -183,4 +194,4 @@ c AS (
 SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND lost_chars <= 0.5 * word_chars AS kept
 FROM c
-""".format(boilerplate="|".join(BOILERPLATE))
+""".format(boilerplate=boilerplate_pattern(BOILERPLATE).replace("'", "''"), short=SHORT)

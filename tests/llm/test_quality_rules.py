@@ -59,3 +59,19 @@ def test_clean_documents_stay(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").filter("quality = 1")
     got = quality_rules(docs).join(labels, "doc_id").filter("not base_failed").selectExpr("avg(cast(kept as int))").first()[0]
     assert got > 0.99
+
+
+def test_boilerplate_phrases_are_whole_words_of_short_lines(spark):
+    lines = {
+        "Log in or sign up to read the rest of it.": True,
+        "Tous droits réservés par la maison.": True,
+        "Datenschutzerklärung und mehr davon hier.": True,
+        "A catalog in print and a blog in colour.": False,
+        "Design up close, and the cookiecutter too.": False,
+        "She gave each child a cookie, and the talk went on about the garden, the weather of that year, the harvest and the road to town.": False,
+    }
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    got = {r.doc_id: r.lost_chars > 0 for r in quality_rules(docs).collect()}
+    assert got == {i: bad for i, bad in enumerate(lines.values())}
+    only = quality_rules(docs, phrases={"xx": ("weather",)}).collect()
+    assert not any(r.lost_chars for r in only)
