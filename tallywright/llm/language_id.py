@@ -31,6 +31,8 @@ GROUP = 1 << 20
 GROUP_TEXTS = 512
 #: Rows of letter and trigram vectors that a worker keeps; beyond them they are made anew.
 KEPT = 1 << 14
+#: Trigrams that are bundled at once.
+ROWS = 1 << 13
 UNKNOWN = "und"
 #: Most languages that prototypes are made for; more are refused rather than broadcast.
 MOST_LANGUAGES = 4096
@@ -94,17 +96,30 @@ def lines_of(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         start = end
 
 
-def counted(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each group of lines_of its first text, and by text in the group: text, trigram and count."""
+def numbered(x: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of x, sorted, and the place of each among them; by a table where values are below a small number."""
+    if below > 1 << 22:
+        return np.unique(x, return_inverse=True)
+    place = np.zeros(below, np.int32)
+    place[x] = 1
+    found = np.flatnonzero(place)
+    place[found] = np.arange(len(found))
+    return found, place[x]
+
+
+def counted(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each group of lines_of its first text, its trigrams, and by text in the group: text, place of the trigram, count."""
     for start, line, doc in lines_of([(t or "").lower() for t in texts]):
-        known, small = np.unique(line, return_inverse=True)  # few letters in a group: a trigram and its text sort as one number
-        size = len(known)
+        known, small = numbered(line, 0x110000)  # few letters in a group: a trigram and its text sort as one number
+        size, small = len(known), small.astype(np.int64)
         both = ((doc[2:] * size + small[:-2]) * size + small[1:-1]) * size + small[2:]
         both = np.sort(both[doc[2:] == doc[:-2]])
         edge = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1]))) if len(both) else np.zeros(0, np.int64)
-        values, number = both[edge], np.diff(np.append(edge, len(both)))
-        trigram = known[values // size**2 % size] << 2 * BITS | known[values // size % size] << BITS | known[values % size]
-        yield start, values // size**3, trigram, number
+        number = np.diff(np.append(edge, len(both)))
+        text, code = np.divmod(both[edge], max(1, size**3))
+        found, place = numbered(code, size**3)
+        trigrams = known[found // size**2] << 2 * BITS | known[found // size % size] << BITS | known[found % size] if len(found) else found
+        yield start, trigrams, text, place, number
 
 
 class Vectors:
@@ -119,8 +134,8 @@ class Vectors:
 
     def of(self, trigrams: np.ndarray) -> np.ndarray:
         """The vectors of distinct trigrams."""
-        have = np.isin(trigrams, self.known)
-        new = trigrams[~have]
+        at = np.minimum(np.searchsorted(self.known, trigrams), max(0, len(self.known) - 1))
+        new = trigrams[self.known[at] != trigrams] if len(self.known) else trigrams
         if len(self.rows) + len(new) > KEPT:
             self.clear()
             new = trigrams
@@ -135,19 +150,20 @@ class Vectors:
         return self.rows[self.place[np.searchsorted(self.known, trigrams)]]
 
 
-def bundled(texts: list[str | None], vectors: Vectors) -> np.ndarray:
-    """The sum of each text's trigram vectors: whole numbers, exact."""
-    out = np.zeros((len(texts), vectors.dims))
-    for start, text, trigrams, counts in counted(texts):
+def bundled(texts: list[str | None], vectors: Vectors, owner: np.ndarray | None = None) -> np.ndarray:
+    """The sums of trigram vectors: whole numbers, exact. A row for each text, or for each owner, if texts are given theirs."""
+    owner = np.arange(len(texts)) if owner is None else owner
+    out = np.zeros((int(owner.max(initial=-1)) + 1, vectors.dims))
+    for start, trigrams, text, place, counts in counted(texts):
         if len(text):
-            found, column = np.unique(trigrams, return_inverse=True)
-            number = int(text[-1]) + 1
-            for a in range(0, len(found), 4096):
-                part = slice(a, a + 4096)
-                own = (column >= a) & (column < a + 4096)
-                bag = np.zeros((number, len(found[part])), np.float32)  # sums below 2**24: a group has no more places
-                bag[text[own], column[own] - a] = counts[own]
-                out[start : start + number] += bag @ vectors.of(found[part])
+            own = owner[start + text]
+            low, high = int(own.min()), int(own.max()) + 1
+            for a in range(0, len(trigrams), ROWS):
+                part = trigrams[a : a + ROWS]
+                here = slice(None) if len(trigrams) <= ROWS else (place >= a) & (place < a + ROWS)
+                cell = (own[here] - low) * len(part) + place[here] - a
+                bag = np.bincount(cell, counts[here], (high - low) * len(part)).reshape(-1, len(part))
+                out[low:high] += bag.astype(np.float32) @ vectors.of(part)  # sums below 2**24: a group has no more places
     return out
 
 
@@ -158,10 +174,10 @@ def bundle(dims: int):
         sums: dict[str, np.ndarray] = {}
         vectors = Vectors(dims)
         for batch in batches:
-            langs = np.array(batch.column("lang").to_pylist(), dtype=object)
-            own = bundled(batch.column("text").to_pylist(), vectors)
-            for lang in set(langs):
-                sums[lang] = sums.get(lang, 0) + own[langs == lang].sum(axis=0)
+            langs = batch.column("lang").dictionary_encode()
+            own = bundled(batch.column("text").to_pylist(), vectors, langs.indices.to_numpy())
+            for lang, row in zip(langs.dictionary.to_pylist(), own, strict=False):
+                sums[lang] = sums.get(lang, 0) + row
             if len(sums) > MOST_LANGUAGES:
                 raise ValueError(f"over {MOST_LANGUAGES} languages; their prototypes are not broadcast")
         yield pa.RecordBatch.from_pydict({"lang": pa.array(list(sums), pa.string()), "sums": pa.array([s.astype(np.int64) for s in sums.values()], pa.list_(pa.int64()))})

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywright.functions.scalar import gather, genus, index_list, label_list, list_literal
+from tallywright.operators.metrics import ordered_mean
 
 
 def multi_hot(rows: DataFrame, codes, classes: DataFrame, dense: bool = False) -> DataFrame:
@@ -30,13 +31,15 @@ def window_labels(windows: DataFrame, classes: DataFrame, dense: bool = False) -
 def numbered(df: DataFrame, name: str, order: list[str]) -> DataFrame:
     """Contiguous ids from 0 in an order that is stated; file order is never relied on.
 
-    Rows are counted by range partition and numbered within it, so no task sorts the whole table.
+    Rows are counted by range partition and numbered within it, so no task sorts the whole table. The number of partitions
+    is pinned, so that the counts and the numbering see the same ranges.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
     inside = Window.partitionBy("_part").orderBy(*order)
     sizes = ranged.groupBy("_part").count()
     before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = sizes.select("_part", before.alias("_base"))
+    bases = sizes.select("_part", before.alias("_base"))  # a row for each partition
     return ranged.withColumn("_n", F.row_number().over(inside) - 1).join(F.broadcast(bases), "_part").withColumn(name, F.col("_base") + F.col("_n")).drop("_part", "_n", "_base")
 
 
@@ -82,14 +85,14 @@ def scattered(spine: DataFrame, shards: DataFrame) -> DataFrame:
 
 
 def seed_ensemble(shards: DataFrame) -> DataFrame:
-    """The mean over seeds, ignoring missing ones: model, row_id, class_id, score."""
-    return shards.groupBy("model", "row_id", "class_id").agg(F.avg("score").alias("score"))
+    """The mean over seeds, ignoring missing ones, in the order of seeds: model, row_id, class_id, score."""
+    return shards.groupBy("model", "row_id", "class_id").agg(ordered_mean("score", "seed").alias("score"))
 
 
 def leave_one_seed_out(shards: DataFrame) -> DataFrame:
     """The ensemble without each seed: drop_seed, model, row_id, class_id, score."""
     seeds = F.broadcast(shards.select(F.col("seed").alias("drop_seed")).distinct())
-    return shards.join(seeds, F.col("seed") != F.col("drop_seed")).groupBy("drop_seed", "model", "row_id", "class_id").agg(F.avg("score").alias("score"))
+    return shards.join(seeds, F.col("seed") != F.col("drop_seed")).groupBy("drop_seed", "model", "row_id", "class_id").agg(ordered_mean("score", "seed").alias("score"))
 
 
 def leakage(meta: DataFrame) -> DataFrame:

@@ -101,10 +101,17 @@ def mask_untrained(df: DataFrame) -> DataFrame:
     return out.withColumn("score", F.when(trained, F.col("score"))).drop("all", "own")
 
 
+def ordered_mean(score: str, order: str) -> Column:
+    """The mean of the scores that are there, added up in the order of a column: no order of arrival can change a bit of it."""
+    held = F.sort_array(F.collect_list(F.when(F.col(score).isNotNull(), F.struct(F.col(order).alias("o"), F.col(score).alias("s")))))
+    total = F.aggregate(held, F.lit(0.0), lambda a, x: a + x["s"])
+    return F.when(F.count(score) > 0, total / F.count(score))
+
+
 def with_mean(df: DataFrame, keys: tuple[str, ...] = ("row_id", "class_id"), carry: tuple[str, ...] = ("y", "fold", "author"), ord_: int = 99) -> DataFrame:
-    """Adds the candidate `mean`, the models' mean score, NULL if any is NULL."""
+    """Adds the candidate `mean`, the models' mean score in the order of ord, NULL if any is NULL."""
     full = F.count("*") == F.count("score")
-    mean = df.groupBy(*keys, *carry).agg(F.when(full, F.avg("score")).alias("score"))
+    mean = df.groupBy(*keys, *carry).agg(F.when(full, ordered_mean("score", "ord")).alias("score"))
     return df.unionByName(mean.withColumns({"model": F.lit("mean"), "ord": F.lit(ord_)}).select(*df.columns))
 
 

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywright.functions.scalar import hash_draw
-from tallywright.operators.metrics import auc
+from tallywright.operators.inference import two_sided
+from tallywright.operators.metrics import auc, auc_of_counts, evaluable, summary
 
 
 def hash_weights(clusters: DataFrame, key: str, reps: int, seed: int) -> DataFrame:
@@ -41,10 +42,23 @@ def numpy_weights(clusters: DataFrame, key: str, reps: int, seed: int) -> DataFr
     return clusters.sparkSession.createDataFrame(rows, f"rep bigint, {key} {clusters.schema[key].dataType.simpleString()}, w bigint")
 
 
+#: Rows of weights that are broadcast; more are joined by a shuffle.
+FEW_WEIGHTS = 1_000_000
+
+
 def replicate_auc_plain(df: DataFrame, weights: DataFrame, key: str, by: list[str]) -> DataFrame:
-    """Weighted AUC for each replicate by joining weights to rows; for few replicates, and as SQL can say it."""
-    joined = df.join(F.broadcast(weights), key)
-    return auc(joined, ["rep", *by], weight=F.col("w"))
+    """Weighted AUC for each replicate by joining weights to counts, as SQL can say it; any number of weights will do.
+
+    Rows are summed by (by, score, cluster) first. Weights are broadcast if they are few, and shuffled with the counts by
+    cluster if not.
+    """
+    own = [c for c in (*by, "score") if c != key]
+    counts = df.groupBy(*own, key).agg(F.sum("y").alias("_y"), F.count("*").alias("_rows"))
+    few = weights.limit(FEW_WEIGHTS + 1).count() <= FEW_WEIGHTS
+    joined = counts.join(F.broadcast(weights) if few else weights.hint("shuffle_merge"), key)
+    rows = joined.filter(F.col("score").isNotNull()).select("rep", *by, F.col("score").alias("_s"), (F.col("w") * F.col("_y")).alias("_p"), (F.col("w") * (F.col("_rows") - F.col("_y"))).alias("_n"))
+    counted_ = rows.groupBy("rep", *by, "_s").agg(F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
+    return auc_of_counts(counted_, ["rep", *by]).drop("missing")
 
 
 def replicate_auc(df: DataFrame, weights: DataFrame, key: str, by: list[str], reps: int) -> DataFrame:
@@ -112,6 +126,31 @@ def paired_deltas(per: DataFrame, ref: str, tests: list[str], common: bool = Tru
     return macro.filter(F.col("model") != ref).join(base, "rep").select("rep", "model", (F.col("m") - F.col("base")).alias("delta"))
 
 
+def multi_test(df: DataFrame, weights: DataFrame, key: str, ref: str, tests: list[str]) -> DataFrame:
+    """Macro test minus macro ref in each replicate, one draw for all tests: rep, model, delta.
+
+    Classes are those that every one of these models can be compared on over all rows, and in each replicate those of them
+    in which every model has an AUC.
+    """
+    rows = df.filter(F.col("model").isin(ref, *tests))
+    rows = rows.join(evaluable(rows, [ref, *tests]), "class_id", "left_semi")
+    return paired_deltas(replicate_auc_plain(rows, weights, key, ["model", "class_id"]), ref, tests)
+
+
+def class_deltas(per: DataFrame, ref: str, test: str) -> DataFrame:
+    """The mean over classes of test minus ref in each replicate, 0 where no class has both: rep, delta. per: rep, model, class_id, auc."""
+    wide = per.groupBy("rep", "class_id").pivot("model", [ref, test]).agg(F.first("auc"))
+    return wide.groupBy("rep").agg(F.coalesce(F.avg(F.col(test) - F.col(ref)), F.lit(0.0)).alias("delta"))
+
+
+def class_delta_test(df: DataFrame, weights: DataFrame, key: str, ref: str, test: str) -> DataFrame:
+    """point (over all rows), se, lo, hi, n of the replicates' class deltas, and z and two-sided p of point over se."""
+    rows = df.filter(F.col("model").isin(ref, test))
+    deltas = class_deltas(replicate_auc_plain(rows, weights, key, ["model", "class_id"]), ref, test)
+    one = class_deltas(auc(rows, ["model", "class_id"]).withColumn("rep", F.lit(0)), ref, test).select(F.col("delta").alias("point"))
+    return two_sided(one.crossJoin(summary(deltas, "delta").select("se", "lo", "hi", "n")))  # one row each
+
+
 def value_bootstrap(values: DataFrame, key: str, value: str, reps: int, seed: int) -> DataFrame:
     """Independent bootstrap of a small table's values: rep and their mean."""
     w = hash_weights(values, key, reps, seed)

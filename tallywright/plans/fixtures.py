@@ -45,7 +45,12 @@ def vectors(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFr
     return e.select(F.col("vec_id").alias("row_id"), "embedding", F.col("label").alias("class_id"), (F.col("vec_id") % 5).cast("int").alias("fold"), (F.col("vec_id") % 40).alias("author"))
 
 
-SQL = """
+def mean_sql(order: str) -> str:
+    """SQL of operators.metrics.ordered_mean."""
+    return f"list_reduce(list(score ORDER BY {order}) FILTER (score IS NOT NULL), lambda p, q: p + q) / count(score)"
+
+
+SQL = f"""
 base AS (SELECT o_orderkey AS row_id, o_custkey % 40 AS author, CAST(o_custkey % 5 AS INTEGER) AS fold, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) - 1 AS own, o_orderstatus = 'F' AS two, o_totalprice FROM orders),
 truth AS (SELECT row_id, class_id, CASE WHEN class_id = own OR (two AND class_id = (own + 1) % 5) THEN 1 ELSE 0 END AS y, fold, author
           FROM base, (SELECT CAST(unnest(range(5)) AS INTEGER) AS class_id)),
@@ -53,7 +58,7 @@ scores AS (SELECT row_id, class_id, y, fold, author, model, ord,
            CASE WHEN NOT (model = 'b' AND fold = 0 AND class_id = 4) THEN CAST((row_id * a + class_id * b) % 97 + k * y AS DOUBLE) / 160e0 END AS score
            FROM truth, (VALUES ('a', 0, 31, 17, 40), ('b', 1, 57, 29, 60), ('c', 2, 83, 11, 25)) m(model, ord, a, b, k)),
 cands AS (SELECT row_id, class_id, y, fold, author, model, ord, score FROM scores
-          UNION ALL SELECT row_id, class_id, y, fold, author, 'mean', 99, CASE WHEN count(*) = count(score) THEN avg(score) END FROM scores GROUP BY ALL)
+          UNION ALL SELECT row_id, class_id, y, fold, author, 'mean', 99, CASE WHEN count(*) = count(score) THEN {mean_sql('ord')} END FROM scores GROUP BY ALL)
 """
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallywright.functions import scalar as fn
 from tallywright.operators import labels, metrics, shift
 from tallywright.plans import fixtures as fx
-from tallywright.plans.fixtures import SQL, auc_sql, table
+from tallywright.plans.fixtures import SQL, auc_sql, mean_sql, table, wauc_sql
 
 Q: dict = {}
 S: dict = {}
@@ -49,7 +49,8 @@ def scorer_check(s, d):
     return both.agg((F.max(F.abs(F.col("auc") - F.col("other"))) < 1e-6).alias("agree"), F.count("*").alias("n"))
 
 
-add("a8_scorer_cross_check", scorer_check, "SELECT true AS agree, count(*) AS n FROM (SELECT DISTINCT model, class_id FROM scores)")
+add("a8_scorer_cross_check", scorer_check,
+    f"SELECT max(abs(r.auc - c.auc)) < 1e-6 AS agree, count(*) AS n FROM ({auc_sql('scores', 'model, class_id')}) r JOIN ({wauc_sql('(SELECT *, 1 AS w FROM scores)', 'model, class_id')}) c USING (model, class_id)")
 add("a9_distinct_folds_per_author", lambda s, d: fx.base(s, d).groupBy("author").agg(F.countDistinct("fold").alias("folds")).filter("folds >= 1"),
     "SELECT author, count(DISTINCT fold) AS folds FROM base GROUP BY author HAVING count(DISTINCT fold) >= 1")
 add("a10_duplicates", lambda s, d: table(s, d, "orders").agg((F.count("*") - F.countDistinct("o_custkey")).alias("duplicated")),
@@ -77,7 +78,7 @@ def seed_spread(s, d):
 
 
 add("a13_seed_ensemble", lambda s, d: r9(labels.seed_ensemble(seeds(s, d)).groupBy("class_id").agg(F.avg("score").alias("score"), F.count("score").alias("n")), "score"),
-    f"WITH {SEEDS} SELECT class_id, round(avg(score), 9) AS score, count(score) AS n FROM (SELECT row_id, class_id, avg(score) AS score FROM seeds GROUP BY ALL) GROUP BY class_id")
+    f"WITH {SEEDS} SELECT class_id, round(avg(score), 9) AS score, count(score) AS n FROM (SELECT row_id, class_id, {mean_sql('seed')} AS score FROM seeds GROUP BY ALL) GROUP BY class_id")
 add("a13_seed_spread", seed_spread,
     f"WITH {SEEDS} SELECT round(avg(m), 9) AS mean, round(stddev_pop(m), 9) AS std, round(min(m), 9) AS low, round(max(m), 9) AS high FROM (SELECT seed, avg(auc) AS m FROM ({auc_sql('seeds', 'seed, class_id')}) GROUP BY seed)")
 add("a14_replicate_summary", lambda s, d: r9(metrics.summary(table(s, d, "events"), "value", ("event_type",)), "mean", "lo", "hi", "se", "mde"),

@@ -91,8 +91,8 @@ def told(df):
 
 add("p13_gather_max", lambda s, d: told(zero_shot(s, d)), f"WITH {HEAD.format(agg='max(p)')} {TOLD}")
 add("f3_noisy_or", lambda s, d: told(zero_shot(s, d, "noisy_or")), f"WITH {HEAD.format(agg='1 - product(1 - p)')} {TOLD}")
-add("f1_sigmoid_f2_logit", lambda s, d: fx.vectors(s, d).select("class_id", fn.sigmoid(F.get("embedding", F.lit(0)).cast("double")).alias("p")).groupBy("class_id").agg(F.round(F.sum("p"), 6).alias("p"), F.round(F.sum(fn.logit(F.col("p"))), 6).alias("z")),
-    "SELECT label AS class_id, round(sum(p), 6) AS p, round(sum(ln(p / (1 - p))), 6) AS z FROM (SELECT label, least(greatest(1 / (1 + exp(-CAST(embedding[1] AS DOUBLE))), 1e-6), 1 - 1e-6) AS p FROM embeddings) GROUP BY 1")
+add("f1_sigmoid_f2_logit", lambda s, d: fx.vectors(s, d).select("class_id", F.explode("embedding").alias("x")).select("class_id", fn.sigmoid(F.col("x").cast("double")).alias("p")).groupBy("class_id").agg(F.round(F.sum("p"), 6).alias("p"), F.round(F.sum(fn.logit(F.col("p"))), 6).alias("z")),
+    "SELECT label AS class_id, round(sum(p), 6) AS p, round(sum(ln(p / (1 - p))), 6) AS z FROM (SELECT label, least(greatest(1 / (1 + exp(-CAST(unnest(embedding) AS DOUBLE))), 1e-6), 1 - 1e-6) AS p FROM embeddings) GROUP BY 1")
 add("f4_mean_candidate", lambda s, d: metrics.with_mean(fx.scores(s, d)).filter("model = 'mean'").groupBy("class_id").agg(F.round(F.sum("score"), 6).alias("score"), F.count("score").alias("n")),
     "SELECT class_id, round(sum(score), 6) AS score, count(score) AS n FROM cands WHERE model = 'mean' GROUP BY class_id")
 add("p14_factorize", lambda s, d: labels.factorized(table(s, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey", "code").groupBy("o_orderpriority").agg(F.max("code").alias("code"), F.count("*").alias("n")),
@@ -103,7 +103,8 @@ add("p16_class_dictionary", lambda s, d: fx.base(s, d).withColumn("code", F.conc
 
 add("j1_metadata_join", lambda s, d: table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left").groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.count_if(F.col("c_name").isNull()).alias("missing")),
     "SELECT c_mktsegment, count(*) AS n, CAST(count_if(c_name IS NULL) AS BIGINT) AS missing FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1")
-add("j3_common_classes", lambda s, d: metrics.evaluable(fx.scores(s, d, "b")).join(metrics.evaluable(fx.scores(s, d, "c")), "class_id"), "SELECT CAST(unnest(range(4)) AS INTEGER) AS class_id")
+add("j3_common_classes", lambda s, d: metrics.evaluable(fx.scores(s, d, "b")).join(metrics.evaluable(fx.scores(s, d, "c")), "class_id"),
+    MASK.format(t="(SELECT * FROM scores WHERE model = 'b')") + " INTERSECT " + MASK.format(t="(SELECT * FROM scores WHERE model = 'c')"))
 add("j4_three_way_intersection", lambda s, d: fx.base(s, d).filter("fold = 0").select("author").intersect(fx.base(s, d).filter("two").select("author")).intersect(fx.base(s, d).filter("own = 1").select("author")),
     "SELECT author FROM base WHERE fold = 0 INTERSECT SELECT author FROM base WHERE two INTERSECT SELECT author FROM base WHERE own = 1")
 add("j5_anti_join", lambda s, d: table(s, d, "documents").select("doc_id").join(table(s, d, "labels").select("doc_id"), "doc_id", "left_anti"), "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -156,7 +157,8 @@ add("f9_string_functions", lambda s, d: stages(s, d).select("class_id", F.array_
 add("f10_clock_to_seconds", lambda s, d: table(s, d, "events").select("event_id", fn.seconds(F.date_format("ts", "HH:mm:ss")).alias("sec")), "SELECT event_id, CAST(hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS INTEGER) AS sec FROM events")
 add("f11_list_literal", lambda s, d: train(s, d).select("row_id", F.array_join(fn.list_literal(F.col("secondary_labels")), "|").alias("codes")), "SELECT row_id, CASE WHEN row_id % 3 = 0 THEN own || '|zz|' || ((own + 2) % 7) ELSE '' END AS codes FROM base")
 add("f12_normal_tail", lambda s, d: s.range(9).select(F.col("id"), F.round(fn.normal_upper((F.col("id") - 4).cast("double")), 12).alias("p"), F.round(fn.normal_ppf((F.col("id") + 1) / 10), 9).alias("z")))
-add("f13_clip_where", lambda s, d: fx.vectors(s, d).groupBy("class_id").agg(F.round(F.sum(fn.clip(F.get("embedding", F.lit(1)).cast("double"), -0.5, 0.5)), 6).alias("v")), "SELECT label AS class_id, round(sum(greatest(least(CAST(embedding[2] AS DOUBLE), 0.5), -0.5)), 6) AS v FROM embeddings GROUP BY 1")
+add("f13_clip_where", lambda s, d: fx.vectors(s, d).select("class_id", F.explode("embedding").alias("x")).groupBy("class_id").agg(F.round(F.sum(fn.clip(F.col("x").cast("double"), -0.5, 0.5)), 6).alias("v")),
+    "SELECT label AS class_id, round(sum(greatest(least(x, 0.5), -0.5)), 6) AS v FROM (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY 1")
 add("f14_half_and_single", lambda s, d: fx.scores(s, d, "a").groupBy("score").agg(F.count("*").alias("n")).select("score", "n", F.col("score").cast("float").cast("double").alias("single"), fn.half("score").alias("half")))
 add("f16_round_half_even", lambda s, d: table(s, d, "customer").select("c_custkey", F.bround((F.col("c_custkey") % 8).cast("double") / 16, 3).alias("v")), "SELECT c_custkey, round_even(CAST(c_custkey % 8 AS DOUBLE) / 16, 3) AS v FROM customer")
 add("s9_json_fields", lambda s, d: table(s, d, "events").select("event_id", F.from_json("props", "k int").getField("k").alias("k")), "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")

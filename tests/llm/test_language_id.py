@@ -31,8 +31,8 @@ def test_counts_and_vectors_are_the_plain_ones(monkeypatch):
     for group in (1 << 20, 64, 3):
         monkeypatch.setattr(lid, "GROUP", group)
         got = [Counter() for _ in texts]
-        for start, text, trigrams, counts in lid.counted(texts):
-            for k, t, n in zip(text.tolist(), trigrams.tolist(), counts.tolist()):
+        for start, trigrams, text, place, counts in lid.counted(texts):
+            for k, t, n in zip(text.tolist(), trigrams[place].tolist(), counts.tolist()):
                 got[start + k][t] += n
         assert got == [plain(t) for t in texts]
     v = lid.letter_vectors(np.array([97, 98, 0x4E00]), 64).astype(int)
@@ -46,6 +46,13 @@ def test_counts_and_vectors_are_the_plain_ones(monkeypatch):
         assert (own[k] == sum((n * lid.trigram_vectors(np.array([g]), 64)[0].astype(int) for g, n in plain(t).items()), np.zeros(64))).all()
 
 
+def test_bundles_by_owner_are_sums():
+    texts = ["one two three", "deux et trois", None, "four", "cinq"]
+    v = lid.Vectors(64)
+    each = lid.bundled(texts, v)
+    assert (lid.bundled(texts, v, np.array([0, 1, 1, 0, 1])) == np.stack([each[[0, 3]].sum(axis=0), each[[1, 2, 4]].sum(axis=0)])).all()
+
+
 def test_every_letter_has_its_own_vector():
     points = np.concatenate([np.arange(97, 123), np.arange(0xE0, 0x100), np.arange(0x430, 0x450), np.arange(0x4E00, 0x5E00)])
     v = lid.letter_vectors(points, 1024).astype(np.float32)

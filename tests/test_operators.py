@@ -219,3 +219,15 @@ def test_stratified_groups(spark):
     df = spark.createDataFrame([(a, c, (a * 7 + c) % 5 + 1) for a in range(40) for c in range(3)], "author bigint, class_id int, n int")
     got = labels.grouped_stratified_folds(df).join(df, "author").groupBy("fold").agg(F.sum("n").alias("n")).collect()
     assert len(got) == 5 and max(r.n for r in got) < 1.3 * min(r.n for r in got)
+
+
+def test_means_do_not_depend_on_the_order_of_arrival(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, 0, 0, 0, 0, m, o, float(rng.random())) for i in range(500) for o, m in enumerate("abcde")]
+    names = "row_id bigint, class_id int, y int, fold int, author int, model string, ord int, score double"
+    frames = [spark.createDataFrame(x, names).repartition(n) for x, n in ((rows, 3), (rows[::-1], 7))]
+    means = [sorted((r.row_id, r.score.hex()) for r in metrics.with_mean(f).filter("model = 'mean'").collect()) for f in frames]
+    assert means[0] == means[1]
+    seeds = [f.withColumnRenamed("ord", "seed").withColumn("model", F.lit("a")) for f in frames]
+    for make in (labels.seed_ensemble, lambda f: labels.leave_one_seed_out(f).withColumn("row_id", F.col("row_id") * 10 + F.col("drop_seed"))):
+        assert len({tuple(sorted((r.row_id, r.score.hex()) for r in make(f).collect())) for f in seeds}) == 1
