@@ -2,7 +2,8 @@
 
 AUC is counted, not ranked: rows of equal score are summed first, so what is shuffled is at most a row for each score and
 task, and ties need no care. The running sums are two-level, over ranges of scores and within them, so that one model and
-class with many distinct scores doesn't gather in one task.
+class with many distinct scores doesn't gather in one task. Ranges are parts of a power of two on either side of 0, so they
+are as even for scores that lie near 0, and for logits, as for scores spread over [0, 1], and need no pass over the data.
 """
 
 from __future__ import annotations
@@ -10,7 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 32
+#: Ranges of scores to a power of two.
+GRAIN = 16
+
+
+def score_range(score: Column, grain: int = GRAIN) -> Column:
+    """The number of the range that a score lies in; it never falls as scores rise."""
+    s = score.cast("double")
+    size = F.least(F.lit(1e300), F.greatest(F.lit(1e-300), F.abs(s)))
+    step = F.floor(F.log2(size) * grain) + 1000 * grain  # above 0 for all sizes
+    return F.when(s > 0, step).when(s < 0, -step).otherwise(F.lit(0).cast("bigint"))
 
 
 def counted(df: DataFrame, keys: list[str], score: str = "score", y: str = "y", weight: Column | None = None, single: bool = False) -> DataFrame:
@@ -21,13 +31,13 @@ def counted(df: DataFrame, keys: list[str], score: str = "score", y: str = "y",
     return rows.groupBy(*keys, "_s").agg(F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
 
 
-def auc_of_counts(counts: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataFrame:
+def auc_of_counts(counts: DataFrame, keys: list[str], grain: int = GRAIN) -> DataFrame:
     """keys, auc, pos, neg and missing (the weight of rows without a score) of counts with one row for each key and score."""
     there = F.col("_s").isNotNull()
     zero = F.lit(0)
     known = lambda c: F.when(there, F.col(c)).otherwise(zero)
     counts = counts.withColumns({"_p": known("_p"), "_n": known("_n"), "_m": F.when(there, zero).otherwise(F.col("_p") + F.col("_n"))})
-    counts = counts.withColumn("_b", F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_s").cast("double"))) * buckets))
+    counts = counts.withColumn("_b", score_range(F.col("_s"), grain))
     below = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), zero)
     wins = counts.withColumn("_w", F.col("_p") * (below + 0.5 * F.col("_n")))
     parts = wins.groupBy(*keys, "_b").agg(*[F.sum(c).alias(c) for c in ("_w", "_p", "_n", "_m")])
@@ -38,13 +48,13 @@ def auc_of_counts(counts: DataFrame, keys: list[str], buckets: int = BUCKETS) ->
     return total.select(*keys, ratio.alias("auc"), "pos", "neg", "missing")
 
 
-def auc(df: DataFrame, keys: list[str], score: str = "score", y: str = "y", weight: Column | None = None, single: bool = False, buckets: int = BUCKETS) -> DataFrame:
+def auc(df: DataFrame, keys: list[str], score: str = "score", y: str = "y", weight: Column | None = None, single: bool = False, grain: int = GRAIN) -> DataFrame:
     """ROC-AUC with ties as halves for each key: keys, auc (NULL if a class is absent), pos, neg.
 
     Rows without a score don't count. weight: row multiplicities, as a bootstrap draw gives them. single: scores are
     compared as 32-bit floats.
     """
-    return auc_of_counts(counted(df.filter(F.col(score).isNotNull()), keys, score, y, weight, single), keys, buckets).drop("missing")
+    return auc_of_counts(counted(df.filter(F.col(score).isNotNull()), keys, score, y, weight, single), keys, grain).drop("missing")
 
 
 def rank_auc(df: DataFrame, keys: list[str], score: str = "score", y: str = "y") -> DataFrame:

@@ -6,19 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.functions.scalar import hash_draw
-from tallywright.operators.metrics import auc
+from tallywright.operators.metrics import auc_of_counts
 from tallywright.operators.resample import permuted_within
-from tallywright.operators.select import best, selection
+from tallywright.operators.select import heldout_counts
 
 
 def _headrooms(df: DataFrame) -> DataFrame:
-    """rep, headroom: the selector's macro AUC minus the best single model's, in each replicate. df has rep."""
-    by = ["rep", "outer_fold", "class_id"]
-    choice = best(selection(df, ("rep",)), by)
-    pick = choice.select("rep", F.col("outer_fold").alias("fold"), "class_id", "model")
-    chosen = df.join(pick, ["rep", "fold", "class_id", "model"])
-    oracle = auc(chosen, ["rep", "class_id"], buckets=8).select("rep", "class_id", F.col("auc").alias("o"))
-    singles = auc(df.filter("model <> 'mean'"), ["rep", "model", "class_id"], buckets=8)
+    """rep, headroom: the selector's macro AUC minus the best single model's, in each replicate. df has rep.
+
+    Rows are summed once a replicate; everything else is made of these counts.
+    """
+    own, chosen = heldout_counts(df, ("rep",))
+    total = lambda f, *by: f.groupBy("rep", *by, "class_id", "_s").agg(F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
+    oracle = auc_of_counts(total(chosen), ["rep", "class_id"], grain=4).select("rep", "class_id", F.col("auc").alias("o"))
+    singles = auc_of_counts(total(own.filter("model <> 'mean'"), "model"), ["rep", "model", "class_id"], grain=4)
     both = singles.join(oracle, ["rep", "class_id"]).filter("auc is not null and o is not null")
     macro = both.groupBy("rep", "model").agg(F.avg("auc").alias("m"), F.avg("o").alias("o"))
     return macro.groupBy("rep").agg((F.max("o") - F.max("m")).alias("headroom"))

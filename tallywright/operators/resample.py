@@ -68,13 +68,14 @@ def replicate_auc(df: DataFrame, weights: DataFrame, key: str, by: list[str], re
     all replicates over them, block by block, with the weights as a matrix of replicates by clusters (2 bytes each,
     broadcast: reps x clusters, whose size is checked).
     """
-    clusters = [r[0] for r in weights.select(key).distinct().orderBy(key).collect()]
-    if reps * len(clusters) * 2 > 512 << 20:
+    number = weights.select(key).distinct().count()
+    if reps * number * 2 > 512 << 20:
         raise ValueError("the weights are too large to broadcast; use replicate_auc_plain")
-    place = {c: i for i, c in enumerate(clusters)}
-    matrix = np.zeros((len(clusters), reps), np.uint16)
-    for r in weights.toLocalIterator():
-        matrix[place[r[key]], r["rep"]] = r["w"]
+    drawn = weights.select(key, "rep", "w").toArrow()  # at most reps x clusters rows
+    codes = drawn.column(key).combine_chunks().dictionary_encode()
+    place = {c: i for i, c in enumerate(codes.dictionary.to_pylist())}
+    matrix = np.zeros((number, reps), np.uint16)
+    matrix[codes.indices.to_numpy(), drawn.column("rep").to_numpy()] = drawn.column("w").to_numpy()
     shared = df.sparkSession.sparkContext.broadcast((place, matrix))
     counts = df.groupBy(*by, "score", key).agg(F.sum("y").cast("double").alias("p"), F.sum(1 - F.col("y")).cast("double").alias("n"))
 

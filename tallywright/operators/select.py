@@ -36,13 +36,42 @@ def selection(df: DataFrame, keys: tuple[str, ...] = (), min_pos: int = 1, polic
         full = rows.groupBy(*keys, "outer_fold", "row_id", "class_id").agg((F.count("*") == F.count("score")).alias("_ok"))
         counts = counted(rows.join(full.filter("_ok").drop("_ok"), [*keys, "outer_fold", "row_id", "class_id"], "left_semi"), by, single=True)
     else:  # counts first, so that equal scores and not rows are repeated for each outer fold
-        own = counted(df, [*keys, "fold", "class_id", "model", "ord"], single=True)
-        counts = other_folds(own, df.select("fold").distinct()).groupBy(*by, "_s").agg(F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
-    found = auc_of_counts(counts, by, buckets=8)
+        return selection_of_counts(counted(df, [*keys, "fold", "class_id", "model", "ord"]), keys, min_pos)
+    return scorable(auc_of_counts(counts, by, grain=4), by, min_pos)
+
+
+def scorable(found: DataFrame, by: list[str], min_pos: int) -> DataFrame:
+    """The AUCs, but none of a candidate with missing scores or too few positives."""
     fit = (F.col("missing") == 0) & (F.col("pos") >= min_pos)
     return found.select(*by, F.when(fit, F.col("auc")).alias("auc"), "pos")
 
 
+def selection_of_counts(own: DataFrame, keys: tuple[str, ...] = (), min_pos: int = 1) -> DataFrame:
+    """selection() by policy "kill" from counts by keys, fold, class_id, model and ord; scores are compared as 32-bit floats."""
+    by = [*keys, "outer_fold", "class_id", "model", "ord"]
+    counts = other_folds(own, own.select("fold").distinct()).groupBy(*by, F.col("_s").cast("float").alias("_s")).agg(F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
+    return scorable(auc_of_counts(counts, by, grain=4), by, min_pos)
+
+
+def heldout_counts(df: DataFrame, keys: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The held-out selector on counts: those of all candidates by keys, fold, class_id, model and ord, and the oracle's.
+
+    Rows are summed once; the selection, the oracle, whose counts are those of the chosen candidates, and all AUCs are made
+    of these counts.
+    """
+    own = counted(df, [*keys, "fold", "class_id", "model", "ord"])
+    choice = best(selection_of_counts(own, keys), [*keys, "outer_fold", "class_id"])
+    pick = choice.select(*keys, F.col("outer_fold").alias("fold"), "class_id", "model")
+    oracle = own.join(pick, [*keys, "fold", "class_id", "model"]).withColumns({"model": F.lit("oracle"), "ord": F.lit(-1)})
+    return own, oracle.select(own.columns)
+
+
+def heldout_headroom(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """headroom() of the held-out selector."""
+    own, oracle = heldout_counts(df, keys)
+    return headroom_of_counts(own.unionByName(oracle), keys)
+
+
 def apply_choice(df: DataFrame, choice: DataFrame, keys: tuple[str, ...] = (), name: str = "oracle") -> DataFrame:
     """The chosen candidate's scores on the outer fold's own rows, as a model called name."""
     pick = choice.select(*keys, F.col("outer_fold").alias("fold"), "class_id", "model")
@@ -95,8 +124,13 @@ def nested_choice(selecting: DataFrame) -> DataFrame:
 
 def headroom(df: DataFrame, oracle: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Macro AUC of every model and the oracle on the classes common to all, and the oracle's lead over the best."""
+    return headroom_of_counts(counted(df.unionByName(oracle), [*keys, "model", "class_id"]), keys)
+
+
+def headroom_of_counts(counts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     by = [*keys, "model", "class_id"]
-    per = auc_of_counts(counted(df.unionByName(oracle), by), by)
+    counts = counts.groupBy(*by, "_s").agg(F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
+    per = auc_of_counts(counts, by)
     common = F.bool_and(F.col("auc").isNotNull() & (F.col("missing") == 0)).over(Window.partitionBy(*keys, "class_id"))
     per = per.withColumn("_ok", common).filter("_ok")
     macro = per.groupBy(*keys, "model").agg(F.avg("auc").alias("macro"), F.count("auc").alias("classes"))

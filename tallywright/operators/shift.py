@@ -87,10 +87,9 @@ def mmd2(a: DataFrame, b: DataFrame, key: str, vector: str, gamma: float, most:
 
 def drop_rollup(df: DataFrame, value: str = "drop") -> DataFrame:
     """Drops by taxon, by stage and in all: taxon, stage, n, mean, median."""
-    df.createOrReplaceTempView("tw_drops")
-    return df.sparkSession.sql(
-        f"SELECT taxon, stage, count(*) AS n, avg(`{value}`) AS mean, percentile(`{value}`, 0.5) AS median FROM tw_drops GROUP BY GROUPING SETS ((taxon), (stage), ())"
-    )
+    return df.groupingSets([["taxon"], ["stage"], []], "taxon", "stage").agg(
+        F.count("*").alias("n"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median")
+    )
 
 
 def coverage(df: DataFrame) -> DataFrame:

@@ -47,8 +47,7 @@ def told(df):
 
 
 def heldout_headroom(s, d, models="abc"):
-    c = cands(s, d, models)
-    return told(select.headroom(c, select.heldout(c)[0]))
+    return told(select.heldout_headroom(cands(s, d, models)))
 
 
 add("x1_heldout_selector", heldout_headroom, f"WITH {selection_sql('cands')}, {headroom_sql('cands')}")
@@ -116,7 +115,7 @@ def seed_proxy(s, d):
     loo = labels.leave_one_seed_out(seeds(s, d)).join(fx.truth(s, d), keys).withColumn("ord", F.lit(0))
     drops = F.broadcast(s.range(41, 46).select(F.col("id").cast("int").alias("drop_seed")))
     c = loo.unionByName(fx.scores(s, d, "c").crossJoin(drops))
-    return told(select.headroom(c, select.heldout(c, ("drop_seed",))[0], ("drop_seed",)))
+    return told(select.heldout_headroom(c, ("drop_seed",)))
 
 
 add("x25_leave_one_seed_out", seed_proxy, f"""WITH {SEEDS}, loo AS (SELECT row_id, class_id, y, fold, author, model, 0 AS ord, {mean_sql('seed')} AS score, CAST(drop_seed AS INTEGER) AS drop_seed FROM seeds JOIN (SELECT unnest(range(41, 46)) AS drop_seed) ON seed <> drop_seed GROUP BY ALL
@@ -126,7 +125,7 @@ add("x25_leave_one_seed_out", seed_proxy, f"""WITH {SEEDS}, loo AS (SELECT row_i
 def splits(s, d):
     c = cands(s, d, "ac")
     again = c.drop("fold").join(F.broadcast(select.author_splits(c, 3, 5, 7)), "author")
-    return told(select.headroom(again, select.heldout(again, ("rep",))[0], ("rep",)))
+    return told(select.heldout_headroom(again, ("rep",)))
 
 
 add("x26_repeated_author_splits", splits, f"""WITH au AS (SELECT DISTINCT author, rep FROM base, (SELECT unnest(range(3)) AS rep)),
@@ -350,7 +349,7 @@ def cell_frame(s, d):
 
 CELLS = f"""cl(cell, model) AS (VALUES ('a+b', 'a'), ('a+b', 'b'), ('a+c', 'a'), ('a+c', 'c'), ('a+all', 'a'), ('a+all', 'b'), ('a+all', 'c')), cs AS (SELECT scores.*, cell FROM scores JOIN cl USING (model)),
 cc AS (SELECT row_id, class_id, y, fold, author, model, ord, score, cell FROM cs UNION ALL SELECT row_id, class_id, y, fold, author, 'mean', 99, CASE WHEN count(*) = count(score) THEN {mean_sql('ord')} END, cell FROM cs GROUP BY ALL)"""
-add("x37_all_cells", lambda s, d: told(select.headroom(c := cell_frame(s, d), select.heldout(c, ("cell",))[0], ("cell",))), f"WITH {CELLS}, {selection_sql('cc', 'cell')}, {headroom_sql('cc', 'cell')}")
+add("x37_all_cells", lambda s, d: told(select.heldout_headroom(cell_frame(s, d), ("cell",))), f"WITH {CELLS}, {selection_sql('cc', 'cell')}, {headroom_sql('cc', 'cell')}")
 add("j11_j9_cells", lambda s, d: cell_frame(s, d).groupBy("cell", "model").agg(F.count("score").alias("n")), f"WITH {CELLS} SELECT cell, model, count(score) AS n FROM cc GROUP BY ALL")
 add("x38_invariants", lambda s, d: heldout_headroom(s, d, "a").select((F.abs("headroom") < 1e-12).alias("single_is_zero")), "SELECT true AS single_is_zero")
 add("x41_anchor_dependence", lambda s, d: r9(inference.anchor_dependence(estimates(s, d).select("cell", F.col("point").alias("gain"), (1.96 * F.col("se")).alias("mde"), (F.col("point") - 0.001).alias("lo"), (F.col("point") * 2 - 0.004).alias("hi"))).select("cell", "mde_ratio", "gain_in_ci"), "mde_ratio"),
