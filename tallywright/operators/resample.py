@@ -1,8 +1,9 @@
 """Cluster bootstrap, permutations and influence.
 
 A bootstrap draw only changes how often a row counts, so a replicate is a table of weights by cluster, and its AUC is a
-weighted count. Scores are sorted once for each model and class; the replicates are then evaluated together by cumulative
-sums over them, in blocks of classes, and never as copies of the rows.
+weighted count. Scores are sorted once for each model and class; the replicates are then evaluated together, and never as
+copies of the rows: concordant pairs are summed by the clusters of their positive and their negative, and a replicate is a
+quadratic form of that matrix. Where clusters are too many for it, replicates go over the sorted rows by cumulative sums.
 """
 
 from __future__ import annotations
@@ -61,12 +62,40 @@ def replicate_auc_plain(df: DataFrame, weights: DataFrame, key: str, by: list[st
     return auc_of_counts(counted_, ["rep", *by]).drop("missing")
 
 
+#: Clusters whose matrix of pairs is made: 200 MB at the most.
+MOST_CLUSTERS = 5000
+
+
+def quadratic(cluster: np.ndarray, p: np.ndarray, n: np.ndarray, step: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """AUC of every replicate from rows sorted by score, one for each score and cluster; step: where a new score begins.
+
+    won[c, d] counts the positives of cluster c above the negatives of cluster d, ties as halves, so that a replicate's
+    concordant pairs are w' won w.
+    """
+    size = len(weights)
+    won, below = np.zeros((size, size)), np.zeros(size)
+    for a, b in zip(step.tolist(), [*step[1:].tolist(), len(cluster)], strict=True):
+        own, has = cluster[a:b], p[a:b] > 0
+        if has.any():
+            level = below.copy()
+            level[own] += 0.5 * n[a:b]
+            won[own[has]] += p[a:b][has][:, None] * level
+        below[own] += n[a:b]
+    pos, out = np.bincount(cluster, p, size), np.full(weights.shape[1], np.nan)
+    for a in range(0, weights.shape[1], 256):
+        w = weights[:, a : a + 256].astype(np.float64)
+        pairs = (pos @ w) * (below @ w)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out[a : a + 256] = np.where(pairs > 0, ((won @ w) * w).sum(axis=0) / pairs, np.nan)
+    return out
+
+
 def replicate_auc(df: DataFrame, weights: DataFrame, key: str, by: list[str], reps: int) -> DataFrame:
     """Weighted AUC for each replicate and key: rep, by, auc (NULL if a class is absent or a weighted score is missing).
 
-    Rows are summed by (by, score, cluster) before they are shuffled. A group's rows are sorted once; a kernel adds up
-    all replicates over them, block by block, with the weights as a matrix of replicates by clusters (2 bytes each,
-    broadcast: reps x clusters, whose size is checked).
+    Rows are summed by (by, score, cluster) before they are shuffled. A group's rows are sorted once; a kernel takes all
+    replicates from them, block by block, with the weights as a matrix of replicates by clusters (2 bytes each, broadcast:
+    reps x clusters, whose size is checked). Both ways of the kernel sum whole numbers and halves, so they agree.
     """
     number = weights.select(key).distinct().count()
     if reps * number * 2 > 512 << 20:
@@ -90,6 +119,10 @@ def replicate_auc(df: DataFrame, weights: DataFrame, key: str, by: list[str], re
         row = part[key].map(place).to_numpy()
         step = np.concatenate(([0], np.flatnonzero(np.diff(part["score"].to_numpy())) + 1)) if len(part) else np.zeros(0, int)
         out = np.full(matrix.shape[1], np.nan)
+        if len(part) and len(place) <= MOST_CLUSTERS:
+            out = quadratic(row, part["p"].to_numpy(), part["n"].to_numpy(), step, matrix)
+            out[absent] = np.nan
+            return told(part, out)
         for a in range(0, matrix.shape[1], 64):  # replicates at a time, to bound the memory
             w = matrix[row, a : a + 64].astype(np.float64)
             if not len(w):
@@ -101,8 +134,11 @@ def replicate_auc(df: DataFrame, weights: DataFrame, key: str, by: list[str], re
             with np.errstate(invalid="ignore", divide="ignore"):
                 out[a : a + 64] = np.where((tp > 0) & (tn > 0), (p * (below + 0.5 * n)).sum(axis=0) / (tp * tn), np.nan)
         out[absent] = np.nan
+        return told(part, out)
+
+    def told(part: pd.DataFrame, out: np.ndarray) -> pd.DataFrame:
         keys = {k: v for k, v in zip(by, group_of(part, by), strict=True)}
-        return pd.DataFrame({"rep": np.arange(matrix.shape[1]), **keys, "auc": out})
+        return pd.DataFrame({"rep": np.arange(len(out)), **keys, "auc": out})
 
     def group_of(part: pd.DataFrame, names: list[str]):
         return [part[k].iloc[0] if len(part) else None for k in names]

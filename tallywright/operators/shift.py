@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.functions.scalar import hash_draw, squared_distance
+from tallywright.functions.scalar import hash_draw
 from tallywright.operators.metrics import auc
 
 
@@ -62,12 +66,36 @@ def sampled(df: DataFrame, key: str, most: int, seed: int) -> DataFrame:
     return df.orderBy(hash_draw(seed, F.col(key)), key).limit(most).orderBy(key)
 
 
+def held(sample: DataFrame, key: str, vector: str) -> tuple[np.ndarray, np.ndarray]:
+    """The keys and vectors of a sample, whose size is bounded by what it was drawn with."""
+    rows = sample.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).toArrow()
+    return rows.column("k").to_numpy(), np.array(rows.column("v").to_pylist(), np.float64).reshape(rows.num_rows, -1)
+
+
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None] - 2 * x @ y.T, 0)
+
+
 def pair_distances(df: DataFrame, key: str, vector: str, most: int = 2000, seed: int = 0) -> DataFrame:
-    """Squared distances of a sample's pairs; the sample bounds the pairs, which is what the statistic is defined on."""
+    """k1, k2, d2: squared distances of a sample's pairs; the sample bounds the pairs, which is what the statistic is defined on.
+
+    The sample is held by every task, which multiplies its rows by all of it in blocks.
+    """
     s = sampled(df, key, most, seed)
-    a = s.select(F.col(key).alias("k1"), F.col(vector).alias("v1"))
-    b = s.select(F.col(key).alias("k2"), F.col(vector).alias("v2"))
-    return a.join(F.broadcast(b), F.col("k1") < F.col("k2")).select("k1", "k2", squared_distance(F.col("v1"), F.col("v2")).alias("d2"))
+    keys, matrix = held(s, key, vector)
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("k").to_numpy()
+            x = np.array(batch.column("v").to_pylist(), np.float64).reshape(len(ids), -1)
+            for a in range(0, len(ids), 256):
+                d2 = distances(x[a : a + 256], matrix)
+                i, j = np.nonzero(ids[a : a + 256, None] < keys[None])
+                yield pa.RecordBatch.from_pydict({"k1": pa.array(ids[a + i]), "k2": pa.array(keys[j]), "d2": pa.array(d2[i, j])})
+
+    rows = s.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).repartition(8)
+    return rows.mapInArrow(run, f"k1 {kind}, k2 {kind}, d2 double")
 
 
 def median_gamma(df: DataFrame, key: str, vector: str, most: int = 2000, seed: int = 0) -> DataFrame:
@@ -75,14 +103,26 @@ def median_gamma(df: DataFrame, key: str, vector: str, most: int = 2000, seed: i
 
 
 def mmd2(a: DataFrame, b: DataFrame, key: str, vector: str, gamma: float, most: int = 1500, seed: int = 0) -> DataFrame:
-    """The unbiased squared MMD of two samples under exp(-gamma d^2)."""
-    k = F.exp(-gamma * F.col("d2"))
-    within = lambda df: pair_distances(df, key, vector, most, seed).agg(F.avg(k).alias("k"))
+    """The unbiased squared MMD of two samples under exp(-gamma d^2).
+
+    Both samples are held by every task; rows are multiplied by them in blocks, and only sums are kept.
+    """
     s, t = sampled(a, key, most, seed), sampled(b, key, most, seed)
-    cross = s.select(F.col(vector).alias("v1")).join(F.broadcast(t.select(F.col(vector).alias("v2"))), F.lit(True))
-    cross = cross.select(squared_distance(F.col("v1"), F.col("v2")).alias("d2")).agg(F.avg(k).alias("k"))
-    aa, bb, ab = within(a).withColumnRenamed("k", "aa"), within(b).withColumnRenamed("k", "bb"), cross.withColumnRenamed("k", "ab")
-    return aa.crossJoin(bb).crossJoin(ab).select((F.col("aa") + F.col("bb") - 2 * F.col("ab")).alias("mmd2"))
+    _, x = held(s, key, vector)
+    _, y = held(t, key, vector)
+    own = lambda f, side: f.select(F.lit(side).alias("side"), F.col(vector).cast("array<double>").alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            side = batch.column("side").to_numpy()
+            v = np.array(batch.column("v").to_pylist(), np.float64).reshape(len(side), -1)
+            k = [float(np.exp(-gamma * distances(v[side == n], m)).sum()) for n, m in ((0, x), (1, y), (0, y))]
+            yield pa.RecordBatch.from_pydict({n: pa.array([value]) for n, value in zip(("aa", "bb", "ab"), k, strict=True)})
+
+    sums = own(s, 0).unionByName(own(t, 1)).repartition(8).mapInArrow(run, "aa double, bb double, ab double").agg(*[F.sum(c).alias(c) for c in ("aa", "bb", "ab")])
+    n, m = float(len(x)), float(len(y))
+    within = lambda c, size: (F.col(c) - size) / (size * (size - 1)) if size > 1 else F.lit(None).cast("double")
+    return sums.select((within("aa", n) + within("bb", m) - 2 * F.col("ab") / (n * m) if n and m else F.lit(None).cast("double")).alias("mmd2"))
 
 
 def drop_rollup(df: DataFrame, value: str = "drop") -> DataFrame:

@@ -231,3 +231,18 @@ def test_means_do_not_depend_on_the_order_of_arrival(spark):
     seeds = [f.withColumnRenamed("ord", "seed").withColumn("model", F.lit("a")) for f in frames]
     for make in (labels.seed_ensemble, lambda f: labels.leave_one_seed_out(f).withColumn("row_id", F.col("row_id") * 10 + F.col("drop_seed"))):
         assert len({tuple(sorted((r.row_id, r.score.hex()) for r in make(f).collect())) for f in seeds}) == 1
+
+
+@pytest.mark.parametrize("most", [0, 5000])
+def test_both_kernels_of_the_bootstrap_are_the_weighted_count(spark, monkeypatch, most):
+    monkeypatch.setattr(resample, "MOST_CLUSTERS", most)
+    rng = np.random.default_rng(8)
+    rows = [(i, i * 7 % 30, c, m, int(rng.random() < 0.3), None if m == "b" and i == 7 else float(rng.integers(0, 25))) for i in range(300) for c in (0, 1) for m in "ab"]
+    df = spark.createDataFrame(rows, "row_id long, author long, class_id int, model string, y int, score double")
+    w = resample.hash_weights(df, "author", 40, 3)
+    fast = {(r.rep, r.model, r.class_id): r.auc for r in resample.replicate_auc(df, w, "author", ["model", "class_id"], 40).collect()}
+    plain = {(r.rep, r.model, r.class_id): r.auc for r in resample.replicate_auc_plain(df, w, "author", ["model", "class_id"]).collect()}
+    gone = {r.rep for r in w.filter(F.col("author") == next(a for i, a, *_ in rows if i == 7)).collect()}
+    assert len(fast) == 160
+    for key, value in fast.items():
+        assert value is None if key[1] == "b" and key[0] in gone else abs(value - plain[key]) < 1e-12
