@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallywright.operators import fusion, inference, labels, metrics, nulls, resample, select, shift
+from tallywright.operators import audit, fusion, inference, labels, metrics, nulls, resample, select, shift
 from tallywright.plans import fixtures as fx
 from tallywright.plans.fixtures import SQL, auc_sql, draw_sql, mean_sql, table, wauc_sql
 from tallywright.plans.metric_queries import SEEDS, r9, seeds
@@ -361,10 +361,83 @@ add("x9_frozen_fusion", lambda s, d: r9(metrics.macro_auc(fusion.frozen_fusion(*
 
 
 def probe(s, d):
-    v = fx.vectors(s, d).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2))))
-    rows = v.select("row_id", F.col("k").alias("class_id"), "fold", "author", (F.col("class_id") == F.col("k")).cast("int").alias("y"), F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("x"))
+    v = fx.vectors(s, d)
+    v = v.crossJoin(F.broadcast(v.select(F.col("class_id").alias("k")).distinct()))  # the labels, ten of them
+    rows = v.select("row_id", F.col("k").alias("class_id"), "fold", "author", (F.col("class_id") == F.col("k")).cast("int").alias("y"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
     return r9(metrics.macro_auc(fusion.linear_probe(rows).withColumn("model", F.lit("probe"))), "macro")
 
 
 add("x10_linear_probe", probe)
 add("x42_grouped_stratified_folds", lambda s, d: labels.grouped_stratified_folds(fx.truth(s, d).filter("y = 1").groupBy("author", "class_id").agg(F.count("*").alias("n"))).groupBy("fold").agg(F.count("*").alias("authors")))
+
+
+def windows(s, d):
+    """Scores of ten-second windows of 66 files: filename, start_sec, class_id, score; some are missing."""
+    f = s.range(66).select(F.format_string("f%02d", "id").alias("filename"), F.col("id").alias("n"))
+    f = f.withColumn("start_sec", F.explode(F.array(*map(F.lit, (0, 10, 20))))).withColumn("class_id", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    total = table(s, d, "orders").agg((F.count("*") % 7).alias("shift"))
+    f = f.crossJoin(F.broadcast(total)).withColumn("v", (F.col("n") * 31 + F.col("start_sec") * 3 + F.col("class_id") * 17 + F.col("shift")) % 43)
+    return f.select("filename", "start_sec", "class_id", F.when(F.col("v") % 9 != 0, F.col("v").cast("double") / 43).alias("score"))
+
+
+def pseudo_labelled(s, d):
+    pool = s.range(66).select(F.format_string("f%02d", "id").alias("filename"))
+    return audit.pseudo_label_generation(pool, pool.filter("filename < 'f20'"), windows(s, d), 12, [0, 10, 20], 2, 5)
+
+
+add("x34_pseudo_label_generation", pseudo_labelled, f"""WITH pool AS (SELECT n, printf('f%02d', n) AS filename FROM (SELECT unnest(range(66)) AS n)),
+    pick AS (SELECT * FROM pool WHERE n >= 20 ORDER BY {draw_sql('5', 'filename')}, filename LIMIT 12),
+    w AS (SELECT filename, start_sec, class_id, (n * 31 + start_sec * 3 + class_id * 17 + (SELECT count(*) % 7 FROM orders)) % 43 AS v FROM pick, (SELECT CAST(unnest([0, 10, 20]) AS INTEGER) AS start_sec), (SELECT CAST(unnest(range(5)) AS INTEGER) AS class_id)),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY filename, start_sec ORDER BY v DESC, class_id) AS INTEGER) AS rank FROM w WHERE v % 9 <> 0)
+    SELECT filename, start_sec, class_id, rank FROM r WHERE rank <= 2""")
+
+
+def whole_audit(s, d):
+    """Target rows are fold 4 in 66 files; model c stands for the one with pseudo-labels. The base never saw class 3."""
+    sc = fx.scores(s, d, "ac")
+    target = sc.filter("fold = 4").withColumn("filename", F.col("row_id") % 66)
+    trained = s.createDataFrame([(m, c) for m in "ac" for c in range(5) if (m, c) != ("a", 3)], "model string, class_id int")
+    files = s.range(66).select(F.col("id").alias("filename"))
+    w = resample.hash_weights(files, "filename", 200, 29)
+    told = audit.pseudo_label_audit(target, sc.filter("fold = 3"), trained, w, "a", "c")
+    return r9(told, "base", "pseudo", "delta", "lo", "hi", "focal_delta", "own_base", "own_pseudo")
+
+
+add("x33_pseudo_label_audit_whole", whole_audit, f"""WITH t AS (SELECT *, row_id % 66 AS filename FROM scores WHERE fold = 4 AND model <> 'b'), u AS ({auc_sql('t', 'model, class_id')}), fo AS ({auc_sql("(SELECT * FROM scores WHERE fold = 3 AND model <> 'b')", 'model, class_id')}),
+    weights AS (SELECT rep, i AS filename, w FROM (SELECT rep, {draw_sql('29', 'rep', 'slot')} % 66 AS i, count(*) AS w FROM (SELECT unnest(range(200)) AS rep), (SELECT unnest(range(66)) AS slot) GROUP BY ALL)),
+    r AS (SELECT * FROM t JOIN weights USING (filename) WHERE class_id <> 3), per AS ({wauc_sql('r', 'rep, model, class_id')}),
+    dl AS (SELECT rep, avg(CASE WHEN model = 'c' THEN auc END) - avg(CASE WHEN model = 'a' THEN auc END) AS delta FROM per GROUP BY rep),
+    b AS (SELECT quantile_cont(delta, 0.025) AS lo, quantile_cont(delta, 0.975) AS hi, count(delta) AS n_boot FROM dl),
+    pt AS (SELECT avg(CASE WHEN model = 'a' AND class_id <> 3 THEN auc END) AS base, avg(CASE WHEN model = 'c' AND class_id <> 3 THEN auc END) AS pseudo, avg(CASE WHEN model = 'c' THEN auc END) AS own FROM u),
+    fp AS (SELECT avg(CASE WHEN model = 'c' THEN auc END) - avg(CASE WHEN model = 'a' THEN auc END) AS fd FROM fo WHERE class_id <> 3)
+    SELECT round(base, 9) AS base, round(pseudo, 9) AS pseudo, round(pseudo - base, 9) AS delta, round(lo, 9) AS lo, round(hi, 9) AS hi, n_boot, round(fd, 9) AS focal_delta, round(base, 9) AS own_base, round(own, 9) AS own_pseudo,
+    CASE WHEN lo > 0 AND pseudo > base THEN 'adds' WHEN hi < 0 AND pseudo < base THEN 'hurts' ELSE 'none' END AS verdict FROM pt, fp, b""")
+
+
+def ranked_configs(s, d):
+    """Nations as configurations; region 4 is not reproducible."""
+    n = table(s, d, "nation").join(table(s, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.round(F.avg("c_acctbal"), 4).alias("lb")), "n_nationkey")
+    configs = n.select(F.col("n_name").alias("config"), (F.col("n_nationkey") * 7 % 25).cast("double").alias("cv"), "lb", (F.col("n_regionkey") < 4).alias("reproducible"))
+    return r9(audit.concordance(configs), "spearman", "tau", "spearman_p", "tau_p")
+
+
+#: The p-values have no SQL; a test holds them to published values.
+add("x35_concordance_p_values", ranked_configs)
+add("x35_concordance_parts", lambda s, d: ranked_configs(s, d).drop("spearman_p", "tau_p"), """WITH c AS (SELECT n_name, CAST(n_nationkey * 7 % 25 AS DOUBLE) AS cv, lb, n_regionkey < 4 AS own FROM nation JOIN (SELECT c_nationkey, round(avg(c_acctbal), 4) AS lb FROM customer GROUP BY 1) ON c_nationkey = n_nationkey),
+    e AS (SELECT 'all' AS part, * FROM c UNION ALL SELECT 'reproducible', * FROM c WHERE own), k AS (SELECT *, rank() OVER (PARTITION BY part ORDER BY cv) AS rc, rank() OVER (PARTITION BY part ORDER BY lb) AS rl FROM e),
+    sp AS (SELECT part, round(corr(rc, rl), 9) AS spearman, count(*) AS n FROM k GROUP BY part),
+    ta AS (SELECT x.part, round(sum(sign(x.cv - y.cv) * sign(x.lb - y.lb)) / sqrt(sum(abs(sign(x.cv - y.cv))) * sum(abs(sign(x.lb - y.lb)))), 9) AS tau FROM k x JOIN k y ON x.part = y.part AND x.n_name < y.n_name GROUP BY x.part)
+    SELECT part, spearman, tau, n FROM sp JOIN ta USING (part)""")
+
+
+def all_invariants(s, d):
+    c = cands(s, d, "ac")
+    return audit.invariants(c, "a", "c", nulls.label_permutation(c, 3, 17)).select("name", "ok")
+
+
+add("x38_all_invariants", all_invariants, f"""WITH n AS (WITH {null_sql(3, 17)}, {lead_sql(15)}), h AS (WITH one AS (SELECT * FROM scores WHERE model = 'a'), {selection_sql('one')}, {headroom_sql('one', digits=15)}),
+    k AS (SELECT row_id, row_number() OVER (ORDER BY row_id) AS i, row_number() OVER (ORDER BY {draw_sql('0', 'row_id')}, row_id) AS j FROM base), g AS (SELECT x.row_id, y.row_id AS giver FROM k x JOIN k y ON x.i = y.j),
+    mv AS (SELECT s.row_id, s.class_id, t.y, s.score FROM scores s JOIN g USING (row_id) JOIN truth t ON t.row_id = g.giver AND t.class_id = s.class_id WHERE s.model = 'c'),
+    al AS (SELECT quantile_cont(auc, 0.5) AS v FROM ({auc_sql('mv', 'class_id')}))
+    SELECT 'alignment' AS name, abs(v - 0.5) < 0.1 AS ok FROM al UNION ALL SELECT 'null_centre', avg(headroom) < 0.05 FROM n UNION ALL SELECT 'forced_single', abs(headroom) < 1e-12 FROM h
+    UNION ALL SELECT 'duplicate', abs(headroom) < 1e-12 FROM h UNION ALL SELECT unnest(['off_mask', 'argmax']), true""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from io import BytesIO
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +20,9 @@ def csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
 
 
-def json(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Whole JSON documents."""
-    reader = spark.read.option("multiLine", True)
+def json(spark: SparkSession, path: str, schema: T.StructType | str | None = None, lines: bool = False) -> DataFrame:
+    """Whole JSON documents, or one a line."""
+    reader = spark.read.option("multiLine", not lines)
     return (reader.schema(schema) if schema else reader).json(path)
 
 
@@ -99,6 +100,26 @@ def matrix(spark: SparkSession, path: str, partitions: int = 8) -> DataFrame:
     return spark.read.format("npy").option("path", path).option("partitions", str(partitions)).load()
 
 
+def matrices(spark: SparkSession, folder: str) -> DataFrame:
+    """The .npy shards of a folder, row_<first row>.npy, in long form, read through Spark's own files: any store will do.
+
+    A shard is read by one task, so shards should have some megabytes; sinks.write_npy makes such.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                first = int(path.rsplit("row_", 1)[1].removesuffix(".npy"))
+                whole = np.load(BytesIO(content), allow_pickle=False)
+                for a in range(0, len(whole), 4096):
+                    block = whole[a : a + 4096].astype(np.float64)
+                    row, column = (x.ravel() for x in np.indices(block.shape))
+                    yield pa.RecordBatch.from_pydict({"row_id": pa.array(row + first + a, pa.int64()), "class_id": pa.array(column, pa.int32()), "score": pa.array(block.ravel(), from_pandas=True)})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "row_*.npy").load(folder)
+    return files.select("path", "content").mapInArrow(run, "row_id bigint, class_id int, score double")
+
+
 def centred(samples, length: int):
     """The middle window of an array of samples, zeros at the end where it is short."""
     size = F.size(samples)

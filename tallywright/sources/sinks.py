@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from io import BytesIO
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallywright.functions.scalar import hash_draw
 from tallywright.schema import GateError, require_finite
+from tallywright.sources.scratch import put
 
 
 def write_shards(df: DataFrame, path: str, by: tuple[str, ...] = ("model", "seed", "fold")) -> None:
@@ -13,9 +19,42 @@ def write_shards(df: DataFrame, path: str, by: tuple[str, ...] = ("model", "seed
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+def write_npy(df: DataFrame, folder: str, classes: int, rows: int = 100_000) -> None:
+    """row_id (from 0, gapless), class_id, score as dense float64 .npy shards of so many rows, row_<first row>.npy; NULL is NaN.
+
+    Shards are made by the executors and pass through the driver one at a time.
+    """
+
+    def shard(key: tuple, part: pa.Table) -> pa.Table:
+        first = key[0].as_py() * rows
+        row = part.column("row_id").to_numpy() - first
+        out = np.full((int(row.max()) + 1, classes), np.nan)
+        out[row, part.column("class_id").to_numpy()] = part.column("score").to_numpy()
+        content = BytesIO()
+        np.save(content, out)
+        return pa.table({"first": pa.array([first], pa.int64()), "content": pa.array([content.getvalue()], pa.binary())})
+
+    lots = df.withColumn("lot", F.floor(F.col("row_id") / rows)).groupBy("lot").applyInArrow(shard, "first bigint, content binary")
+    for r in lots.toLocalIterator():
+        put(df.sparkSession, f"{folder}/row_{r['first']:012d}.npy", bytes(r["content"]))
+
+
+def mark_done(jobs: DataFrame, path: str) -> None:
+    """Adds the keys of jobs to the flags beside the shards; called once their partitions are written."""
+    jobs.distinct().write.mode("append").parquet(f"{path}-done")
+
+
+def done(spark: SparkSession, path: str, keys: list[str]) -> DataFrame | None:
+    """The keys that are flagged as done, or None."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}-done")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return spark.read.parquet(f"{path}-done").select(*keys).distinct()
+
+
 def pending(jobs: DataFrame, done: DataFrame | None, keys: list[str]) -> DataFrame:
     """The jobs whose shards are not there yet."""
-    return jobs if done is None else jobs.join(F.broadcast(done.select(*keys).distinct()), keys, "left_anti")
+    return jobs if done is None else jobs.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
 def assemble(spark: SparkSession, path: str, expected: DataFrame, keys: list[str]) -> DataFrame:
@@ -48,18 +87,36 @@ def write_analysis(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(f"{folder}/{name}")
 
 
-def validated(cache: DataFrame, fresh: DataFrame, keys: list[str], value: str, most: float = 1e-3) -> DataFrame:
-    """max_diff and ok of a cache against freshly made values of some keys."""
+def validated(cache: DataFrame, fresh: DataFrame, keys: list[str], value: str, most: float = 1e-3, sample: int | None = None, seed: int = 0) -> DataFrame:
+    """max_diff, ok and rows of a cache against freshly made values, of all keys or of a sample by hash."""
+    if sample is not None:
+        fresh = fresh.orderBy(hash_draw(seed, *[F.col(k) for k in keys]), *keys).limit(sample)
     both = fresh.join(cache.withColumnRenamed(value, "_cached"), keys)
     diff = F.max(F.abs(F.col(value) - F.col("_cached")))
     return both.agg(diff.alias("max_diff"), (diff <= most).alias("ok"), F.count("*").alias("rows"))
 
 
-def report(df: DataFrame, columns: list[str], digits: int = 4) -> DataFrame:
-    """Markdown rows in order: line, text."""
+def row_text(df: DataFrame, columns: list[str], digits: int = 4) -> Column:
+    """A markdown row of some columns; doubles with so many digits, NULL as a dash."""
     kinds = dict(df.dtypes)
-    cells = [F.coalesce(F.format_string(f"%.{digits}f", F.col(c)) if kinds[c] == "double" else F.col(c).cast("string"), F.lit("-")) for c in columns]
-    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("text"))
+    text = lambda c: F.format_string(f"%.{digits}f", F.col(c)) if kinds[c] == "double" else F.col(c).cast("string")
+    cells = [F.when(F.col(c).isNull(), F.lit("-")).otherwise(text(c)) for c in columns]
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+
+
+def report(df: DataFrame, columns: list[str], digits: int = 4) -> DataFrame:
+    """Markdown rows: text."""
+    return df.select(row_text(df, columns, digits).alias("text"))
+
+
+def full_report(df: DataFrame, title: str, columns: list[str], order: list[str], digits: int = 4) -> DataFrame:
+    """A markdown table with its title, head and rows in order: line, text."""
+    spark = df.sparkSession
+    top = [f"## {title}", "", "| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
+    head = spark.createDataFrame(list(enumerate(top)), "line bigint, text string")
+    place = F.row_number().over(Window.orderBy(*order)).cast("bigint") + len(top) - 1  # a report's rows are few
+    body = df.withColumn("_line", place)
+    return head.unionByName(body.select(F.col("_line").alias("line"), row_text(body, columns, digits).alias("text")))
 
 
 def disk_guard(path: str, most: float = 0.92) -> float:

@@ -13,9 +13,9 @@ def arriving(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def append_new(stream: DataFrame, target: str, checkpoint: str):
-    """Appends arriving shards to a table partitioned by model; each batch replaces nothing and is written once."""
+    """Adds arriving shards to a table partitioned by batch and model; a batch that is retried replaces its own rows."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates(["row_id", "class_id", "model"]).write.mode("append").partitionBy("model").parquet(target)
+        batch.dropDuplicates(["row_id", "class_id", "model"]).write.mode("overwrite").partitionBy("model").parquet(f"{target}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallywright import schema
-from tallywright.functions import models, scalar
+from tallywright.functions import audio, models, scalar, tails
 from tallywright.operators import fusion, inference, labels, metrics, postproc, resample, select, shift
 from tallywright.sources import readers, sinks
 from tallywright.streaming import shards
@@ -246,3 +246,29 @@ def test_both_kernels_of_the_bootstrap_are_the_weighted_count(spark, monkeypatch
     assert len(fast) == 160
     for key, value in fast.items():
         assert value is None if key[1] == "b" and key[0] in gone else abs(value - plain[key]) < 1e-12
+
+
+def test_tails_are_the_published_ones():
+    """Values from tables of the t distribution and of Kendall's statistic."""
+    assert abs(tails.beta_share(0.5, 2, 3) - 0.6875) < 1e-12
+    assert abs(tails.correlation_p(0.9, 5) - 0.03738607) < 1e-7 and abs(tails.correlation_p(0.6319, 10) - 0.05) < 1e-4
+    assert abs(tails.kendall_p(1.0, 4) - 2 / 24) < 1e-12 and abs(tails.kendall_p(0.6, 5) - 2 * 14 / 120) < 1e-12 and tails.kendall_p(0.0, 4) == 1.0
+    assert abs(tails.kendall_p(0.2, 40) - math.erfc(0.2 * 780 / math.sqrt(40 * 39 * 85 / 18) / math.sqrt(2))) < 1e-12
+    assert math.isnan(tails.correlation_p(0.5, 2))
+
+
+def test_audio():
+    rate = 8000
+    t = np.arange(2 * rate) / rate
+    tone = 0.5 * np.sin(2 * np.pi * 500 * t)
+    back = audio.wav(audio.as_wav(tone, rate))
+    assert len(back) == len(tone) and np.abs(back - tone).max() < 1 / 32768
+    with pytest.raises(ValueError):
+        audio.wav(b"no wave")
+    power = audio.spectrogram(tone, 256, 80)
+    assert power.shape == (201, 129) and (power[5:-5].argmax(axis=1) == 16).all()
+    bank = audio.mel_bank(rate, 256, 20)
+    level = audio.log_mel(tone, rate, 20, 256, 80)
+    assert level.shape == (20, 201) and (level[:, 5:-5].argmax(axis=0) == bank[:, 16].argmax()).all() and level.max() - level.min() <= 80.001
+    half = audio.halved(tone + 0.5 * np.sin(2 * np.pi * 3500 * t))
+    assert len(half) == rate and np.abs(half - tone[::2])[100:-100].max() < 0.01
