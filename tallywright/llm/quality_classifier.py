@@ -42,8 +42,11 @@ class Network:
     offset: float
 
     def pairs(self) -> np.ndarray:
-        t = self.taps
-        return np.stack([(t[k][:, None] + t[k + 1][None]).reshape(-1, t.shape[2]) for k in range(0, WIDTH, 2)]).astype(np.float32)
+        t = self.taps.astype(np.float32)
+        out = np.empty((WIDTH // 2, 256, 256, t.shape[2]), np.float32)
+        for k in range(0, WIDTH, 2):
+            np.add(t[k][:, None], t[k + 1][None], out=out[k // 2])
+        return out.reshape(WIDTH // 2, -1, t.shape[2])
 
 
 def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
