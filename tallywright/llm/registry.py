@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallywright.llm import language_id, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, secrets, span_dedup, topk_search
+from tallywright.llm import language_id, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, ranked_search, secrets, span_dedup, topk_search, toxicity
 
 
 def queries() -> dict:
@@ -18,6 +18,8 @@ def queries() -> dict:
         "op4_quality_classifier": quality_classifier.query,
         "op5_suffix_dedup": span_dedup.query,
         "op6_quality_rules": quality_rules.query,
+        "op11_toxicity": toxicity.query,
+        "op12_ranked_search": ranked_search.query,
     }
 
 
@@ -29,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_line_dedup": line_dedup.ORACLE,
         "op8_topk_search": topk_search.ORACLE,
         "op10_mix_sources": mixing.ORACLE,
+        "op12_ranked_search": ranked_search.ORACLE,
     }
