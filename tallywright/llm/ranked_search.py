@@ -3,11 +3,15 @@
 Each text's terms that some item asks for are counted once; a term's postings are dealt by the term and a part of its rows
 (so that a frequent term is no hot key), best first. For every item of m terms that weigh anything:
 
-1. The heads of its lists, k postings each, give partial scores; the kth highest is a lower bound of the kth best score.
+1. The heads of its lists, k postings each, give partial scores; of the documents that lead by these, the exact scores are
+   looked up, and the kth highest is a lower bound of the kth best score.
 2. A document that reaches the bound has a term that brings at least an m-th of it. Every list gives its postings at or
    above that threshold. Their partial scores give a better bound; what a document can still gain is bounded by its
    missing terms' thresholds and maxima, and documents that can't reach the bound go.
-3. The candidates' missing postings, all below the threshold, are looked up, and the exact scores are ranked.
+3. The candidates' postings are looked up, and the exact scores are ranked.
+
+Between phases postings travel by document, not as pairs of item and document: a bucket of documents meets all items of
+the block in one matrix, so that a posting is shuffled once however many items ask for its term.
 
 Nothing is cut: ties with the kth score stay candidates, and where fewer than k documents are seen the threshold is zero.
 Items are taken in blocks, so that the terms that every task looks up are bounded; the usual number of blocks is one.
@@ -18,7 +22,9 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -34,6 +40,9 @@ TOP = 50
 BLOCK = 200_000
 #: A term's rows are dealt in so many parts.
 PARTS = 64
+#: Rows of documents whose postings a task holds at once, and cells of the matrix of their scores.
+BUCKET = 4096
+CELLS = 1 << 21
 SLICE = 1 << 20
 
 
@@ -125,36 +134,145 @@ def ranked_block(pairs: DataFrame, docs: DataFrame, top: int, folder: str) -> Da
     asked = terms_of.join(F.broadcast(known), "term").withColumn("m", F.count("*").over(every))  # a row for each term of the block
     asked = written(asked, folder, "asked")
 
-    # 1: the heads' partial scores
+    buckets = max(1, -(-forward.count() // BUCKET))
+
+    # 1: the heads' partial scores, and the exact ones of the best of them
     heads = lists.withColumn("place", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("q")))).filter(F.col("place") <= top)
     partial = heads.join(F.broadcast(asked), "term").groupBy("item", "row").agg(F.sum(F.col("w") * F.col("q")).alias("score"))
-    bound = written(asked.select("item").distinct().join(kth(partial, top), "item", "left").select("item", F.coalesce("kth", F.lit(0)).alias("bound")), folder, "bounds")
+    place = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score")))
+    promising = partial.withColumn("place", place).filter(F.col("place") <= 2 * top).select("item", "row")
+    asks = Asked.of(asked, len(words))
+    bound = written(kth(exact(lists, written(promising, folder, "promising"), asks, buckets), top), folder, "bounds")
+    asks = asks.bounded({r["item"]: r["kth"] for r in bound.collect()})  # a row for each item of the block
 
     # 2: postings at or above an m-th of the bound
-    least = F.greatest(F.ceil(F.col("bound") / (F.col("m") * F.col("w"))) - 1, F.lit(0))  # one below: the quotient is a double
-    cut = asked.join(F.broadcast(bound), "item").withColumn("least", least)
-    cap = F.least(F.col("most"), F.col("least")) * F.col("w")
-    cut = written(cut.withColumns({"cap": cap, "caps": F.sum(cap).over(every)}), folder, "cuts")
-    some = cut.filter("most >= least").select("item", "term", "w", "least", "cap", "caps")
-    fetched = lists.join(F.broadcast(some), "term").filter("q >= least")
-    seen = fetched.groupBy("item", "row").agg(F.sum(F.col("w") * F.col("q")).alias("score"), (F.first("caps") - F.sum("cap")).alias("more"))
-    seen = written(seen, folder, "seen")
-    better = written(kth(seen, top), folder, "better")
-    candidates = seen.join(F.broadcast(better), "item", "left").filter(F.col("score") + F.col("more") >= F.coalesce("kth", F.lit(0)))
-    candidates = written(candidates.select("item", "row", "score"), folder, "candidates")
-
-    # 3: the candidates' other postings, then their ids
-    missing = candidates.select("item", "row").join(F.broadcast(cut.filter("least > 0").select("item", "term", "w", "least")), "item")
-    found = missing.join(lists, ["term", "row"]).filter("q < least").select("item", "row", (F.col("w") * F.col("q")).alias("score"))
-    exact = candidates.unionByName(found).groupBy("item", "row").agg(F.sum("score").cast("long").alias("score")).filter("score > 0")
-    exact = exact.join(forward.select("row", "doc_id"), "row")
+    least = spark.createDataFrame(asks.least_of_terms(), "term int, least bigint")
+    fetched = lists.join(F.broadcast(least), "term").filter(F.col("q") >= F.col("least")).select("row", "term", "q")
+    fetched = fetched.withColumn("bucket", bucket(buckets))
+    seen = written(fetched.groupBy("bucket").applyInArrow(thresholded(asks), "item bigint, row bigint, score bigint, most bigint"), folder, "seen")
+    better = F.broadcast(kth(seen, top))  # a row for each item of the block
+    candidates = seen.join(better, "item", "left").filter(F.col("most") >= F.coalesce("kth", F.lit(0)))
+    candidates = written(candidates.select("item", "row"), folder, "candidates")
+
+    # 3: the candidates' exact scores, then their ids
+    found = exact(lists, candidates, asks, buckets).join(forward.select("row", "doc_id"), "row")
     order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
-    out = exact.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("item", "rank", "doc_id", "score")
+    out = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("item", "rank", "doc_id", "score")
     out = written(out, folder, "ranked")
-    discard(spark, folder, "terms-of", "forward", "lists", "asked", "bounds", "cuts", "seen", "better", "candidates")
+    discard(spark, folder, "terms-of", "forward", "lists", "asked", "promising", "bounds", "seen", "candidates")
     return out
 
 
+def bucket(buckets: int):
+    return F.pmod(F.xxhash64("row"), F.lit(buckets))
+
+
+@dataclass
+class Asked:
+    """A block's pairs of term and item, by term: pairs at[t] to at[t + 1] are term t's.
+
+    least: the smallest q that reaches the item's threshold; cap: what the pair can bring below it.
+    """
+
+    items: np.ndarray
+    at: np.ndarray
+    terms: np.ndarray
+    item: np.ndarray
+    w: np.ndarray
+    most: np.ndarray
+    m: np.ndarray
+    least: np.ndarray
+    cap: np.ndarray
+    bound: np.ndarray
+
+    @staticmethod
+    def of(asked: DataFrame, size: int) -> Asked:
+        """asked: item, term, most, w, m, whose rows are bounded by BLOCK and one item's terms; size: the number of terms."""
+        rows = asked.toArrow()
+        item, term, most, w, m = (rows.column(n).to_numpy().astype(np.int64) for n in ("item", "term", "most", "w", "m"))
+        order = np.lexsort((item, term))
+        items, place = np.unique(item, return_inverse=True)
+        at = np.searchsorted(term[order], np.arange(size + 1))
+        none = np.zeros(len(term), np.int64)
+        return Asked(items, at, term[order], place[order], w[order], most[order], m[order], none, none, np.zeros(len(items), np.int64))
+
+    def bounded(self, bounds: dict[int, int]) -> Asked:
+        """With the thresholds that follow from lower bounds of the items' last scores."""
+        bound = np.array([bounds.get(i, 0) for i in self.items.tolist()], np.int64)
+        weight = self.m * self.w
+        least = -(-bound[self.item] // np.maximum(weight, 1))
+        return replace(self, least=least, cap=np.minimum(self.most, np.maximum(least - 1, 0)) * self.w, bound=bound)
+
+    def least_of_terms(self) -> list[tuple[int, int]]:
+        """Of each term that reaches some item's threshold, the least q that does."""
+        own = self.most >= self.least
+        terms, first = np.unique(self.terms[own], return_index=True)
+        least = np.minimum.reduceat(self.least[own], first) if len(first) else first
+        return list(zip(terms.tolist(), least.tolist(), strict=True))
+
+    def sums(self, row: np.ndarray, term: np.ndarray, q: np.ndarray, fetched: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The rows' scores for all items, as matrices of some rows at a time: rows, scores, caps of what was added.
+
+        Sums are whole numbers below 2**53, so that doubles hold them exactly.
+        """
+        order = np.argsort(row, kind="stable")
+        row, term, q = row[order], term[order], q[order]
+        rows, begin = np.unique(row, return_index=True)
+        begin = np.append(begin, len(row))
+        width = max(1, len(self.items))
+        step = max(1, CELLS // width)
+        for a in range(0, len(rows), step):
+            own = rows[a : a + step]
+            score, cap = np.zeros(len(own) * width), np.zeros(len(own) * width)
+            for c in range(begin[a], begin[a + len(own)], CELLS // 64):
+                part = slice(c, min(c + CELLS // 64, begin[a + len(own)]))
+                t, each = term[part], self.at[term[part] + 1] - self.at[term[part]]
+                total = int(each.sum())
+                pair = np.repeat(self.at[t] - (np.cumsum(each) - each), each) + np.arange(total)
+                value = np.repeat(q[part], each)
+                cell = np.repeat(np.searchsorted(own, row[part]) * width, each) + self.item[pair]
+                if fetched:
+                    keep = value >= self.least[pair]
+                    pair, value, cell = pair[keep], value[keep], cell[keep]
+                    cap += np.bincount(cell, self.cap[pair], len(cap))
+                score += np.bincount(cell, self.w[pair] * value, len(score))
+            yield own, score.reshape(-1, width), cap.reshape(-1, width)
+
+
+def thresholded(asked: Asked):
+    """A bucket's fetched postings to item, row, score and the most that the row can have, where that reaches the bound."""
+    caps = np.bincount(asked.item, asked.cap, len(asked.items))
+
+    def run(postings: pa.Table) -> pa.Table:
+        out = [[np.zeros(0, np.int64)] * 4]
+        for rows, score, cap in asked.sums(*(postings.column(n).to_numpy() for n in ("row", "term", "q")), True):
+            most = score + caps - cap
+            r, i = np.nonzero((score > 0) & (most >= asked.bound))
+            out.append([asked.items[i], rows[r], score[r, i].astype(np.int64), most[r, i].astype(np.int64)])
+        return pa.table(dict(zip(("item", "row", "score", "most"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    return run
+
+
+def exact(lists: DataFrame, pairs: DataFrame, asked: Asked, buckets: int) -> DataFrame:
+    """Pairs of item and row with their exact scores, if above 0, from the postings of their rows."""
+
+    def run(postings: pa.Table, own: pa.Table) -> pa.Table:
+        out = [[np.zeros(0, np.int64)] * 3]
+        item, row = np.searchsorted(asked.items, own.column("item").to_numpy()), own.column("row").to_numpy()
+        for rows, score, _ in asked.sums(*(postings.column(n).to_numpy() for n in ("row", "term", "q")), False):
+            place = np.minimum(np.searchsorted(rows, row), len(rows) - 1)
+            here = rows[place] == row
+            value = score[place[here], item[here]]
+            up = value > 0
+            out.append([asked.items[item[here][up]], row[here][up], value[up].astype(np.int64)])
+        return pa.table(dict(zip(("item", "row", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    postings = lists.join(pairs.select("row").distinct(), "row", "left_semi").select("row", "term", "q").withColumn("bucket", bucket(buckets))
+    own = pairs.select("item", "row").withColumn("bucket", bucket(buckets))
+    return postings.groupBy("bucket").cogroup(own.groupBy("bucket")).applyInArrow(run, "item bigint, row bigint, score bigint")
+
+
 def kth(scores: DataFrame, top: int) -> DataFrame:
     """The top-th highest score of each item that has so many."""
     place = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score")))

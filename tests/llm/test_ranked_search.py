@@ -54,3 +54,8 @@ def test_slices_cut_no_term(monkeypatch):
     whole = rs.counted_terms(text)
     monkeypatch.setattr(rs, "SLICE", 7)
     assert rs.counted_terms(text) == whole and whole["aé".encode()] == 50 and whole["ß\U0001f600ß".encode()] == 1
+
+
+def test_terms_of_every_document_weigh_nothing(spark, tmp_path):
+    d = tables(tmp_path, [(i, f"zz line {i}", "en", "a", 1) for i in range(40)], [(1, "zz 7 line"), (2, "zz")])
+    assert same(spark, rs.query, rs.ORACLE, d, ["documents", "benchmark"]) == 1
