@@ -57,5 +57,5 @@ def test_slices_cut_no_term(monkeypatch):
 
 
 def test_terms_of_every_document_weigh_nothing(spark, tmp_path):
-    d = tables(tmp_path, [(i, f"zz line {i}", "en", "a", 1) for i in range(40)], [(1, "zz 7 line"), (2, "zz")])
+    d = tables(tmp_path, [(i, f"zz line {i}", "en", "a", 1) for i in range(1100)], [(1, "zz 7 line"), (2, "zz")])
     assert same(spark, rs.query, rs.ORACLE, d, ["documents", "benchmark"]) == 1
