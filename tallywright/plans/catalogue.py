@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallywright.plans import metric_queries, source_queries, stat_queries, table_queries
+from tallywright.plans import job_queries, metric_queries, source_queries, stat_queries, table_queries
 
-_PARTS = (metric_queries, table_queries, stat_queries, source_queries)
+_PARTS = (metric_queries, table_queries, stat_queries, source_queries, job_queries)
 
 
 def queries() -> dict:
