@@ -31,8 +31,8 @@ def clustered(spark, sf_dir, models="ac"):
 def bootstrap(reps):
     def run(spark, sf_dir):
         sc, rows = clustered(spark, sf_dir)
-        w = resample.hash_weights(rows, "author", reps, 11)
-        return metrics.summary(resample.paired_deltas(resample.replicate_auc(sc, w, "author", ["model", "class_id"], reps), "a", ["c"]), "delta")
+        per = resample.replicate_auc(sc, rows, "author", ["model", "class_id"], reps, 11)
+        return metrics.summary(resample.paired_deltas(per, "a", ["c"]), "delta")
 
     return run
 

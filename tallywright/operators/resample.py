@@ -1,35 +1,44 @@
 """Cluster bootstrap, permutations and influence.
 
 A bootstrap draw only changes how often a row counts, so a replicate is a table of weights by cluster, and its AUC is a
-weighted count. Scores are sorted once for each model and class; the replicates are then evaluated together, and never as
-copies of the rows: concordant pairs are summed by the clusters of their positive and their negative, and a replicate is a
-quadratic form of that matrix. Where clusters are too many for it, replicates go over the sorted rows by cumulative sums.
+weighted count. Scores are sorted once, in runs over all tasks; the replicates are then evaluated together, and never as
+copies of the rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywright.functions.scalar import hash_draw
+from tallywright.operators.draws import PRIME, DrawnPlaces, blocks, image_of, matrix
 from tallywright.operators.inference import two_sided
+from tallywright.operators.labels import numbered
 from tallywright.operators.metrics import auc, auc_of_counts, evaluable, summary
 
 
+def places(clusters: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """key and _i, the clusters' places in their order, and how many there are."""
+    listed = clusters.select(key).filter(F.col(key).isNotNull()).distinct()
+    return numbered(listed, "_i", [key]), listed.count()
+
+
 def hash_weights(clusters: DataFrame, key: str, reps: int, seed: int) -> DataFrame:
     """rep, key, w: how often each cluster is drawn in each replicate, from as many draws as there are clusters.
 
-    Draws are hashes of seed, replicate and slot, so they don't depend on partitions and any engine can repeat them.
+    Draws are hashes of seed, replicate and slot, so they don't depend on partitions and any engine can repeat them. A
+    table function makes each replicate's on the executors.
     """
-    listed = clusters.select(key).distinct()
-    numbered = listed.withColumn("_i", F.row_number().over(Window.orderBy(key)) - 1)
-    size = listed.agg(F.count("*").alias("_n"))
-    slots = clusters.sparkSession.range(reps).withColumnRenamed("id", "rep").crossJoin(F.broadcast(size))
-    slots = slots.withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
-    drawn = slots.withColumn("_i", hash_draw(seed, F.col("rep"), F.col("_slot")) % F.col("_n"))
-    return drawn.groupBy("rep", "_i").agg(F.count("*").alias("w")).join(numbered, "_i").select("rep", key, "w")
+    listed, n = places(clusters, key)
+    each = clusters.sparkSession.range(reps).withColumnRenamed("id", "rep")
+    drawn = each.lateralJoin(DrawnPlaces(F.lit(seed), F.col("rep").outer(), F.lit(n)))
+    return drawn.join(listed, "_i").select("rep", key, "w")
 
 
 def numpy_weights(clusters: DataFrame, key: str, reps: int, seed: int) -> DataFrame:
@@ -62,90 +71,135 @@ def replicate_auc_plain(df: DataFrame, weights: DataFrame, key: str, by: list[st
     return auc_of_counts(counted_, ["rep", *by]).drop("missing")
 
 
-#: Clusters whose matrix of pairs is made: 200 MB at the most.
-MOST_CLUSTERS = 5000
-
-
-def quadratic(cluster: np.ndarray, p: np.ndarray, n: np.ndarray, step: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """AUC of every replicate from rows sorted by score, one for each score and cluster; step: where a new score begins.
-
-    won[c, d] counts the positives of cluster c above the negatives of cluster d, ties as halves, so that a replicate's
-    concordant pairs are w' won w.
-    """
-    size = len(weights)
-    won, below = np.zeros((size, size)), np.zeros(size)
-    for a, b in zip(step.tolist(), [*step[1:].tolist(), len(cluster)], strict=True):
-        own, has = cluster[a:b], p[a:b] > 0
-        if has.any():
-            level = below.copy()
-            level[own] += 0.5 * n[a:b]
-            won[own[has]] += p[a:b][has][:, None] * level
-        below[own] += n[a:b]
-    pos, out = np.bincount(cluster, p, size), np.full(weights.shape[1], np.nan)
-    for a in range(0, weights.shape[1], 256):
-        w = weights[:, a : a + 256].astype(np.float64)
-        pairs = (pos @ w) * (below @ w)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            out[a : a + 256] = np.where(pairs > 0, ((won @ w) * w).sum(axis=0) / pairs, np.nan)
-    return out
+#: Replicates that a kernel takes at a time, and that a row of partial sums holds.
+WIDTH = 64
 
 
-def replicate_auc(df: DataFrame, weights: DataFrame, key: str, by: list[str], reps: int) -> DataFrame:
-    """Weighted AUC for each replicate and key: rep, by, auc (NULL if a class is absent or a weighted score is missing).
+def replicate_auc(df: DataFrame, clusters: DataFrame, key: str, by: list[str], reps: int, seed: int, parts: int | None = None) -> DataFrame:
+    """Weighted AUC for each replicate and key, with hash_weights' draws: rep, by, auc (NULL if a class is absent or a weighted score is missing).
 
-    Rows are summed by (by, score, cluster) before they are shuffled. A group's rows are sorted once; a kernel takes all
-    replicates from them, block by block, with the weights as a matrix of replicates by clusters (2 bytes each, broadcast:
-    reps x clusters, whose size is checked). Both ways of the kernel sum whole numbers and halves, so they agree.
+    Two levels. Rows are summed by (by, score, cluster) and dealt by ranges of (by, score), so that each task holds a
+    sorted run and none a whole model and class. A run gives, for every replicate, its weighted positives and negatives and
+    the pairs that are concordant within it; then a group's few runs are added up in their order. Executors make the
+    weights from the seed, in blocks of replicates of at most 64 MB. All sums are whole numbers and halves, so the order of
+    adding changes no bit while pairs stay below 2**52.
     """
-    number = weights.select(key).distinct().count()
-    if reps * number * 2 > 512 << 20:
-        raise ValueError("the weights are too large to broadcast; use replicate_auc_plain")
-    drawn = weights.select(key, "rep", "w").toArrow()  # at most reps x clusters rows
-    codes = drawn.column(key).combine_chunks().dictionary_encode()
-    place = {c: i for i, c in enumerate(codes.dictionary.to_pylist())}
-    matrix = np.zeros((number, reps), np.uint16)
-    matrix[codes.indices.to_numpy(), drawn.column("rep").to_numpy()] = drawn.column("w").to_numpy()
-    shared = df.sparkSession.sparkContext.broadcast((place, matrix))
+    spark = df.sparkSession
+    listed, n = places(clusters, key)
+    spans = blocks(reps, n)
     counts = df.groupBy(*by, "score", key).agg(F.sum("y").cast("double").alias("p"), F.sum(1 - F.col("y")).cast("double").alias("n"))
-
-    def kernel(part: pd.DataFrame) -> pd.DataFrame:
-        place, matrix = shared.value
-        part = part[part[key].isin(place.keys())]
-        gone = part["score"].isna()
-        absent = np.zeros(matrix.shape[1], bool)
-        for c in part.loc[gone, key].unique():
-            absent |= matrix[place[c]] > 0
-        part = part[~gone].sort_values("score", kind="stable")
-        row = part[key].map(place).to_numpy()
-        step = np.concatenate(([0], np.flatnonzero(np.diff(part["score"].to_numpy())) + 1)) if len(part) else np.zeros(0, int)
-        out = np.full(matrix.shape[1], np.nan)
-        if len(part) and len(place) <= MOST_CLUSTERS:
-            out = quadratic(row, part["p"].to_numpy(), part["n"].to_numpy(), step, matrix)
-            out[absent] = np.nan
-            return told(part, out)
-        for a in range(0, matrix.shape[1], 64):  # replicates at a time, to bound the memory
-            w = matrix[row, a : a + 64].astype(np.float64)
-            if not len(w):
-                break
-            p = np.add.reduceat(w * part["p"].to_numpy()[:, None], step, axis=0)
-            n = np.add.reduceat(w * part["n"].to_numpy()[:, None], step, axis=0)
-            below = np.cumsum(n, axis=0) - n
-            tp, tn = p.sum(axis=0), n.sum(axis=0)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                out[a : a + 64] = np.where((tp > 0) & (tn > 0), (p * (below + 0.5 * n)).sum(axis=0) / (tp * tn), np.nan)
-        out[absent] = np.nan
-        return told(part, out)
-
-    def told(part: pd.DataFrame, out: np.ndarray) -> pd.DataFrame:
-        keys = {k: v for k, v in zip(by, group_of(part, by), strict=True)}
-        return pd.DataFrame({"rep": np.arange(len(out)), **keys, "auc": out})
-
-    def group_of(part: pd.DataFrame, names: list[str]):
-        return [part[k].iloc[0] if len(part) else None for k in names]
-
+    counts = counts.filter(" and ".join(f"{k} is not null" for k in by)).join(listed, key).select(*by, "score", "_i", "p", "n")
+    first = F.broadcast(spark.createDataFrame([(a, b) for a, b in spans], "_a int, _b int"))  # a row for each block
+    order = ["_a", *by, "score"]
+    runs = counts.crossJoin(first).repartitionByRange(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
     kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in by)
-    found = counts.groupBy(*by).applyInPandas(kernel, f"rep bigint, {kinds}, auc double")
-    return found.filter(" and ".join(f"{k} is not null" for k in by)).withColumn("auc", F.when(~F.isnan("auc"), F.col("auc")))
+    sums = ", ".join(f"{c} array<double>" for c in ("p", "n", "pairs", "gone"))
+    partial = runs.mapInArrow(run_sums(by, seed, n), f"{kinds}, _first int, _run int, {sums}")
+    found = partial.groupBy(*by, "_first").applyInArrow(added_runs(by), f"{kinds}, rep bigint, auc double")
+    return found.select("rep", *by, "auc")
+
+
+class Run:
+    """The sums of one key's sorted run, for the replicates of one block."""
+
+    def __init__(self, key: tuple, weights: np.ndarray):
+        self.key, self.weights = key, weights
+        self.p, self.n, self.pairs, self.gone = np.zeros((4, weights.shape[1]))
+
+    def add(self, cluster: np.ndarray, p: np.ndarray, n: np.ndarray, step: np.ndarray, missing: np.ndarray) -> None:
+        """Rows in the order of their scores, ties whole; step: where a new score begins; missing: rows without one, first."""
+        skip = int(missing.sum())
+        if skip:
+            self.gone += (p[:skip] + n[:skip]) @ self.weights[cluster[:skip]]
+            cluster, p, n, step = cluster[skip:], p[skip:], n[skip:], np.flatnonzero(step[skip:])
+        else:
+            step = np.flatnonzero(step)
+        if not len(cluster):
+            return
+        for a in range(0, self.weights.shape[1], WIDTH):
+            own = slice(a, a + WIDTH)
+            w = self.weights[:, own][cluster].astype(np.float64)
+            wp, wn = np.add.reduceat(w * p[:, None], step, axis=0), np.add.reduceat(w * n[:, None], step, axis=0)
+            below = np.cumsum(wn, axis=0) - wn + self.n[own]
+            self.pairs[own] += (wp * (below + 0.5 * wn)).sum(axis=0)
+            self.p[own] += wp.sum(axis=0)
+            self.n[own] += wn.sum(axis=0)
+
+
+def run_sums(by: list[str], seed: int, places_: int):
+    """Sorted rows of _a, _b, by, score, _i, p, n to the sums of each key's run in this task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, state, held = TaskContext.get().partitionId(), None, None
+
+        def changes(t: pa.Table, names: list[str]) -> np.ndarray:
+            new = np.ones(len(t), bool)
+            new[1:] = False
+            for c in names:
+                x = t.column(c).combine_chunks()
+                other = pc.not_equal(x.slice(1), x.slice(0, len(x) - 1)).fill_null(False).to_numpy(zero_copy_only=False)
+                void = x.is_null().to_numpy(zero_copy_only=False)
+                new[1:] |= other | (void[1:] != void[:-1])
+            return new
+
+        def take(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            nonlocal state
+            keys = ["_a", *by]
+            starts = np.flatnonzero(changes(t, keys))
+            step, missing = changes(t, [*keys, "score"]), t.column("score").is_null().to_numpy()
+            cluster, p, n = (t.column(c).to_numpy() for c in ("_i", "p", "n"))
+            for a, b in zip(starts, [*starts[1:], len(t)], strict=True):
+                key = tuple(t.column(c)[int(a)].as_py() for c in ("_a", "_b", *by))
+                if state is None or state.key != key:
+                    if state is not None:
+                        yield from told(state)
+                    state = Run(key, matrix(seed, places_, key[0], key[1]))
+                own = slice(a, b)
+                state.add(cluster[own], p[own], n[own], step[own], missing[own])
+
+        def told(state: Run) -> Iterator[pa.RecordBatch]:
+            for a in range(0, len(state.p), WIDTH):
+                own = slice(a, a + WIDTH)
+                row = dict(zip(by, state.key[2:], strict=True)) | {"_first": state.key[0] + a, "_run": part}
+                row |= {c: getattr(state, c)[own].tolist() for c in ("p", "n", "pairs", "gone")}
+                yield pa.RecordBatch.from_pylist([row], schema=schema)
+
+        schema = None
+        for batch in batches:
+            if schema is None:
+                kinds = [(k, batch.schema.field(k).type) for k in by]
+                schema = pa.schema([*kinds, ("_first", pa.int32()), ("_run", pa.int32()), *[(c, pa.list_(pa.float64())) for c in ("p", "n", "pairs", "gone")]])
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([held, t]) if held is not None else t
+            if not len(t):
+                continue
+            last = int(np.flatnonzero(changes(t, ["_a", *by, "score"]))[-1])  # ties may go on in the next batch
+            yield from take(t.slice(0, last)) if last else ()
+            held = t.slice(last)
+        if held is not None and len(held):
+            yield from take(held)
+        if state is not None:
+            yield from told(state)
+
+    return run
+
+
+def added_runs(by: list[str]):
+    """A key's runs, in their order, to the AUC of each replicate of a block."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("_run")
+        p, n, pairs, gone = (np.stack([np.asarray(v) for v in t.column(c).to_pylist()]) for c in ("p", "n", "pairs", "gone"))
+        pairs = pairs.sum(axis=0) + (p * (np.cumsum(n, axis=0) - n)).sum(axis=0)
+        p, n, gone = p.sum(axis=0), n.sum(axis=0), gone.sum(axis=0)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            auc = pairs / (p * n)
+        void = (p == 0) | (n == 0) | (gone > 0)
+        first = t.column("_first")[0].as_py()
+        keys = {k: pa.array([t.column(k)[0].as_py()] * len(auc), t.schema.field(k).type) for k in by}
+        return pa.table(keys | {"rep": pa.array(np.arange(first, first + len(auc)), pa.int64()), "auc": pa.array(auc, pa.float64(), mask=void)})
+
+    return run
 
 
 def paired_deltas(per: DataFrame, ref: str, tests: list[str], common: bool = True) -> DataFrame:
@@ -197,14 +251,16 @@ def value_bootstrap(values: DataFrame, key: str, value: str, reps: int, seed: in
 def permuted_within(df: DataFrame, key: str, row: str, columns: list[str], reps: int, seed: int) -> DataFrame:
     """Deals the columns anew among the rows of each cluster, in each replicate: rep, row and the dealt columns.
 
-    df has a row for each row id. The r-th row by id gets the values of the r-th by hash of seed, replicate and id.
+    df has a row for each row id. Places are numbered once, in the order of ids; in a replicate the row at place k gets the
+    values of the row at place draws.image(k). A cluster's rows are not gathered anywhere.
     """
-    every = df.crossJoin(F.broadcast(df.sparkSession.range(reps).withColumnRenamed("id", "rep")))
-    own = Window.partitionBy("rep", key).orderBy(row)
-    other = Window.partitionBy("rep", key).orderBy(hash_draw(seed, F.col("rep"), F.col(row)), row)
-    to = every.select("rep", key, row, F.row_number().over(own).alias("_k"))
-    given = every.select("rep", key, *columns, F.row_number().over(other).alias("_k"))
-    return to.join(given, ["rep", key, "_k"]).drop("_k")
+    known = numbered(df.filter(F.col(key).isNotNull()), "_at", [key, row])
+    bounds = known.groupBy(key).agg(F.min("_at").alias("_first"), F.count("*").alias("_size"))
+    known = known.join(bounds, key).withColumn("_place", F.col("_at") - F.col("_first"))
+    h = hash_draw(seed, F.col(key)) % PRIME
+    every = known.select(key, row, "_place", "_size", h.alias("_h")).crossJoin(F.broadcast(df.sparkSession.range(reps).withColumnRenamed("id", "rep")))
+    to = every.select("rep", key, row, image_of(F.col("_place"), F.col("_size"), F.col("rep"), F.col("_h")).alias("_place"))
+    return to.join(known.select(key, "_place", *columns), [key, "_place"]).select("rep", key, row, *columns)
 
 
 def influence(df: DataFrame, key: str, by: list[str]) -> DataFrame:

@@ -80,3 +80,24 @@ def wauc_sql(source: str, keys: str) -> str:
 def draw_sql(*parts: str) -> str:
     """SQL of functions.scalar.hash_draw."""
     return "CAST('0x' || substr(md5(concat_ws(':', " + ", ".join(f"CAST({p} AS VARCHAR)" for p in parts) + ")), 1, 8) AS BIGINT)"
+
+
+def slot_sql(seed: str) -> str:
+    """SQL of the draw of slot in rep, operators.draws.drawn."""
+    return f"CAST('0x' || substr(md5(concat_ws(':', '{seed}', CAST(rep AS VARCHAR), CAST(slot // 4 AS VARCHAR))), CAST(1 + 8 * (slot % 4) AS INTEGER), 8) AS BIGINT)"
+
+
+def dealt_sql(reps: int, seed: int) -> str:
+    """CTE g: rep, row_id and giver, the row of the same author whose values it gets; SQL of operators.draws.image."""
+    mix = lambda x: f"((({x}) * ({x})) % 2147483647 * 48271 + ({x})) % 2147483647"
+    rounds, stages = 6, "SELECT *, y // b AS l0, y % b AS r0 FROM {source}"
+    for k in range(rounds):
+        own, other, side = ("l", "r", "a") if k % 2 == 0 else ("r", "l", "b")
+        stages = f"SELECT *, {mix(f'(h + rep * 69621 + {k * 16807}) % 2147483647')} AS key{k} FROM ({stages})"
+        stages = f"SELECT *, {mix(f'({other}{k} + key{k}) % 2147483647')} AS once{k} FROM ({stages})"
+        stages = f"SELECT *, ({own}{k} + {mix(f'once{k}')}) % {side} AS {own}{k + 1}, {other}{k} AS {other}{k + 1} FROM ({stages})"
+    turn = lambda source: f"SELECT rep, row_id, author, k, size, a, b, h, l{rounds} * b + r{rounds} AS y FROM ({stages.replace('{source}', source)})"
+    return f"""pl AS (SELECT row_id, author, row_number() OVER (PARTITION BY author ORDER BY row_id) - 1 AS k, count(*) OVER (PARTITION BY author) AS size FROM base),
+    st AS (SELECT rep, row_id, author, k, size, CAST(ceil(sqrt(size)) AS BIGINT) AS a, CAST(ceil(size / ceil(sqrt(size))) AS BIGINT) AS b, {draw_sql(str(seed), 'author')} % 2147483647 AS h, k AS y FROM pl, (SELECT unnest(range({reps})) AS rep)),
+    walk AS (WITH RECURSIVE wk AS ({turn('st')} UNION ALL {turn('(SELECT * FROM wk WHERE y >= size)')}) SELECT * FROM wk WHERE y < size),
+    g AS (SELECT w.rep, w.row_id, o.row_id AS giver FROM walk w JOIN pl o ON o.author = w.author AND o.k = w.y)"""

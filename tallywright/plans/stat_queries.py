@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallywright.operators import audit, fusion, inference, labels, metrics, nulls, resample, select, shift
 from tallywright.plans import fixtures as fx
-from tallywright.plans.fixtures import SQL, auc_sql, draw_sql, mean_sql, table, wauc_sql
+from tallywright.plans.fixtures import SQL, auc_sql, dealt_sql, draw_sql, mean_sql, slot_sql, table, wauc_sql
 from tallywright.plans.metric_queries import SEEDS, r9, seeds
 
 Q: dict = {}
@@ -134,7 +134,7 @@ add("x26_repeated_author_splits", splits, f"""WITH au AS (SELECT DISTINCT author
     again AS (SELECT row_id, class_id, y, sp.fold, c2.author, model, ord, score, rep FROM c2 JOIN sp USING (author)), {selection_sql('again', 'rep')}, {headroom_sql('again', 'rep')}""")
 
 WEIGHTS = f"""cl AS (SELECT author, row_number() OVER (ORDER BY author) - 1 AS i FROM (SELECT DISTINCT author FROM base)),
-weights AS (SELECT rep, author, w FROM (SELECT rep, {draw_sql('11', 'rep', 'slot')} % n AS i, count(*) AS w FROM (SELECT unnest(range(5)) AS rep), (SELECT count(*) AS n FROM cl), (SELECT unnest(range((SELECT count(*) FROM cl))) AS slot) GROUP BY ALL) JOIN cl USING (i)),
+weights AS (SELECT rep, author, w FROM (SELECT rep, {slot_sql('11')} % n AS i, count(*) AS w FROM (SELECT unnest(range(5)) AS rep), (SELECT count(*) AS n FROM cl), (SELECT unnest(range((SELECT count(*) FROM cl))) AS slot) GROUP BY ALL) JOIN cl USING (i)),
 rows_ AS (SELECT s.*, rep, w FROM scores s JOIN weights USING (author)), per AS ({wauc_sql('rows_', 'rep, model, class_id')})"""
 
 
@@ -144,10 +144,16 @@ def boot(s, d, models="ac", reps=5, seed=11):
     return sc, w
 
 
+def drawn(s, d, reps):
+    """Model c less model a in each replicate, by the kernel over sorted runs."""
+    per = resample.replicate_auc(fx.scores(s, d, "ac"), fx.base(s, d), "author", ["model", "class_id"], reps, 11)
+    return resample.paired_deltas(per, "a", ["c"])
+
+
 add("w6_hash_weights", lambda s, d: boot(s, d)[1], f"WITH {WEIGHTS} SELECT rep, author, w FROM weights")
-add("x11_clustered_bootstrap", lambda s, d: r9(resample.paired_deltas(resample.replicate_auc(*boot(s, d), "author", ["model", "class_id"], 5), "a", ["c"]), "delta"),
+add("x11_clustered_bootstrap", lambda s, d: r9(drawn(s, d, 5), "delta"),
     f"WITH {WEIGHTS} SELECT c.rep, 'c' AS model, round(avg(c.auc) - avg(a.auc), 9) AS delta FROM per c JOIN per a USING (rep, class_id) WHERE c.model = 'c' AND a.model = 'a' AND a.auc IS NOT NULL AND c.auc IS NOT NULL GROUP BY c.rep")
-add("x11_bootstrap_interval", lambda s, d: r9(metrics.summary(resample.paired_deltas(resample.replicate_auc(*boot(s, d, "ac", 200), "author", ["model", "class_id"], 200), "a", ["c"]), "delta"), "mean", "lo", "hi", "se", "mde"),
+add("x11_bootstrap_interval", lambda s, d: r9(metrics.summary(drawn(s, d, 200), "delta"), "mean", "lo", "hi", "se", "mde"),
     f"""WITH {WEIGHTS.replace('range(5)) AS rep', 'range(200)) AS rep')}, dl AS (SELECT rep, avg(c.auc) - avg(a.auc) AS delta FROM per c JOIN per a USING (rep, class_id) WHERE c.model = 'c' AND a.model = 'a' GROUP BY rep)
     SELECT round(avg(delta), 9) AS mean, round(quantile_cont(delta, 0.025), 9) AS lo, round(quantile_cont(delta, 0.975), 9) AS hi, round(stddev_samp(delta), 9) AS se, round(1.96e0 * stddev_samp(delta), 9) AS mde, count(delta) AS n FROM dl""")
 
@@ -184,21 +190,14 @@ def by_file(s, d):
 add("x14_file_bootstrap", lambda s, d: r9(resample.replicate_auc_plain(f := by_file(s, d), resample.hash_weights(f, "filename", 4, 3), "filename", ["class_id"]), "auc").select("rep", "class_id", "auc"),
     f"""WITH ev AS (SELECT event_id % 66 AS filename, CAST(event_id % 3 AS INTEGER) AS class_id, CASE WHEN event_type IN ('click', 'view') THEN 1 ELSE 0 END AS y, CAST(CAST(trunc(value * 100) AS BIGINT) % 50 AS DOUBLE) AS score FROM events),
     cl AS (SELECT filename, row_number() OVER (ORDER BY filename) - 1 AS i FROM (SELECT DISTINCT filename FROM ev)),
-    weights AS (SELECT rep, filename, w FROM (SELECT rep, {draw_sql('3', 'rep', 'slot')} % n AS i, count(*) AS w FROM (SELECT unnest(range(4)) AS rep), (SELECT count(*) AS n FROM cl), (SELECT unnest(range((SELECT count(*) FROM cl))) AS slot) GROUP BY ALL) JOIN cl USING (i)),
+    weights AS (SELECT rep, filename, w FROM (SELECT rep, {slot_sql('3')} % n AS i, count(*) AS w FROM (SELECT unnest(range(4)) AS rep), (SELECT count(*) AS n FROM cl), (SELECT unnest(range((SELECT count(*) FROM cl))) AS slot) GROUP BY ALL) JOIN cl USING (i)),
     r AS (SELECT * FROM ev JOIN weights USING (filename)) SELECT rep, class_id, round(auc, 9) AS auc FROM ({wauc_sql('r', 'rep, class_id')})""")
 add("x15_class_drop_bootstrap", lambda s, d: r9(resample.value_bootstrap(table(s, d, "customer").groupBy("c_nationkey").agg(F.round(F.avg("c_acctbal"), 4).alias("v")), "c_nationkey", "v", 20, 5), "mean"),
     f"""WITH t AS (SELECT c_nationkey, round(avg(c_acctbal), 4) AS v FROM customer GROUP BY 1), cl AS (SELECT *, row_number() OVER (ORDER BY c_nationkey) - 1 AS i FROM t),
-    w AS (SELECT rep, {draw_sql('5', 'rep', 'slot')} % n AS i, count(*) AS w FROM (SELECT unnest(range(20)) AS rep), (SELECT count(*) AS n FROM cl), (SELECT unnest(range((SELECT count(*) FROM cl))) AS slot) GROUP BY ALL)
+    w AS (SELECT rep, {slot_sql('5')} % n AS i, count(*) AS w FROM (SELECT unnest(range(20)) AS rep), (SELECT count(*) AS n FROM cl), (SELECT unnest(range((SELECT count(*) FROM cl))) AS slot) GROUP BY ALL)
     SELECT rep, round(sum(w * v) / sum(w), 9) AS mean FROM w JOIN cl USING (i) GROUP BY rep""")
 add("w7_permute_within_author", lambda s, d: resample.permuted_within(fx.base(s, d).select("row_id", "author", "own"), "author", "row_id", ["own"], 2, 13).select("rep", "row_id", "own"),
-    f"""WITH r AS (SELECT rep, row_id, author, own, row_number() OVER (PARTITION BY rep, author ORDER BY row_id) AS k, row_number() OVER (PARTITION BY rep, author ORDER BY {draw_sql('13', 'rep', 'row_id')}, row_id) AS j FROM base, (SELECT unnest(range(2)) AS rep))
-    SELECT a.rep, a.row_id, b.own FROM r a JOIN r b ON a.rep = b.rep AND a.author = b.author AND a.k = b.j""")
-
-
-def dealt_sql(reps: int, seed: int) -> str:
-    """CTE g: rep, row_id and giver, the row of the same author whose values it gets."""
-    return f"""p AS (SELECT rep, row_id, author, row_number() OVER (PARTITION BY rep, author ORDER BY row_id) AS k, row_number() OVER (PARTITION BY rep, author ORDER BY {draw_sql(str(seed), 'rep', 'row_id')}, row_id) AS j FROM base, (SELECT unnest(range({reps})) AS rep)),
-    g AS (SELECT a.rep, a.row_id, b.row_id AS giver FROM p a JOIN p b ON a.rep = b.rep AND a.author = b.author AND a.k = b.j)"""
+    f"WITH {dealt_sql(2, 13)} SELECT g.rep, g.row_id, o.own FROM g JOIN base o ON o.row_id = g.giver")
 
 
 def null_sql(reps: int, seed: int) -> str:
@@ -227,7 +226,7 @@ add("x18_noise_null_keep_best", lambda s, d: r9(nulls.noise_null(fx.scores(s, d,
 
 
 def debiased(s, d):
-    b = resample.paired_deltas(resample.replicate_auc(*boot(s, d), "author", ["model", "class_id"], 5), "a", ["c"])
+    b = drawn(s, d, 5)
     return r9(nulls.debiased(b, nulls.label_permutation(cands(s, d, "ac"), 3, 17)), "mean", "se", "null_mean", "null_se", "debiased")
 
 
@@ -404,7 +403,7 @@ def whole_audit(s, d):
 
 
 add("x33_pseudo_label_audit_whole", whole_audit, f"""WITH t AS (SELECT *, row_id % 66 AS filename FROM scores WHERE fold = 4 AND model <> 'b'), u AS ({auc_sql('t', 'model, class_id')}), fo AS ({auc_sql("(SELECT * FROM scores WHERE fold = 3 AND model <> 'b')", 'model, class_id')}),
-    weights AS (SELECT rep, i AS filename, w FROM (SELECT rep, {draw_sql('29', 'rep', 'slot')} % 66 AS i, count(*) AS w FROM (SELECT unnest(range(200)) AS rep), (SELECT unnest(range(66)) AS slot) GROUP BY ALL)),
+    weights AS (SELECT rep, i AS filename, w FROM (SELECT rep, {slot_sql('29')} % 66 AS i, count(*) AS w FROM (SELECT unnest(range(200)) AS rep), (SELECT unnest(range(66)) AS slot) GROUP BY ALL)),
     r AS (SELECT * FROM t JOIN weights USING (filename) WHERE class_id <> 3), per AS ({wauc_sql('r', 'rep, model, class_id')}),
     dl AS (SELECT rep, avg(CASE WHEN model = 'c' THEN auc END) - avg(CASE WHEN model = 'a' THEN auc END) AS delta FROM per GROUP BY rep),
     b AS (SELECT quantile_cont(delta, 0.025) AS lo, quantile_cont(delta, 0.975) AS hi, count(delta) AS n_boot FROM dl),

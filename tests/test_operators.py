@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallywright import schema
 from tallywright.functions import audio, models, scalar, tails
-from tallywright.operators import fusion, inference, labels, metrics, postproc, resample, select, shift
+from tallywright.operators import draws, fusion, inference, labels, metrics, postproc, resample, select, shift
 from tallywright.sources import readers, sinks
 from tallywright.streaming import shards
 
@@ -61,7 +61,7 @@ def test_replicates_equal_copied_rows(spark, seed, n):
     w = resample.hash_weights(df, "author", 3, seed)
     by = {(r.rep, r.author): r.w for r in w.collect()}
     want = [plain_auc(score, y, np.array([by.get((rep, a), 0) for a in author])) for rep in range(3)]
-    for got in (resample.replicate_auc(df, w, "author", ["model"], 3), resample.replicate_auc_plain(df, w, "author", ["model"])):
+    for got in (resample.replicate_auc(df, df, "author", ["model"], 3, seed), resample.replicate_auc_plain(df, w, "author", ["model"])):
         found = {r.rep: r.auc for r in got.collect()}
         assert all(found.get(k) == v or found[k] == pytest.approx(v) for k, v in enumerate(want))
 
@@ -233,19 +233,73 @@ def test_means_do_not_depend_on_the_order_of_arrival(spark):
         assert len({tuple(sorted((r.row_id, r.score.hex()) for r in make(f).collect())) for f in seeds}) == 1
 
 
-@pytest.mark.parametrize("most", [0, 5000])
-def test_both_kernels_of_the_bootstrap_are_the_weighted_count(spark, monkeypatch, most):
-    monkeypatch.setattr(resample, "MOST_CLUSTERS", most)
+def quadratic(rows, weights):
+    """The AUC of every replicate as a quadratic form of the clusters' concordant pairs. rows: cluster, score, y; weights: clusters x replicates."""
+    c, s, y = (np.array(x) for x in zip(*rows))
+    won = np.zeros((len(weights), len(weights)))
+    for i in np.flatnonzero(y == 1):
+        for j in np.flatnonzero(y == 0):
+            won[c[i], c[j]] += (s[i] > s[j]) + 0.5 * (s[i] == s[j])
+    p, n = np.bincount(c, y, len(weights)), np.bincount(c, 1 - y, len(weights))
+    with np.errstate(invalid="ignore"):
+        return np.array([w @ won @ w / ((p @ w) * (n @ w)) for w in weights.T.astype(float)])
+
+
+@pytest.mark.parametrize(("parts", "batch", "bytes_"), [(1, 10_000, 64 << 20), (7, 10_000, 64 << 20), (7, 5, 64 << 20), (3, 10_000, 30 * 2 * 15)])
+def test_bootstrap_over_sorted_runs_is_the_quadratic_form(spark, monkeypatch, parts, batch, bytes_):
+    """Runs that cut a class anywhere, ties over batches and blocks of replicates change no bit."""
+    monkeypatch.setattr(resample, "blocks", lambda reps, n: draws.blocks(reps, n, bytes_))
     rng = np.random.default_rng(8)
     rows = [(i, i * 7 % 30, c, m, int(rng.random() < 0.3), None if m == "b" and i == 7 else float(rng.integers(0, 25))) for i in range(300) for c in (0, 1) for m in "ab"]
     df = spark.createDataFrame(rows, "row_id long, author long, class_id int, model string, y int, score double")
-    w = resample.hash_weights(df, "author", 40, 3)
-    fast = {(r.rep, r.model, r.class_id): r.auc for r in resample.replicate_auc(df, w, "author", ["model", "class_id"], 40).collect()}
-    plain = {(r.rep, r.model, r.class_id): r.auc for r in resample.replicate_auc_plain(df, w, "author", ["model", "class_id"]).collect()}
-    gone = {r.rep for r in w.filter(F.col("author") == next(a for i, a, *_ in rows if i == 7)).collect()}
-    assert len(fast) == 160
-    for key, value in fast.items():
-        assert value is None if key[1] == "b" and key[0] in gone else abs(value - plain[key]) < 1e-12
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = {(r.rep, r.model, r.class_id): r.auc for r in resample.replicate_auc(df, df, "author", ["model", "class_id"], 40, 3, parts).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    weights = np.stack([draws.drawn(3, rep, 30) for rep in range(40)], axis=1)
+    assert len(got) == 160
+    for m in "ab":
+        for c in (0, 1):
+            want = quadratic([(a, s, y) for _, a, k, o, y, s in rows if (k, o) == (c, m) and s is not None], weights)
+            for rep in range(40):
+                gone = m == "b" and weights[7 * 7 % 30, rep] > 0
+                assert got[rep, m, c] == (None if gone else want[rep])
+
+
+def test_table_function_draws_as_the_kernel(spark):
+    clusters = spark.createDataFrame([(c,) for c in "qwertyuiop"] * 2 + [(None,)], "author string")
+    got = {(r.rep, r.author): r.w for r in resample.hash_weights(clusters, "author", 6, 21).collect()}
+    want = {(rep, a): int(w) for rep in range(6) for a, w in zip(sorted("qwertyuiop"), draws.drawn(21, rep, 10)) if w}
+    assert got == want and resample.hash_weights(clusters.limit(0), "author", 6, 21).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 3000), st.integers(0, 2000), st.integers(0, draws.PRIME - 1))
+def test_image_is_a_permutation(size, rep, h):
+    place = np.arange(size)
+    full = lambda v: np.full(size, v, np.int64)
+    assert sorted(draws.image(place, full(size), full(rep), full(h)).tolist()) == place.tolist()
+
+
+def test_images_are_even():
+    """Each place goes to each about equally often over replicates, and neighbours part."""
+    size, reps = 7, 7000
+    rep = np.repeat(np.arange(reps), size)
+    out = draws.image(np.tile(np.arange(size), reps), np.full(len(rep), size), rep, np.full(len(rep), 12345)).reshape(reps, size)
+    seen = np.array([np.bincount(out[:, k], minlength=size) for k in range(size)])
+    assert np.abs(seen - reps / size).max() < 6 * np.sqrt(reps / size)
+    assert abs((out[:, 1] == (out[:, 0] + 1) % size).mean() - 1 / (size - 1)) < 0.03 and len({tuple(r) for r in out[:500].tolist()}) > 400
+
+
+def test_permuted_within_keeps_each_clusters_values(spark):
+    df = spark.range(500).select(F.col("id").alias("row_id"), (F.col("id") % 3 * F.col("id") % 2).alias("author"), (F.col("id") * 10).alias("v"))
+    of = {r.row_id: r.author for r in df.collect()}
+    got = resample.permuted_within(df, "author", "row_id", ["v"], 3, 5).collect()
+    assert len(got) == 1500 and all(of[r.v // 10] == of[r.row_id] for r in got)
+    assert all(sorted(r.v // 10 for r in got if r.rep == k) == list(range(500)) for k in range(3))
+    assert sum(r.v == r.row_id * 10 for r in got) < 60
 
 
 def test_tails_are_the_published_ones():
