@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallywright.functions.scalar import gather, genus, index_list, label_list, list_literal
 from tallywright.operators.metrics import ordered_mean
+from tallywright.sources.scratch import shared_folder
 
 
 def multi_hot(rows: DataFrame, codes, classes: DataFrame, dense: bool = False) -> DataFrame:
@@ -31,11 +32,15 @@ def window_labels(windows: DataFrame, classes: DataFrame, dense: bool = False) -
 def numbered(df: DataFrame, name: str, order: list[str]) -> DataFrame:
     """Contiguous ids from 0 in an order that is stated; file order is never relied on.
 
-    Rows are counted by range partition and numbered within it, so no task sorts the whole table. The number of partitions
-    is pinned, so that the counts and the numbering see the same ranges.
+    Rows are counted by range partition and numbered within it, so no task sorts the whole table. Spark draws the ranges
+    from a sample, and another one each time it makes them, so the rows and their ranges are written to the shared folder
+    once; the counts and the numbering read them there.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    path = f"{shared_folder(df.sparkSession)}/numbered"
+    ranged.write.parquet(path)
+    ranged = df.sparkSession.read.schema(ranged.schema).parquet(path)
     inside = Window.partitionBy("_part").orderBy(*order)
     sizes = ranged.groupBy("_part").count()
     before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -6,43 +6,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.functions.scalar import hash_draw
-from tallywright.operators.metrics import auc_of_counts
+from tallywright.operators.metrics import auc_of_counts, counted, ordered_mean
 from tallywright.operators.resample import permuted_within
-from tallywright.operators.select import heldout_counts
+from tallywright.operators.select import oracle_counts
 
 
-def _headrooms(df: DataFrame) -> DataFrame:
-    """rep, headroom: the selector's macro AUC minus the best single model's, in each replicate. df has rep.
+def _headrooms(own: DataFrame) -> DataFrame:
+    """rep, headroom: the selector's macro AUC minus the best single model's, in each replicate.
 
-    Rows are summed once a replicate; everything else is made of these counts.
+    own: counts by rep, fold, class_id, model and ord. Macros are added up in the order of classes, so that equal counts
+    give equal bits in any partitioning.
     """
-    own, chosen = heldout_counts(df, ("rep",))
+    chosen = oracle_counts(own, ("rep",))
     total = lambda f, *by: f.groupBy("rep", *by, "class_id", "_s").agg(F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
     oracle = auc_of_counts(total(chosen), ["rep", "class_id"], grain=4).select("rep", "class_id", F.col("auc").alias("o"))
     singles = auc_of_counts(total(own.filter("model <> 'mean'"), "model"), ["rep", "model", "class_id"], grain=4)
     both = singles.join(oracle, ["rep", "class_id"]).filter("auc is not null and o is not null")
-    macro = both.groupBy("rep", "model").agg(F.avg("auc").alias("m"), F.avg("o").alias("o"))
+    macro = both.groupBy("rep", "model").agg(ordered_mean("auc", "class_id").alias("m"), ordered_mean("o", "class_id").alias("o"))
     return macro.groupBy("rep").agg((F.max("o") - F.max("m")).alias("headroom"))
 
 
+def permuted_counts(df: DataFrame, reps: int, seed: int, models: list[str] | None = None) -> DataFrame:
+    """Counts by rep, fold, class_id, model and ord with label rows permuted within authors, for all models or for some.
+
+    A permutation moves labels within a fold, so how often a score stands does not change: rows are counted once, and a
+    replicate adds only its positives, which are few. df has every class for each row; an author is in one fold.
+    """
+    by = ["fold", "class_id", "model", "ord"]
+    df = df.filter(F.col("author").isNotNull())
+    own = F.lit(True) if models is None else F.col("model").isin(models)
+    each = F.broadcast(df.sparkSession.range(reps).withColumnRenamed("id", "rep"))
+    counts = counted(df, by).withColumn("_all", F.col("_p") + F.col("_n"))
+    base = counts.withColumn("_p", F.when(own, 0).otherwise(F.col("_p"))).select(*by, "_s", "_p", "_all").crossJoin(each)
+    rows = df.select("row_id", "author", "class_id", "y").distinct().groupBy("row_id", "author").agg(F.array_sort(F.collect_list(F.when(F.col("y") == 1, F.col("class_id")))).alias("ys"))
+    dealt = permuted_within(rows, "author", "row_id", ["ys"], reps, seed).select("rep", "row_id", F.explode("ys").alias("class_id"))
+    new = df.filter(own).select("row_id", *by, F.col("score").alias("_s")).join(dealt, ["row_id", "class_id"])
+    new = new.groupBy("rep", *by, "_s").agg(F.count("*").alias("_p")).withColumn("_all", F.lit(0).cast("bigint"))
+    both = base.unionByName(new).groupBy("rep", *by, "_s").agg(F.sum("_p").alias("_p"), F.sum("_all").alias("_all"))
+    return both.select("rep", *by, "_s", "_p", (F.col("_all") - F.col("_p")).alias("_n"))
+
+
 def label_permutation(df: DataFrame, reps: int, seed: int) -> DataFrame:
     """Whole label rows are permuted within authors; the selector is run anew in each replicate."""
-    wide = df.select("row_id", "author", "class_id", "y").distinct()
-    rows = wide.groupBy("row_id", "author").agg(F.sort_array(F.collect_list(F.struct("class_id", "y"))).alias("ys"))
-    dealt = permuted_within(rows, "author", "row_id", ["ys"], reps, seed).select("rep", "row_id", F.explode("ys").alias("e"))
-    dealt = dealt.select("rep", "row_id", F.col("e.class_id").alias("class_id"), F.col("e.y").alias("y"))
-    return _headrooms(df.drop("y").join(dealt, ["row_id", "class_id"]))
+    return _headrooms(permuted_counts(df, reps, seed))
 
 
 def prediction_permutation(df: DataFrame, model: str, reps: int, seed: int) -> DataFrame:
-    """One model's score rows are permuted within authors."""
-    own = df.filter(F.col("model") == model)
-    rows = own.groupBy("row_id", "author").agg(F.sort_array(F.collect_list(F.struct("class_id", "score"))).alias("ss"))
-    dealt = permuted_within(rows, "author", "row_id", ["ss"], reps, seed).select("rep", "row_id", F.explode("ss").alias("e"))
-    dealt = dealt.select("rep", "row_id", F.col("e.class_id").alias("class_id"), F.col("e.score").alias("score"))
-    new = own.drop("score").join(dealt, ["row_id", "class_id"])
-    rest = df.filter(F.col("model") != model).crossJoin(F.broadcast(df.sparkSession.range(reps).withColumnRenamed("id", "rep")))
-    return _headrooms(rest.unionByName(new))
+    """One model's score rows are permuted within authors: its labels are, the other way round, which pairs them alike."""
+    return _headrooms(permuted_counts(df, reps, seed, [model]))
 
 
 def noise_null(df: DataFrame, anchor: str, reps: int, seed: int, keep_best: bool = False) -> DataFrame:
@@ -55,7 +66,7 @@ def noise_null(df: DataFrame, anchor: str, reps: int, seed: int, keep_best: bool
     draw = lambda n: (hash_draw(seed, n, F.col("rep"), F.col("row_id"), F.col("class_id")) + 1) / 4294967297
     z = F.sqrt(-2 * F.log(draw(1))) * F.cos(6.283185307179586 * draw(2))
     noise = every.filter(F.col("model") == anchor).withColumns({"score": 1 / (1 + F.exp(-z)), "model": F.lit("noise"), "ord": F.lit(98)})
-    return _headrooms(every.unionByName(noise))
+    return _headrooms(counted(every.unionByName(noise), ["rep", "fold", "class_id", "model", "ord"]))
 
 
 def debiased(boot: DataFrame, null: DataFrame, center: str = "bootstrap_mean", point: float | None = None) -> DataFrame:

@@ -60,10 +60,15 @@ def heldout_counts(df: DataFrame, keys: tuple[str, ...] = ()) -> tuple[DataFrame
     of these counts.
     """
     own = counted(df, [*keys, "fold", "class_id", "model", "ord"])
+    return own, oracle_counts(own, keys)
+
+
+def oracle_counts(own: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The counts of the candidates that the held-out selector chooses, as model oracle."""
     choice = best(selection_of_counts(own, keys), [*keys, "outer_fold", "class_id"])
     pick = choice.select(*keys, F.col("outer_fold").alias("fold"), "class_id", "model")
     oracle = own.join(pick, [*keys, "fold", "class_id", "model"]).withColumns({"model": F.lit("oracle"), "ord": F.lit(-1)})
-    return own, oracle.select(own.columns)
+    return oracle.select(own.columns)
 
 
 def heldout_headroom(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -158,6 +158,27 @@ add("x11_bootstrap_interval", lambda s, d: r9(metrics.summary(drawn(s, d, 200),
     SELECT round(avg(delta), 9) AS mean, round(quantile_cont(delta, 0.025), 9) AS lo, round(quantile_cont(delta, 0.975), 9) AS hi, round(stddev_samp(delta), 9) AS se, round(1.96e0 * stddev_samp(delta), 9) AS mde, count(delta) AS n FROM dl""")
 
 
+AUDIT = "CAST(row_id * 2654435761 % 1000003 % 4000 AS BIGINT)"
+
+
+def audit_bootstrap(s, d):
+    """The audit's size: 1000 replicates over 4000 clusters."""
+    cluster = (F.col("row_id") * 2654435761 % 1000003 % 4000).alias("author")
+    sc = fx.scores(s, d, "ac").withColumn("author", cluster)
+    per = resample.replicate_auc(sc, fx.base(s, d).select(cluster), "author", ["model", "class_id"], 1000, 11)
+    return r9(metrics.summary(resample.paired_deltas(per, "a", ["c"]), "delta"), "mean", "lo", "hi", "se", "mde")
+
+
+add("x11_bootstrap_1000", audit_bootstrap, f"""WITH cl AS (SELECT author, row_number() OVER (ORDER BY author) - 1 AS i FROM (SELECT DISTINCT {AUDIT} AS author FROM base)),
+    weights AS (SELECT rep, author, w FROM (SELECT rep, {slot_sql('11')} % n AS i, count(*) AS w FROM (SELECT unnest(range(1000)) AS rep), (SELECT count(*) AS n FROM cl), (SELECT unnest(range((SELECT count(*) FROM cl))) AS slot) GROUP BY ALL) JOIN cl USING (i)),
+    co AS (SELECT model, class_id, {AUDIT} AS author, score, sum(y) AS y, sum(1 - y) AS z FROM scores WHERE model <> 'b' GROUP BY ALL),
+    pn AS (SELECT rep, model, class_id, score, sum(w * y) AS p, sum(w * z) AS n FROM co JOIN weights USING (author) GROUP BY ALL),
+    bl AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY rep, model, class_id ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM pn),
+    per AS (SELECT rep, model, class_id, CASE WHEN sum(p) > 0 AND sum(n) > 0 THEN sum(p * (below + 0.5e0 * n)) / (CAST(sum(p) AS DOUBLE) * sum(n)) END AS auc FROM bl GROUP BY ALL),
+    dl AS (SELECT rep, avg(c.auc) - avg(a.auc) AS delta FROM per c JOIN per a USING (rep, class_id) WHERE c.model = 'c' AND a.model = 'a' AND a.auc IS NOT NULL AND c.auc IS NOT NULL GROUP BY rep)
+    SELECT round(avg(delta), 9) AS mean, round(quantile_cont(delta, 0.025), 9) AS lo, round(quantile_cont(delta, 0.975), 9) AS hi, round(stddev_samp(delta), 9) AS se, round(1.96e0 * stddev_samp(delta), 9) AS mde, count(delta) AS n FROM dl""")
+
+
 def multi(s, d):
     sc, w = boot(s, d, "abc")
     return r9(resample.multi_test(sc, w, "author", "a", ["b", "c"]), "delta")
@@ -209,7 +230,7 @@ def null_sql(reps: int, seed: int) -> str:
 def lead_sql(digits: int = 9) -> str:
     """The selector's lead in each replicate of the table nl."""
     return f"""{selection_sql('nl', 'rep')}, a AS ({auc_sql('(SELECT * FROM nl UNION ALL SELECT * FROM oracle)', 'rep, model, class_id')}),
-    m AS (SELECT rep, model, avg(auc) AS m FROM a GROUP BY ALL) SELECT rep, round(max(CASE WHEN model = 'oracle' THEN m END) - max(CASE WHEN model NOT IN ('oracle', 'mean') THEN m END), {digits}) AS headroom FROM m GROUP BY rep"""
+    m AS (SELECT rep, model, list_reduce(list(auc ORDER BY class_id) FILTER (auc IS NOT NULL), lambda p, q: p + q) / count(auc) AS m FROM a GROUP BY ALL) SELECT rep, 0e0 + round(max(CASE WHEN model = 'oracle' THEN m END) - max(CASE WHEN model NOT IN ('oracle', 'mean') THEN m END), {digits}) AS headroom FROM m GROUP BY rep"""
 
 
 def noise_sql(models: str) -> str:
@@ -219,8 +240,9 @@ def noise_sql(models: str) -> str:
 
 
 add("x16_label_permutation_null", lambda s, d: r9(nulls.label_permutation(cands(s, d, "ac"), 3, 17), "headroom"), f"WITH {null_sql(3, 17)}, {lead_sql()}")
+add("x16_label_permutation_null_50", lambda s, d: r9(nulls.label_permutation(cands(s, d, "ac"), 50, 17), "headroom"), f"WITH {null_sql(50, 17)}, {lead_sql()}")
 add("x17_prediction_permutation_null", lambda s, d: r9(nulls.prediction_permutation(fx.scores(s, d, "ac"), "c", 2, 19), "headroom"),
-    f"""WITH {dealt_sql(2, 19)}, nl AS (SELECT s.* REPLACE (CASE WHEN s.model = 'c' THEN o.score ELSE s.score END AS score), g.rep FROM scores s JOIN g USING (row_id) JOIN scores o ON o.row_id = g.giver AND o.class_id = s.class_id AND o.model = 'c' WHERE s.model <> 'b'), {lead_sql()}""")
+    f"""WITH {dealt_sql(2, 19)}, nl AS (SELECT s.* REPLACE (CASE WHEN s.model = 'c' THEN o.score ELSE s.score END AS score), g.rep FROM scores s JOIN g ON g.giver = s.row_id JOIN scores o ON o.row_id = g.row_id AND o.class_id = s.class_id AND o.model = 'c' WHERE s.model <> 'b'), {lead_sql()}""")
 add("x18_noise_null", lambda s, d: r9(nulls.noise_null(fx.scores(s, d, "ac"), "a", 2, 23), "headroom"), f"WITH {noise_sql('($$a$$)')}, {lead_sql()}")
 add("x18_noise_null_keep_best", lambda s, d: r9(nulls.noise_null(fx.scores(s, d, "ac"), "a", 2, 23, keep_best=True), "headroom"), f"WITH {noise_sql('($$a$$, $$c$$)')}, {lead_sql()}")
 

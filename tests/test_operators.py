@@ -326,3 +326,11 @@ def test_audio():
     assert level.shape == (20, 201) and (level[:, 5:-5].argmax(axis=0) == bank[:, 16].argmax()).all() and level.max() - level.min() <= 80.001
     half = audio.halved(tone + 0.5 * np.sin(2 * np.pi * 3500 * t))
     assert len(half) == rate and np.abs(half - tone[::2])[100:-100].max() < 0.01
+
+
+def test_numbers_are_those_of_the_whole_order(spark):
+    """Also where ranges are drawn from a sample that is not the whole table."""
+    df = spark.range(60_000).select((F.col("id") * 7919 % 60_013).alias("k"), F.col("id").alias("v"), (F.col("id") % 40).alias("author"))
+    got = labels.numbered(df, "n", ["author", "k"]).select("n", "author", "k", "v").orderBy("n").collect()
+    assert [r.n for r in got] == list(range(60_000)) and all(r.k == r.v * 7919 % 60_013 for r in got)
+    assert all((a.author, a.k) < (b.author, b.k) for a, b in zip(got, got[1:]))
