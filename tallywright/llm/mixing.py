@@ -49,8 +49,12 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), most: int = 3) -> DataFr
 
 
 def sized(docs: DataFrame, seed: str, whole: bool = False) -> DataFrame:
-    """The rows that are mixed: doc_id, source, size and key, the shuffled order; with whole, the given row too."""
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    """The rows that are mixed: doc_id, source, size and key, the shuffled order; with whole, the given row too.
+
+    The key is a hash of id and text, so that rows without an id, or with one id, are no hot key unless they are copies.
+    """
+    text = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text).cast("binary"))
     row = [F.struct("*").alias("row")] if whole else []
     return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), *row)
 
@@ -180,7 +184,7 @@ def query(spark, sf_dir) -> DataFrame:
 
 ORACLE = r"""
 WITH d AS (
-  SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
+  SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS k,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size
   FROM documents),
 s AS (

@@ -4,6 +4,7 @@ from collections import Counter
 import pyarrow.parquet as pq
 from llm_helpers import rows
 from llm_oracle import same
+from pyspark.sql import functions as F
 
 from tallywright.llm import mixing
 
@@ -71,3 +72,12 @@ def test_first_slot_is_that_of_the_first_block(small):
     slot = {(r.src, r["rank"]): r.slot for r in mix["slots"].collect()}
     for r in mix["taken"].collect():
         assert r.first_slot == (slot[r.src, r.start // 64] if r.taken else None)
+
+
+def test_rows_without_an_id_are_no_hot_key(spark):
+    """Dealt by their texts, they spread over the buckets of their source as rows with ids do."""
+    docs = spark.range(100_000).selectExpr("CAST(NULL AS bigint) AS doc_id", "concat('text number ', id) AS text", "'s' AS source")
+    rows = mixing.sized(docs, "mix")
+    targets = mixing.source_targets(rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")))
+    sizes = sorted(r["count"] for r in mixing.streams(rows, targets).groupBy("bucket").count().collect())
+    assert len(sizes) > 60 and sizes[-1] < 3 * sizes[len(sizes) // 2]
