@@ -58,7 +58,7 @@ def concordance(configs: DataFrame) -> DataFrame:
 
     def one(df: DataFrame, part: str) -> DataFrame:
         ranked = average_rank(average_rank(df, [], "cv", "rc"), [], "lb", "rl")
-        both = ranked.agg(F.corr("rc", "rl").alias("spearman"), F.count("*").alias("n")).crossJoin(kendall(df, "cv", "lb", "config").select("tau"))
+        both = ranked.agg(F.corr("rc", "rl").alias("spearman"), F.count("*").alias("n")).crossJoin(kendall(df, "cv", "lb").select("tau"))
         return both.select(F.lit(part).alias("part"), "spearman", "tau", "n")
 
     out = one(configs.filter("reproducible"), "reproducible").unionByName(one(configs, "all"))

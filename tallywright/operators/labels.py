@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywright.functions.scalar import gather, genus, index_list, label_list, list_literal
-from tallywright.operators.metrics import ordered_mean
+from tallywright.operators.metrics import beside, ordered_mean
 from tallywright.sources.scratch import shared_folder
 
 
@@ -48,6 +48,17 @@ def numbered(df: DataFrame, name: str, order: list[str]) -> DataFrame:
     return ranged.withColumn("_n", F.row_number().over(inside) - 1).join(F.broadcast(bases), "_part").withColumn(name, F.col("_base") + F.col("_n")).drop("_part", "_n", "_base")
 
 
+def placed(df: DataFrame, keys: list[str], order: list[str], place: str, size: str) -> DataFrame:
+    """Each row's place from 0 within keys, and the key's count of rows.
+
+    Rows are numbered in the order of (keys, order), by range partitions that cut through keys and ties; a place is a number
+    less the key's first.
+    """
+    known = numbered(df, "_at", [*keys, *order])
+    ends = known.groupBy(*keys).agg(F.min("_at").alias("_first"), F.count("*").alias(size))
+    return beside(known, ends, keys).withColumn(place, F.col("_at") - F.col("_first")).drop("_at", "_first")
+
+
 def factorized(df: DataFrame, column: str, row: str, name: str) -> DataFrame:
     """Codes from 0 in the order of first appearance by row."""
     first = df.groupBy(column).agg(F.min(row).alias("_first"))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Ranges of scores to a power of two.
 GRAIN = 16
+#: The same where a range's rows are held by one task, as for ranks.
+FINE = 256
 
 
 def score_range(score: Column, grain: int = GRAIN) -> Column:
@@ -31,8 +33,8 @@ def counted(df: DataFrame, keys: list[str], score: str = "score", y: str = "y",
     return rows.groupBy(*keys, "_s").agg(F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
 
 
-def auc_of_counts(counts: DataFrame, keys: list[str], grain: int = GRAIN) -> DataFrame:
-    """keys, auc, pos, neg and missing (the weight of rows without a score) of counts with one row for each key and score."""
+def wins_of_counts(counts: DataFrame, keys: list[str], grain: int = GRAIN) -> DataFrame:
+    """keys, wins (pairs of a positive above a negative, ties as halves), pos, neg and missing of counts by key and score."""
     there = F.col("_s").isNotNull()
     zero = F.lit(0)
     known = lambda c: F.when(there, F.col(c)).otherwise(zero)
@@ -43,9 +45,13 @@ def auc_of_counts(counts: DataFrame, keys: list[str], grain: int = GRAIN) -> Dat
     parts = wins.groupBy(*keys, "_b").agg(*[F.sum(c).alias(c) for c in ("_w", "_p", "_n", "_m")])
     earlier = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), zero)
     parts = parts.withColumn("_w", F.col("_w") + F.col("_p") * earlier)
-    total = parts.groupBy(*keys).agg(F.sum("_w").alias("_w"), F.sum("_p").alias("pos"), F.sum("_n").alias("neg"), F.sum("_m").alias("missing"))
-    ratio = F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("_w") / (F.col("pos").cast("double") * F.col("neg")))
-    return total.select(*keys, ratio.alias("auc"), "pos", "neg", "missing")
+    return parts.groupBy(*keys).agg(F.sum("_w").alias("wins"), F.sum("_p").alias("pos"), F.sum("_n").alias("neg"), F.sum("_m").alias("missing"))
+
+
+def auc_of_counts(counts: DataFrame, keys: list[str], grain: int = GRAIN) -> DataFrame:
+    """keys, auc, pos, neg and missing (the weight of rows without a score) of counts with one row for each key and score."""
+    ratio = F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("wins") / (F.col("pos").cast("double") * F.col("neg")))
+    return wins_of_counts(counts, keys, grain).select(*keys, ratio.alias("auc"), "pos", "neg", "missing")
 
 
 def auc(df: DataFrame, keys: list[str], score: str = "score", y: str = "y", weight: Column | None = None, single: bool = False, grain: int = GRAIN) -> DataFrame:
@@ -67,9 +73,58 @@ def rank_auc(df: DataFrame, keys: list[str], score: str = "score", y: str = "y")
     return ranked.groupBy(*keys).agg(F.when((p > 0) & (n > 0), value).alias("auc"))
 
 
+def beside(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join in which NULL and NaN keys meet their like, without other's keys."""
+    other = other.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    joined = df.join(other, same, how) if keys else df.crossJoin(other)  # without keys, other has one row
+    return joined.drop(*[f"_of_{k}" for k in keys])
+
+
+def value_counts(df: DataFrame, keys: list[str], column: str, grain: int = FINE) -> DataFrame:
+    """Each distinct value of a numeric column, within keys: keys, column, _c (its rows) and _below (the rows with less).
+
+    NULL is less than every number and NaN more. Rows are summed by value before they are shuffled. The running sum is over
+    a range of values, and a second one over the ranges, of which a key has some hundreds for each power of two it spans;
+    so no window holds all of a key's values.
+    """
+    counts = df.groupBy(*keys, column).agg(F.count("*").alias("_c"))
+    lowest = F.lit(-(2**40)).cast("bigint")
+    counts = counts.withColumn("_b", F.when(F.col(column).isNull(), lowest).otherwise(score_range(F.col(column), grain)))
+    earlier = (Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum("_c").over(Window.partitionBy(*keys, "_b").orderBy(column).rowsBetween(*earlier)), F.lit(0))
+    ranges = counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(*earlier)), F.lit(0))
+    ranges = ranges.select(*keys, "_b", before.alias("_before"))
+    out = beside(counts.withColumn("_below", inside), ranges, [*keys, "_b"])
+    return out.select(*keys, column, "_c", (F.col("_below") + F.col("_before")).alias("_below"))
+
+
 def average_rank(df: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
-    ties = F.count("*").over(Window.partitionBy(*keys, column))
-    return df.withColumn(name, F.rank().over(Window.partitionBy(*keys).orderBy(column)) + (ties - 1) / 2)
+    """Ranks from 1 within keys, ties sharing their mean: counted by value_counts and joined to the rows by value.
+
+    A value that very many rows share is a large join key, whose rows adaptive execution deals over tasks.
+    """
+    ranks = value_counts(df, keys, column).withColumn(name, F.col("_below") + (F.col("_c") + 1) / 2).drop("_c", "_below")
+    return beside(df, ranks, [*keys, column])
+
+
+def quantiles(df: DataFrame, keys: list[str], column: str, shares: dict[str, float]) -> DataFrame:
+    """keys and, for each named share, the linearly interpolated quantile of a numeric column; NULL doesn't count.
+
+    Without keys there is one row, of NULLs if there is no value.
+
+    The two order statistics about each quantile are picked from value_counts, so no buffer holds a group's values.
+    """
+    counts = value_counts(df.filter(F.col(column).isNotNull()), keys, column)
+    counts = beside(counts, counts.groupBy(*keys).agg(F.sum("_c").alias("_n")), keys)
+    place = {name: F.lit(float(share)) * (F.col("_n") - 1) for name, share in shares.items()}
+    here = lambda k: F.max(F.when((F.col("_below") <= k) & (k < F.col("_below") + F.col("_c")), F.col(column).cast("double")))
+    found = [here(whole(at)).alias(f"_{side}_{name}") for name, at in place.items() for side, whole in (("low", F.floor), ("high", F.ceil))]
+    part = [F.max(at - F.floor(at)).alias(f"_part_{name}") for name, at in place.items()]
+    out = counts.groupBy(*keys).agg(*found, *part)
+    value = lambda n: F.col(f"_low_{n}") + (F.col(f"_high_{n}") - F.col(f"_low_{n}")) * F.col(f"_part_{n}")
+    return out.select(*keys, *[value(n).alias(n) for n in shares])
 
 
 def evaluable(df: DataFrame, models: list[str] | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -148,18 +203,34 @@ def complementarity(df: DataFrame, a: str, b: str) -> DataFrame:
     return out.filter("_pos > 0 and _n >= 4").drop("_pos", "_n")
 
 
-def kendall(df: DataFrame, x: str, y: str, key: str) -> DataFrame:
-    """Kendall's tau-b over a small table of distinct keys; tied pairs count in neither direction."""
-    a = df.select(F.col(key).alias("k1"), F.col(x).alias("x1"), F.col(y).alias("y1"))
-    b = df.select(F.col(key).alias("k2"), F.col(x).alias("x2"), F.col(y).alias("y2"))
-    pair = a.join(b, F.col("k1") < F.col("k2"))
-    sx, sy = F.signum(F.col("x1") - F.col("x2")), F.signum(F.col("y1") - F.col("y2"))
-    root = F.sqrt(F.sum(F.abs(sx)) * F.sum(F.abs(sy)))
-    return pair.agg(F.when(root > 0, F.sum(sx * sy) / root).alias("tau"), F.count("*").alias("pairs"))
+def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Kendall's tau-b and the count of pairs, over the rows that have both values; tied pairs count in neither direction.
+
+    In n log n, without pairs of rows. Two rows of different y part at the highest bit in which their ranks by y differ:
+    among the rows that share the higher bits, that bit is a label and x a score, and concordant less discordant pairs are
+    2 wins - positives x negatives. Ties in x are half a win, so they add nothing, and ties in y never part.
+    """
+    rows = df.select(F.col(x).alias("_x"), F.col(y).alias("_y")).filter("_x is not null and _y is not null")
+    below = value_counts(rows, [], "_y")
+    codes = beside(rows, below.select("_y", F.col("_below").alias("_code")), ["_y"])
+    top = rows.agg(F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.count("*"), F.lit(1))))).cast("int").alias("_top"))
+    bits = codes.crossJoin(F.broadcast(top)).withColumn("_bit", F.explode(F.sequence(F.lit(0), "_top")))  # top: one row
+    bits = bits.select("_bit", F.expr("shiftright(_code, _bit + 1)").alias("_high"), F.expr("shiftright(_code, _bit) & 1L").alias("_up"), "_x")
+    parted = wins_of_counts(counted(bits, ["_bit", "_high"], "_x", "_up"), ["_bit", "_high"], FINE)
+    lead = parted.agg(F.coalesce(F.sum(2 * F.col("wins") - F.col("pos") * F.col("neg")), F.lit(0.0)).alias("_lead"))
+    tied = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
+    n = F.sum("_c")
+    of_y = below.agg((n * (n - 1) / 2).cast("bigint").alias("pairs"), tied("_c").alias("_ty"))
+    of_x = rows.groupBy("_x").agg(F.count("*").alias("_c")).agg(tied("_c").alias("_tx"))
+    root = F.sqrt((F.col("pairs") - F.col("_tx")) * (F.col("pairs") - F.col("_ty")))
+    return lead.crossJoin(of_x).crossJoin(of_y).select(F.when(root > 0, F.col("_lead") / root).alias("tau"), F.coalesce("pairs", F.lit(0)).alias("pairs"))
 
 
 def summary(df: DataFrame, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Mean, percentile interval, standard error (ddof 1), MDE and count of replicates; NULL replicates don't count."""
+    """Mean, percentile interval, standard error (ddof 1), MDE and count of replicates; NULL replicates don't count.
+
+    A group has a row for each replicate, which F.percentile holds; quantiles() is the way for groups that grow.
+    """
     v = F.col(value)
     q = lambda p: F.percentile(v, F.lit(p))
     return df.groupBy(*keys).agg(

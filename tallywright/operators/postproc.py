@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallywright.operators.labels import placed
+from tallywright.operators.metrics import quantiles
+
 
 def zero_missing(df: DataFrame) -> DataFrame:
     return df.withColumn("score", F.coalesce("score", F.lit(0.0)))
@@ -42,7 +45,7 @@ def taxon_mass(df: DataFrame, taxa: DataFrame) -> DataFrame:
 
 def imputed(coords: DataFrame) -> DataFrame:
     """Missing coordinates become the medians."""
-    median = coords.agg(F.percentile("lat", F.lit(0.5)).alias("_a"), F.percentile("lon", F.lit(0.5)).alias("_b"))
+    median = quantiles(coords, [], "lat", {"_a": 0.5}).crossJoin(quantiles(coords, [], "lon", {"_b": 0.5}))  # one row
     both = coords.crossJoin(F.broadcast(median))
     return both.withColumns({"lat": F.coalesce("lat", "_a"), "lon": F.coalesce("lon", "_b")}).drop("_a", "_b")
 
@@ -95,15 +98,12 @@ def spatial_prior(df: DataFrame, coords: DataFrame, grid: int = 60, sigma: float
     density = density.withColumnRenamed("outer_fold", "fold")
     enough = enough.select(F.col("outer_fold").alias("fold"), "class_id", F.lit(True).alias("_fit"))
     rows = rows.join(density, ["fold", "class_id", "i", "j"], "left").join(enough, ["fold", "class_id"], "left")
-    order = Window.partitionBy("fold", "class_id").orderBy(F.coalesce("density", F.lit(0.0)), "row_id")
-    size = F.count("*").over(Window.partitionBy("fold", "class_id"))
-    r = (F.row_number().over(order) - 1) / F.greatest(size - 1, F.lit(1))
-    nudged = F.col("score") * (1 + strength * (2 * r - 1))
-    return rows.withColumn("score", F.when(F.col("_fit"), nudged).otherwise(F.col("score"))).drop("i", "j", "density", "_fit")
+    rows = normalised_rank(rows.withColumn("density", F.coalesce("density", F.lit(0.0))), ["fold", "class_id"], "density", "row_id")
+    nudged = F.col("score") * (1 + strength * (2 * F.col("rank01") - 1))
+    return rows.withColumn("score", F.when(F.col("_fit"), nudged).otherwise(F.col("score"))).drop("i", "j", "density", "_fit", "rank01")
 
 
 def normalised_rank(df: DataFrame, keys: list[str], column: str, tie: str) -> DataFrame:
-    """rank in [0, 1] within keys, ties by tie."""
-    order = Window.partitionBy(*keys).orderBy(column, tie)
-    size = F.count("*").over(Window.partitionBy(*keys))
-    return df.withColumn("rank01", (F.row_number().over(order) - 1) / F.greatest(size - 1, F.lit(1)))
+    """rank01, the place within keys over [0, 1], ties by tie."""
+    out = placed(df, keys, [column, tie], "_place", "_size")
+    return out.withColumn("rank01", F.col("_place") / F.greatest(F.col("_size") - 1, F.lit(1))).drop("_place", "_size")

@@ -20,7 +20,7 @@ from tallywright.functions.scalar import hash_draw
 from tallywright.operators.draws import PRIME, DrawnPlaces, blocks, image_of, matrix
 from tallywright.operators.inference import two_sided
 from tallywright.operators.labels import numbered
-from tallywright.operators.metrics import auc, auc_of_counts, evaluable, summary
+from tallywright.operators.metrics import FINE, auc, auc_of_counts, evaluable, score_range, summary
 
 
 def places(clusters: DataFrame, key: str) -> tuple[DataFrame, int]:
@@ -267,23 +267,34 @@ def influence(df: DataFrame, key: str, by: list[str]) -> DataFrame:
     """The AUC without each cluster, for each key: by, key, auc, in closed form from one pass of counts.
 
     Concordant pairs K of all rows lose those with a positive or a negative of the cluster, and regain those with both.
+    All sums run over ranges of scores first; a second level adds the ranges up, so no task holds a whole key's scores or
+    a whole cluster's.
     """
-    c = df.filter("score is not null").groupBy(*by, "score", key).agg(F.sum("y").alias("cp"), F.sum(1 - F.col("y")).alias("cn"))
-    s = c.groupBy(*by, "score").agg(F.sum("cp").alias("p"), F.sum("cn").alias("n"))
-    up = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(*by)
+    c = df.filter("score is not null").groupBy(*by, "score", key).agg(F.sum("y").alias("_cp"), F.sum(1 - F.col("y")).alias("_cn"))
+    c = c.withColumn("_b", score_range(F.col("score"), FINE))
+    upto = Window.partitionBy(*by, "_b").orderBy("score")  # ties included
+    tie = Window.partitionBy(*by, "_b", "score")
+    earlier = (Window.unboundedPreceding, -1)
+    mine = Window.partitionBy(*by, "_b", key).orderBy("score").rowsBetween(*earlier)
     zero = F.lit(0)
-    s = s.withColumns({"nb": F.coalesce(F.sum("n").over(up), zero), "pb": F.coalesce(F.sum("p").over(up), zero), "tp": F.sum("p").over(every), "tn": F.sum("n").over(every)})
-    s = s.withColumn("pa", F.col("tp") - F.col("pb") - F.col("p"))
-    s = s.withColumn("k", F.sum(F.col("p") * (F.col("nb") + 0.5 * F.col("n"))).over(every))
-    mine = Window.partitionBy(*by, key).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    j = c.join(s, [*by, "score"]).withColumn("own_below", F.coalesce(F.sum("cn").over(mine), zero))
-    out = j.groupBy(*by, key).agg(
-        F.first("k").alias("k"), F.first("tp").alias("tp"), F.first("tn").alias("tn"), F.sum("cp").alias("op"), F.sum("cn").alias("on"),
-        F.sum(F.col("cp") * (F.col("nb") + 0.5 * F.col("n"))).alias("lost_p"), F.sum(F.col("cn") * (F.col("pa") + 0.5 * F.col("p"))).alias("lost_n"),
-        F.sum(F.col("cp") * (F.col("own_below") + 0.5 * F.col("cn"))).alias("both"),
+    c = c.withColumns({"_p": F.sum("_cp").over(tie), "_n": F.sum("_cn").over(tie), "_pu": F.sum("_cp").over(upto), "_nu": F.sum("_cn").over(upto)})
+    c = c.withColumn("_own", F.coalesce(F.sum("_cn").over(mine), zero))
+    part = c.groupBy(*by, "_b", key).agg(
+        F.sum("_cp").alias("_op"), F.sum("_cn").alias("_on"),
+        F.sum(F.col("_cp") * (F.col("_nu") - 0.5 * F.col("_n"))).alias("_over"), F.sum(F.col("_cn") * (F.col("_pu") - 0.5 * F.col("_p"))).alias("_under"),
+        F.sum(F.col("_cp") * (F.col("_own") + 0.5 * F.col("_cn"))).alias("_both"),
     )
-    p, n = F.col("tp") - F.col("op"), F.col("tn") - F.col("on")
-    value = (F.col("k") - F.col("lost_p") - F.col("lost_n") + F.col("both")) / (p.cast("double") * n)
-    return out.select(*by, key, F.when((p > 0) & (n > 0), value).alias("auc"))
-
+    # Of a key there are as many ranges as its scores span.
+    ranges = part.groupBy(*by, "_b").agg(F.sum("_op").alias("_p"), F.sum("_on").alias("_n"), F.sum("_over").alias("_k"))
+    before, every = Window.partitionBy(*by).orderBy("_b").rowsBetween(*earlier), Window.partitionBy(*by)
+    ranges = ranges.withColumns({"_p0": F.coalesce(F.sum("_p").over(before), zero), "_n0": F.coalesce(F.sum("_n").over(before), zero)})
+    ranges = ranges.select(*by, "_b", "_p0", "_n0", F.sum("_p").over(every).alias("_tp"), F.sum("_n").over(every).alias("_tn"), F.sum(F.col("_k") + F.col("_p") * F.col("_n0")).over(every).alias("_k"))
+    own = Window.partitionBy(*by, key).orderBy("_b").rowsBetween(*earlier)
+    out = part.withColumn("_own0", F.coalesce(F.sum("_on").over(own), zero)).join(ranges, [*by, "_b"]).groupBy(*by, key).agg(
+        F.first("_k").alias("_k"), F.first("_tp").alias("_tp"), F.first("_tn").alias("_tn"), F.sum("_op").alias("_op"), F.sum("_on").alias("_on"),
+        F.sum(F.col("_over") + F.col("_op") * F.col("_n0")).alias("_over"), F.sum(F.col("_under") + F.col("_on") * F.col("_p0")).alias("_under"),
+        F.sum(F.col("_both") + F.col("_op") * F.col("_own0")).alias("_both"),
+    )
+    p, n = F.col("_tp") - F.col("_op"), F.col("_tn") - F.col("_on")
+    lost = F.col("_over") + F.col("_tp") * F.col("_on") - F.col("_under")  # pairs below its positives, pairs above its negatives
+    return out.select(*by, key, F.when((p > 0) & (n > 0), (F.col("_k") - lost + F.col("_both")) / (p.cast("double") * n)).alias("auc"))

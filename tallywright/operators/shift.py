@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.functions.scalar import hash_draw
-from tallywright.operators.metrics import auc
+from tallywright.functions.tails import correlation_tail
+from tallywright.operators.metrics import auc, average_rank
 
 
 def domain_auc(df: DataFrame, missing: str = "kill") -> DataFrame:
@@ -146,13 +147,13 @@ def coverage_ceiling(df: DataFrame) -> DataFrame:
 
 
 def predictors(df: DataFrame, target: str, names: list[str]) -> DataFrame:
-    """Pearson and Spearman of each predictor with the target, the strongest first."""
-    from tallywright.operators.metrics import average_rank
-
+    """Pearson and Spearman of each predictor with the target and their p-values, the strongest first: predictor, pearson,
+    pearson_p, spearman, spearman_p, n."""
     long = df.select(F.col(target).alias("t"), F.explode(F.array(*[F.struct(F.lit(n).alias("predictor"), F.col(n).cast("double").alias("x")) for n in names])).alias("e"))
     long = long.select("t", "e.predictor", "e.x").filter("x is not null and t is not null")
     ranked = average_rank(average_rank(long, ["predictor"], "x", "rx"), ["predictor"], "t", "rt")
     out = ranked.groupBy("predictor").agg(F.corr("x", "t").alias("pearson"), F.corr("rx", "rt").alias("spearman"), F.count("*").alias("n"))
+    out = out.withColumns({"pearson_p": correlation_tail("pearson", "n"), "spearman_p": correlation_tail("spearman", "n")})
     return out.orderBy(F.abs("spearman").desc(), "predictor")
 
 

@@ -104,7 +104,7 @@ def model_pair(s, d):
 add("a16_pearson", lambda s, d: r9(model_pair(s, d).agg(F.corr("x", "z").alias("pearson")), "pearson"), f"WITH {PAIR} SELECT round(corr(x, z), 9) AS pearson FROM pair")
 add("a17_spearman", lambda s, d: r9(metrics.average_rank(metrics.average_rank(model_pair(s, d), ["class_id"], "x", "rx"), ["class_id"], "z", "rz").groupBy("class_id").agg(F.corr("rx", "rz").alias("spearman")), "spearman"),
     f"WITH {RANKED} SELECT class_id, round(spearman, 9) AS spearman FROM n")
-add("a18_kendall", lambda s, d: r9(metrics.kendall(table(s, d, "nation").join(table(s, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("v")), "n_nationkey"), "n", "v", "n_nationkey"), "tau"),
+add("a18_kendall", lambda s, d: r9(metrics.kendall(table(s, d, "nation").join(table(s, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("v")), "n_nationkey"), "n", "v"), "tau"),
     """WITH t AS (SELECT c_nationkey AS k, count(*) AS n, round(sum(c_acctbal), 2) AS v FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation) GROUP BY 1),
     p AS (SELECT sign(a.n - b.n) AS sx, sign(a.v - b.v) AS sy FROM t a JOIN t b ON a.k < b.k)
     SELECT round(sum(sx * sy) / sqrt(sum(abs(sx)) * sum(abs(sy))), 9) AS tau, count(*) AS pairs FROM p""")
@@ -132,15 +132,27 @@ add("a20_taxon_rollup", lambda s, d: shift.coverage(stages(s, d)),
     f"WITH {STAGES} SELECT class_name, CAST(count_if(stage <> 'unmapped') AS BIGINT) AS mapped, CAST(count_if(stage = 'unmapped') AS BIGINT) AS unmapped, count(*) AS classes FROM stages GROUP BY ROLLUP (class_name)")
 add("a21_drop_by_taxon_and_stage", lambda s, d: r9(shift.drop_rollup(drop_table(s, d)), "mean", "median"),
     f"WITH {DROPS} SELECT taxon, stage, count(*) AS n, round(avg(\"drop\"), 9) AS mean, round(quantile_cont(\"drop\", 0.5), 9) AS median FROM drops GROUP BY GROUPING SETS ((taxon), (stage), ())")
-add("a22_predictors_of_drop", lambda s, d: r9(shift.predictors(drop_table(s, d), "drop", ["focal_pos", "top"]), "pearson", "spearman"),
+
+
+def tail_sql(r):
+    """Two-sided p of a correlation of n points: Student's distribution as a finite sum over its n - 2 degrees of freedom."""
+    chain = lambda j, top, bottom: f"coalesce(list_product(list_transform(range(1, {j} + 1), lambda i: ({top}) / CAST({bottom} AS DOUBLE))), 1)"
+    terms = lambda count, top, bottom: f"coalesce(list_sum(list_transform(range(0, CAST({count} AS BIGINT)), lambda j: {chain('j', top, bottom)} * pow(1 - {r} * {r}, j))), 0)"
+    odd = f"1 - 2 / pi() * (asin(abs({r})) + abs({r}) * sqrt(1 - {r} * {r}) * {terms('(n - 3) // 2', '2 * i', '2 * i + 1')})"
+    even = f"1 - abs({r}) * {terms('(n - 2) // 2', '2 * i - 1', '2 * i')}"
+    return f"CASE WHEN n >= 3 AND abs({r}) < 1 THEN CASE WHEN n % 2 = 1 THEN {odd} ELSE {even} END WHEN n >= 3 THEN 0e0 END"
+
+
+add("a22_predictors_of_drop", lambda s, d: r9(shift.predictors(drop_table(s, d), "drop", ["focal_pos", "top"]), "pearson", "pearson_p", "spearman", "spearman_p"),
     f"""WITH {DROPS}, l AS (SELECT "drop" AS t, 'focal_pos' AS predictor, CAST(focal_pos AS DOUBLE) AS x FROM drops UNION ALL SELECT "drop", 'top', top FROM drops),
-    k AS (SELECT *, rank() OVER (PARTITION BY predictor ORDER BY x) + (count(*) OVER (PARTITION BY predictor, x) - 1) / 2e0 AS rx, rank() OVER (PARTITION BY predictor ORDER BY t) + (count(*) OVER (PARTITION BY predictor, t) - 1) / 2e0 AS rt FROM l)
-    SELECT predictor, round(corr(x, t), 9) AS pearson, round(corr(rx, rt), 9) AS spearman, count(*) AS n FROM k GROUP BY predictor""")
+    k AS (SELECT *, rank() OVER (PARTITION BY predictor ORDER BY x) + (count(*) OVER (PARTITION BY predictor, x) - 1) / 2e0 AS rx, rank() OVER (PARTITION BY predictor ORDER BY t) + (count(*) OVER (PARTITION BY predictor, t) - 1) / 2e0 AS rt FROM l),
+    c AS (SELECT predictor, corr(x, t) AS pearson, corr(rx, rt) AS spearman, count(*) AS n FROM k GROUP BY predictor)
+    SELECT predictor, round(pearson, 9) AS pearson, round({tail_sql('pearson')}, 9) AS pearson_p, round(spearman, 9) AS spearman, round({tail_sql('spearman')}, 9) AS spearman_p, n FROM c""")
 
 
 def tertiles(s, d):
     prev = fx.truth(s, d).groupBy("class_id", "fold").agg(F.sum("y").alias("pos"))
-    cut = prev.agg(F.percentile("pos", F.lit(1 / 3)).alias("c1"), F.percentile("pos", F.lit(2 / 3)).alias("c2"))
+    cut = metrics.quantiles(prev, [], "pos", {"c1": 1 / 3, "c2": 2 / 3})
     band = F.when(F.col("pos") <= F.col("c1"), "low").when(F.col("pos") <= F.col("c2"), "mid").otherwise("high")
     per = metrics.auc(fx.scores(s, d, "ac"), ["model", "class_id", "fold"]).select("model", "class_id", "fold", "auc")
     out = per.join(prev.crossJoin(F.broadcast(cut)), ["class_id", "fold"]).groupBy("model", band.alias("stratum")).agg(F.avg("auc").alias("macro"), F.count("auc").alias("n"))
@@ -224,7 +236,7 @@ add("w1_average_rank", lambda s, d: metrics.average_rank(fx.scores(s, d, "a"), [
     "SELECT class_id, score, max(r) AS r, count(*) AS n FROM (SELECT class_id, score, rank() OVER (PARTITION BY class_id ORDER BY score) + (count(*) OVER (PARTITION BY class_id, score) - 1) / 2e0 AS r FROM scores WHERE model = 'a') GROUP BY ALL")
 add("w3_group_head", lambda s, d: fx.base(s, d).withColumn("k", F.row_number().over(Window.partitionBy("fold").orderBy("row_id"))).filter("k <= 4").select("fold", "row_id", "k"),
     "SELECT fold, row_id, CAST(k AS INTEGER) AS k FROM (SELECT fold, row_id, row_number() OVER (PARTITION BY fold ORDER BY row_id) AS k FROM base) WHERE k <= 4")
-add("w8_grid_bounds", lambda s, d: r9(coords(s, d).agg(F.min("lat").alias("low"), F.max("lat").alias("high"), F.percentile("lon", F.lit(0.25)).alias("q25")), "q25"),
+add("w8_grid_bounds", lambda s, d: r9(coords(s, d).agg(F.min("lat").alias("low"), F.max("lat").alias("high")).crossJoin(metrics.quantiles(coords(s, d), [], "lon", {"q25": 0.25})), "q25"),
     f"WITH {COORDS} SELECT min(raw.lat) AS low, max(raw.lat) AS high, round(quantile_cont(lon, 0.25), 9) AS q25 FROM raw")
 add("a31_verdict_rollup", lambda s, d: fx.scores(s, d).groupBy("model").agg(F.bool_and(F.col("score").isNotNull()).alias("all_there"), F.bool_or(F.col("score") > 0.9).alias("any_high"), F.count_if(F.col("score") > 0.5).alias("n"), F.max("score").alias("top")),
     "SELECT model, bool_and(score IS NOT NULL) AS all_there, bool_or(score > 0.9) AS any_high, CAST(count_if(score > 0.5) AS BIGINT) AS n, max(score) AS top FROM scores GROUP BY model")

@@ -350,7 +350,7 @@ def concordance(s, d):
     lb = metrics.macro_auc(fx.scores(s, d, "abc").filter("fold > 2")).select("model", F.col("macro").alias("lb"))
     both = cv.join(lb, "model")
     ranked = metrics.average_rank(metrics.average_rank(both, [], "cv", "rc"), [], "lb", "rl")
-    return r9(ranked.agg(F.corr("rc", "rl").alias("spearman")).crossJoin(metrics.kendall(both, "cv", "lb", "model")), "spearman", "tau")
+    return r9(ranked.agg(F.corr("rc", "rl").alias("spearman")).crossJoin(metrics.kendall(both, "cv", "lb")), "spearman", "tau")
 
 
 add("x35_concordance", concordance, f"""WITH p AS (SELECT model, avg(auc) AS cv FROM ({auc_sql('scores', 'model, class_id')}) GROUP BY 1), q AS (SELECT model, avg(auc) AS lb FROM ({auc_sql('(SELECT * FROM scores WHERE fold > 2)', 'model, class_id')}) GROUP BY 1),

@@ -136,7 +136,7 @@ add("t1_largest_drops", lambda s, d: table(s, d, "customer").select("c_custkey",
 TOP = "top AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC NULLS LAST, class_id) AS rank FROM scores WHERE model = 'b' QUALIFY score IS NOT NULL)"
 add("t2_top_k_per_row", lambda s, d: shift.pseudo_labels(fx.scores(s, d, "b"), 2).select("row_id", "class_id", "rank"), f"WITH {TOP} SELECT row_id, class_id, CAST(rank AS INTEGER) AS rank FROM top WHERE rank <= 2")
 add("t3_covered_classes", lambda s, d: shift.covered_classes(fx.scores(s, d, "b")), f"WITH {TOP} SELECT CAST(k AS INTEGER) AS k, count(DISTINCT class_id) AS classes FROM top, (SELECT unnest([1, 2, 3, 5]) AS k) WHERE rank <= k GROUP BY k")
-add("t4_max_probability_percentiles", lambda s, d: r9(fx.scores(s, d, "a").groupBy("row_id").agg(F.max("score").alias("m")).agg(*[F.percentile("m", F.lit(p / 100)).alias(f"p{p}") for p in (50, 75, 90, 95, 99)]), "p50", "p75", "p90", "p95", "p99"),
+add("t4_max_probability_percentiles", lambda s, d: r9(metrics.quantiles(fx.scores(s, d, "a").groupBy("row_id").agg(F.max("score").alias("m")), [], "m", {f"p{p}": p / 100 for p in (50, 75, 90, 95, 99)}), "p50", "p75", "p90", "p95", "p99"),
     "SELECT " + ", ".join(f"round(quantile_cont(m, {p / 100}), 9) AS p{p}" for p in (50, 75, 90, 95, 99)) + " FROM (SELECT row_id, max(score) AS m FROM scores WHERE model = 'a' GROUP BY 1)")
 add("t5_best_single_model", lambda s, d: metrics.macro_auc(fx.scores(s, d, "ac")).withColumn("k", F.row_number().over(Window.orderBy(F.desc("macro"), "model"))).filter("k = 1").select("model", F.round("macro", 9).alias("macro")),
     f"SELECT model, round(avg(auc), 9) AS macro FROM ({fx.auc_sql('scores', 'model, class_id')}) WHERE model IN ('a', 'c') GROUP BY model ORDER BY avg(auc) DESC, model LIMIT 1")
