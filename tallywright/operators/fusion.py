@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -99,14 +98,14 @@ def runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[tup
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = list(zip(*(batch.column(k).to_pylist() for k in by), strict=True))
+        changes = np.zeros(batch.num_rows - 1, bool)
+        for k in by:
+            changes |= np.diff(batch.column(k).dictionary_encode().indices.fill_null(-1).to_numpy()) != 0
         fold, y = batch.column("fold").to_numpy(zero_copy_only=False), batch.column("y").to_numpy(zero_copy_only=False).astype(float)
         x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-        start = 0
-        for key, run in groupby(keys):
-            end = start + sum(1 for _ in run)
-            yield key, fold[start:end], y[start:end], x[start:end]
-            start = end
+        bounds = [0, *(np.flatnonzero(changes) + 1), batch.num_rows]
+        for start, end in zip(bounds, bounds[1:]):
+            yield tuple(batch.column(k)[int(start)].as_py() for k in by), fold[start:end], y[start:end], x[start:end]
 
 
 def moments(by: list[str], kinds: pa.Schema):

@@ -56,6 +56,18 @@ def npy(s, d):
 add("s3_s4_k1_npy_matrix", npy, "SELECT class_id, count(score) AS scored, count(*) AS n, round(sum(score), 5) AS score, (SELECT count(*) - 1 FROM base) AS last FROM scores WHERE model = 'b' GROUP BY class_id")
 
 
+def npy_class(s, d):
+    """One class of a dense matrix's shards, the others left where they are."""
+    folder, sc = shared_folder(s), fx.scores(s, d, "b")
+    place = labels.numbered(sc.select("row_id").distinct(), "k", ["row_id"])
+    sinks.write_npy(sc.join(place, "row_id").select(F.col("k").alias("row_id"), "class_id", "score"), folder, 5, 2000)
+    one = readers.matrix(s, folder, classes=[2]).withColumnRenamed("row_id", "k").join(place, "k")
+    return r9(one.groupBy("class_id").agg(F.count("score").alias("scored"), F.count("*").alias("n"), F.sum(F.col("score") * (F.col("row_id") % 7)).alias("score")), "score").withColumn("score", F.round("score", 5))
+
+
+add("s4_k1_npy_one_class", npy_class, "SELECT class_id, count(score) AS scored, count(*) AS n, round(sum(score * (row_id % 7)), 5) AS score FROM scores WHERE model = 'b' AND class_id = 2 GROUP BY class_id")
+
+
 def optional(s, d):
     folder, sc = shared_folder(s), fx.scores(s, d, "a")
     for seed in (41, 43):

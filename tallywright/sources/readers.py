@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from io import BytesIO
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from tallywright.schema import require_rows
 
@@ -58,31 +61,144 @@ def cells(spark: SparkSession, folder: str, expected: int, schema: str) -> DataF
     return require_rows(json(spark, f"{folder}/*.json", schema), expected, folder).orderBy("ord")
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    """Shards that a task wrote: the names they have and those they get."""
+
+    files: list[tuple[str, str]]
+
+
 class RowRange(InputPartition):
-    def __init__(self, start: int, end: int):
-        super().__init__((start, end))
-        self.start, self.end = start, end
+    """Rows of a file, to its last without an end; its first row has the id `first`."""
+
+    def __init__(self, path: str, first: int, start: int, end: int | None):
+        super().__init__((path, start, end))
+        self.path, self.first, self.start, self.end = path, first, start, end
+
+
+def store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    return fs.FileSystem.from_uri(path)
+
+
+def header(file) -> tuple[tuple[int, ...], bool, np.dtype, int]:
+    """shape, whether columns lie together, type and the first byte of an open .npy file's matrix."""
+    version = np.lib.format.read_magic(file)
+    if version not in ((1, 0), (2, 0)):
+        raise ValueError(f"a .npy file of version {version} can't be read")
+    read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+    shape, by_column, kind = read(file)
+    if len(shape) != 2 or kind.hasobject:
+        raise ValueError(f"a matrix of numbers is wanted, not {kind} of shape {shape}")
+    return shape, by_column, kind, file.tell()
 
 
 class MatrixReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.parts = options["path"], int(options.get("partitions", "8"))
+        self.classes = [int(c) for c in options["classes"].split(",")] if options.get("classes") else None
 
     def partitions(self) -> list[InputPartition]:
-        rows = len(np.load(self.path, mmap_mode="r"))
+        system, path = store(self.path)
+        if system.get_file_info(path).type == fs.FileType.Directory:
+            names = [f.path for f in system.get_file_info(fs.FileSelector(path)) if f.base_name.startswith("row_") and f.base_name.endswith(".npy")]
+            return [RowRange(n, int(n.rsplit("row_", 1)[1].removesuffix(".npy")), 0, None) for n in sorted(names)] or [RowRange(path, 0, 0, 0)]
+        with system.open_input_file(path) as file:
+            rows = header(file)[0][0]
         step = max(1, -(-rows // self.parts))
-        return [RowRange(a, min(rows, a + step)) for a in range(0, rows, step)] or [RowRange(0, 0)]
+        return [RowRange(path, 0, a, min(rows, a + step)) for a in range(0, rows, step)] or [RowRange(path, 0, 0, 0)]
 
     def read(self, partition: RowRange) -> Iterator[pa.RecordBatch]:
-        matrix = np.load(self.path, mmap_mode="r")
-        for a in range(partition.start, partition.end, 4096):
-            block = np.asarray(matrix[a : min(partition.end, a + 4096)], dtype=np.float64)
-            row, column = (x.ravel() for x in np.indices(block.shape))
-            yield pa.RecordBatch.from_pydict({"row_id": pa.array(row + a, pa.int64()), "class_id": pa.array(column, pa.int32()), "score": pa.array(block.ravel(), from_pandas=True)})
+        if partition.end == partition.start:
+            return
+        system, _ = store(self.path)
+        with system.open_input_file(partition.path) as file:
+            (rows, width), by_column, kind, base = header(file)
+            wanted = np.arange(width) if self.classes is None else np.array([c for c in sorted(set(self.classes)) if 0 <= c < width], np.int64)
+
+            def part(first: int, count: int) -> np.ndarray:
+                content = file.read_at(count * kind.itemsize, base + first * kind.itemsize)
+                if len(content) != count * kind.itemsize:
+                    raise EOFError(f"{partition.path} ends before its last row")
+                return np.frombuffer(content, kind)
+
+            end = rows if partition.end is None else partition.end
+            for a in range(partition.start, end, 4096):
+                n = min(end - a, 4096)
+                if by_column:  # the bytes of other classes are not read
+                    block = np.column_stack([part(int(c) * rows + a, n) for c in wanted]) if len(wanted) else np.zeros((n, 0))
+                else:
+                    block = part(a * width, n * width).reshape(n, width)[:, wanted]
+                row = np.repeat(np.arange(a, a + n) + partition.first, len(wanted))
+                yield pa.RecordBatch.from_pydict({"row_id": pa.array(row, pa.int64()), "class_id": pa.array(np.tile(wanted, n), pa.int32()), "score": pa.array(block.astype(np.float64).ravel(), from_pandas=True)})
+
+
+class MatrixWriter(DataSourceArrowWriter):
+    """Executors write shards into a folder of their own; the driver moves those of the attempts that count into place.
+
+    Rows come by lot and row. A shard is one lot's matrix in a task's memory.
+    """
+
+    def __init__(self, options: dict, overwrite: bool):
+        self.path, self.classes, self.rows = options["path"].rstrip("/"), int(options["classes"]), int(options["rows"])
+        self.part, self.overwrite = f"{self.path}/_part-{uuid.uuid4().hex}", overwrite
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        system, folder = store(self.part)
+        system.create_dir(folder, recursive=True)
+        files: list[tuple[str, str]] = []
+        lot, matrix, size = None, None, 0
+
+        def close() -> None:
+            name, attempt = f"row_{lot * self.rows:012d}.npy", uuid.uuid4().hex
+            with system.open_output_stream(f"{folder}/{attempt}") as out:
+                whole = np.ascontiguousarray(matrix[:size])
+                np.lib.format.write_array_header_1_0(out, np.lib.format.header_data_from_array_1_0(whole))
+                out.write(memoryview(whole).cast("B") if whole.size else b"")
+            files.append((attempt, name))
+
+        for batch in iterator:
+            row, column, score = (batch.column(batch.schema.get_field_index(c)) for c in ("row_id", "class_id", "score"))
+            row, column, score = row.to_numpy(), column.to_numpy(), score.to_numpy(zero_copy_only=False).astype(float)
+            for each in np.unique(row // self.rows):
+                own = row // self.rows == each
+                if each != lot:
+                    if lot is not None:
+                        close()
+                    lot, matrix, size = int(each), np.full((self.rows, self.classes), np.nan), 0
+                at = row[own] - lot * self.rows
+                matrix[at, column[own]] = score[own]
+                size = max(size, int(at.max()) + 1)
+        if lot is not None:
+            close()
+        return Written(files)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        system, folder = store(self.path)
+        _, part = store(self.part)
+        moved = [f for m in messages if m is not None for f in m.files]
+        if self.overwrite:
+            kept = {name for _, name in moved}
+            for old in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+                if old.base_name.startswith("row_") and old.base_name not in kept:
+                    system.delete_file(old.path)
+        for attempt, name in moved:
+            system.move(f"{part}/{attempt}", f"{folder}/{name}")
+        self.abort(messages)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        system, part = store(self.part)
+        system.delete_dir_contents(part, missing_dir_ok=True)
+        if system.get_file_info(part).type != fs.FileType.NotFound:
+            system.delete_dir(part)
 
 
 class MatrixSource(DataSource):
-    """A dense .npy matrix in long form; NaN becomes NULL. Ranges of rows are read in parallel through a memory map."""
+    """Dense .npy matrices in long form; NaN is NULL.
+
+    Read: a file on any store that Arrow opens, by ranges of rows, or a folder of shards; with classes, only those. Write:
+    shards of so many rows by the executors. Path, classes and rows are options.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -94,10 +210,20 @@ class MatrixSource(DataSource):
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return MatrixReader(self.options)
 
+    def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return MatrixWriter(self.options, overwrite)
 
-def matrix(spark: SparkSession, path: str, partitions: int = 8) -> DataFrame:
+
+def matrix(spark: SparkSession, path: str, partitions: int = 8, classes: list[int] | None = None) -> DataFrame:
+    """A 2-D .npy file, or a folder of shards row_<first row>.npy, in long form, of the given classes or all.
+
+    Of a file whose columns lie together only the classes' bytes are read; of others their rows, 4096 at a time.
+    """
+    if classes is not None and not classes:
+        raise ValueError("name at least one class")
     spark.dataSource.register(MatrixSource)
-    return spark.read.format("npy").option("path", path).option("partitions", str(partitions)).load()
+    source = spark.read.format("npy").option("path", path).option("partitions", str(partitions))
+    return (source if classes is None else source.option("classes", ",".join(map(str, classes)))).load()
 
 
 def matrices(spark: SparkSession, folder: str) -> DataFrame:

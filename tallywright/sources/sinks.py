@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from io import BytesIO
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallywright.functions.scalar import hash_draw
 from tallywright.schema import GateError, require_finite
-from tallywright.sources.scratch import put
+from tallywright.sources.readers import MatrixSource
 
 
 def write_shards(df: DataFrame, path: str, by: tuple[str, ...] = ("model", "seed", "fold")) -> None:
@@ -20,23 +16,16 @@ def write_shards(df: DataFrame, path: str, by: tuple[str, ...] = ("model", "seed
 
 
 def write_npy(df: DataFrame, folder: str, classes: int, rows: int = 100_000) -> None:
-    """row_id (from 0, gapless), class_id, score as dense float64 .npy shards of so many rows, row_<first row>.npy; NULL is NaN.
+    """row_id (from 0), class_id, score as dense float64 .npy shards of so many rows, row_<first row>.npy; NULL is NaN.
 
-    Shards are made by the executors and pass through the driver one at a time.
+    Executors write the shards on the folder's own store; they are moved into place once all tasks have ended, and replace
+    the folder's earlier shards. A task that fails, or writes twice, leaves no shard.
     """
-
-    def shard(key: tuple, part: pa.Table) -> pa.Table:
-        first = key[0].as_py() * rows
-        row = part.column("row_id").to_numpy() - first
-        out = np.full((int(row.max()) + 1, classes), np.nan)
-        out[row, part.column("class_id").to_numpy()] = part.column("score").to_numpy()
-        content = BytesIO()
-        np.save(content, out)
-        return pa.table({"first": pa.array([first], pa.int64()), "content": pa.array([content.getvalue()], pa.binary())})
-
-    lots = df.withColumn("lot", F.floor(F.col("row_id") / rows)).groupBy("lot").applyInArrow(shard, "first bigint, content binary")
-    for r in lots.toLocalIterator():
-        put(df.sparkSession, f"{folder}/row_{r['first']:012d}.npy", bytes(r["content"]))
+    df.sparkSession.dataSource.register(MatrixSource)
+    lot = F.floor(F.col("row_id") / rows)
+    dealt = df.select(F.col("row_id").cast("bigint"), F.col("class_id").cast("int"), F.col("score").cast("double"))
+    dealt = dealt.repartition(lot).sortWithinPartitions("row_id")
+    dealt.write.format("npy").mode("overwrite").option("path", folder).option("classes", str(classes)).option("rows", str(rows)).save()
 
 
 def mark_done(jobs: DataFrame, path: str) -> None:
