@@ -13,9 +13,12 @@ So the corpus is dealt by anchors:
    of the anchor and 30 - l to the right; a context that shares no such part with another one of its anchor, for l in
    steps of 5, can't share a window and is left out. Where text repeats, a context holds its anchor at several places,
    and each window is judged by the leftmost one that it holds.
-4. Each document's covered ranges are united and cut out.
+4. An anchor that more than HOT texts share, or that has more than HELD different contexts, is dealt anew: each of its
+   contexts is cut by the longer anchors, of FINE bytes, of its windows, and step 3 is done again with these. What is
+   still too large for a stream is dealt by whole windows, whose smallest document is an aggregate joined back.
+5. Each document's covered ranges are united and cut out.
 
-Memory: a stream holds one anchor's different contexts; if these exceed BLOCK bytes they are compared part by part, cut
+Memory: a stream holds at most HELD different contexts; if these exceed BLOCK bytes they are compared part by part, cut
 to the few bytes around each part, where most of them are equal. Every step is a table or a shuffle, so lost executors cost their tasks alone.
 """
 
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +40,10 @@ from tallywright.llm.suffix_array import equal_windows
 #: Fixed value: the length of the strings that are matched.
 WIDTH = 50
 ANCHOR = 20
-SIDE = WIDTH - ANCHOR
+FINE = 35
 STEP = 5
+HOT = 1 << 16
+HELD = 1 << 14
 GROUP = 1 << 16
 BLOCK = 1 << 14
 U = np.uint64
@@ -58,31 +64,36 @@ def least_of(x: np.ndarray, width: int, pick=np.minimum) -> np.ndarray:
     return pick(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
 
 
-def anchors(data: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, doc: np.ndarray, length: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The runs of neighbouring windows with the same anchor: first and last window, the anchor's place and hash.
 
-    The documents lie end to end; doc numbers each byte's document. A run has at most 31 windows: longer ones, which only
-    repeating text has, are cut.
+    The documents lie end to end; doc numbers each byte's document. A run has at most as many windows as an anchor has
+    places in one: longer runs, which only repeating text has, are cut. An anchor of WIDTH bytes is the window itself.
     """
+    side = WIDTH - length
     n, none = len(data), np.zeros(0, np.int64)
     if n < WIDTH:
         return none, none, none, none.astype(np.uint64)
-    h, have = data.astype(np.uint64) + U(1), 1
-    part = {1: h}
-    while have < 16:
-        h = h[:-have] * U(pow(P, have, 1 << 64)) + h[have:]
+    part, have = data.astype(np.uint64) + U(1), 1
+    h, done = None, 0
+    while True:
+        if length & have:
+            h = part if h is None else part[: n - have - done + 1] * U(pow(P, done, 1 << 64)) + h[have:]
+            done += have
+        if 2 * have > length:
+            break
+        part = part[:-have] * U(pow(P, have, 1 << 64)) + part[have:]
         have *= 2
-        part[have] = h
-    h = mixed(part[16][: n - ANCHOR + 1] * U(pow(P, 4, 1 << 64)) + part[4][16:])
-    low = least_of(h, SIDE + 1)
+    h = mixed(h)
+    low = least_of(h, side + 1)
     low[doc[: n - WIDTH + 1] != doc[WIDTH - 1 :]] = 0
     first = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
     last = np.append(first[1:], len(low)) - 1
     keep = low[first] > 0
     first, last = first[keep], last[keep]
-    while (long := last - first > SIDE).any():
-        rest = first[long] + SIDE + 1
-        first, last = np.concatenate([first, rest]), np.concatenate([np.where(long, first + SIDE, last), last[long]])
+    while (long := last - first > side).any():
+        rest = first[long] + side + 1
+        first, last = np.concatenate([first, rest]), np.concatenate([np.where(long, first + side, last), last[long]])
         order = np.argsort(first, kind="stable")
         first, last = first[order], last[order]
     value, at = low[first], first.copy()
@@ -225,15 +236,44 @@ def context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"h": pa.array(h), "context": column, "anchor": pa.array(anchor)} | {n: pa.array(x[row]) for n, x in keys.items()} | {"start": pa.array(place)})
 
 
-def anchor_places(context: bytes, first: int) -> list[tuple[int, int]]:
+def refined(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Rows of contexts to rows of their shorter contexts, by anchors of length bytes; known ranges stay as they are."""
+    for batch in batches:
+        ready = pc.is_null(batch.column("context"))
+        if pc.any(ready).as_py():
+            yield batch.filter(ready)
+            batch = batch.filter(pc.invert(ready))
+        found: dict[str, list[np.ndarray]] = {"h": [], "anchor": [], "start": [], "row": []}
+        texts, contexts, starts = batch.column("context").to_pylist(), [], batch.column("start").to_numpy()
+        for start, data, doc, begin in grouped(texts):
+            first, last, at, h = anchors(data, doc, length)
+            raw, own = data.tobytes(), doc[first]
+            contexts += [raw[a:b] for a, b in zip(first.tolist(), (last + WIDTH).tolist(), strict=True)]
+            row = start + own
+            for name, x in (("h", h.view(np.int64)), ("anchor", at - first), ("start", starts[row] + first - begin[own]), ("row", row)):
+                found[name].append(x)
+        if contexts:
+            row = np.concatenate(found["row"])
+            columns = {"h": pa.array(np.concatenate(found["h"])), "context": pa.array(contexts, pa.binary()), "anchor": pa.array(np.concatenate(found["anchor"]).astype(np.int32))}
+            columns |= {n: batch.column(n).take(pa.array(row)) for n in ("doc", "p1", "p2")}
+            yield pa.RecordBatch.from_pydict(columns | {"start": pa.array(np.concatenate(found["start"]).astype(np.int32))})
+
+
+def hot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As context_rows, for hot anchors: their contexts by the longer anchors."""
+    return refined(context_rows(batches), FINE)
+
+
+def anchor_places(context: bytes, first: int, length: int) -> list[tuple[int, int]]:
     """Each place of a context's anchor, first being the leftmost, and how far to the left windows reach that hold none before it.
 
     Every window has one leftmost place, the same in equal windows. Only repeating text has several in a context.
     """
-    anchor, out = context[first : first + ANCHOR], [(first, SIDE)]
+    anchor, side = context[first : first + length], WIDTH - length
+    out = [(first, side)]
     place = context.find(anchor, first + 1)
     while place >= 0:
-        out.append((place, min(SIDE, place - out[-1][0] - 1)))
+        out.append((place, min(side, place - out[-1][0] - 1)))
         place = context.find(anchor, place + 1)
     return out
 
@@ -241,7 +281,8 @@ def anchor_places(context: bytes, first: int) -> list[tuple[int, int]]:
 class Block:
     """Contexts to be compared by suffix arrays."""
 
-    def __init__(self):
+    def __init__(self, length: int):
+        self.length, self.side = length, WIDTH - length  # of the anchors
         self.rows: list[tuple[bytes, int, list[tuple[tuple[int, int], int]]]] = []
         self.size = 0
         self.ranges: list[tuple[int, tuple[int, int], int, int]] = []  # doc, text, start, end
@@ -250,17 +291,17 @@ class Block:
         """One anchor's different contexts as (bytes, place of the anchor, smallest document, its texts and starts)."""
         sides: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
         for k, (c, a, _, _) in enumerate(contexts):
-            for place, most in anchor_places(c, a):
-                for left in range(0, min(most, SIDE - 1) + 1, STEP):
-                    right = SIDE - STEP - left + 1 if left + STEP < SIDE else SIDE - left - STEP
-                    if place >= left and len(c) - place - ANCHOR >= right:
-                        sides.setdefault((left, c[place - left : place + ANCHOR + right]), []).append((k, place, most))
+            for place, most in anchor_places(c, a, self.length):
+                for left in range(0, min(most, self.side - 1) + 1, STEP):
+                    right = self.side - STEP - left + 1 if left + STEP < self.side else self.side - left - STEP
+                    if place >= left and len(c) - place - self.length >= right:
+                        sides.setdefault((left, c[place - left : place + self.length + right]), []).append((k, place, most))
         classes = {side: x for side, x in sides.items() if x[0][0] != x[-1][0]}
         if sum(len(c[0]) for c in contexts) <= BLOCK:
             reach: dict[int, tuple[int, int]] = {}  # the first and the last of a context's windows that hold a shared part
             for (left, _), own in classes.items():
                 for k, place, _ in own:
-                    low, high = place - (left + STEP - 1 if left + STEP < SIDE else SIDE), place - left
+                    low, high = place - (left + STEP - 1 if left + STEP < self.side else self.side), place - left
                     known = reach.get(k, (low, high))
                     reach[k] = min(low, known[0]), max(high, known[1])
             for k in sorted(reach):
@@ -277,7 +318,7 @@ class Block:
         """Contexts with a common part around a place, cut to the windows that hold it and have that leftmost place: most are then equal, and only the first is compared."""
         first: dict[bytes, tuple[int, list[tuple[tuple[int, int], int]]]] = {}
         for (c, _, doc, places), a, most in sorted(contexts, key=lambda x: x[0][2]):
-            low = max(0, a - min(most, left + STEP - 1 if left + STEP < SIDE else SIDE))
+            low = max(0, a - min(most, left + STEP - 1 if left + STEP < self.side else self.side))
             short = c[low : a + WIDTH - left]
             if len(short) >= WIDTH:
                 moved = [(part, p + low) for part, p in places]
@@ -322,11 +363,15 @@ class Block:
         self.rows, self.size = [], 0
 
 
-def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts sorted by h, context, anchor, doc, start to covered ranges: doc, p1, p2, start, end."""
-    block, group = Block(), []
+def covered(batches: Iterator[pa.RecordBatch], length: int = ANCHOR, finer: int = FINE, most: int = HELD) -> Iterator[pa.RecordBatch]:
+    """Contexts sorted by h, context, anchor, doc, start to covered ranges and to contexts that have to be dealt anew.
+
+    A range has doc, p1, p2, start, end; a context that is dealt anew has no end but h, context, anchor, by anchors of
+    finer bytes. The latter are those of an anchor with more than `most` different contexts.
+    """
+    block, group, anew = Block(length), [], []
     key = place = context = None  # of the last row, and the document that leads its run
-    leader = 0
+    leader, many = 0, False  # many: the contexts of the anchor are dealt anew
 
     def close() -> None:
         if len(group) > 1:
@@ -337,7 +382,19 @@ def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.array([(doc, *text, a, b) for doc, text, a, b in block.ranges], np.int64).reshape(-1, 5).T
         block.ranges = []
         columns = [np.concatenate(x) for x in zip(own, more, strict=True)] if more else own
-        return pa.RecordBatch.from_pydict({n: pa.array(np.ascontiguousarray(x)) for n, x in zip(("doc", "p1", "p2", "start", "end"), columns, strict=True)})
+        out = {n: pa.array(np.ascontiguousarray(x)) for n, x in zip(("doc", "p1", "p2", "start", "end"), columns, strict=True)}
+        n = len(out["doc"])
+        return pa.RecordBatch.from_pydict(out | {"h": pa.nulls(n, pa.int64()), "context": pa.nulls(n, pa.binary()), "anchor": pa.nulls(n, pa.int32())})
+
+    def dealt() -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(anew), 1024):
+            contexts, doc, p1, p2, start = zip(*anew[a : a + 1024], strict=True)
+            columns = {n: pa.array(x, pa.int64()) for n, x in (("doc", doc), ("p1", p1), ("p2", p2), ("start", start))}
+            for b in refined(iter([pa.RecordBatch.from_pydict({"context": pa.array(contexts, pa.binary())} | columns)]), finer):
+                out = {n: b.column(n) for n in ("doc", "p1", "p2")}
+                out |= {"start": b.column("start").cast(pa.int64()), "end": pa.nulls(b.num_rows, pa.int64())}
+                yield pa.RecordBatch.from_pydict(out | {n: b.column(n) for n in ("h", "context", "anchor")})
+        anew.clear()
 
     for batch in batches:
         ready = pc.is_null(batch.column("context"))
@@ -359,15 +416,22 @@ def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = np.flatnonzero(~later)
         for k, c in zip(rest.tolist(), contexts.take(pa.array(rest)).to_pylist(), strict=True):
             place_ = (int(p1[k]), int(p2[k])), int(start[k])
-            if again[k]:
-                group[-1][3].append(place_)
-                continue
             if h[k] != key:
                 close()
-                key = h[k]
-            group.append((c, int(anchor[k]), int(doc[k]), [place_]))
+                key, many = h[k], False
+            if many:
+                anew.append((c, int(doc[k]), *place_[0], place_[1]))
+            elif again[k]:
+                group[-1][3].append(place_)
+            else:
+                group.append((c, int(anchor[k]), int(doc[k]), [place_]))
+                if len(group) > most:
+                    anew += [(c_, doc_, *text, at) for c_, _, doc_, places in group for text, at in places]
+                    group.clear()
+                    many = True
         key, place, context, leader = h[-1], anchor[-1], contexts[len(h) - 1].as_py(), int(leaders[-1])
         yield given(doc[later], p1[later], p2[later], start[later], start[later] + size[later])
+        yield from dealt()
     close()
     block.flush()
     yield given()
@@ -423,14 +487,36 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
     shared = written(rows.mapInArrow(shared_anchors, "h bigint, p1 bigint"), folder, "shared")
     del rows
     release(spark)
-    lists = shared.groupBy("p1").agg(F.collect_list("h").alias("shared"))
-    lists = first.drop("last").join(lists.hint("shuffle_hash"), "p1").hint("shuffle_hash")
-    contexts = plain.join(lists, ["doc", "p1", "p2"]).mapInArrow(context_rows, "h bigint, context binary, anchor int, doc bigint, p1 bigint, p2 bigint, start int")
-    contexts = contexts.repartition(shuffles, "h").sortWithinPartitions("h", "context", "anchor", "doc", "start")
-    ranges = written(contexts.mapInArrow(covered, "doc bigint, p1 bigint, p2 bigint, start bigint, end bigint"), folder, "ranges")
+    hot = written(shared.groupBy("h").count().filter(F.col("count") > HOT).select("h"), folder, "hot")
+    form = "h bigint, context binary, anchor int, doc bigint, p1 bigint, p2 bigint, start int"
+
+    def contexts_of(shared: DataFrame, made) -> DataFrame:
+        lists = shared.groupBy("p1").agg(F.collect_list("h").alias("shared"))
+        lists = first.drop("last").join(lists.hint("shuffle_hash"), "p1").hint("shuffle_hash")
+        return plain.join(lists, ["doc", "p1", "p2"]).mapInArrow(made, form)
+
+    def compared(contexts: DataFrame, length: int, finer: int, name: str) -> tuple[DataFrame, DataFrame]:
+        """The ranges that contexts cover, and the contexts that have to be dealt anew."""
+        contexts = contexts.repartition(shuffles, "h").sortWithinPartitions("h", "context", "anchor", "doc", "start")
+        made = contexts.mapInArrow(partial(covered, length=length, finer=finer, most=HELD), f"doc bigint, p1 bigint, p2 bigint, start bigint, end bigint, {form.split(', doc')[0]}")
+        made = written(made, folder, name)
+        anew = made.filter("context is not null").select("h", "context", "anchor", "doc", "p1", "p2", F.col("start").cast("int"))
+        return made.filter("context is null").select("doc", "p1", "p2", "start", "end"), anew
+
+    any_hot = not hot.isEmpty()
+    ranges, anew = compared(contexts_of(shared.join(hot, "h", "left_anti") if any_hot else shared, context_rows), ANCHOR, FINE, "ranges")
+    if any_hot:
+        anew = anew.unionByName(contexts_of(shared.join(hot, "h", "left_semi"), hot_rows))
+    if any_hot or not anew.isEmpty():
+        more, anew = compared(anew, FINE, WIDTH, "ranges-fine")
+        ranges = ranges.unionByName(more)
+        if not anew.isEmpty():
+            least = anew.groupBy("h", "context").agg(F.min("doc").alias("least"))
+            last = anew.join(least, ["h", "context"]).filter("doc > least")
+            ranges = ranges.unionByName(last.select("doc", "p1", "p2", F.col("start").cast("long"), (F.col("start") + WIDTH).cast("long").alias("end")))
     copies = written(copies, folder, "copies")
-    del contexts, lists, shared, first, several
-    discard(spark, folder, "shared", "first")
+    del shared, first, several
+    discard(spark, folder, "shared", "first", "hot")
     release(spark)
     per = ranges.unionByName(copies).groupBy("doc", "p1", "p2").agg(F.collect_set(F.struct("start", "end")).alias("ranges")).hint("shuffle_hash")
     given = docs.select(F.struct("*").alias("row"), doc.alias("doc"), p1.alias("p1"), p2.alias("p2")).join(per, ["doc", "p1", "p2"], "left").select("row", "ranges")

@@ -123,7 +123,30 @@ def stretches(seed, units, docs, lengths, ends):
     return out
 
 
-def covered_bytes(docs):
+def levels(contexts, most):
+    """The ranges of all levels, as dedup_spans has them, given what context_rows gave."""
+    import pyarrow as pa
+
+    order = [(n, "ascending") for n in ("h", "context", "anchor", "doc", "start")]
+    for length, finer in ((sd.ANCHOR, sd.FINE), (sd.FINE, sd.WIDTH)):
+        batches = pa.Table.from_batches(contexts).sort_by(order).combine_chunks().to_batches()
+        contexts = []
+        for b in sd.covered(iter(batches), length, finer, most):
+            yield from (r for r in b.to_pylist() if r["end"] is not None)
+            anew = b.filter(b.column("end").is_null())
+            if anew.num_rows:
+                start = anew.column("start").cast(pa.int32())
+                contexts.append(pa.RecordBatch.from_pydict({n: anew.column(n) for n in ("h", "context", "anchor", "doc", "p1", "p2")} | {"start": start}))
+        if not contexts:
+            return
+    least, last = {}, [r for b in contexts for r in b.to_pylist()]
+    assert all(len(r["context"]) == sd.WIDTH for r in last)
+    for r in last:
+        least[r["context"]] = min(least.get(r["context"], r["doc"]), r["doc"])
+    yield from (r | {"end": r["start"] + sd.WIDTH} for r in last if r["doc"] > least[r["context"]])
+
+
+def covered_bytes(docs, most=sd.HELD, hot=False):
     """What the operator's Arrow functions cover, and what brute force does: two dicts of doc to byte places."""
     import pyarrow as pa
 
@@ -141,10 +164,13 @@ def covered_bytes(docs):
     contexts = list(sd.context_rows(batch.slice(a, 9) for a in range(0, len(docs), 9)))
     got, want, first = {d: set() for d, _ in docs}, {d: set() for d, _ in docs}, {}
     if contexts:
-        order = [(n, "ascending") for n in ("h", "context", "anchor", "doc", "start")]
-        for b in sd.covered(iter(pa.Table.from_batches(contexts).sort_by(order).combine_chunks().to_batches())):
-            for r in b.to_pylist():
-                got[r["doc"]].update(range(r["start"], r["end"]))
+        if hot:  # every anchor counts as hot
+            fine = pa.Table.from_batches(sd.refined(iter(contexts), sd.FINE)).sort_by([(n, "ascending") for n in ("h", "context", "anchor", "doc", "start")])
+            found = [r for b in sd.covered(iter(fine.combine_chunks().to_batches()), sd.FINE, sd.WIDTH) for r in b.to_pylist()]
+        else:
+            found = levels(contexts, most)
+        for r in found:
+            got[r["doc"]].update(range(r["start"], r["end"]))
     for d, t in docs:
         for i in range(len(t) - 49):
             if first.setdefault(t[i : i + 50], d) < d:
@@ -244,3 +270,45 @@ def test_an_anchor_of_many_texts_is_no_hot_key():
     contexts = pa.Table.from_batches(sd.context_rows(iter([batch]))).to_pandas()
     sent = contexts[contexts.context.notna()]
     assert (sent.groupby(["h", "context"]).doc.nunique() == 1).all() and contexts.context.isna().sum() > 1000
+
+
+@settings(max_examples=400, deadline=None)
+@given(periodic() | st.builds(stretches, st.integers(0, 99), st.just(["x", "ab", "lorem ipsum sit "]), st.just(30), st.just(range(1, 150)), st.just(2)), st.integers(1, 5), st.booleans())
+def test_contexts_dealt_anew(docs, most, hot):
+    got, want = covered_bytes(docs, most, hot)
+    assert got == want
+
+
+@pytest.mark.parametrize("hot, most", [(8, 1 << 14), (1 << 16, 3), (8, 3)])
+def test_hot_anchors_of_a_table(spark, monkeypatch, hot, most):
+    monkeypatch.setattr(sd, "HOT", hot)
+    monkeypatch.setattr(sd, "HELD", most)
+    held(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), monkeypatch)
+
+
+def test_memory_of_an_anchor_with_many_contexts():
+    """A phrase of 24 bytes with 80 000 different surroundings: little is held, and its contexts go to many keys."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng, n, phrase = np.random.default_rng(1), 80_000, b"a phrase of 24 bytes in "
+    noise = rng.integers(97, 123, (n, 60), np.uint8).tobytes()
+    contexts = sorted(noise[i : i + 28] + phrase + noise[i + 28 : i + 56] for i in range(0, 60 * n, 60))
+
+    def batches():
+        for a in range(0, n, 1000):
+            own = contexts[a : a + 1000]
+            columns = {"h": pa.array([5] * len(own), pa.int64()), "context": pa.array(own, pa.binary()), "anchor": pa.array([28] * len(own), pa.int32())}
+            columns |= {k: pa.array(range(a, a + len(own)), pa.int64()) for k in ("doc", "p1", "p2")}
+            yield pa.RecordBatch.from_pydict(columns | {"start": pa.array([0] * len(own), pa.int32())})
+
+    tracemalloc.start()
+    keys, rows_ = set(), 0
+    for b in sd.covered(batches()):
+        keys.update(b.column("h").to_pylist()[:50])
+        rows_ += b.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows_ > n and len(keys) > 1000 and peak < 150 << 20
