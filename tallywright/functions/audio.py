@@ -60,3 +60,26 @@ def log_mel(x: np.ndarray, rate: int, bands: int = 128, size: int = 1024, hop: i
     power = mel_bank(rate, size, bands) @ spectrogram(x, size, hop).T
     level = 10 * np.log10(np.maximum(power, 1e-10))
     return np.maximum(level, level.max() - floor).astype(np.float32)
+
+
+def kaldi_bank(rate: int, size: int, bands: int, low: float = 20.0, high: float | None = None) -> np.ndarray:
+    """Filters that are triangles in mel (1127 ln(1 + f / 700)), evenly spaced there: bands x size / 2 frequencies, without the last."""
+    mel = lambda f: 1127 * np.log(1 + f / 700)
+    edges = np.linspace(mel(low), mel(high or rate / 2), bands + 2)[:, None]
+    f = mel(np.arange(size // 2) * rate / size)
+    return np.maximum(0, np.minimum((f - edges[:-2]) / (edges[1:-1] - edges[:-2]), (edges[2:] - f) / (edges[2:] - edges[1:-1])))
+
+
+def kaldi_energies(frames: np.ndarray, rate: int, bands: int) -> np.ndarray:
+    """Log energies, frames x bands, of frames of samples: mean taken off, pre-emphasis of 0.97, Povey window, power spectrum, bank.
+
+    The transform's size is the power of two that holds a frame; energies are no lower than single precision's epsilon.
+    """
+    x = np.asarray(frames, np.float64)
+    n = x.shape[1]
+    size = 1 << max(0, n - 1).bit_length()
+    x = x - x.mean(axis=1, keepdims=True)
+    x = x - 0.97 * np.concatenate([x[:, :1], x[:, :-1]], axis=1)
+    x = x * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / (n - 1))) ** 0.85
+    power = np.abs(np.fft.rfft(x, size, axis=1)[:, : size // 2]) ** 2
+    return np.log(np.maximum(power @ kaldi_bank(rate, size, bands).T, np.finfo(np.float32).eps))

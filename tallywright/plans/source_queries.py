@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallywright.functions import audio
-from tallywright.operators import labels
+from tallywright.operators import labels, spectra
 from tallywright.plans import fixtures as fx
 from tallywright.plans.fixtures import SQL, draw_sql, table
 from tallywright.plans.metric_queries import r9
@@ -184,3 +185,31 @@ def reported(s, d):
 
 add("k9_markdown_report", reported, """SELECT * FROM (VALUES (0::BIGINT, '## Results'), (1, ''), (2, '| n_name | n_regionkey | value |'), (3, '|---|---|---|')) t(line, text)
     UNION ALL SELECT row_number() OVER (ORDER BY n_regionkey, n_name) + 3, '| ' || n_name || ' | ' || n_regionkey || ' | ' || CASE WHEN n_nationkey % 4 <> 0 THEN printf('%.3f', n_nationkey / 8e0) ELSE '-' END || ' |' FROM nation""")
+
+
+def filter_bank(s, d):
+    """Each supplier's quantities, in order, as a signal of 8 kHz."""
+    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_quantity")
+    signal = table(s, d, "lineitem").select("l_suppkey", (F.row_number().over(order) - 1).alias("i"), F.col("l_quantity").cast("double").alias("x"))
+    return spectra.filter_bank(signal, ["l_suppkey"], "i", "x", 8000, 23).withColumn("energy", F.round("energy", 6))
+
+
+add("f17_filter_bank", filter_bank, """
+    WITH signal AS (
+      SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_quantity) - 1 AS i, CAST(l_quantity AS DOUBLE) AS x
+      FROM lineitem),
+    cut AS (
+      SELECT l_suppkey, f AS frame, i - 80 * f AS j, x - avg(x) OVER (PARTITION BY l_suppkey, f) AS x, count(*) OVER (PARTITION BY l_suppkey, f) AS n
+      FROM (SELECT *, unnest(range(CAST(greatest(0, (i - 120) // 80) AS BIGINT), CAST(i // 80 AS BIGINT) + 1)) AS f FROM signal) WHERE i - 80 * f < 200),
+    windowed AS (
+      SELECT l_suppkey, frame, j, (x - 0.97e0 * coalesce(lag(x) OVER (PARTITION BY l_suppkey, frame ORDER BY j), x)) * (0.5e0 - 0.5e0 * cos(2 * pi() * j / 199)) ** 0.85e0 AS x
+      FROM cut WHERE n = 200),
+    power AS (
+      SELECT l_suppkey, frame, k, sum(x * cos(2 * pi() * ((j * k) % 256) / 256)) ** 2 + sum(x * sin(2 * pi() * ((j * k) % 256) / 256)) ** 2 AS p
+      FROM windowed, range(128) AS g(k) GROUP BY ALL),
+    ends AS (SELECT 1127 * ln(1 + 20e0 / 700) AS low, (1127 * ln(1 + 4000e0 / 700) - 1127 * ln(1 + 20e0 / 700)) / 24 AS step),
+    bank AS (
+      SELECT k, b AS band, greatest(0, 1 - abs(1127 * ln(1 + k * 8000e0 / 256 / 700) - (low + (b + 1) * step)) / step) AS w
+      FROM range(128) AS g(k), range(23) AS h(b), ends)
+    SELECT l_suppkey, frame, CAST(band AS INTEGER) AS band, round(ln(greatest(sum(p * w), 1.1920928955078125e-7)), 6) AS energy
+    FROM power JOIN bank USING (k) WHERE w > 0 GROUP BY l_suppkey, frame, band""")

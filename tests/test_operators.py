@@ -334,3 +334,26 @@ def test_numbers_are_those_of_the_whole_order(spark):
     got = labels.numbered(df, "n", ["author", "k"]).select("n", "author", "k", "v").orderBy("n").collect()
     assert [r.n for r in got] == list(range(60_000)) and all(r.k == r.v * 7919 % 60_013 for r in got)
     assert all((a.author, a.k) < (b.author, b.k) for a, b in zip(got, got[1:]))
+
+
+def test_filter_bank(spark):
+    """Frames of a gapped, a short and a whole recording; a tone is loudest in the band that holds it."""
+    from tallywright.operators import spectra
+
+    rate, bands = 8000, 23
+    tone = 1000 * np.sin(2 * np.pi * 1000 * np.arange(1000) / rate)
+    rows = [("tone", i, float(x)) for i, x in enumerate(tone)] + [("short", i, 1.0) for i in range(199)]
+    rows += [("gap", i, float(x)) for i, x in enumerate(tone) if i != 500] + [("null", None, 1.0), ("null", 3, None)]
+    df = spark.createDataFrame(rows, "name string, i int, x double").repartition(5)
+    out = spectra.filter_bank(df, ["name"], "i", "x", rate, bands).toPandas()
+    assert set(out.name) == {"tone", "gap"}
+    assert set(out[out.name == "tone"].frame) == set(range(11))
+    assert set(out[out.name == "gap"].frame) == {f for f in range(11) if not 80 * f <= 500 < 80 * f + 200}
+    whole = out[out.name == "tone"].pivot(index="frame", columns="band", values="energy").to_numpy()
+    cut = np.stack([tone[80 * f : 80 * f + 200] for f in range(11)])
+    assert np.allclose(whole, audio.kaldi_energies(cut, rate, bands), rtol=0, atol=1e-9)
+    bank = audio.kaldi_bank(rate, 256, bands)
+    assert (whole.argmax(axis=1) == bank[:, round(1000 / rate * 256)].argmax()).all()
+    assert spectra.filter_bank(df.filter("false"), ["name"], "i", "x", rate).count() == 0
+    sparse = spectra.frames(df.filter("name = 'tone'"), ["name"], "i", "x", 10, 25).collect()
+    assert len(sparse) == 40 and all(np.allclose(r.samples, tone[25 * r.frame : 25 * r.frame + 10]) for r in sparse)
