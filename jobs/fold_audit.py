@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from jobs.common import LOG, command_line, write_parts
 from tallywright.functions.scalar import hash_draw
 from tallywright.operators.labels import numbered
+from tallywright.sources.scratch import shared_folder
 
 
 def keyed(docs: DataFrame, group: str) -> DataFrame:
@@ -32,6 +33,13 @@ def keyed(docs: DataFrame, group: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col(group), alone).alias("grp"), "lang", key.alias("text_key"))
 
 
+def once(rows: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder, so that what reads them several times reads and hashes the texts once."""
+    path = f"{shared_folder(rows.sparkSession)}/keyed"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def dealt(rows: DataFrame, folds: int, seed: int) -> DataFrame:
     """grp and fold of each group."""
     groups = rows.select("grp").distinct().withColumn("draw", hash_draw(seed, F.col("grp")))
@@ -60,7 +68,7 @@ def run(spark: SparkSession, documents: str, labels: str, target: str, config: d
     folds, names = int(config["folds"]), list(config["labels"])
     if not 2 <= folds <= 62:
         raise ValueError("folds: 2 to 62")
-    rows = keyed(spark.read.parquet(documents), config["group"])
+    rows = once(keyed(spark.read.parquet(documents), config["group"]))
     marks = spark.read.parquet(labels).filter("doc_id is not null").groupBy("doc_id").agg(*[F.max(n).alias(n) for n in names])
     out = leak_free(rows.join(dealt(rows, folds, int(config["seed"])), "grp"), folds).join(marks, "doc_id", "left")
     path = f"{target}/folds"
