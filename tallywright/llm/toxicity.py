@@ -1,10 +1,11 @@
 """Toxicity: maximum-scoring segments of token log-odds, calibrated by extreme values.
 
 A token is a run of letters, lower-cased. Its stems are its prefixes of 2 to 8 letters and the whole token; each has
-log-odds between toxic and clean labelled texts under a Dirichlet prior that is the classes' shares, PRIOR tokens strong.
-A token is worth the log-odds of the stem that stands out most, shrunk by its standard error; stems within SURE errors are
-worth nothing, and every token costs DRIFT, so that clean text falls. The k-th time a token stands in a text counts 1/k,
-in counting as in scoring: repetition alone proves little.
+log-odds between toxic and clean labelled texts under a Dirichlet prior, PRIOR tokens strong, that is the shares of the next
+shorter stem, or the classes' for the shortest. A token is worth the log-odds of the longest stem that two documents have,
+shrunk by its standard error; stems within SURE errors are worth nothing, and every token costs DRIFT, so that clean text
+falls. So a stem that only some toxic tokens begin with tells nothing against the clean ones beside them. The k-th time a
+token stands in a text counts 1/k, in counting as in scoring: repetition alone proves little.
 
 A linear scan (all maximal-scoring subsequences) finds each passage that can't be extended or cut without loss. In clean
 text of n tokens the best passage's score S follows an extreme-value law, P(S >= x) = 1 - exp(-K n exp(-L x)); L and K are
@@ -107,7 +108,7 @@ class Worth(dict):
 
     def __missing__(self, word: str) -> float:
         found = [self.model[s] for s in stems(word.lower()) if s in self.model]
-        self[word] = value = max(found, key=lambda v: abs(v[0]))[1] if found else 0.0
+        self[word] = value = found[-1][1] if found else 0.0  # the longest
         return value
 
 
@@ -234,7 +235,8 @@ def chosen(docs: DataFrame, labels: DataFrame, most: int) -> tuple[DataFrame, di
 def models(rows: DataFrame) -> list[dict[str, tuple[float, float]]]:
     """Stem to (log-odds in standard errors, worth): without each fold, and at last of all folds.
 
-    A stem has to stand in two documents. Only stems that stand out come to the driver.
+    A stem has to stand in two documents. Only stems that stand out come to the driver, and with a worth of 0 those that don't
+    although the next shorter stem does.
     """
     sums = rows.mapInArrow(stem_counts, "stem string, fold int, mark int, n double, docs bigint")
     kept = range(FOLDS + 1)
@@ -244,15 +246,26 @@ def models(rows: DataFrame) -> list[dict[str, tuple[float, float]]]:
     counts = sums.groupBy("stem").agg(*sides, *held)
     whole = rows.mapInArrow(text_mass, "fold int, mark int, n double")
     mass = whole.groupBy().agg(*[one(k, m).alias(f"y{m}_{k}") for k in kept for m in (0, 1)]).first()
+    body = F.length("stem") - F.when(F.col("stem").endswith("$"), 2).otherwise(1)
+    counts = written(counts, shared_folder(rows.sparkSession), "toxicity-stems")  # read three times below
+    counts = counts.withColumn("shorter", F.when(body >= STEMS[0], F.substring("stem", F.lit(1), F.least(body, F.lit(STEMS[-1])))))
+    above = counts.select(F.col("stem").alias("shorter"), *[F.col(f"y{m}_{k}").alias(f"up{m}_{k}") for k in kept for m in (0, 1)])
+    known = counts.join(above, "shorter", "left")
     out = []
     for k in kept:
         toxic, clean = mass[f"y1_{k}"] or 0.0, mass[f"y0_{k}"] or 0.0
         root = toxic / (toxic + clean) if toxic and clean else 0.5
-        a1, a0 = F.col(f"y1_{k}") + PRIOR * root, F.col(f"y0_{k}") + PRIOR * (1 - root)
+        up1, up0 = (F.coalesce(f"up{m}_{k}", F.lit(0.0)) for m in (1, 0))
+        share = (up1 + PRIOR * root) / (up1 + up0 + PRIOR)
+        a1, a0 = F.col(f"y1_{k}") + PRIOR * share, F.col(f"y0_{k}") + PRIOR * (1 - share)
         odds = F.log(a1 / a0) - math.log(root / (1 - root))
         z = odds / F.sqrt(1 / a1 + 1 / a0)
-        out.append(F.when((F.col(f"d_{k}") >= 2) & (F.abs(z) > SURE), F.struct(z.alias("z"), (odds * (1 - SURE * SURE / (z * z))).alias("worth"))).alias(f"m_{k}"))
-    told = counts.select("stem", *out).filter(F.coalesce(*[f"m_{k}" for k in kept]).isNotNull()).collect()  # stems of at most 2 * SAMPLE documents
+        worth = F.when(F.abs(z) > SURE, odds * (1 - SURE * SURE / (z * z))).otherwise(0.0)
+        out.append(F.when(F.col(f"d_{k}") >= 2, F.struct(z.alias("z"), worth.alias("worth"))).alias(f"m_{k}"))
+    known = known.select("stem", "shorter", *out)
+    apart = known.select(F.col("stem").alias("shorter"), *[(F.col(f"m_{k}.worth") != 0).alias(f"up_{k}") for k in kept])
+    told = known.join(apart, "shorter", "left").select("stem", *[F.when((F.col(f"m_{k}.worth") != 0) | F.col(f"up_{k}"), F.col(f"m_{k}")).alias(f"m_{k}") for k in kept])
+    told = told.filter(F.coalesce(*[f"m_{k}" for k in kept]).isNotNull()).collect()  # stems of at most 2 * SAMPLE documents
     return [{r["stem"]: (r[f"m_{k}"]["z"], r[f"m_{k}"]["worth"]) for r in told if r[f"m_{k}"] is not None} for k in kept]
 
 
@@ -337,7 +350,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     docs: doc_id, text and any further columns, whatever their names; they come back in the struct row. passages: start and
     end in code points and how many such are expected by chance in a clean text of this length, in order of place; they
     don't overlap. A null text is empty; empty texts and texts without letters have no passage and the score of that.
-    Repeated rows and ids get equal scores; among equal stems of a token the shortest counts. An empty table gives no rows.
+    Repeated rows and ids get equal scores; a stem of one document only leaves its token to the next shorter one. An empty table gives no rows.
     """
     bounded_batches(docs.sparkSession)
     model, law = train(docs.select("doc_id", "text"), labels)

@@ -91,3 +91,16 @@ def test_edges(spark, edge, empty, clashing):
     assert {r.score for r in tx.classify(edge, marks.limit(0)).collect()} == {0.5}
     assert all(r.score < 0.01 for r in tx.classify(edge, marks.withColumn("toxic", F.lit(0))).collect())
     assert tx.classify(empty, marks).count() == 0
+
+
+def test_toxic_texts_are_caught_and_clean_ones_of_like_stems_left_alone(spark):
+    """By the contract's own threshold, in every language: long clean texts have the shorter stems of toxic tokens too."""
+    d = "/root/testdata/sf0.1"
+    rows = tx.query(spark, d).filter("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
+    caught, left = ([r.predicted == t for r in rows if r.toxic == t] for t in (1, 0))
+    assert np.mean(caught) > 0.85 and np.mean(left) > 0.95
+
+
+def test_longest_stem_decides():
+    worth = tx.Worth({"ba": (4.0, 1.0), "bad": (5.0, 2.0), "bade$": (1.0, 0.0)})
+    assert [worth[w] for w in ("bat", "badly", "Bade", "fine")] == [1.0, 2.0, 0.0, 0.0]
