@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobs import fold_audit
-from tallywright.operators import fusion, labels, metrics, postproc, select
+from tallywright.operators import fusion, labels, metrics, nulls, postproc, select
 from tallywright.plans import fixtures as fx
 from tallywright.plans import metric_queries as mq
 
@@ -95,3 +95,20 @@ def test_seeds_are_gathered_once(spark):
 def test_audit_reads_texts_once(spark):
     rows = fold_audit.once(fold_audit.keyed(spark.read.parquet(f"{SMALL}/documents.parquet"), "source"))
     assert "text_key" in rows.columns and "regexp_replace" not in plan(rows)
+
+
+def test_nulls_draw_once(spark):
+    """The counts of all replicates are read back, not drawn for the selection, the oracle and the singles anew."""
+    df = fx.scores(spark, SMALL, "ac")
+    for null in (nulls.noise_null(df, "a", 2, 23, keep_best=True), nulls.prediction_permutation(df, "c", 2, 19)):
+        text = plan(null)
+        assert "md5" not in text and "ArrowEvalPython" not in text and re.search(r"Scan parquet \[rep#", text)
+
+
+def test_counts_of_one_score_may_lie_in_rows(spark):
+    """Noise is not summed by score first: equal draws in rows of their own give what their sum gives."""
+    rng = random.Random(7)
+    rows = [(rep, fold, 0, m, k, rng.randrange(6) / 5, y, 1 - y) for rep in (0, 1) for fold in range(3) for k, m in enumerate(("a", "noise")) for y in (0, 1, 0, 1, 0)]
+    own = spark.createDataFrame(rows, "rep long, fold int, class_id int, model string, ord int, _s double, _p long, _n long")
+    summed = own.groupBy("rep", "fold", "class_id", "model", "ord", "_s").agg(F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
+    assert rows_of(nulls._headrooms(own, own)) == rows_of(nulls._headrooms(summed, own))
