@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.llm.common import LAST_ID, bounded_batches, discard, release, shared_folder, table, written
-from tallywright.llm.suffix_array import equal_windows
+from tallywright.llm.suffix_array import window_runs
 
 #: Fixed value: the length of the strings that are matched.
 WIDTH = 50
@@ -48,6 +48,10 @@ GROUP = 1 << 16
 BLOCK = 1 << 14
 U = np.uint64
 P = 0x9E3779B97F4A7C15
+#: The bits of an anchor's hash that tell anchors apart; in those below, its rows are sorted by their text's digest, as one number.
+#: Two anchors of one hash cost some comparisons and change no result, as contexts are compared by their bytes.
+KEPT = ~0xFFFFF
+TEXT = 0x1E3779B97F4A7C15
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -117,7 +121,7 @@ def grouped(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, n
 
 
 def encoded(column: pa.Array) -> list[bytes]:
-    return [(t or "").encode() for t in column.to_pylist()]
+    return pc.fill_null(column.cast(pa.binary()), b"").to_pylist()
 
 
 def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +134,7 @@ def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, found = batch.column("p1").to_numpy(), []
         for start, data, doc, _ in grouped(encoded(batch.column("text"))):
             first, _, _, h = anchors(data, doc)
-            found.append((h.view(np.int64), ids[start + doc[first]]))
+            found.append((h.view(np.int64) & KEPT, ids[start + doc[first]]))
         h, p1 = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
         known = np.zeros(len(h), bool)
         values = np.sort(h)
@@ -151,7 +155,10 @@ def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by h, p1 to the distinct ones whose h stands with another p1 too, and the known ones; a run may reach over batches."""
+    """Rows sorted by h to the ones whose h stands with another p1 too, and the known ones; a run may reach over batches.
+
+    Of equal rows that follow each other one is given.
+    """
     held: tuple[int, int] | None = None  # the last row, not yet given, or None if it was
     last: int | None = None
     before = None
@@ -201,20 +208,18 @@ def context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, texts = {n: batch.column(n).to_numpy() for n in ("doc", "p1", "p2")}, encoded(batch.column("text"))
         lists = batch.column("shared")
-        offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+        offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
         contexts, found = [], []
         for start, data, doc, begin in grouped(texts):
             first, last, at, h = anchors(data, doc)
-            own, keep = doc[first], np.zeros(len(first), bool)
-            cuts = np.searchsorted(own, np.arange(len(begin)))
-            for k in range(len(begin) - 1):
-                wanted = values[offsets[start + k] : offsets[start + k + 1]]
-                if len(wanted) and cuts[k] < cuts[k + 1]:
-                    keep[cuts[k] : cuts[k + 1]] = np.isin(h[cuts[k] : cuts[k + 1]], wanted)
+            h, own = h.view(np.int64) & KEPT, doc[first]
+            ends = offsets[start : start + len(begin)]
+            wanted = values[ends[0] : ends[-1]] ^ np.repeat(np.arange(len(begin) - 1), np.diff(ends)) * TEXT  # a hash of text and anchor
+            keep = np.isin(h ^ own * TEXT, wanted)
             low, high, at, h, own = first[keep], last[keep] + WIDTH, at[keep], h[keep], own[keep]
             raw = data.tobytes()
             contexts += [raw[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
-            found.append((h.view(np.int64), (at - low).astype(np.int32), start + own, (low - begin[own]).astype(np.int32)))
+            found.append((h, (at - low).astype(np.int32), start + own, (low - begin[own]).astype(np.int32)))
         if not contexts:
             continue
         h, anchor, row, place = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -339,27 +344,20 @@ class Block:
 
     def flush(self) -> None:
         if len(self.rows) > 1:
-            text, begin, starts = bytearray(), [], []
-            for c, _, _ in self.rows:
-                begin.append(len(text))
-                starts += range(len(text), len(text) + len(c) - WIDTH + 1)
-                text += c + b"\xff"  # a byte that UTF-8 never has
-            row = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(text)))).tolist()
-            gone: dict[int, list[int]] = {}
-            for same in equal_windows(bytes(text), starts, WIDTH):
-                if len(same) > 1:
-                    first = min(self.rows[row[s]][1] for s in same)
-                    for s in same:
-                        if self.rows[row[s]][1] > first:
-                            gone.setdefault(row[s], []).append(s - begin[row[s]])
-            for k, found in gone.items():
-                found.sort()
-                a = b = found[0]
-                for s in [*found[1:], 1 << 40]:
-                    if s > b + WIDTH:
-                        self.ranges += [(self.rows[k][1], part, p + a, p + b + WIDTH) for part, p in self.rows[k][2]]
-                        a = s
-                    b = s
+            size = np.array([len(c) for c, _, _ in self.rows])
+            begin = np.cumsum(size + 1) - size - 1
+            row = np.repeat(np.arange(len(size)), size + 1)
+            text = b"".join([c + b"\xff" for c, _, _ in self.rows])  # a byte that UTF-8 never has
+            order, run = window_runs(text, np.arange(len(text)) - begin[row] <= (size - WIDTH)[row], WIDTH)
+            doc = np.array([d for _, d, _ in self.rows], np.int64)[row[order]]
+            least = np.minimum.reduceat(doc, np.flatnonzero(np.diff(run, prepend=-1)))
+            gone = np.sort(order[doc > least[run]])
+            if len(gone):
+                own = row[gone]
+                new = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (np.diff(gone) > WIDTH))))
+                first, last, own = gone[new], gone[np.append(new[1:], len(gone)) - 1] + WIDTH, own[new]
+                for k, a, b in zip(own.tolist(), (first - begin[own]).tolist(), (last - begin[own]).tolist(), strict=True):
+                    self.ranges += [(self.rows[k][1], part, p + a, p + b) for part, p in self.rows[k][2]]
         self.rows, self.size = [], 0
 
 
@@ -452,8 +450,8 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """row, ranges to row, removed (ranges) and kept (bytes)."""
     for batch in batches:
         removed, kept = [], []
-        for text, ranges in zip(batch.column("row").field("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
-            data, gone, at, parts = (text or "").encode(), united(ranges or []), 0, []
+        for data, ranges in zip(encoded(batch.column("row").field("text")), batch.column("ranges").to_pylist(), strict=True):
+            gone, at, parts = united(ranges or []), 0, []
             for a, b in gone:
                 parts.append(data[at:a])
                 at = b
@@ -483,7 +481,8 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
     copies = light.join(several, ["p1", "p2"]).filter("doc > first").select("doc", "p1", "p2", F.lit(0).cast("long").alias("start"), "end")
 
     rows = plain.select("p1", "text").mapInArrow(anchor_rows, "h bigint, p1 bigint, known boolean")
-    rows = rows.repartition(shuffles, F.when(F.col("known"), F.col("p1")).otherwise(F.col("h"))).sortWithinPartitions("h", "p1")
+    rows = rows.repartition(shuffles, F.when(F.col("known"), F.col("p1")).otherwise(F.col("h")))
+    rows = rows.sortWithinPartitions(F.col("h").bitwiseOR(F.col("p1").bitwiseAND(F.lit(~KEPT))))  # one number, which Spark sorts by radix
     shared = written(rows.mapInArrow(shared_anchors, "h bigint, p1 bigint"), folder, "shared")
     del rows
     release(spark)

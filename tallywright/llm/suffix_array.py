@@ -9,6 +9,8 @@ longest Lyndon prefix; each group's order is then emitted in one ascending sweep
 
 from __future__ import annotations
 
+import numpy as np
+
 
 def suffix_array(text: bytes) -> list[int]:
     """The starts of all suffixes of text in ascending order; an empty suffix is not listed."""
@@ -105,19 +107,19 @@ def suffix_array(text: bytes) -> list[int]:
     return out[1:]
 
 
+def window_runs(text: bytes, wanted: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The wanted starts in ascending order of their suffixes, and the run of equal windows that each is in, numbered from 0."""
+    order = np.array(suffix_array(text), np.int64)
+    order = order[wanted[order]]
+    if not len(order):
+        return order, order
+    windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), width)[order]
+    return order, np.concatenate(([0], np.cumsum((windows[1:] != windows[:-1]).any(axis=1))))
+
+
 def equal_windows(text: bytes, starts: list[int], width: int) -> list[list[int]]:
     """The classes of equal windows among those that begin at starts, in ascending order of their bytes."""
-    wanted = bytearray(len(text))
-    for s in starts:
-        wanted[s] = 1
-    classes: list[list[int]] = []
-    last = None
-    for s in suffix_array(text):
-        if wanted[s]:
-            window = text[s : s + width]
-            if window == last:
-                classes[-1].append(s)
-            else:
-                classes.append([s])
-                last = window
-    return classes
+    wanted = np.zeros(len(text), bool)
+    wanted[np.array(starts, np.int64)] = True
+    order, run = window_runs(text, wanted, width)
+    return [c.tolist() for c in np.split(order, np.flatnonzero(np.diff(run)) + 1)] if len(order) else []

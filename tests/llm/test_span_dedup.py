@@ -312,3 +312,21 @@ def test_memory_of_an_anchor_with_many_contexts():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert rows_ > n and len(keys) > 1000 and peak < 150 << 20
+
+
+def test_anchors_sort_as_one_number():
+    """The low bits of an anchor's hash are those of its text's digest; texts that agree in these may stand in any order."""
+    import numpy as np
+    import pyarrow as pa
+
+    text = pa.array(["one line of words that is long enough to have windows, and some more of them"] * 2)
+    dealt = pa.Table.from_batches(sd.anchor_rows(iter([pa.RecordBatch.from_pydict({"p1": pa.array([1, 2]), "text": text})])))
+    h = dealt.column("h").to_numpy()
+    assert len(h) and not (h & ~sd.KEPT).any()
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        h, doc = np.sort(rng.integers(0, 6, 20)), rng.integers(0, 3, 20)
+        cuts = np.sort(rng.integers(0, 21, 5))
+        batches = [pa.RecordBatch.from_pydict({"h": pa.array(a), "p1": pa.array(b), "known": pa.array([False] * len(a))}) for a, b in zip(np.split(h, cuts), np.split(doc, cuts))]
+        got = {r for b in sd.shared_anchors(iter(batches)) for r in zip(b.column("h").to_pylist(), b.column("p1").to_pylist())}
+        assert got == {(int(a), int(b)) for a, b in zip(h, doc) if len(set(doc[h == a])) > 1}
