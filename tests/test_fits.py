@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from tallywright.plans import fixtures as fx
 from tallywright.operators import fusion
 
 
@@ -106,3 +107,27 @@ def test_frozen_fusion_equals_a_plain_version(spark):
     for key, (_, _, x) in there.items():
         if x is not None:
             assert abs(got[key] - 1 / (1 + np.exp(-(np.dot(coefs[key[1]][:-1], x) + coefs[key[1]][-1])))) < 1e-9
+
+
+def test_few_fits_deal_no_rows_and_many_do(spark, monkeypatch):
+    """Rows of few fits are read as they were written; dealt by key, they give the same coefficients."""
+    dealt = []
+    deal = type(spark.range(1)).repartition
+    monkeypatch.setattr(type(spark.range(1)), "repartition", lambda self, *a: dealt.append(a) or deal(self, *a))
+    rows = [(i % 3, i % 4, (i * 7919 % 13 + i % 3) % 2, [i * 31 % 17 / 17.0, i * 57 % 29 / 29.0]) for i in range(600)]
+    df = spark.createDataFrame(rows, "class_id int, fold int, y int, x array<double>").repartition(5)
+    dealt.clear()
+    few = {(r.class_id, r.outer_fold): r.coef for r in fusion.fit_all(df, ["class_id"], True).collect()}
+    assert not dealt
+    monkeypatch.setattr(fusion, "HELD_NUMBERS", 10)
+    many = {(r.class_id, r.outer_fold): r.coef for r in fusion.fit_all(df, ["class_id"], True).collect()}
+    assert dealt and few.keys() == many.keys() and len(few) == 12
+    for key, coef in few.items():
+        assert coef == pytest.approx(many[key], abs=1e-8)
+
+
+def test_coefficients_are_broadcast(spark):
+    rows = fusion.packed_logits(fx.packed(spark, "/root/testdata/sf0.001"), ["a", "b", "c"])
+    coefs = spark.createDataFrame([(0, 0, [1.0, 1.0, 1.0, 0.0])], "class_id int, fold int, coef array<double>")
+    plan = fusion.predicted(rows, coefs, ["fold", "class_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
